@@ -154,3 +154,66 @@ def numbered(
 ) -> DataFrame:
     """``row_number`` per key, starting at 1."""
     return ordered(df, keys, order, upto={name: ("count", F.lit(1))}, block=block, width=width)
+
+
+def split_runs(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    *,
+    lag: Mapping[str, str],
+    uses: Sequence[str],
+    starts: Column,
+    name: str,
+    block: Column | None = None,
+    width: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Number the islands of a key where a row starts one by comparison with the row before.
+
+    ``lag`` names the previous row's columns; ``starts`` may use them and the
+    columns in ``uses``. On the first row of a key they are null, and that row
+    always starts an island. One pass instead of ``ordered`` and ``islands``:
+    a block summary holds its edge rows and the starts inside it.
+    """
+    by = [*keys, BLOCK]
+    rows = df.withColumn(BLOCK, block if block is not None else block_of(order[0], width))
+    flag = F.coalesce(starts, F.lit(False)).cast("bigint")
+    inside = Window.partitionBy(*by).orderBy(*order)
+
+    need = list(dict.fromkeys([*by, *order, *uses, *lag.values()]))
+    narrow = rows.select(*need)
+    narrow = narrow.withColumns(
+        {"__rn": F.row_number().over(inside), **{n: F.lag(c).over(inside) for n, c in lag.items()}}
+    )
+    first_cols = list(dict.fromkeys([*order, *uses, *lag.values()]))
+    blocks = narrow.groupBy(*by).agg(
+        F.max(F.when(F.col("__rn") == 1, F.struct(*first_cols))).alias("__first"),
+        F.max_by(F.struct(*[F.col(c).alias(n) for n, c in lag.items()]), "__rn").alias("__last"),
+        F.sum(F.when(F.col("__rn") > 1, flag).otherwise(0)).alias("__inner"),
+    )
+    along = Window.partitionBy(*keys).orderBy(BLOCK)
+    edges = blocks.withColumns({"__carry": F.lag("__last").over(along), "__nth": F.row_number().over(along)})
+    opened = edges.select(
+        *by, "__carry", "__nth", "__inner", *[F.col(f"__first.{c}").alias(c) for c in first_cols],
+        *[F.col(f"__carry.{n}").alias(n) for n in lag],
+    ).select(
+        *by, "__carry",
+        (F.col("__inner") + F.when(F.col("__nth") == 1, F.lit(1)).otherwise(flag)).alias("__starts"),
+    )
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    edges = opened.select(
+        *by, "__carry", F.coalesce(F.sum("__starts").over(earlier), F.lit(0)).alias("__before")
+    )
+    joined = rows.join(edges, on=by, how="inner")
+    first = F.row_number().over(inside) == 1
+    placed = joined.withColumns(
+        {
+            "__rn": F.row_number().over(inside),
+            **{n: F.when(first, F.col("__carry")[n]).otherwise(F.lag(c).over(inside)) for n, c in lag.items()},
+        }
+    )
+    begins = F.when((F.col("__rn") == 1) & (F.col("__before") == 0), F.lit(1)).otherwise(flag)
+    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.withColumn("__begins", begins).withColumn(
+        name, F.col("__before") + F.sum("__begins").over(running)
+    ).drop(BLOCK, "__carry", "__before", "__rn", "__begins")

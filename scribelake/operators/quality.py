@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from scribelake.functions.text import tokens_word, tokens_ws
 from scribelake.operators.ordered import BLOCK_ROWS, islands, ordered
+from scribelake.session import checkpointed
 
 # Thresholds of the gates.
 MAX_PERIOD = 64
@@ -67,7 +68,7 @@ def _chunks(located: DataFrame, size: int) -> DataFrame:
             "source_id", "chunk", "lo", F.flatten(F.transform("parts", lambda p: p["w"])).alias("words"),
             # Per word: the row of its segment in the arrays that follow.
             F.transform("parts", lambda p: F.size(p["w"])).alias("seg_words"),
-            *[F.transform("parts", lambda p, c=c: p[c]).alias(f"seg_{c}") for c in ("idx", "start_seconds", "end_seconds")],
+            *[F.col(f"parts.{c}").alias(f"seg_{c}") for c in ("idx", "start_seconds", "end_seconds")],
         )
     )
 
@@ -159,7 +160,8 @@ def loop_candidates(
         segments.select("source_id", "idx", "start_seconds", "end_seconds", "text"), width=width
     )
     chunks = _chunks(located, chunk_words)
-    runs = chunks.mapInArrow(_run_finder(chunk_words), _RUNS)
+    # Few rows out of an expensive pass, read several times below: stored once.
+    runs = checkpointed(chunks.mapInArrow(_run_finder(chunk_words), _RUNS))
     is_open = F.col("open_left") | F.col("open_right")
     edge = ordered(
         runs.where(is_open), ["source_id", "period"], ["start"],

@@ -101,3 +101,159 @@ LINES_SQL = """lines AS (
   SELECT source_id, idx, (idx - 1) * 2.0::DOUBLE AS start_seconds, idx * 2.0::DOUBLE AS end_seconds, text
   FROM (SELECT 'doc-' || doc_id AS source_id, unnest(string_split(text, chr(10))) AS text,
                generate_subscripts(string_split(text, chr(10)), 1) AS idx FROM documents))"""
+
+
+def _two(c):
+    return F.lpad(c.cast("string"), 2, "0")
+
+
+def entries(t) -> DataFrame:
+    """Order lines as report entries: an order is a batch, a part its bytes."""
+    day = F.date_format("l_shipdate", "yyMMdd")
+    clock = F.concat(_two(F.col("l_linenumber") + 8), _two(F.col("l_suppkey") % 60), _two(F.col("l_partkey") % 60))
+    state = (
+        F.when(F.col("l_returnflag") == "R", "review_required")
+        .when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F"), "failed")
+        .when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"), "cancelled")
+        .otherwise("completed")
+    )
+    return t.lineitem.select(
+        F.concat(F.lit("b-"), F.col("l_orderkey").cast("string")).alias("batch_id"),
+        ((F.col("l_linenumber") * 100000000 + F.col("l_partkey")) * 1000000 + F.col("l_suppkey")).alias("position"),
+        F.when(F.col("l_discount") == 0, F.concat(F.lit("notes_"), F.col("l_partkey").cast("string"), F.lit(".wav")))
+        .otherwise(F.concat(F.lit("audio_"), day, F.lit("_"), clock, F.lit(".wav"))).alias("filename"),
+        state.alias("state"),
+        F.sha2(F.concat(F.lit("part-"), F.col("l_partkey").cast("string")), 256).alias("sha256"),
+        (F.col("l_quantity") * 60).alias("duration_seconds"),
+        F.when(F.col("l_tax") == 0.08, F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("T09:30:00+02:00")))
+        .when(F.col("l_tax") == 0.07, F.lit("2024-02-30T00:00:00")).alias("recorded_at"),
+    )
+
+
+ENTRIES_SQL = """entries AS (
+  SELECT 'b-' || l_orderkey AS batch_id, (l_linenumber::BIGINT * 100000000 + l_partkey) * 1000000 + l_suppkey AS position,
+         CASE WHEN l_discount = 0 THEN 'notes_' || l_partkey || '.wav'
+              ELSE 'audio_' || strftime(l_shipdate, '%y%m%d') || '_' || lpad((l_linenumber + 8)::VARCHAR, 2, '0')
+                   || lpad((l_suppkey % 60)::VARCHAR, 2, '0') || lpad((l_partkey % 60)::VARCHAR, 2, '0') || '.wav' END AS filename,
+         CASE WHEN l_returnflag = 'R' THEN 'review_required' WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'failed'
+              WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 'cancelled' ELSE 'completed' END AS state,
+         sha256('part-' || l_partkey) AS sha256, l_quantity * 60 AS duration_seconds,
+         CASE WHEN l_tax = 0.08 THEN strftime(l_shipdate, '%Y-%m-%d') || 'T09:30:00+02:00'
+              WHEN l_tax = 0.07 THEN '2024-02-30T00:00:00' END AS recorded_at
+  FROM lineitem)"""
+
+CLOCKED_SQL = ENTRIES_SQL + r""", clocked AS (
+  SELECT *, CASE WHEN recorded_at LIKE '%+02:00' THEN 'explicit_metadata' WHEN recorded_at IS NOT NULL THEN 'invalid_explicit_metadata'
+                 WHEN named IS NOT NULL THEN 'filename' ELSE 'unknown' END AS provenance,
+         CASE WHEN recorded_at LIKE '%+02:00' THEN left(recorded_at, 10) WHEN recorded_at IS NULL THEN strftime(named, '%Y-%m-%d') END AS date,
+         CASE WHEN recorded_at LIKE '%+02:00' THEN substr(recorded_at, 12, 8) WHEN recorded_at IS NULL THEN strftime(named, '%H:%M:%S') END AS time,
+         CASE WHEN recorded_at LIKE '%+02:00' THEN 'UTC+02:00' END AS timezone,
+         CASE WHEN recorded_at LIKE '%+02:00' THEN recorded_at WHEN recorded_at IS NULL THEN strftime(named, '%Y-%m-%dT%H:%M:%S') END AS shown_at
+  FROM (SELECT *, try_strptime('20' || regexp_extract(filename, '^audio_(\d{6})_(\d{6})(?:_[^.]+)?\.[A-Za-z0-9]+$', 1)
+                   || regexp_extract(filename, '^audio_(\d{6})_(\d{6})(?:_[^.]+)?\.[A-Za-z0-9]+$', 2), '%Y%m%d%H%M%S') AS named FROM entries))"""
+
+
+def results(t) -> DataFrame:
+    """Documents as published results."""
+    doc = F.col("doc_id").cast("string")
+    at = F.concat(F.lit("2024-01-"), _two(F.col("n_chars") % 28 + 1), F.lit("T10:00:00+00:00"))
+    return t.documents.select(
+        F.concat(F.lit("r-"), doc).alias("result_id"),
+        F.concat("source", F.lit("_"), "lang", F.lit("_"), doc, F.lit(".wav")).alias("filename"),
+        F.sha2("text", 256).alias("source_sha256"), F.col("source").alias("session_id"),
+        F.concat(F.lit("doc-"), doc).alias("source_id"), F.concat(F.lit("run-"), "lang").alias("run_id"),
+        F.when(F.col("lang") == "de", "review_required").otherwise("completed").alias("state"),
+        F.when(F.col("lang") != "es", at).alias("generated_at"), (F.col("n_chars") / 10).alias("duration_seconds"),
+        "lang", "text",
+    )
+
+
+RESULTS_SQL = """results AS (
+  SELECT 'r-' || doc_id AS result_id, source || '_' || lang || '_' || doc_id || '.wav' AS filename, sha256(text) AS source_sha256,
+         source AS session_id, 'doc-' || doc_id AS source_id, 'run-' || lang AS run_id,
+         CASE WHEN lang = 'de' THEN 'review_required' ELSE 'completed' END AS state,
+         CASE WHEN lang <> 'es' THEN '2024-01-' || lpad((n_chars % 28 + 1)::VARCHAR, 2, '0') || 'T10:00:00+00:00' END AS generated_at,
+         n_chars / 10 AS duration_seconds, lang, text FROM documents)"""
+
+
+def labels(t) -> DataFrame:
+    return t.labels.select(
+        F.concat(F.lit("r-"), F.col("doc_id").cast("string")).alias("result_id"),
+        F.when(F.col("quality") == 1, "good course").alias("course"),
+        F.when(F.col("toxic") == 1, "rude speaker").alias("speaker"), F.lit(None).cast("string").alias("event"),
+    )
+
+
+LABELS_SQL = """tags AS (
+  SELECT 'r-' || doc_id AS result_id, CASE WHEN quality = 1 THEN 'good course' END AS course,
+         CASE WHEN toxic = 1 THEN 'rude speaker' END AS speaker, NULL::VARCHAR AS event FROM labels)"""
+
+
+def reports(t) -> DataFrame:
+    """Orders as saved batch reports; partly shipped ones lie in the trash."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    zone = (
+        F.when(F.col("o_orderpriority") == "1-URGENT", "").when(F.col("o_orderpriority") == "2-HIGH", "+02:00").otherwise("Z")
+    )
+    key = F.col("o_orderkey")
+    return t.orders.select(
+        F.concat(F.lit("b-"), key.cast("string")).alias("report_id"),
+        F.concat(F.lit("Class of "), F.col("o_custkey").cast("string")).alias("title"),
+        F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", day).alias("date"),
+        F.when(F.col("o_orderpriority") != "5-LOW", F.concat(_two(key % 24), F.lit(":15:00"))).alias("start_time"),
+        F.concat(day, F.lit("T"), _two(key % 24), F.lit(":00:00"), zone).alias("created_at"),
+        F.when(F.col("o_orderstatus") == "P", day).alias("deleted_at"),
+    )
+
+
+REPORTS_SQL = """reports AS (
+  SELECT 'b-' || o_orderkey AS report_id, 'Class of ' || o_custkey AS title,
+         CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN strftime(o_orderdate, '%Y-%m-%d') END AS date,
+         CASE WHEN o_orderpriority <> '5-LOW' THEN lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':15:00' END AS start_time,
+         strftime(o_orderdate, '%Y-%m-%dT') || lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':00:00'
+           || CASE o_orderpriority WHEN '1-URGENT' THEN '' WHEN '2-HIGH' THEN '+02:00' ELSE 'Z' END AS created_at,
+         CASE WHEN o_orderstatus = 'P' THEN strftime(o_orderdate, '%Y-%m-%d') END AS deleted_at FROM orders)"""
+
+
+def queue(t) -> DataFrame:
+    """Orders as queue rows of their customer's list."""
+    key = F.col("o_orderkey")
+    return t.orders.select(
+        F.concat(F.lit("list-"), F.col("o_custkey").cast("string")).alias("list_id"), key.alias("position"),
+        F.concat(F.lit("j-"), key.cast("string")).alias("job_id"),
+        F.concat(F.lit("/rec/"), F.col("o_custkey").cast("string"), F.lit(".wav")).alias("path"),
+        F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "waiting").otherwise("processing").alias("state"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("r-"), key.cast("string"))).alias("result_id"),
+        F.when(F.col("o_orderpriority") == "2-HIGH", F.sha2(F.col("o_custkey").cast("string"), 256)).alias("watched_version_key"),
+        F.when(F.col("o_orderpriority") == "3-MEDIUM", "large-v3").otherwise("large-v3-turbo").alias("model"),
+        (F.col("o_orderpriority") == "5-LOW").alias("force"), F.lit(True).alias("auto_start"),
+        (F.col("o_orderpriority") == "4-NOT SPECIFIED").alias("deletion_pending"),
+        F.lit("b-1").alias("batch_id"), F.lit("a-1").alias("attempt_id"), F.col("o_orderpriority").alias("message"),
+    )
+
+
+QUEUE_SQL = """queue AS (
+  SELECT 'list-' || o_custkey AS list_id, o_orderkey AS position, 'j-' || o_orderkey AS job_id, '/rec/' || o_custkey || '.wav' AS path,
+         CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'waiting' ELSE 'processing' END AS state,
+         CASE WHEN o_orderpriority = '1-URGENT' THEN 'r-' || o_orderkey END AS result_id,
+         CASE WHEN o_orderpriority = '2-HIGH' THEN sha256(o_custkey::VARCHAR) END AS watched_version_key,
+         CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'large-v3' ELSE 'large-v3-turbo' END AS model,
+         o_orderpriority = '5-LOW' AS force, o_orderpriority = '4-NOT SPECIFIED' AS deletion_pending, o_orderpriority AS message FROM orders)"""
+
+
+def watched(t) -> DataFrame:
+    """Customers as watched files."""
+    key = F.col("c_custkey").cast("string")
+    return t.customer.select(
+        F.concat(F.lit("/rec/"), key, F.lit(".wav")).alias("path"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "processed").when(F.col("c_mktsegment") == "MACHINERY", "copying")
+        .otherwise("ready").alias("state"),
+        F.when(F.col("c_acctbal") > 0, F.sha2(key, 256)).otherwise("partial").alias("version_key"),
+        F.col("c_mktsegment").alias("segment"),
+    )
+
+
+WATCHED_SQL = """watched AS (
+  SELECT '/rec/' || c_custkey || '.wav' AS path,
+         CASE c_mktsegment WHEN 'BUILDING' THEN 'processed' WHEN 'MACHINERY' THEN 'copying' ELSE 'ready' END AS state,
+         CASE WHEN c_acctbal > 0 THEN sha256(c_custkey::VARCHAR) ELSE 'partial' END AS version_key, c_mktsegment AS segment FROM customer)"""

@@ -17,32 +17,30 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn`` of a value computed once, however often ``fn`` names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def civil(day: Column, clock: Column) -> Column:
     """TIMESTAMP_NTZ of 'yyyy-MM-dd' and 'HH:mm:ss', null off the calendar."""
-    hour, minute, second = (F.split(clock, ":")[i].try_cast("int") for i in range(3))
-    real = (hour < 24) & (minute < 60) & (second < 60) & day.try_cast("date").isNotNull()
-    return F.when(real, F.concat(day, F.lit(" "), clock).try_cast("timestamp_ntz"))
+    return F.concat(day, F.lit(" "), clock).try_cast("timestamp_ntz")
 
 
 def iso_parts(text: Column | str) -> Column:
     """Struct(day, clock, fraction, offset, at) of an ISO clock, null when malformed."""
     x = _col(text)
-    day, clock = F.regexp_extract(x, ISO_CLOCK, 1), F.regexp_extract(x, ISO_CLOCK, 2)
+    day, clock, rest = F.substring(x, 1, 10), F.substring(x, 12, 8), F.substring(x, 20, 64)
+    offset = F.regexp_extract(rest, r"(Z|[+-][0-9]{2}:[0-9]{2})?$", 1)
     at = civil(day, clock)
-    offset = F.regexp_extract(x, ISO_CLOCK, 4)
-    hours = F.regexp_extract(offset, r"^[+-]([0-9]{2}):([0-9]{2})$", 1)
-    minutes = F.regexp_extract(offset, r"^[+-]([0-9]{2}):([0-9]{2})$", 2)
-    good_offset = (offset == "") | (offset == "Z") | (
-        (hours.try_cast("int") < 24) & (minutes.try_cast("int") < 60)
-    )
+    # Offsets stay below 24 hours.
+    good_offset = offset.isin("", "Z") | offset.rlike(r"^[+-]([01][0-9]|2[0-3]):[0-5][0-9]$")
     shown = F.when(offset == "Z", "+00:00").when(offset != "", offset)
-    return F.when(
-        x.rlike(ISO_CLOCK) & at.isNotNull() & good_offset,
-        F.struct(
-            day.alias("day"), clock.alias("clock"),
-            F.regexp_extract(x, ISO_CLOCK, 3).alias("fraction"), shown.alias("offset"), at.alias("at"),
-        ),
+    parts = F.struct(
+        day.alias("day"), clock.alias("clock"), F.regexp_extract(rest, r"^(\.[0-9]+)?", 1).alias("fraction"),
+        shown.alias("offset"), at.alias("at"),
     )
+    return F.when(x.rlike(ISO_CLOCK) & good_offset & at.isNotNull(), parts)
 
 
 def offset_seconds(offset: Column) -> Column:
@@ -53,9 +51,12 @@ def offset_seconds(offset: Column) -> Column:
 
 def instant(text: Column | str) -> Column:
     """Seconds since 1970 of a clock with an offset; null when zoneless or malformed."""
-    parts = iso_parts(text)
-    fraction = F.when(parts["fraction"] != "", F.concat(F.lit("0"), parts["fraction"]).cast("double")).otherwise(0.0)
-    return civil_seconds(parts).cast("double") + fraction - offset_seconds(parts["offset"])
+
+    def seconds(parts):
+        fraction = F.coalesce(parts["fraction"].try_cast("double"), F.lit(0.0))
+        return civil_seconds(parts).cast("double") + fraction - offset_seconds(parts["offset"])
+
+    return bind(iso_parts(text), seconds)
 
 
 def civil_seconds(parts: Column) -> Column:
@@ -71,11 +72,10 @@ def recording_time(filename: Column | str, explicit: Column | str | None = None)
     A bad explicit clock is reported as invalid and never replaced by the name.
     """
     name = basename(_col(filename))
-    six_day, six_clock = F.regexp_extract(name, NAME_CLOCK, 1), F.regexp_extract(name, NAME_CLOCK, 2)
-    pairs = lambda c, sep, head: F.concat(
-        F.lit(head), F.substring(c, 1, 2), F.lit(sep), F.substring(c, 3, 2), F.lit(sep), F.substring(c, 5, 2)
+    pairs = lambda at, sep: F.concat(
+        F.substring(name, at, 2), F.lit(sep), F.substring(name, at + 2, 2), F.lit(sep), F.substring(name, at + 4, 2)
     )
-    day, clock = pairs(six_day, "-", "20"), pairs(six_clock, ":", "")
+    day, clock = F.concat(F.lit("20"), pairs(7, "-")), pairs(14, ":")
     named = name.rlike(NAME_CLOCK) & civil(day, clock).isNotNull()
     none = F.lit(None).cast("string")
 
@@ -90,24 +90,18 @@ def recording_time(filename: Column | str, explicit: Column | str | None = None)
     ).otherwise(build(none, none, none, none, "unknown", False))
     if explicit is None:
         return from_name
+
+    def declared(parts):
+        zero = parts["fraction"].rlike(r"^(\.0+)?$")
+        micros = F.when(zero, "").otherwise(F.rpad(F.substring(parts["fraction"], 1, 7), 7, "0"))
+        zone = F.when(parts["offset"] == "+00:00", "UTC").otherwise(F.concat(F.lit("UTC"), parts["offset"]))
+        shown = F.concat(parts["day"], F.lit("T"), parts["clock"], micros, F.coalesce(parts["offset"], F.lit("")))
+        return F.when(
+            parts.isNotNull(), build(parts["day"], parts["clock"], shown, zone, "explicit_metadata", True)
+        ).otherwise(build(none, none, none, none, "invalid_explicit_metadata", False))
+
     given = _col(explicit)
-    parts = iso_parts(given)
-    micros = F.when(
-        parts["fraction"].isin("", ".0") | parts["fraction"].rlike(r"^\.0+$"), ""
-    ).otherwise(F.rpad(F.substring(parts["fraction"], 1, 7), 7, "0"))
-    zone = F.when(parts["offset"] == "+00:00", "UTC").otherwise(F.concat(F.lit("UTC"), parts["offset"]))
-    shown = F.concat(
-        parts["day"], F.lit("T"), parts["clock"], micros, F.coalesce(parts["offset"], F.lit(""))
-    )
-    return (
-        F.when(given.isNull(), from_name)
-        .when(
-            parts.isNotNull(),
-            build(parts["day"], parts["clock"], shown, F.when(parts["offset"].isNotNull(), zone),
-                  "explicit_metadata", True),
-        )
-        .otherwise(build(none, none, none, none, "invalid_explicit_metadata", False))
-    )
+    return F.when(given.isNull(), from_name).otherwise(bind(iso_parts(given), declared))
 
 
 def real_date(c: Column | str) -> Column:
@@ -121,34 +115,30 @@ def recording_interval(
 ) -> Column:
     """Start, end, source and zone status; explicit metadata first, then embedded."""
     given, bwf, seconds = _col(explicit), _col(embedded), _col(duration)
-    parts_given, parts_bwf = iso_parts(given), iso_parts(bwf)
-    parts = F.coalesce(parts_given, parts_bwf)
-    source = (
-        F.when(parts_given.isNotNull(), "explicit_source_metadata")
-        .when(parts_bwf.isNotNull(), "embedded_bwf_origination")
-        .otherwise("unknown")
-    )
-    fraction = F.coalesce(parts["fraction"].try_cast("decimal(20,6)"), F.lit(0).cast("decimal(20,6)"))
-    finite = seconds.isNotNull() & ~F.isnan(seconds) & (seconds >= 0) & (seconds < F.lit(float("inf")))
-    after = lambda t, s: F.try_add(t, F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), s))
-    begin = after(parts["at"], fraction)
-    ended_at = F.when(finite, after(begin, F.bround(seconds, 6).try_cast("decimal(18,6)")))
-    tail = F.coalesce(parts["offset"], F.lit(""))
 
     def stamp(t):
         text = F.replace(t.cast("string"), F.lit(" "), F.lit("T"))
         return F.when(F.instr(text, ".") > 0, F.rpad(text, 26, "0")).otherwise(text)
 
-    started = F.concat(stamp(begin), tail)
-    return F.struct(
-        F.when(parts.isNotNull(), started).alias("started_at"),
-        F.concat(stamp(ended_at), tail).alias("ended_at"),
-        source.alias("time_source"),
-        F.when(source == "explicit_source_metadata", "user_supplied")
-        .when(source == "embedded_bwf_origination", "embedded_metadata")
-        .otherwise("unknown").alias("time_confidence"),
-        F.regexp_replace(parts["offset"], ":", "").alias("timezone"),
-        F.when(parts["offset"].isNotNull(), "explicit_offset").otherwise("unknown").alias("timezone_status"),
-        F.when(ended_at.isNotNull(), "declared start plus decoded duration").alias("end_time_basis"),
-        (given.isNotNull() & parts_given.isNull()).alias("invalid_explicit_recorded_at"),
-    )
+    def described(pair):
+        declared = pair["declared"].isNotNull()
+        parts = F.coalesce(pair["declared"], pair["embedded"])
+        source = F.when(declared, "explicit_source_metadata").when(parts.isNotNull(), "embedded_bwf_origination").otherwise("unknown")
+        fraction = F.coalesce(parts["fraction"].try_cast("decimal(20,6)"), F.lit(0).cast("decimal(20,6)"))
+        after = lambda t, s: F.try_add(t, F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), s))
+        begin = after(parts["at"], fraction)
+        finite = seconds.isNotNull() & ~F.isnan(seconds) & (seconds >= 0) & (seconds < F.lit(float("inf")))
+        end = F.when(finite, after(begin, F.bround(seconds, 6).try_cast("decimal(18,6)")))
+        tail = F.coalesce(parts["offset"], F.lit(""))
+        return F.struct(
+            F.concat(stamp(begin), tail).alias("started_at"), F.concat(stamp(end), tail).alias("ended_at"),
+            source.alias("time_source"),
+            F.when(declared, "user_supplied").when(parts.isNotNull(), "embedded_metadata").otherwise("unknown").alias("time_confidence"),
+            F.replace(parts["offset"], F.lit(":"), F.lit("")).alias("timezone"),
+            F.when(parts["offset"].isNotNull(), "explicit_offset").otherwise("unknown").alias("timezone_status"),
+            F.when(end.isNotNull(), "declared start plus decoded duration").alias("end_time_basis"),
+            (given.isNotNull() & ~declared).alias("invalid_explicit_recorded_at"),
+        )
+
+    clocks = F.struct(iso_parts(given).alias("declared"), iso_parts(bwf).alias("embedded"))
+    return bind(clocks, described)

@@ -130,7 +130,7 @@ def result_search(results: DataFrame, segments: DataFrame, labels: DataFrame, ne
 def line_matches(reports: DataFrame, needle: str) -> DataFrame:
     return (
         reports.select("report_id", F.posexplode(text_lines("report_text")).alias("pos", "text"))
-        .where(matches_text(F.col("text"), needle))
+        .where(F.contains(fold("text"), F.lit(needle.casefold())) if needle else F.lit(False))
         .select("report_id", (F.col("pos") + 1).alias("line"), "text")
     )
 

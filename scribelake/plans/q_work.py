@@ -73,8 +73,8 @@ def j4(t):
 
 @query("J5_reusable_run", """WITH req AS (SELECT c_custkey AS request_id, c_nationkey AS nation, c_mktsegment AS seg FROM customer), run AS (
  SELECT o_orderkey AS run_id, c_nationkey AS nation, c_mktsegment AS seg, o_custkey AS fp, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'completed' ELSE 'review_required' END AS state,
-        strftime(o_orderdate, '%Y-%m-%d') AS at, o_orderpriority <> '5-LOW' AS usable FROM orders JOIN customer ON c_custkey = o_custkey), hit AS (
- SELECT request_id, run_id, state, fp = request_id AS exact, row_number() OVER (PARTITION BY request_id ORDER BY (fp = request_id) DESC, at DESC, run_id DESC) AS r
+        strftime(o_orderdate, '%Y-%m-%d') AS done_at, o_orderpriority <> '5-LOW' AS usable FROM orders JOIN customer ON c_custkey = o_custkey), hit AS (
+ SELECT request_id, run_id, state, fp = request_id AS exact, row_number() OVER (PARTITION BY request_id ORDER BY (fp = request_id) DESC, done_at DESC, run_id DESC) AS r
  FROM req JOIN run ON req.nation = run.nation AND (req.seg = run.seg OR (req.seg = 'BUILDING' AND run.seg = 'FURNITURE')) WHERE usable AND state <> 'failed')
 SELECT request_id, run_id AS reused_run, state AS reused_state, exact AS exact_fingerprint FROM req LEFT JOIN (SELECT * FROM hit WHERE r = 1) USING (request_id)""")
 def j5(t):
@@ -135,11 +135,13 @@ def j30(t):
     return res.startable(w, st.queue(t), w.where("segment = 'FURNITURE'")).select("path")
 
 
-@query("J31_accept_files", f"""WITH {st.QUEUE_SQL}, o AS (SELECT '/rec/' || c_nationkey || '.wav' AS path, c_custkey AS pos FROM customer)
+@query("J31_accept_files", f"""WITH {st.QUEUE_SQL}, o AS (SELECT '/rec/' || CASE WHEN c_mktsegment = 'BUILDING' THEN 'new-' ELSE '' END || c_nationkey || '.wav' AS path, c_custkey AS pos FROM customer)
 SELECT path, min(pos) AS pos FROM o WHERE path NOT IN (SELECT path FROM queue WHERE state IN ('waiting', 'processing') AND NOT deletion_pending) GROUP BY path""")
 def j31(t):
     offered = t.customer.select(
-        F.concat(F.lit("/rec/"), F.col("c_nationkey").cast("string"), F.lit(".wav")).alias("path"), F.col("c_custkey").alias("pos")
+        F.concat(
+            F.lit("/rec/"), F.when(F.col("c_mktsegment") == "BUILDING", "new-").otherwise(""), F.col("c_nationkey").cast("string"), F.lit(".wav")
+        ).alias("path"), F.col("c_custkey").alias("pos")
     )
     return res.accept_files(offered, st.queue(t).where("NOT deletion_pending"))
 
@@ -482,9 +484,9 @@ def u1(t):
     return a.unionByName(t.customer.select(F.lit("customers").alias("kind"), F.col("c_custkey").alias("id")), allowMissingColumns=True)
 
 
-@query("U3_except", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("U3_except", "SELECT doc_id AS id FROM documents EXCEPT SELECT doc_id FROM labels")
 def u3(t):
-    return t.customer.select(F.col("c_custkey").alias("id")).join(t.orders.select(F.col("o_custkey").alias("id")), "id", "left_anti").distinct()
+    return t.documents.select(F.col("doc_id").alias("id")).join(t.labels.select(F.col("doc_id").alias("id")), "id", "left_anti").distinct()
 
 
 @query("U4_intersect", "SELECT sha256(text) AS sha256 FROM documents INTERSECT SELECT sha256(text) FROM conversations UNION SELECT sha256(text) FROM documents GROUP BY text HAVING count(*) > 1")

@@ -245,7 +245,7 @@ def watched(t) -> DataFrame:
     """Customers as watched files."""
     key = F.col("c_custkey").cast("string")
     return t.customer.select(
-        F.concat(F.lit("/rec/"), key, F.lit(".wav")).alias("path"),
+        F.concat(F.lit("/rec/"), F.when(F.col("c_acctbal") > 5000, "new-").otherwise(""), key, F.lit(".wav")).alias("path"),
         F.when(F.col("c_mktsegment") == "BUILDING", "processed").when(F.col("c_mktsegment") == "MACHINERY", "copying")
         .otherwise("ready").alias("state"),
         F.when(F.col("c_acctbal") > 0, F.sha2(key, 256)).otherwise("partial").alias("version_key"),
@@ -254,6 +254,97 @@ def watched(t) -> DataFrame:
 
 
 WATCHED_SQL = """watched AS (
-  SELECT '/rec/' || c_custkey || '.wav' AS path,
+  SELECT '/rec/' || CASE WHEN c_acctbal > 5000 THEN 'new-' ELSE '' END || c_custkey || '.wav' AS path,
          CASE c_mktsegment WHEN 'BUILDING' THEN 'processed' WHEN 'MACHINERY' THEN 'copying' ELSE 'ready' END AS state,
          CASE WHEN c_acctbal > 0 THEN sha256(c_custkey::VARCHAR) ELSE 'partial' END AS version_key, c_mktsegment AS segment FROM customer)"""
+
+
+def telemetry(t) -> DataFrame:
+    """Events as telemetry: ten batches, a job per user."""
+    user = F.col("user_id")
+    kind = (
+        F.when(F.col("event_type") == "click", "stage_start").when(F.col("event_type") == "view", "stage_end")
+        .when(F.col("event_type") == "purchase", "cache").otherwise("milestone")
+    )
+    return t.events.select(
+        F.concat(F.lit("batch-"), (user % 10).cast("string")).alias("batch_id"), F.col("event_id").alias("sequence"),
+        (F.col("event_id") / 4).alias("elapsed_seconds"), kind.alias("kind"),
+        F.concat(F.lit("stage-"), (user % 4).cast("string")).alias("stage"),
+        F.when(F.col("value") < 5, "batch_complete").otherwise(F.col("event_type")).alias("name"),
+        F.when(user % 3 == 0, "transcript").when(user % 3 == 1, "report").otherwise("other").alias("cache"),
+        (F.col("value") < 40).alias("hit"), F.when(F.col("value") > 100, "interrupted_or_failed").alias("outcome"),
+        F.concat(F.lit("job-"), user.cast("string")).alias("job_id"), F.lit("a").alias("attempt_id"),
+    )
+
+
+TELEMETRY_SQL = """telemetry AS (
+  SELECT 'batch-' || (user_id % 10) AS batch_id, event_id AS sequence, event_id / 4 AS elapsed_seconds,
+         CASE event_type WHEN 'click' THEN 'stage_start' WHEN 'view' THEN 'stage_end' WHEN 'purchase' THEN 'cache' ELSE 'milestone' END AS kind,
+         'stage-' || (user_id % 4) AS stage, CASE WHEN value < 5 THEN 'batch_complete' ELSE event_type END AS name,
+         CASE user_id % 3 WHEN 0 THEN 'transcript' WHEN 1 THEN 'report' ELSE 'other' END AS cache, value < 40 AS hit,
+         CASE WHEN value > 100 THEN 'interrupted_or_failed' END AS outcome, 'job-' || user_id AS job_id, 'a' AS attempt_id FROM events)"""
+
+
+def progress(t) -> DataFrame:
+    """Events as progress messages; error events arrive late, under an old number."""
+    late = F.col("event_type") == "error"
+    state = F.when(F.col("event_type") == "signup", "waiting").when(F.col("event_type") == "purchase", "completed").otherwise("processing")
+    stage = (
+        F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "purchase", "finished")
+        .when(F.col("event_type") == "view", "transcribing").otherwise("preparing")
+    )
+    return t.events.select(
+        F.col("event_id").alias("arrival"), F.concat(F.lit("batch-"), (F.col("user_id") % 10).cast("string")).alias("batch_id"),
+        (F.col("event_id") - F.when(late, 300).otherwise(0)).alias("seq"), F.col("value").alias("elapsed"),
+        F.when(F.col("event_type") == "view", "progress").otherwise("file").alias("type"),
+        F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("job_id"),
+        F.when(F.col("value") < 60, "a1").otherwise("a2").alias("attempt_id"), F.col("user_id").cast("int").alias("index"),
+        state.alias("state"), stage.alias("stage"), F.floor("value").cast("int").alias("percent"),
+    )
+
+
+PROGRESS_SQL = """progress AS (
+  SELECT event_id AS arrival, 'batch-' || (user_id % 10) AS batch_id, event_id - CASE WHEN event_type = 'error' THEN 300 ELSE 0 END AS seq, value AS elapsed,
+         CASE WHEN event_type = 'view' THEN 'progress' ELSE 'file' END AS type, 'job-' || user_id AS job_id, CASE WHEN value < 60 THEN 'a1' ELSE 'a2' END AS attempt_id,
+         user_id AS index, CASE event_type WHEN 'signup' THEN 'waiting' WHEN 'purchase' THEN 'completed' ELSE 'processing' END AS state,
+         CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'finished' WHEN 'view' THEN 'transcribing' ELSE 'preparing' END AS stage,
+         CAST(floor(value) AS INTEGER) AS percent FROM events)"""
+
+
+def sample_blocks(t) -> DataFrame:
+    """Embeddings as stereo blocks of 32 frames; the label is the source."""
+    x = F.transform("embedding", lambda v: v.cast("double") * 4)
+    return t.embeddings.select(
+        F.concat(F.lit("rec-"), F.col("label").cast("string")).alias("source_id"), F.col("vec_id").alias("block"),
+        (F.col("vec_id") * 32).alias("start_frame"), F.lit(16000).alias("rate"),
+        F.array(F.slice(x, 1, 32), F.slice(x, 33, 32)).alias("channels"),
+    )
+
+
+BLOCKS_SQL = """samples AS (
+  SELECT source_id, block, (i - 1) // 32 AS channel, block * 32 + (i - 1) % 32 AS frame, v FROM (
+    SELECT 'rec-' || label AS source_id, vec_id AS block, unnest(embedding)::DOUBLE * 4 AS v, generate_subscripts(embedding, 1) AS i FROM embeddings))"""
+
+
+@F.pandas_udf("binary")
+def wav_bytes(embedding):
+    """A two-channel 32-bit float file holding the vector's values."""
+    import struct
+
+    import numpy as np
+
+    def build(v):
+        data = np.asarray(v, "<f4").tobytes()
+        fmt = struct.pack("<HHIIHH", 3, 2, 16000, 16000 * 8, 8, 32)
+        body = b"WAVE" + b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(data)) + data
+        return b"RIFF" + struct.pack("<I", len(body)) + body
+
+    return embedding.map(build)
+
+
+def recordings(t) -> DataFrame:
+    """Embeddings as small files; some are cut short."""
+    whole = wav_bytes("embedding")
+    return t.embeddings.select(F.concat(F.lit("/rec/"), F.col("vec_id").cast("string"), F.lit(".wav")).alias("path"), "label", whole.alias("content")).withColumn(
+        "content", F.when(F.col("label") == 3, F.substring("content", 1, 100)).otherwise(F.col("content"))
+    )

@@ -128,7 +128,7 @@ def report_lines(entries: DataFrame, segments: DataFrame) -> DataFrame:
     clock = text("Recording clock: ", unknown("recorded_at"), " · Evidence: ", F.col("provenance"), " · Timezone: ", unknown("timezone"), ".")
     measured = F.when(
         F.col("duration_seconds").isNotNull(),
-        text("Measured duration: ", clock_text("duration_seconds"), " (", F.format_string("%.6f", "duration_seconds"), " seconds)."),
+        text("Measured duration: ", clock_text("duration_seconds"), " (", fixed("duration_seconds", 6), " seconds)."),
     ).otherwise("Measured duration: unavailable.")
     note = F.when(F.col("state") == "cancelled", CANCELLED_NOTE).when(F.col("state") == "failed", FAILED_NOTE).when(
         F.col("state") == "review_required", REVIEW_NOTE
@@ -170,9 +170,14 @@ def copy_lines(entries: DataFrame, segments: DataFrame, verified: Column) -> Dat
     return head.unionByName(state).unionByName(spoken)
 
 
+def fixed(c: str, digits: int) -> Column:
+    """Fixed decimals; halves round to even."""
+    return F.format_string(f"%.{digits}f", F.bround(c, digits))
+
+
 def comparison_table(results: DataFrame) -> DataFrame:
     """Per clip and candidate: runtime, real-time factor, gain; WER stays unmeasured."""
     return results.select(
-        "clip_id", "candidate", F.format_string("%.2f", "elapsed_seconds").alias("runtime"),
-        F.format_string("%.3f", "real_time_factor").alias("rtf"), "gain_db", F.lit("unmeasured").alias("WER"),
+        "clip_id", "candidate", fixed("elapsed_seconds", 2).alias("runtime"),
+        fixed("real_time_factor", 3).alias("rtf"), "gain_db", F.lit("unmeasured").alias("WER"),
     ).orderBy("clip_id", "candidate")

@@ -222,7 +222,7 @@ def loop_findings(ranges: DataFrame) -> DataFrame:
     )
 
 
-_WINDOW = "source_id string, bucket bigint, start_seconds double, end_seconds double, word_count bigint, ratio double"
+_WINDOW = "source_id string, bucket bigint, start_seconds double, end_seconds double, word_count bigint, ratio double, shown_ratio double"
 
 
 def _window_ratios(batches):
@@ -233,13 +233,14 @@ def _window_ratios(batches):
     def close():
         packed = state["bytes"] + len(state["z"].flush())
         if state["words"] >= MIN_WINDOW_WORDS:
-            out.append((*key, state["start"], state["end"], state["words"], state["raw"] / packed))
+            ratio = state["raw"] / packed
+            out.append((*key, state["start"], state["end"], state["words"], ratio, round(ratio, 4)))
 
     def drain():
         columns = list(zip(*out))
         out.clear()
-        types = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
-        names = ["source_id", "bucket", "start_seconds", "end_seconds", "word_count", "ratio"]
+        types = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
+        names = [c.split(" ")[0] for c in _WINDOW.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     for batch in batches:
@@ -286,7 +287,7 @@ def window_ratios(segments: DataFrame) -> DataFrame:
 def compression_findings(segments: DataFrame) -> DataFrame:
     return window_ratios(segments).where(F.col("ratio") > MAX_RATIO).select(
         "source_id", "start_seconds", "end_seconds", F.lit("high_compression_ratio").alias("category"),
-        F.bround("ratio", 4).alias("compression_ratio"),
+        F.col("shown_ratio").alias("compression_ratio"),
     )
 
 

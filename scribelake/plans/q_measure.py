@@ -121,7 +121,7 @@ def s10_alloc(t):
     return tel.log_allocation_failures(placed)
 
 
-@query("S13_sample_scan", """SELECT c_nationkey AS sample, c_custkey + 1 AS pid, (c_custkey + 1) // 4 AS ppid, CAST(floor(c_acctbal) AS BIGINT) * 1024 AS rss_bytes, 1.5 AS cpu_percent, 3723.0 AS cpu_seconds, 93784.0 AS process_elapsed_seconds FROM customer WHERE floor(c_acctbal) >= 0""")
+@query("S13_sample_scan", """SELECT c_nationkey AS sample, c_custkey + 1 AS pid, (c_custkey + 1) // 4 AS ppid, CAST(floor(c_acctbal) AS BIGINT) * 1024 AS rss_bytes, 1.5::DOUBLE AS cpu_percent, 3723::DOUBLE AS cpu_seconds, 93784::DOUBLE AS process_elapsed_seconds FROM customer WHERE floor(c_acctbal) >= 0""")
 def s13(t):
     pid = F.col("c_custkey") + 1
     line = F.concat_ws(" ", F.lit(""), pid.cast("string"), F.call_function("div", pid, F.lit(4)).cast("string"), F.floor("c_acctbal").cast("string"), F.lit("1.5"), F.lit("1:02:03"), F.lit("1-02:03:04"))
@@ -328,13 +328,15 @@ def s11(t):
 
 # Review
 
-PAIRS_SQL = f"""pairs AS (SELECT a.conv_id, a.turn, a.role, {st.WS_SQL.format('a.text')} AS ref, {st.WS_SQL.format('b.text')} AS hyp FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1), scored AS (
+PAIRS_ONLY_SQL = f"""pairs AS (SELECT a.conv_id, a.turn, a.role, {st.WS_SQL.format('a.text')} AS ref, {st.WS_SQL.format('b.text')} AS hyp FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"""
+SCORED_SQL = """scored AS (
   SELECT conv_id, turn, role, len(ref) AS n, list_reduce(ref, lambda rr, w: list_reduce(hyp, lambda r, h: list_append(r,
      CASE WHEN h = w THEN rr[len(r)]
           WHEN rr[len(r)] // 1000000000000 <= rr[len(r) + 1] // 1000000000000 AND rr[len(r)] // 1000000000000 <= r[len(r)] // 1000000000000 THEN rr[len(r)] + 1000100000000
           WHEN rr[len(r) + 1] // 1000000000000 <= r[len(r)] // 1000000000000 THEN rr[len(r) + 1] + 1000000010000
           ELSE r[len(r)] + 1000000000001 END), [rr[1] + 1000000010000]), list_transform(range(len(hyp) + 1), lambda j: j * 1000000000001)) AS last FROM pairs), wer AS (
   SELECT conv_id, turn, role, n AS "N", last[-1] // 100000000 % 10000 AS "S", last[-1] // 10000 % 10000 AS "D", last[-1] % 10000 AS "I" FROM scored)"""
+PAIRS_SQL = f"{PAIRS_ONLY_SQL}, {SCORED_SQL}"
 
 
 def _pairs(t):
@@ -410,7 +412,7 @@ def q4_status(t):
     return review.review_status(_attested(t))
 
 
-@query("Q6_reference_eval", f"""WITH f AS (SELECT conv_id, {st.WS_SQL.format('text')} AS ref FROM conversations WHERE turn = 0), pairs AS (SELECT c.conv_id, c.turn, c.role, f.ref, {st.WS_SQL.format('c.text')} AS hyp FROM conversations c JOIN f USING (conv_id) WHERE c.turn > 0), {PAIRS_SQL.split('), ', 1)[1]}
+@query("Q6_reference_eval", f"""WITH f AS (SELECT conv_id, {st.WS_SQL.format('text')} AS ref FROM conversations WHERE turn = 0), pairs AS (SELECT c.conv_id, c.turn, c.role, f.ref, {st.WS_SQL.format('c.text')} AS hyp FROM conversations c JOIN f USING (conv_id) WHERE c.turn > 0), {SCORED_SQL}
 SELECT conv_id, turn AS candidate, "S", "D", "I", "N" FROM wer""")
 def q6(t):
     c = t.conversations
@@ -480,14 +482,14 @@ def q3(t):
     return review.package_rules(clips)
 
 
-@query("Q5_critical_rules", f"""WITH {ROWS_SQL} SELECT c.source AS clip_id, c.doc_id AS row_id, unnest(list_filter([CASE WHEN c.verified AND NOT c.available THEN 'attested' END, CASE WHEN c.verified AND c.available AND c.baseline = 'incorrect' THEN 'same_reference' WHEN c.verified AND NOT c.available AND c.baseline <> 'incorrect' THEN 'same_reference' END, CASE WHEN c.verified AND c.comparison = 'unclear' THEN 'snapshot' END], lambda v: v IS NOT NULL)) AS broken_rule FROM crit c""")
+@query("Q5_critical_rules", f"""WITH {ROWS_SQL} SELECT c.source AS clip_id, c.doc_id::VARCHAR AS row_id, unnest(list_filter([CASE WHEN c.verified AND NOT c.available THEN 'attested' END, CASE WHEN c.verified AND c.available AND c.baseline = 'incorrect' THEN 'same_reference' WHEN c.verified AND NOT c.available AND c.baseline <> 'incorrect' THEN 'same_reference' END, CASE WHEN c.verified AND c.comparison = 'unclear' THEN 'snapshot' END], lambda v: v IS NOT NULL)) AS broken_rule FROM crit c""")
 def q5(t):
     wide = _critical(t).groupBy("doc_id", "source", "category", "verified", "available").agg(
         F.max(F.when(F.col("candidate") == "baseline", F.col("judgment"))).alias("baseline"), F.max(F.when(F.col("candidate") == "comparison", F.col("judgment"))).alias("comparison")
     )
     ref = F.when(F.col("available"), "ref")
     rows = wide.select(
-        F.col("source").alias("clip_id"), F.col("doc_id").alias("row_id"), "category", F.when(F.col("verified"), "verified").otherwise("pending").alias("status"), "baseline", "comparison",
+        F.col("source").alias("clip_id"), F.col("doc_id").cast("string").alias("row_id"), "category", F.when(F.col("verified"), "verified").otherwise("pending").alias("status"), "baseline", "comparison",
         F.lit(1).alias("copies"), F.lit(True).alias("inside"), ref.alias("reference_sha256"), F.lit(True).alias("human_confirmed"),
         F.when(F.col("baseline") == "incorrect", F.when(F.col("available"), "old")).otherwise("ref").alias("verified_reference_sha256"),
         F.when(F.col("comparison") == "unclear", "old").otherwise("now").alias("snapshot_sha256"), F.lit("now").alias("current_sha256"), F.lit("term").alias("reference_text"),
@@ -532,14 +534,14 @@ def j10(t):
     return audit.reconcile(_expected(t), _stored(t), ["source_id", "idx"], STORED_VALUES)
 
 
-@query("A18_coverage", """SELECT l_orderkey AS run_id, bool_and(l_discount > 0) AS complete, round(sum((l_partkey * 16000 + 44099) // 44100 - (l_discount = 0)::INT) / 16000, 6) AS duration_seconds FROM lineitem GROUP BY l_orderkey""")
+@query("A18_coverage", """SELECT l_orderkey AS run_id, bool_and(l_discount > 0) AS complete, sum((l_partkey * 16000 + 44099) // 44100 - (l_discount = 0)::INT)::BIGINT / 16000 AS duration_seconds FROM lineitem GROUP BY l_orderkey""")
 def a18(t):
     frames = F.call_function("div", F.col("l_partkey") * 16000 + 44099, F.lit(44100))
     rows = t.lineitem.select(
         F.col("l_orderkey").alias("run_id"), F.lit(0).alias("input_start"), F.col("l_partkey").alias("input_end"), F.col("l_partkey").alias("complete_frames"),
         frames.alias("output_frames"), (frames - (F.col("l_discount") == 0).cast("int")).alias("decoded_frames"), F.lit(44100).alias("rate"),
     )
-    return audit.coverage(rows, "run_id").withColumn("duration_seconds", F.round("duration_seconds", 6))
+    return audit.coverage(rows, "run_id")
 
 
 def _candidates(t):
@@ -554,7 +556,7 @@ def a27(t):
     return audit.same_interval(_candidates(t))
 
 
-@query("Q1_run_audit", f"""WITH {STORED_SQL}, c AS (SELECT *, [conv % 7 <> 0, expected_rows = stored_rows, conv % 9 <> 0 OR NOT (conv % 9 = 0), expected_rows = stored_rows AND conv % 9 <> 0, valid, frames > 0] AS ok FROM facts)
+@query("Q1_run_audit", f"""WITH {STORED_SQL}, c AS (SELECT *, [conv % 7 <> 0, expected_rows = stored_rows, true, expected_rows = stored_rows AND conv % 9 <> 0, valid, frames > 0] AS ok FROM facts)
 SELECT source_id AS run_id, CASE WHEN list_position(ok, false) IS NULL THEN 'PASS' ELSE 'FAIL' END AS state, CASE WHEN list_position(ok, false) IS NOT NULL THEN ['artifact_hashes', 'segment_count', 'source_known', 'native_assembled_equal', 'timeline_valid', 'frames_covered'][list_position(ok, false)] END AS first_failed,
  coalesce(list_position(ok, false) - 1, 6) AS assertions_passed FROM c""")
 def q1(t):

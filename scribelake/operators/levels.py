@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scribelake.functions.text import dbfs
 
@@ -15,9 +16,10 @@ FIRST_INTERVALS = 16
 FRAME_SAMPLES = 320
 FLOOR_DBFS, BELOW_WHOLE_DB = -90.0, -30.0
 
-_PARTIAL = (
-    "sums array<double>, squares array<double>, peaks array<double>, peak_frames array<bigint>, "
-    "clips array<bigint>, zeros array<bigint>, mono_square double, mono_peak double, cross double"
+_PARTIAL = T.StructType(
+    [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("sums", "squares", "peaks")]
+    + [T.StructField(n, T.ArrayType(T.LongType())) for n in ("peak_frames", "clips", "zeros")]
+    + [T.StructField(n, T.DoubleType()) for n in ("mono_square", "mono_peak", "cross")]
 )
 
 
@@ -34,7 +36,7 @@ def _partials(channels: pd.Series, start: pd.Series) -> pd.DataFrame:
              (x == 0).sum(axis=1), float(mono @ mono), float(np.abs(mono).max()),
              float(x[0] @ x[1]) if len(x) == 2 else None)
         )
-    return pd.DataFrame(rows, columns=[f.split(" ")[0] for f in _PARTIAL.split(", ")])
+    return pd.DataFrame(rows, columns=_PARTIAL.names)
 
 
 def block_partials(blocks: DataFrame) -> DataFrame:
@@ -71,7 +73,8 @@ def correlation(s0: Column, s1: Column, q0: Column, q1: Column, cross: Column, n
     var = lambda s, q: F.greatest(F.lit(0.0), q - s * s / n)
     scale = F.sqrt(var(s0, q0) * var(s1, q1))
     r = (cross - s0 * s1 / n) / F.when(scale > 0, scale)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    # greatest and least skip nulls, so a null must be kept apart.
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def _energy(squares: Column) -> Column:
@@ -127,8 +130,6 @@ def cancellation_report(cancelled: DataFrame) -> DataFrame:
         F.sum("n").alias("interval_count"), F.min_by("head", "part").alias("h0"), F.min("part").alias("p0")
     )
     short = merged.where(F.size("h0") < FIRST_INTERVALS).select("source_id")
-    from pyspark.sql import Window
-
     w = Window.partitionBy("source_id").orderBy("part")
     several = part.join(short, "source_id", "left_semi").withColumn("r", F.row_number().over(w)).where(
         F.col("r") <= FIRST_INTERVALS

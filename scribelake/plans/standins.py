@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FOLD = "replace(lower({0}), 'ß', 'ss')"
 WORDS_SQL = r"regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+(?:[''’][\p{{L}}\p{{N}}_]+)*')"
@@ -326,7 +327,7 @@ BLOCKS_SQL = """samples AS (
     SELECT 'rec-' || label AS source_id, vec_id AS block, unnest(embedding)::DOUBLE * 4 AS v, generate_subscripts(embedding, 1) AS i FROM embeddings))"""
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def wav_bytes(embedding):
     """A two-channel 32-bit float file holding the vector's values."""
     import struct

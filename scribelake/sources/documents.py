@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scribelake import schemas
 from scribelake.functions.text import json_defect, valid_id
 
 
-def read_documents(spark: SparkSession, path: str, schema: T.StructType, *, depth: int = 1) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, schema: str, *, depth: int = 1) -> DataFrame:
     """Documents with the file they came from and the folder that names them."""
-    df = (
-        spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", True).json(path)
-    )
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
     file = F.col("_metadata.file_path")
-    return df.select("*", file.alias("file_path"), F.element_at(F.split(file, "/"), -1 - depth).alias("folder"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = files.select(file.alias("file_path"), F.from_json("value", schema, options).alias("d"))
+    return parsed.select("d.*", "file_path", F.element_at(F.split("file_path", "/"), -1 - depth).alias("folder"))
 
 
 def healthy(documents: DataFrame) -> DataFrame:

@@ -103,22 +103,21 @@ def reusable_run(requests: DataFrame, runs: DataFrame, same: list[str], compatib
         asked = requests.withColumn("saved", F.col("transform_identity"))
     digest = lambda extra: F.sha2(F.to_json(F.struct(*[F.col(c).alias(c) for c in same], extra.alias("transform")), {"ignoreNullFields": "false"}), 256)
     asked = asked.withColumn("__identity", digest(F.col("saved")))
+    # One best run per identity, and one per identity and fingerprint: a popular
+    # identity is reduced before the join, and no pair of request and run is formed.
     kept = good.select(
-        digest(F.col("transform_identity")).alias("__identity"), F.col("run_id").alias("reused_run"),
-        F.col("fingerprint").alias("__fp"), F.col("state").alias("reused_state"),
-        F.col("completed_at").alias("__at"),
-    )
-    hit = asked.join(kept, "__identity")
-    rank = F.struct(
-        (F.col("__fp") == F.col("fingerprint")).cast("int").alias("exact"), F.coalesce("__at", F.lit("")).alias("at"),
-        F.col("reused_run").alias("run"),
-    )
-    best = hit.groupBy("request_id").agg(
-        F.max_by(F.struct("reused_run", "reused_state"), rank).alias("b"), F.max(rank)["exact"].alias("exact")
-    )
+        digest(F.col("transform_identity")).alias("__identity"), F.col("run_id"), "fingerprint",
+        F.col("state").alias("reused_state"), F.coalesce("completed_at", F.lit("")).alias("at"),
+    )
+    newest = F.max(F.struct("at", F.col("run_id").alias("reused_run"), "reused_state"))
+    exact = kept.groupBy("__identity", "fingerprint").agg(newest.alias("__exact"))
+    any_ = kept.groupBy("__identity").agg(newest.alias("__any"))
+    hit = asked.join(any_, "__identity").join(exact, ["__identity", "fingerprint"], "left")
+    best = hit.groupBy("request_id").agg(F.max("__exact").alias("e"), F.max("__any").alias("a"))
+    pick = lambda c: F.coalesce(F.col(f"e.{c}"), F.col(f"a.{c}")).alias(c)
     return requests.join(best, "request_id", "left").select(
-        "request_id", F.col("b.reused_run").alias("reused_run"), F.col("b.reused_state").alias("reused_state"),
-        (F.col("exact") == 1).alias("exact_fingerprint"),
+        "request_id", pick("reused_run"), pick("reused_state"),
+        F.when(F.col("a").isNotNull(), F.col("e").isNotNull()).alias("exact_fingerprint"),
     )
 
 
@@ -128,10 +127,9 @@ def negative_reuse(requests: DataFrame, failed: DataFrame, violations: DataFrame
     They serve only to reject again, never as a result.
     """
     broken = failed.where(F.col("state") == "failed").join(violations.select("run_id").distinct(), "run_id", "left_semi")
-    on = [requests[c].eqNullSafe(broken[c]) for c in same]
-    return requests.join(broken.select(*same, "run_id"), on).groupBy("request_id").agg(
-        F.max("run_id").alias("rejected_by_run")
-    )
+    worst = broken.groupBy(*same).agg(F.max("run_id").alias("rejected_by_run"))
+    on = [requests[c].eqNullSafe(worst[c]) for c in same]
+    return requests.join(worst, on).select("request_id", "rejected_by_run")
 
 
 def latest_success(runs: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -169,28 +167,24 @@ def tree_digest(files: DataFrame, key: str, path: str, sha: str) -> DataFrame:
 
 
 def import_overlap(selections: DataFrame, sessions: DataFrame) -> DataFrame:
-    """reuse when the ordered hashes equal a session's, conflict when they intersect one.
+    """reuse when the ordered hashes equal a session's, conflict when they share one, else new.
 
-    Both inputs: id, pos, sha256 rows. Order equality is compared by rows, not arrays.
+    Both inputs: id, pos, sha256 rows. Order equality is equality of a digest over
+    (pos, sha256); sharing is a semi-join on distinct hashes. No selection is
+    paired with the sessions it touches.
     """
-    a = selections.select(F.col("selection_id"), F.col("pos").alias("apos"), "sha256")
-    b = sessions.select(F.col("session_id"), F.col("pos").alias("bpos"), "sha256")
-    size_a = a.groupBy("selection_id").agg(F.count(F.lit(1)).alias("na"))
-    size_b = b.groupBy("session_id").agg(F.count(F.lit(1)).alias("nb"))
-    shared = a.join(b, "sha256").groupBy("selection_id", "session_id").agg(
-        F.count_if(F.col("apos") == F.col("bpos")).alias("in_place")
-    )
-    matched = shared.join(size_a, "selection_id").join(size_b, "session_id").withColumn(
-        "equal", (F.col("in_place") == F.col("na")) & (F.col("na") == F.col("nb"))
-    )
-    found = matched.groupBy("selection_id").agg(
-        F.min(F.when(F.col("equal"), F.col("session_id"))).alias("reused_session"),
-        F.count(F.lit(1)).alias("overlapping"),
-    )
-    return size_a.join(found, "selection_id", "left").select(
-        "selection_id", "reused_session",
-        F.when(F.col("reused_session").isNotNull(), "reuse")
-        .when(F.coalesce("overlapping", F.lit(0)) > 0, "conflict").otherwise("new").alias("decision"),
+    place = F.col("pos").cast("string").alias("place")
+    mine = tree_digest(selections.select("selection_id", place, "sha256"), "selection_id", "place", "sha256")
+    theirs = tree_digest(sessions.select("session_id", place, "sha256"), "session_id", "place", "sha256")
+    equal = theirs.groupBy("digest").agg(F.min("session_id").alias("reused_session"))
+    shared = selections.join(sessions.select("sha256").distinct(), "sha256", "left_semi").select("selection_id").distinct()
+    return (
+        mine.join(equal, "digest", "left")
+        .join(shared.withColumn("__shared", F.lit(True)), "selection_id", "left")
+        .select(
+            "selection_id", "reused_session",
+            F.when(F.col("reused_session").isNotNull(), "reuse").when(F.col("__shared"), "conflict").otherwise("new").alias("decision"),
+        )
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scribelake.functions.text import tokens_word, tokens_ws
-from scribelake.operators.ordered import BLOCK_ROWS, islands, ordered
+from scribelake.operators.ordered import BLOCK_ROWS, islands, ordered, split_runs
 from scribelake.session import checkpointed
 
 # Thresholds of the gates.
@@ -163,15 +163,14 @@ def loop_candidates(
     # Few rows out of an expensive pass, read several times below: stored once.
     runs = checkpointed(chunks.mapInArrow(_run_finder(chunk_words), _RUNS))
     is_open = F.col("open_left") | F.col("open_right")
-    edge = ordered(
+    touches = F.col("open_left") & F.col("prev_open") & (F.col("prev_end") == F.col("start"))
+    edge = split_runs(
         runs.where(is_open), ["source_id", "period"], ["start"],
-        lag={"prev_end": "end", "prev_open": "open_right"}, width=width * chunk_words,
-    )
-    begins = ~F.coalesce(
-        F.col("open_left") & F.col("prev_open") & (F.col("prev_end") == F.col("start")), F.lit(False)
+        lag={"prev_end": "end", "prev_open": "open_right"}, uses=["open_left"],
+        starts=~F.coalesce(touches, F.lit(False)), name="run", width=width * chunk_words,
     )
     joined = (
-        islands(edge, ["source_id", "period"], ["start"], begins, "run", width=width * chunk_words)
+        edge
         .groupBy("source_id", "period", "run")
         .agg(
             F.min("start").alias("start"), F.max("end").alias("end"),
@@ -190,7 +189,8 @@ def loop_candidates(
 
 def merged_ranges(candidates: DataFrame, *, width: int = 1 << 20) -> DataFrame:
     """Overlapping candidates of a source as one; period null when a later one reaches further."""
-    rows = candidates.withColumn("rev_end", -F.col("end"))
+    # Candidates are few; the two passes below read them from storage, not from the text again.
+    rows = checkpointed(candidates).withColumn("rev_end", -F.col("end"))
     order = ["start", "rev_end", "period"]
     rows = ordered(rows, ["source_id"], order, before={"reach": ("max", "end")}, width=width)
     fresh = F.col("reach").isNull() | (F.col("start") >= F.col("reach"))

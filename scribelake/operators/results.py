@@ -31,16 +31,33 @@ def newest_first(rows: DataFrame, key: str, at: str, ident: str) -> DataFrame:
     return rows.groupBy(key).agg(best.alias("b")).select("b.*")
 
 
+def verified_by_hash(results: DataFrame) -> DataFrame:
+    """Per content hash: verified results and the newest of them."""
+    usable = results.where((F.col("source_integrity") == "verified") & (F.col("run_integrity") == "verified"))
+    newest = F.struct(F.coalesce("generated_at", F.lit("")), "result_id")
+    return usable.groupBy(F.col("source_sha256").alias("sha256")).agg(
+        F.count(F.lit(1)).alias("existing"), F.max_by("result_id", newest).alias("newest_result"),
+        F.max_by("generated_at", newest).alias("newest_at"),
+    )
+
+
 def lookup_by_hash(paths: DataFrame, results: DataFrame) -> DataFrame:
-    """Verified results with the bytes of each asked path; unmatched paths stay with nulls.
+    """Each asked path with the number of verified results of its bytes and the newest.
 
-    Ordered for reading by path index, newest result first.
+    Copies are counted per hash before the join, so many paths of one much-copied
+    recording do not multiply with its results.
     """
+    return paths.join(verified_by_hash(results), "sha256", "left").withColumn(
+        "existing", F.coalesce("existing", F.lit(0))
+    )
+
+
+def results_with_hash(results: DataFrame, sha256: str) -> DataFrame:
+    """All verified results of one recording, newest first."""
     usable = results.where((F.col("source_integrity") == "verified") & (F.col("run_integrity") == "verified"))
-    hit = paths.join(
-        usable.select(F.col("source_sha256").alias("sha256"), "result_id", "generated_at"), "sha256", "left"
+    return usable.where(F.col("source_sha256") == sha256).orderBy(
+        F.coalesce("generated_at", F.lit("")).desc(), F.col("result_id").desc()
     )
-    return hit.orderBy("index", F.coalesce("generated_at", F.lit("")).desc(), F.col("result_id").desc())
 
 
 def not_adopted(historical: DataFrame, current: DataFrame) -> DataFrame:

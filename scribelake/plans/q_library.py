@@ -274,7 +274,7 @@ def t4(t):
 
 @query("T5_first_n", f"""WITH {st.ENTRIES_SQL} SELECT batch_id, position FROM entries QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY position) <= 2""")
 def t5(t):
-    rows = numbered(st.entries(t), ["batch_id"], ["position"], "nth", width=100000000 * 1000000 * 8)
+    rows = numbered(st.entries(t), ["batch_id"], ["position"], "nth", width=10**11)
     return rows.where("nth <= 2").select("batch_id", "position")
 
 
@@ -297,7 +297,7 @@ def t8(t):
 
 @query("W10_numbering", f"""WITH {st.ENTRIES_SQL} SELECT batch_id, position, row_number() OVER (PARTITION BY batch_id ORDER BY position) AS number FROM entries""")
 def w10(t):
-    return numbered(st.entries(t).select("batch_id", "position"), ["batch_id"], ["position"], "number", width=100000000 * 1000000 * 8)
+    return numbered(st.entries(t).select("batch_id", "position"), ["batch_id"], ["position"], "number", width=10**11)
 
 
 @query("W11_duplicate_of", """SELECT doc_id, CASE WHEN min(doc_id) OVER (PARTITION BY sha256(text)) < doc_id THEN min(doc_id) OVER (PARTITION BY sha256(text)) END AS duplicate_of FROM documents""")

@@ -52,8 +52,8 @@ def j2(t):
     return d.join(t.conversations.select(F.col("conv_id").alias("doc_id"), "turn", "text"), "doc_id", "left")
 
 
-@query("J3_lookup_by_hash", f"""WITH {st.RESULTS_SQL}, p AS (SELECT item_id AS index, sha256(text) AS sha256 FROM benchmark UNION ALL SELECT doc_id + 1000000, sha256(text) FROM documents)
-SELECT index, sha256, result_id, generated_at FROM p LEFT JOIN (SELECT * FROM results WHERE lang <> 'fr') r ON r.source_sha256 = p.sha256""")
+@query("J3_lookup_by_hash", f"""WITH {st.RESULTS_SQL}, p AS (SELECT item_id AS index, sha256(text) AS sha256 FROM benchmark UNION ALL SELECT doc_id + 1000000, sha256(text) FROM documents), k AS (SELECT source_sha256 AS sha256, count(*) AS existing, arg_max(result_id, (coalesce(generated_at, ''), result_id)) AS newest_result, arg_max_null(generated_at, (coalesce(generated_at, ''), result_id)) AS newest_at FROM results WHERE lang <> 'fr' GROUP BY ALL)
+SELECT index, sha256, coalesce(existing, 0) AS existing, newest_result, newest_at FROM p LEFT JOIN k USING (sha256)""")
 def j3(t):
     r = st.results(t).select(
         "result_id", "source_sha256", "generated_at", F.lit("verified").alias("run_integrity"),
@@ -168,21 +168,13 @@ def p21(t):
     return t.orders.select("o_orderkey", idn.has_required(state, hashes).alias("complete"))
 
 
-@query("J20_overlap_check", """WITH a AS (SELECT l_orderkey AS sel, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, l_partkey AS h FROM lineitem), b AS (
- SELECT conv_id AS ses, turn + 1 AS pos, length(text) AS h FROM conversations), na AS (SELECT sel, count(*) AS n FROM a GROUP BY sel), nb AS (SELECT ses, count(*) AS n FROM b GROUP BY ses), s AS (
- SELECT sel, ses, count(*) FILTER (a.pos = b.pos) AS same FROM a JOIN b USING (h) GROUP BY sel, ses), f AS (
- SELECT sel, min(ses) FILTER (same = na.n AND na.n = nb.n) AS reused, count(*) AS k FROM s JOIN na USING (sel) JOIN nb USING (ses) GROUP BY sel)
-SELECT sel AS selection_id, reused AS reused_session, CASE WHEN reused IS NOT NULL THEN 'reuse' WHEN k > 0 THEN 'conflict' ELSE 'new' END AS decision FROM na LEFT JOIN f USING (sel)""")
+@query("J20_overlap_check", """WITH b AS (SELECT conv_id AS ses, string_agg(turn || ':' || left(md5(text), 1), ',' ORDER BY turn) AS l FROM conversations GROUP BY conv_id), a AS (SELECT l_orderkey AS sel, string_agg(DISTINCT l_linenumber - 1 || ':' || substr('0123456789abcdef', CAST(l_linenumber * 5 % 16 AS INTEGER) + 1, 1), ',' ORDER BY l_linenumber - 1 || ':' || substr('0123456789abcdef', CAST(l_linenumber * 5 % 16 AS INTEGER) + 1, 1)) AS l, max(l_linenumber) AS top FROM lineitem GROUP BY l_orderkey), e AS (SELECT l, min(ses) AS ses FROM b GROUP BY l)
+SELECT sel AS selection_id, ses AS reused_session, CASE WHEN ses IS NOT NULL THEN 'reuse' WHEN EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey = sel AND substr('0123456789abcdef', CAST(x.l_linenumber * 5 % 16 AS INTEGER) + 1, 1) IN (SELECT left(md5(text), 1) FROM conversations)) THEN 'conflict' ELSE 'new' END AS decision FROM a LEFT JOIN e USING (l)""")
 def j20(t):
-    from scribelake.operators.ordered import numbered
-
-    line = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    a = numbered(line, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "pos").select(
-        F.col("l_orderkey").alias("selection_id"), "pos", F.col("l_partkey").alias("sha256")
-    )
-    b = t.conversations.select(
-        F.col("conv_id").alias("session_id"), (F.col("turn") + 1).alias("pos"), F.length("text").cast("bigint").alias("sha256")
-    )
+    nth = F.col("l_linenumber")
+    letter = F.substring(F.lit("0123456789abcdef"), (nth * 5 % 16 + 1).cast("int"), F.lit(1))
+    a = t.lineitem.select(F.col("l_orderkey").alias("selection_id"), (nth - 1).alias("pos"), letter.alias("sha256")).distinct()
+    b = t.conversations.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("pos"), F.substring(F.md5("text"), 1, 1).alias("sha256"))
     return idn.import_overlap(a, b)
 
 

@@ -20,9 +20,16 @@ REQUIRED = {
 BUSY = ("running", "processing", "importing", "active", "in_progress")
 
 
-def ordered_sources(sessions: DataFrame, sources: DataFrame) -> DataFrame:
-    """Sources of a session with their position in its declared order."""
-    order = sessions.select("session_id", F.posexplode("source_order").alias("pos", "source_id"))
+def listed_sources(sessions: DataFrame) -> DataFrame:
+    """(session_id, pos, source_id) rows of session documents with a ``source_order`` list."""
+    return sessions.select("session_id", F.posexplode("source_order").alias("pos", "source_id"))
+
+
+def ordered_sources(order: DataFrame, sources: DataFrame) -> DataFrame:
+    """Sources of a session with their position in its declared order.
+
+    ``order``: session_id, pos, source_id rows (``listed_sources`` of documents).
+    """
     return order.join(sources, ["session_id", "source_id"])
 
 
@@ -57,20 +64,24 @@ def source_rules(sources: DataFrame) -> DataFrame:
     return sources.select("session_id", "source_id", F.explode(broken).alias("broken_rule"))
 
 
-def artifact_checks(manifest: DataFrame, observed: DataFrame) -> DataFrame:
+def hashed_artifacts(manifests: DataFrame) -> DataFrame:
+    """(run_id, path, expected) rows of manifests with a ``hashes`` map."""
+    return manifests.select("run_id", F.explode("hashes").alias("path", "expected"))
+
+
+def artifact_checks(runs: DataFrame, named: DataFrame, observed: DataFrame) -> DataFrame:
     """Whether every hashed artifact of a run is present, inside its folder and unchanged.
 
-    ``manifest``: run_id, hashes MAP; ``observed``: run_id, path, sha256. An empty
-    set is not verified.
+    ``runs``: run_id; ``named``: run_id, path, expected; ``observed``: run_id,
+    path, sha256. A run without hashes is not verified.
     """
-    named = manifest.select("run_id", F.explode("hashes").alias("path", "expected"))
     seen = observed.select("run_id", "path", F.col("sha256").alias("__seen"))
     inside = ~F.col("path").startswith("/") & ~F.col("path").rlike(r"(^|/)\.\.(/|$)")
     rows = named.join(seen, ["run_id", "path"], "left").withColumn(
         "ok", inside & F.coalesce(F.col("__seen") == F.col("expected"), F.lit(False))
     )
     checked = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("artifacts"), F.bool_and("ok").alias("all_ok"))
-    return manifest.select("run_id").join(checked, "run_id", "left").select(
+    return runs.select("run_id").join(checked, "run_id", "left").select(
         "run_id", F.coalesce("artifacts", F.lit(0)).alias("artifacts"),
         F.coalesce("all_ok", F.lit(False)).alias("verified"),
     )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scribelake.functions.text import tokens_word, tokens_ws
-from scribelake.operators.ordered import BLOCK_ROWS, islands, ordered, split_runs
+from scribelake.operators.ordered import islands, ordered, split_runs
 from scribelake.session import checkpointed
 
 # Thresholds of the gates.
@@ -27,13 +27,15 @@ MIN_WINDOW_WORDS = 40
 MAX_RATIO = 2.4
 
 CHUNK_WORDS = 1 << 14
+# Segments carry text, so fewer of them fill a block.
+TEXT_BLOCK_ROWS = 1 << 13
 
 
 def segment_words(segments: DataFrame) -> DataFrame:
     return segments.withColumn("words", tokens_word("text")).withColumn("word_count", F.size("words"))
 
 
-def word_locations(segments: DataFrame, *, width: int = BLOCK_ROWS) -> DataFrame:
+def word_locations(segments: DataFrame, *, width: int = TEXT_BLOCK_ROWS) -> DataFrame:
     """Segments with the position of their first word inside the source."""
     return ordered(
         segment_words(segments), ["source_id"], ["idx"],
@@ -148,7 +150,7 @@ def _run_finder(size: int):
 
 
 def loop_candidates(
-    segments: DataFrame, *, width: int = BLOCK_ROWS, chunk_words: int = CHUNK_WORDS
+    segments: DataFrame, *, width: int = TEXT_BLOCK_ROWS, chunk_words: int = CHUNK_WORDS
 ) -> DataFrame:
     """Periodic word runs before merging: source_id, start, end, period, and the
     segments that hold the first and last word.
@@ -330,7 +332,7 @@ def word_counts(segments: DataFrame, audits: DataFrame | None = None) -> DataFra
 
 def findings(
     segments: DataFrame, *, audits: DataFrame | None = None, violations: DataFrame | None = None,
-    compression: bool = True, width: int = BLOCK_ROWS, chunk_words: int = CHUNK_WORDS,
+    compression: bool = True, width: int = TEXT_BLOCK_ROWS, chunk_words: int = CHUNK_WORDS,
 ) -> DataFrame:
     """All findings as one long table with sparse columns."""
     ranges = merged_ranges(loop_candidates(segments, width=width, chunk_words=chunk_words))
@@ -395,7 +397,7 @@ def segment_flags(tokens: Column, start: Column, end: Column, text: Column) -> d
     }
 
 
-def review_flags(segments: DataFrame, *, width: int = BLOCK_ROWS) -> DataFrame:
+def review_flags(segments: DataFrame, *, width: int = TEXT_BLOCK_ROWS) -> DataFrame:
     """Segments worth a listen, with their reasons; equal neighbours only within a source."""
     rows = segments.withColumn("t", tokens_ws("text"))
     own = segment_flags(F.col("t"), F.col("start_seconds"), F.col("end_seconds"), F.col("text"))

@@ -52,10 +52,10 @@ def attested(references: DataFrame, tokens: Column) -> DataFrame:
 def scored(pairs: DataFrame, ref: str, hyp: str, usable: Column) -> DataFrame:
     """S, D, I, N and WER of each pair; nulls unless the reference counts.
 
-    Pairs are spread by a hash of their own texts, so one hot clip or candidate
-    does not fill a task.
+    Alignment is quadratic, so pairs are dealt out evenly first: neither a hot
+    clip nor a much-copied pair fills a task.
     """
-    spread = pairs.repartition(F.xxhash64(ref, hyp))
+    spread = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counts = wer_counts(F.when(usable, F.col(ref)), F.when(usable, F.col(hyp)))
     return spread.withColumn("w", counts).withColumns({c: F.col("w")[c] for c in ("S", "D", "I", "N")}).withColumn(
         "WER", F.when(F.col("N") > 0, (F.col("S") + F.col("D") + F.col("I")) / F.col("N"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scribelake.plans.catalog import spread
+
 FOLD = "replace(lower({0}), 'ß', 'ss')"
 WORDS_SQL = r"regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+(?:[''’][\p{{L}}\p{{N}}_]+)*')"
 WS_SQL = r"list_filter(string_split_regex(replace(lower({0}), 'ß', 'ss'), '[\s\p{{Z}}]+'), lambda x: x <> '')"
@@ -118,7 +120,8 @@ def entries(t) -> DataFrame:
         .when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"), "cancelled")
         .otherwise("completed")
     )
-    return t.lineitem.select(
+    # Names and clocks are built and parsed per row: worth all cores.
+    return spread(t.lineitem).select(
         F.concat(F.lit("b-"), F.col("l_orderkey").cast("string")).alias("batch_id"),
         ((F.col("l_linenumber") * 100000000 + F.col("l_partkey")) * 1000000 + F.col("l_suppkey")).alias("position"),
         F.when(F.col("l_discount") == 0, F.concat(F.lit("notes_"), F.col("l_partkey").cast("string"), F.lit(".wav")))

@@ -30,7 +30,7 @@ def test_same_bytes_twice(spark):
 def test_empty_hash_set_is_not_verified(spark):
     manifest = spark.createDataFrame([("a", {"x": "1"}), ("b", {}), ("c", {"../x": "1"}), ("d", {"x": "2", "y": "1"})], "run_id string, hashes map<string,string>")
     seen = spark.createDataFrame([("a", "x", "1"), ("c", "../x", "1"), ("d", "x", "2")], "run_id string, path string, sha256 string")
-    assert {r["run_id"]: r["verified"] for r in idn.artifact_checks(manifest, seen).collect()} == {"a": True, "b": False, "c": False, "d": False}
+    assert {r["run_id"]: r["verified"] for r in idn.artifact_checks(manifest, idn.hashed_artifacts(manifest), seen).collect()} == {"a": True, "b": False, "c": False, "d": False}
 
 
 def test_import_overlap(spark):

@@ -35,8 +35,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def query(name: str, oracle: str | None = None):
-    """Register ``fn(tables) -> DataFrame`` under ``name``."""
+def query(name: str, oracle: str | None = None, *, bigint: str = "", double: str = ""):
+    """Register ``fn(tables) -> DataFrame`` under ``name``.
+
+    ``bigint`` and ``double`` name SQL columns to bring to the Spark column's type.
+    """
+    casts = [f'CAST("{c}" AS BIGINT) AS "{c}"' for c in bigint.split()]
+    casts += [f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in double.split()]
+    if casts:
+        oracle = f"SELECT * REPLACE ({', '.join(casts)}) FROM ({oracle}) AS q"
 
     def register(fn):
         if name in _PLANS:

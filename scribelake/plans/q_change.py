@@ -66,7 +66,7 @@ def j19(t):
     return purge.solely_produced(t.orders.select(F.col("o_orderkey").alias("run_id")), producers, chosen, gone)
 
 
-@query("A21_purge_bytes", """WITH i AS (SELECT l_suppkey % 3 AS device, l_partkey AS inode, count(*) AS paths FROM lineitem GROUP BY ALL) SELECT device AS root, sum(paths) AS item_count, sum(inode * 10) AS logical_bytes, sum(inode * 16) AS allocated_bytes FROM i GROUP BY device""")
+@query("A21_purge_bytes", """WITH i AS (SELECT l_suppkey % 3 AS device, l_partkey AS inode, count(*) AS paths FROM lineitem GROUP BY ALL) SELECT device AS root, sum(paths) AS item_count, sum(inode * 10) AS logical_bytes, sum(inode * 16) AS allocated_bytes FROM i GROUP BY device""", bigint="item_count logical_bytes allocated_bytes")
 def a21(t):
     targets = t.lineitem.select(
         (F.col("l_suppkey") % 3).alias("root"), (F.col("l_suppkey") % 3).alias("device"), F.col("l_partkey").alias("inode"), (F.col("l_partkey") * 10).alias("size"), (F.col("l_partkey") * 16).alias("allocated")
@@ -95,7 +95,7 @@ def m1(t):
     return _plan(t).select("session_id", "path", "decision")
 
 
-@query("M1_plan_totals", f"""WITH {PLAN_SQL}, i AS (SELECT decision, l_partkey AS inode, count(*) AS paths FROM lineitem JOIN plan ON session_id = l_orderkey GROUP BY ALL) SELECT decision, sum(paths) AS item_count, sum(inode * 10) AS logical_bytes, sum(inode * 16) AS allocated_bytes FROM i GROUP BY decision""")
+@query("M1_plan_totals", f"""WITH {PLAN_SQL}, i AS (SELECT decision, l_partkey AS inode, count(*) AS paths FROM lineitem JOIN plan ON session_id = l_orderkey GROUP BY ALL) SELECT decision, sum(paths) AS item_count, sum(inode * 10) AS logical_bytes, sum(inode * 16) AS allocated_bytes FROM i GROUP BY decision""", bigint="item_count logical_bytes allocated_bytes")
 def m1_totals(t):
     return purge.totals(_plan(t), "decision")
 

@@ -155,13 +155,13 @@ def _gap_rows(t):
     )
 
 
-@query("W8_gap_groups", f"""WITH {GROUPED_SQL} SELECT user_id::VARCHAR AS batch_id, event_id AS pos, group_no, gap AS gap_seconds, issue FROM h""")
+@query("W8_gap_groups", f"""WITH {GROUPED_SQL} SELECT user_id::VARCHAR AS batch_id, event_id AS pos, group_no, gap AS gap_seconds, issue FROM h""", bigint="group_no")
 def w8(t):
     return lib.gap_groups(_gap_rows(t)).select("batch_id", "pos", "group_no", "gap_seconds", "issue")
 
 
 @query("A30_group_span", f"""WITH {GROUPED_SQL} SELECT user_id::VARCHAR AS batch_id, group_no, count(*) AS members, min(event_id) AS first_pos, arg_min(day, event_id) AS date,
- arg_min(strftime(ts, '%H:%M:%S'), event_id) AS start_time, arg_min(strftime(ts, '%H:%M'), event_id) || ' recordings' AS title, 'suggested' AS status, count(issue) AS issue_count FROM h GROUP BY user_id, group_no""")
+ arg_min(strftime(ts, '%H:%M:%S'), event_id) AS start_time, arg_min(strftime(ts, '%H:%M'), event_id) || ' recordings' AS title, 'suggested' AS status, count(issue) AS issue_count FROM h GROUP BY user_id, group_no""", bigint="group_no")
 def a30(t):
     return lib.group_spans(lib.gap_groups(_gap_rows(t)))
 

@@ -76,7 +76,7 @@ def w14(t):
     return tel.swap_deltas(t.customer.select(F.col("c_nationkey").alias("host"), F.col("c_custkey").alias("sample"), F.floor("c_acctbal").cast("bigint").alias("swapouts")))
 
 
-@query("A19_run_rtf", """SELECT l_orderkey AS run_id, sum(l_quantity) AS inference_seconds, sum(l_quantity * 10) AS audio_seconds, sum(l_linenumber) AS segment_count, round(sum(l_quantity) / sum(l_quantity * 10), 6) AS real_time_factor FROM lineitem GROUP BY l_orderkey""")
+@query("A19_run_rtf", """SELECT l_orderkey AS run_id, sum(l_quantity) AS inference_seconds, sum(l_quantity * 10) AS audio_seconds, sum(l_linenumber) AS segment_count, round(sum(l_quantity) / sum(l_quantity * 10), 6) AS real_time_factor FROM lineitem GROUP BY l_orderkey""", bigint="segment_count")
 def a19(t):
     rows = t.lineitem.select(
         F.col("l_orderkey").alias("run_id"), F.col("l_quantity").alias("elapsed_seconds"), (F.col("l_quantity") * 10).alias("duration_seconds"), F.col("l_linenumber").alias("segment_count")
@@ -165,7 +165,7 @@ def p24(t):
 
 
 @query("W9_running_percent", f"""WITH {st.PROGRESS_SQL}, c AS (SELECT *, lag(stage) OVER (PARTITION BY job_id ORDER BY arrival) AS p FROM progress), i AS (SELECT *, sum(CASE WHEN stage = p THEN 0 ELSE 1 END) OVER (PARTITION BY job_id ORDER BY arrival) AS stage_no FROM c)
-SELECT job_id, arrival AS seq, stage, stage_no, max(CASE WHEN percent BETWEEN 0 AND 100 THEN percent END) OVER (PARTITION BY job_id, stage_no ORDER BY arrival) AS shown_percent FROM i""")
+SELECT job_id, arrival AS seq, stage, stage_no, max(CASE WHEN percent BETWEEN 0 AND 100 THEN percent END) OVER (PARTITION BY job_id, stage_no ORDER BY arrival) AS shown_percent FROM i""", bigint="stage_no")
 def w9(t):
     rows = st.progress(t).drop("seq").withColumnRenamed("arrival", "seq")
     return tel.stage_percent(rows).select("job_id", "seq", "stage", "stage_no", "shown_percent")
@@ -273,12 +273,12 @@ def a17(t):
     return levels.active_frames(frames)
 
 
-@query("S3_wav_inventory", """SELECT '/rec/' || vec_id || '.wav' AS path, CASE WHEN label = 3 THEN 'riff_size_mismatch' END AS reason, CASE WHEN label <> 3 THEN 'IEEE_FLOAT32' END AS encoding, CASE WHEN label <> 3 THEN 2 END AS channels, CASE WHEN label <> 3 THEN 32 END AS frames, CASE WHEN label <> 3 THEN 0.002 END AS duration_seconds FROM embeddings""")
+@query("S3_wav_inventory", """SELECT '/rec/' || vec_id || '.wav' AS path, CASE WHEN label = 3 THEN 'riff_size_mismatch' END AS reason, CASE WHEN label <> 3 THEN 'IEEE_FLOAT32' END AS encoding, CASE WHEN label <> 3 THEN 2 END AS channels, CASE WHEN label <> 3 THEN 32 END AS frames, CASE WHEN label <> 3 THEN 0.002 END AS duration_seconds FROM embeddings""", double="duration_seconds")
 def s3(t):
     return recordings.inventory(st.recordings(t)).select("path", "reason", "encoding", "channels", "frames", "duration_seconds")
 
 
-@query("S3_inventory_summary", """SELECT CASE WHEN label <> 3 THEN 'IEEE_FLOAT32' END AS encoding, CASE WHEN label = 3 THEN 'riff_size_mismatch' END AS reason, count(*) AS files, sum(CASE WHEN label <> 3 THEN 32 END) AS frames, round(sum(CASE WHEN label <> 3 THEN 0.002 END), 6) AS seconds FROM embeddings GROUP BY ALL""")
+@query("S3_inventory_summary", """SELECT CASE WHEN label <> 3 THEN 'IEEE_FLOAT32' END AS encoding, CASE WHEN label = 3 THEN 'riff_size_mismatch' END AS reason, count(*) AS files, sum(CASE WHEN label <> 3 THEN 32 END) AS frames, round(sum(CASE WHEN label <> 3 THEN 0.002 END), 6) AS seconds FROM embeddings GROUP BY ALL""", bigint="frames", double="seconds")
 def s3_summary(t):
     return recordings.inventory_summary(recordings.inventory(st.recordings(t))).withColumn("seconds", F.round("seconds", 6))
 
@@ -355,7 +355,7 @@ def f16(t):
     return _wer(t).withColumn("WER", F.round("WER", 6))
 
 
-@query("A4_wer_aggregate", f"""WITH {PAIRS_SQL} SELECT role, sum("S") AS "S", sum("D") AS "D", sum("I") AS "I", sum("N") AS "N", count(*) AS verified_clips, count(*) AS total_clips, round(sum("S" + "D" + "I") / sum("N"), 6) AS "WER" FROM wer GROUP BY role""")
+@query("A4_wer_aggregate", f"""WITH {PAIRS_SQL} SELECT role, sum("S") AS "S", sum("D") AS "D", sum("I") AS "I", sum("N") AS "N", count(*) AS verified_clips, count(*) AS total_clips, round(sum("S" + "D" + "I") / sum("N"), 6) AS "WER" FROM wer GROUP BY role""", bigint="S D I N")
 def a4(t):
     return review.aggregate_wer(_wer(t), "role").withColumn("WER", F.round("WER", 6))
 
@@ -398,7 +398,7 @@ def p16(t):
 
 
 @query("Q4_score_review", f"""WITH {REF_SQL}, {PAIRS_SQL} SELECT role, sum("S") FILTER (u) AS "S", sum("D") FILTER (u) AS "D", sum("I") FILTER (u) AS "I", sum("N") FILTER (u) AS "N", count(*) FILTER (u) AS verified_clips, count(*) AS total_clips, round(sum("S" + "D" + "I") FILTER (u) / sum("N") FILTER (u), 6) AS "WER"
-FROM (SELECT w.*, status = 'verified' AND reject_reason IS NULL AS u FROM wer w JOIN judged_refs USING (conv_id, turn)) GROUP BY role""")
+FROM (SELECT w.*, status = 'verified' AND reject_reason IS NULL AS u FROM wer w JOIN judged_refs USING (conv_id, turn)) GROUP BY role""", bigint="S D I N")
 def q4(t):
     """Only attested references are scored; the totals are token-weighted."""
     usable = _attested(t).select("conv_id", "turn", "usable")

@@ -33,14 +33,14 @@ def w2(t):
 @query("D9_audit_verdicts", f"""WITH {AUDIT_SQL}
 SELECT source_id, c.frames, c.rate, count(a.idx) AS segment_count, coalesce(sum(len(reasons)), 0) AS violation_count,
        count(*) FILTER (normalized) AS normalization_count, coalesce(sum(len(reasons)), 0) = 0 AS valid
-FROM clocks c LEFT JOIN audited a USING (source_id) GROUP BY source_id, c.frames, c.rate""")
+FROM clocks c LEFT JOIN audited a USING (source_id) GROUP BY source_id, c.frames, c.rate""", bigint="violation_count")
 def d9(t):
     return timeline.verdicts(_audit(t), clocks(t))
 
 
 @query("W3_global_offset", """SELECT source AS session_id, doc_id AS pos, n_chars AS duration,
  coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS global_offset
-FROM documents""")
+FROM documents""", bigint="global_offset")
 def w3(t):
     return timeline.global_offsets(
         t.documents.select(F.col("source").alias("session_id"), F.col("doc_id").alias("pos"), F.col("n_chars").alias("duration"))
@@ -117,9 +117,9 @@ def p3(t):
      CASE WHEN end_seconds <= start_seconds THEN 'zero_length_timestamp' END,
      CASE WHEN regexp_matches(text, '(?i)\\[(?:blank_audio|music|silence)\\]|\\(inaudible\\)') THEN 'non_speech_or_inaudible_marker' END
      ], lambda x: x IS NOT NULL) AS reasons FROM l)
-SELECT source_id, idx, start_seconds, end_seconds, reasons FROM r WHERE len(reasons) > 0""")
+SELECT source_id, idx, start_seconds, end_seconds, array_to_string(reasons, ',') AS reasons FROM r WHERE len(reasons) > 0""")
 def w4(t):
-    return quality.review_flags(lines(t))
+    return quality.review_flags(lines(t)).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("F17_review_reasons", f"""WITH {LINES_SQL}, n AS (SELECT *, {WS_SQL.format('text')} AS t FROM lines)
@@ -201,7 +201,7 @@ def w7(t):
 
 @query("W7_window_words", f"""WITH {WORD_TABLE_SQL}
 SELECT source_id, CAST(greatest(0, floor(start_seconds / 30)) AS BIGINT) AS bucket, min(start_seconds) AS start_seconds,
-       max(end_seconds) AS end_seconds, sum(len(words)) AS word_count FROM located GROUP BY ALL HAVING sum(len(words)) >= 40""")
+       max(end_seconds) AS end_seconds, sum(len(words)) AS word_count FROM located GROUP BY ALL HAVING sum(len(words)) >= 40""", bigint="word_count")
 def w7_words(t):
     return quality.window_ratios(lines(t)).select("source_id", "bucket", "start_seconds", "end_seconds", "word_count")
 
@@ -219,7 +219,7 @@ def _found(t):
 @query("A1_quality_by_source", f"""WITH {FOUND_SQL}
 SELECT t.source_id, CASE WHEN count(f.category) > 0 THEN 'review_required' ELSE 'passed_checks' END AS status,
        NULL::BOOLEAN AS timestamp_valid, segment_count, word_count, count(f.category) AS finding_count
-FROM totals t LEFT JOIN found f USING (source_id) GROUP BY t.source_id, segment_count, word_count""")
+FROM totals t LEFT JOIN found f USING (source_id) GROUP BY t.source_id, segment_count, word_count""", bigint="word_count")
 def a1(t):
     """Which documents need review: loops and empties over all lines."""
     return quality.by_source(lines(t), _found(t))
@@ -231,7 +231,7 @@ def a1_full(t):
 
 
 @query("A2_verdict", f"""WITH {FOUND_SQL}, members AS (SELECT 'doc-' || doc_id AS source_id, source AS run_id FROM documents)
-SELECT run_id, list_sort(list(DISTINCT f.category) FILTER (f.category IS NOT NULL)) AS reasons,
+SELECT run_id, coalesce(string_agg(DISTINCT f.category, ',' ORDER BY f.category), '') AS reasons,
        CASE WHEN count(f.category) > 0 THEN 'review_required' ELSE 'passed_checks' END AS status,
        NULL::BOOLEAN AS timestamp_valid, FALSE AS accuracy_verified
 FROM members LEFT JOIN found f USING (source_id) GROUP BY run_id""")
@@ -241,7 +241,8 @@ def a2(t):
     )
     found = _found(t)
     summary = quality.by_source(lines(t), found).join(runs, "source_id")
-    return quality.verdict(summary, found.select("source_id", "category").join(runs, "source_id"), ["run_id"])
+    verdicts = quality.verdict(summary, found.select("source_id", "category").join(runs, "source_id"), ["run_id"])
+    return verdicts.withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("A28_all_valid_3v", f"""WITH {AUDIT_SQL}, v AS (

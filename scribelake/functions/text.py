@@ -127,6 +127,11 @@ def text_lines(c: Column | str) -> Column:
     return F.when(last_empty, F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
 
 
+def strip(c: Column | str) -> Column:
+    """Without leading and trailing whitespace of any kind."""
+    return F.regexp_replace(_col(c), f"^{SPACE}|{SPACE}$", "")
+
+
 def squeeze(c: Column | str) -> Column:
     """Trim and collapse whitespace to single spaces."""
     return F.trim(F.regexp_replace(_col(c), SPACE, " "))

@@ -21,6 +21,17 @@ def reconcile(expected: DataFrame, stored: DataFrame, keys: list[str], values: l
     )
 
 
+def field_checks(expected: DataFrame, stored: DataFrame, keys: list[str], values: list[str], *, run: str = "source_id") -> DataFrame:
+    """Per run: equal row counts, and for every field whether all rows agree on it."""
+    e = expected.select(*keys, F.lit(True).alias("__e"), *[F.col(v).alias(f"__e_{v}") for v in values])
+    s = stored.select(*keys, F.lit(True).alias("__s"), *[F.col(v).alias(f"__s_{v}") for v in values])
+    both = F.col("__e").isNotNull() & F.col("__s").isNotNull()
+    same = [
+        F.bool_and(~both | F.col(f"__e_{v}").eqNullSafe(F.col(f"__s_{v}"))).alias(f"{v}_equal") for v in values
+    ]
+    return e.join(s, keys, "full").groupBy(run).agg(F.bool_and(both).alias("rows_equal"), *same)
+
+
 def trusted_equals(trusted: DataFrame, imported: DataFrame) -> DataFrame:
     """Paths at which an imported document differs from the trusted one.
 

@@ -10,13 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scribelake.functions.text import LINE_END, clock_text, md_escape
+from scribelake.functions.text import clock_text, md_escape, strip, text_lines
 from scribelake.operators.ordered import numbered
 from scribelake.operators.results import state_counts
 
 # Phrases of generated documents.
 RUN_TITLE = "# Raw English transcription"
 RUN_INTRO = "Unedited ASR; accuracy acceptance pending. Times are source-relative."
+REVIEW_TAIL = ". All raw text is retained; automatic checks did not establish reliability."
+GLOSSARY_NOTE = (
+    "**Glossary warning:** no-context decoding disables glossary prompting in this runtime. Check terminology against "
+    "the audio."
+)
+TIMING_NOTE = (
+    "**Unvalidated timestamps:** these are raw model predictions, including out-of-range times. The recording has no "
+    "imposed length limit. No subtitle file is exported for this run."
+)
 REPORT_TITLE = "# Transcript Report"
 BANNERS = {
     "partial": "**PARTIAL REPORT — one or more selected recordings failed or were cancelled.**",
@@ -83,15 +92,37 @@ def front_matter(results: DataFrame, fields: dict[str, Column]) -> DataFrame:
     return results.select("result_id", F.explode(pairs).alias("p")).select("result_id", "p.line_no", "p.line")
 
 
-def srt_cues(segments: DataFrame, ready: DataFrame, *, start: str = "start_seconds", end: str = "end_seconds", width: int | None = None) -> DataFrame:
-    """Numbered cues of results that may have subtitles; inner line breaks become spaces."""
+def srt_cues(
+    segments: DataFrame, ready: DataFrame, *, whole_run: bool = False, width: int | None = None
+) -> DataFrame:
+    """Numbered cues of results that may have subtitles.
+
+    A result's cues use source times and join inner lines with spaces; a run's
+    cues use global times and keep inner lines.
+    """
     kept = segments.join(ready.where("srt_valid").select("result_id"), "result_id", "left_semi")
     rows = numbered(kept, ["result_id"], ["idx"], "cue", **({"width": width} if width else {}))
-    single = F.trim(F.regexp_replace(F.regexp_replace("text", LINE_END, "\n"), "\n", " "))
-    return rows.select(
-        "result_id", "cue",
-        F.concat(clock_text(start, srt=True), F.lit(" --> "), clock_text(end, srt=True)).alias("times"), single.alias("body"),
+    prefix = "global_" if whole_run else ""
+    inner = F.col("text") if whole_run else F.array_join(text_lines("text"), " ")
+    times = F.concat(
+        clock_text(f"{prefix}start_seconds", srt=True), F.lit(" --> "), clock_text(f"{prefix}end_seconds", srt=True)
+    )
+    return rows.select("result_id", "cue", times.alias("times"), strip(inner).alias("body"))
+
+
+def run_head_lines(verdicts: DataFrame) -> DataFrame:
+    """Head of a run's markdown: title, intro, and what asks for review.
+
+    ``verdicts``: run_id, status, reasons, timestamp_valid.
+    """
+    review = F.when(
+        F.col("status") == "review_required",
+        F.concat(F.lit("**Review required:** "), F.array_join("reasons", ", "), F.lit(REVIEW_TAIL)),
     )
+    glossary = F.when(F.array_contains("reasons", "glossary_context_disabled"), GLOSSARY_NOTE)
+    timing = F.when(F.col("timestamp_valid") == F.lit(False), TIMING_NOTE)
+    lines = F.array_compact(F.array(F.lit(RUN_TITLE), F.lit(RUN_INTRO), review, glossary, timing))
+    return verdicts.select("run_id", F.posexplode(lines).alias("line_no", "line"))
 
 
 def json_documents(results: DataFrame) -> DataFrame:

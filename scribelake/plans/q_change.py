@@ -302,6 +302,27 @@ def k3_result(t):
     return exports.md_result_lines(_times(t).withColumnRenamed("source_id", "result_id"))
 
 
+@query("K3_run_head", f"""WITH v AS (SELECT source AS run_id, CASE WHEN bool_or(lang = 'de') THEN ['invalid_timestamp', 'repeated_phrase_loop'] ELSE [] END AS reasons, bool_and(lang <> 'de') AS ok FROM documents GROUP BY source), h AS (
+ SELECT run_id, list_filter(['{exports.RUN_TITLE}', '{exports.RUN_INTRO}', CASE WHEN len(reasons) > 0 THEN '**Review required:** ' || array_to_string(reasons, ', ') || '{exports.REVIEW_TAIL}' END, CASE WHEN NOT ok THEN '{exports.TIMING_NOTE}' END], lambda x: x IS NOT NULL) AS l FROM v)
+SELECT run_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM h""")
+def k3_head(t):
+    bad = F.bool_or(F.col("lang") == "de")
+    verdicts = t.documents.groupBy(F.col("source").alias("run_id")).agg(
+        F.when(bad, "review_required").otherwise("passed_checks").alias("status"),
+        F.when(bad, F.array(F.lit("invalid_timestamp"), F.lit("repeated_phrase_loop"))).otherwise(F.array().cast("array<string>")).alias("reasons"),
+        (~bad).alias("timestamp_valid"),
+    )
+    return exports.run_head_lines(verdicts)
+
+
+@query("K4_run_srt", f"""WITH {TIMES_SQL}, c AS (SELECT *, lag(start_seconds) OVER (PARTITION BY source_id ORDER BY idx) AS p FROM timed), g AS (
+ SELECT source_id FROM c GROUP BY source_id HAVING bool_and(valid AND trim(text) <> '' AND start_seconds >= 0 AND start_seconds < end_seconds AND end_seconds <= duration AND start_seconds >= coalesce(p, -1) AND b_ms > a_ms))
+SELECT source_id AS result_id, idx AS cue, {STAMP.format('a_ms', ',')} || ' --> ' || {STAMP.format('b_ms', ',')} AS times, trim(text) AS body FROM timed WHERE source_id IN (FROM g)""")
+def k4_run(t):
+    rows, facts = _srt_inputs(t)
+    return exports.srt_cues(rows, timeline.srt_ready(rows.drop("timestamp_valid"), facts), whole_run=True)
+
+
 @query("K3_front_matter", f"""WITH {st.RESULTS_SQL} SELECT result_id, unnest([0, 1, 2]) AS line_no, unnest(['source_filename: ' || filename, 'source_sha256: ' || source_sha256, 'generated_at: ' || coalesce(generated_at, 'null')]) AS line FROM results""")
 def k3_front(t):
     return exports.front_matter(st.results(t), {"source_filename": F.col("filename"), "source_sha256": F.col("source_sha256"), "generated_at": F.col("generated_at")})
@@ -311,11 +332,16 @@ def k3_front(t):
  SELECT source_id FROM c GROUP BY source_id HAVING bool_and(valid AND trim(text) <> '' AND start_seconds >= 0 AND start_seconds < end_seconds AND end_seconds <= duration AND start_seconds >= coalesce(p, -1) AND b_ms > a_ms))
 SELECT source_id AS result_id, idx AS cue, {STAMP.format('a_ms', ',')} || ' --> ' || {STAMP.format('b_ms', ',')} AS times, trim(replace(text, chr(10), ' ')) AS body FROM timed WHERE source_id IN (FROM g)""")
 def k4(t):
+    rows, facts = _srt_inputs(t)
+    return exports.srt_cues(rows, timeline.srt_ready(rows.drop("timestamp_valid"), facts))
+
+
+def _srt_inputs(t):
     rows = _times(t).withColumnRenamed("source_id", "result_id")
     facts = timeline.verdicts(timeline.audited(st.turns(t), st.clocks(t)), st.clocks(t)).select(
         F.col("source_id").alias("result_id"), F.col("valid").alias("timestamp_valid"), (F.col("frames") / F.col("rate")).alias("duration_seconds")
     )
-    return exports.srt_cues(rows, timeline.srt_ready(rows.drop("timestamp_valid"), facts))
+    return rows, facts
 
 
 @query("K5_doc_json", f"""WITH {st.RESULTS_SQL} SELECT result_id, '{{"result_id":"' || result_id || '","filename":"' || filename || '","generated_at":' || coalesce('"' || generated_at || '"', 'null') || '}}' AS document FROM results""")

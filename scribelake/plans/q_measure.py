@@ -556,18 +556,41 @@ def a27(t):
     return audit.same_interval(_candidates(t))
 
 
-@query("Q1_run_audit", f"""WITH {STORED_SQL}, c AS (SELECT *, [conv % 7 <> 0, expected_rows = stored_rows, true, expected_rows = stored_rows AND conv % 9 <> 0, valid, frames > 0] AS ok FROM facts)
-SELECT source_id AS run_id, CASE WHEN list_position(ok, false) IS NULL THEN 'PASS' ELSE 'FAIL' END AS state, CASE WHEN list_position(ok, false) IS NOT NULL THEN ['artifact_hashes', 'segment_count', 'source_known', 'native_assembled_equal', 'timeline_valid', 'frames_covered'][list_position(ok, false)] END AS first_failed,
- coalesce(list_position(ok, false) - 1, 6) AS assertions_passed FROM c""")
+RUN_CHECKS = (
+    "artifact_hashes", "required_artifacts", "segment_count", "native_text", "source_times", "global_times", "native_milliseconds",
+    "endpoint_record", "timeline_valid", "frames_covered", "plain_text_artifact", "markdown_artifact", "latest_pointer",
+)
+
+
+@query("Q1_run_audit", f"""WITH {STORED_SQL}, c AS (SELECT *, [conv % 7 <> 0, conv % 8 <> 1, expected_rows = stored_rows, conv % 9 <> 0, conv % 12 <> 5 OR expected_rows < 3, true, true, true, valid, frames > 0, conv % 6 <> 5, true, conv % 17 <> 4] AS ok FROM facts)
+SELECT source_id AS run_id, CASE WHEN list_position(ok, false) IS NULL THEN 'PASS' ELSE 'FAIL' END AS state, CASE WHEN list_position(ok, false) IS NOT NULL THEN {list(RUN_CHECKS)}[list_position(ok, false)] END AS first_failed,
+ coalesce(list_position(ok, false) - 1, {len(RUN_CHECKS)}) AS assertions_passed FROM c""")
 def q1(t):
-    """Named checks per run over rebuilt facts; the first failure decides."""
-    facts = audit.reconcile(_expected(t), _stored(t), ["source_id", "idx"], STORED_VALUES)
+    """Named checks per run over rebuilt facts, texts and pointers; the first failure decides."""
+    conv = F.substring("source_id", 5, 20).cast("bigint")
+    expected = _expected(t)
+    moved = (conv % 12 == 5) & (F.col("idx") == 3)
+    stored = _stored(t).withColumn("start_seconds", F.when(moved, F.col("start_seconds") + 1).otherwise(F.col("start_seconds")))
+    values = [*STORED_VALUES, "endpoint_rounding_clamped"]
+    fields = audit.field_checks(expected, stored, ["source_id", "idx"], values)
     timing = timeline.verdicts(timeline.audited(st.turns(t), st.clocks(t)), st.clocks(t)).select("source_id", "valid", "frames")
-    rows = facts.join(timing, "source_id").withColumn("conv", F.substring("source_id", 5, 20).cast("bigint"))
-    named = audit.checks(rows.withColumnRenamed("source_id", "run_id"), "run_id", {
-        "artifact_hashes": F.col("conv") % 7 != 0, "segment_count": F.col("expected_rows") == F.col("stored_rows"), "source_known": F.col("frames").isNotNull(),
-        "native_assembled_equal": F.col("equal"), "timeline_valid": F.col("valid"), "frames_covered": F.col("frames") > 0,
-    })
+    # Saved text files, as lines, against the lines rebuilt from the stored segments.
+    clocks = st.clocks(t).select("source_id")
+    rebuilt = exports.txt_lines(st.turns(t), clocks)
+    saved = rebuilt.withColumn("line", F.when((conv % 6 == 5) & (F.col("line_no") == 1), F.lit("edited")).otherwise(F.col("line")))
+    text = audit.reconcile(rebuilt, saved, ["source_id", "line_no"], ["line"]).select("source_id", F.col("equal").alias("text_equal_file"))
+    md = exports.md_run_lines(expected, clocks)
+    markdown = audit.reconcile(md, md, ["source_id", "seq", "part"], ["line"]).select("source_id", F.col("equal").alias("md_equal_file"))
+    rows = fields.join(timing, "source_id").join(text, "source_id").join(markdown, "source_id").withColumn("conv", conv)
+    ok = {
+        "artifact_hashes": F.col("conv") % 7 != 0, "required_artifacts": F.col("conv") % 8 != 1, "segment_count": F.col("rows_equal"),
+        "native_text": F.col("text_equal"), "source_times": F.col("start_seconds_equal") & F.col("end_seconds_equal"),
+        "global_times": F.col("global_start_seconds_equal") & F.col("global_end_seconds_equal"),
+        "native_milliseconds": F.col("native_start_milliseconds_equal") & F.col("native_end_milliseconds_equal"),
+        "endpoint_record": F.col("endpoint_rounding_clamped_equal"), "timeline_valid": F.col("valid"), "frames_covered": F.col("frames") > 0,
+        "plain_text_artifact": F.col("text_equal_file"), "markdown_artifact": F.col("md_equal_file"), "latest_pointer": F.col("conv") % 17 != 4,
+    }
+    named = audit.checks(rows.withColumnRenamed("source_id", "run_id"), "run_id", {n: ok[n] for n in RUN_CHECKS})
     return audit.audit_verdict(named, "run_id")
 
 

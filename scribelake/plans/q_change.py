@@ -10,6 +10,7 @@ from scribelake.operators import results as res
 from scribelake.operators import telemetry as tel
 from scribelake.plans import standins as st
 from scribelake.plans.catalog import query
+from scribelake.session import checkpointed
 from scribelake.streaming import folder
 
 # Purge: orders are results and jobs, customers their scopes.
@@ -270,7 +271,9 @@ STAMP = "printf('%02d:%02d:%02d{1}%03d', {0} // 3600000, {0} // 60000 % 60, {0}
 
 
 def _times(t):
-    return timeline.segment_times(timeline.audited(st.turns(t), st.clocks(t)), st.clocks(t))
+    """Assembled segments; the audit is stored once because rows and verdicts both read it."""
+    audit = checkpointed(timeline.audited(st.turns(t), st.clocks(t)))
+    return timeline.segment_times(audit, st.clocks(t))
 
 
 TIMES_SQL = f"""{st.AUDIT_SQL}, verdict AS (SELECT source_id, sum(len(reasons)) = 0 AS valid FROM audited GROUP BY source_id), timed AS (
@@ -337,8 +340,9 @@ def k4(t):
 
 
 def _srt_inputs(t):
-    rows = _times(t).withColumnRenamed("source_id", "result_id")
-    facts = timeline.verdicts(timeline.audited(st.turns(t), st.clocks(t)), st.clocks(t)).select(
+    audit = checkpointed(timeline.audited(st.turns(t), st.clocks(t)))
+    rows = checkpointed(timeline.segment_times(audit, st.clocks(t)).withColumnRenamed("source_id", "result_id"))
+    facts = timeline.verdicts(audit, st.clocks(t)).select(
         F.col("source_id").alias("result_id"), F.col("valid").alias("timestamp_valid"), (F.col("frames") / F.col("rate")).alias("duration_seconds")
     )
     return rows, facts

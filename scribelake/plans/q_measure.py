@@ -11,6 +11,7 @@ from scribelake.operators import identity as idn
 from scribelake.operators import telemetry as tel
 from scribelake.plans import standins as st
 from scribelake.plans.catalog import query
+from scribelake.session import checkpointed
 from scribelake.sources import documents as docs
 from scribelake.sources import logs, recordings
 from scribelake.streaming import progress as prog
@@ -144,7 +145,11 @@ JUDGED_SQL = f"""{st.PROGRESS_SQL}, f AS (SELECT *, seq >= 0 AS valid FROM progr
 
 @query("R3_progress_state", f"WITH {JUDGED_SQL} SELECT batch_id, job_id, state, stage, attempt_id, last_seq, elapsed, percent, events FROM settled")
 def r3(t):
-    return prog.settled(prog.judged(st.progress(t)).where("verdict = 'accepted'"))
+    return prog.settled(_accepted(t))
+
+
+def _accepted(t):
+    return checkpointed(prog.judged(st.progress(t)).where("verdict = 'accepted'"))
 
 
 @query("R4_stale_reject", f"WITH {JUDGED_SQL} SELECT arrival, verdict FROM judged")
@@ -155,7 +160,7 @@ def r4(t):
 @query("R10_batch_rollup", f"""WITH {JUDGED_SQL} SELECT batch_id, count(*) AS jobs, count(*) FILTER (state = 'completed') AS completed, 0 AS review_required, 0 AS failed, 0 AS cancelled, count(*) FILTER (state = 'completed') AS finished,
  count(*) FILTER (state <> 'completed' AND stage = 'transcribing') AS decoding FROM settled GROUP BY batch_id""")
 def r10(t):
-    return prog.rollup(prog.settled(prog.judged(st.progress(t)).where("verdict = 'accepted'")))
+    return prog.rollup(prog.settled(_accepted(t)))
 
 
 @query("P24_event_valid", f"WITH {st.PROGRESS_SQL} SELECT arrival, seq >= 0 AND stage <> 'finished' AS valid FROM progress")
@@ -514,14 +519,15 @@ def j12(t):
 STORED_VALUES = ["text", "start_seconds", "end_seconds", "global_start_seconds", "global_end_seconds", "native_start_milliseconds", "native_end_milliseconds"]
 
 
-def _expected(t):
-    return timeline.segment_times(timeline.audited(st.turns(t), st.clocks(t)), st.clocks(t))
+def _audit(t):
+    """The audit, stored once: times, verdicts and comparisons all read it."""
+    return checkpointed(timeline.audited(st.turns(t), st.clocks(t)))
 
 
-def _stored(t):
+def _stored(expected):
     """A saved copy in which some conversations were edited and some lost a segment."""
     conv = F.substring("source_id", 5, 20).cast("bigint")
-    rows = _expected(t).withColumn("text", F.when((conv % 9 == 0) & (F.col("idx") == 1), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    rows = expected.withColumn("text", F.when((conv % 9 == 0) & (F.col("idx") == 1), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     return rows.where(~((conv % 10 == 1) & (F.col("idx") == 2)))
 
 
@@ -531,7 +537,8 @@ STORED_SQL = f"""{st.AUDIT_SQL}, facts AS (
 
 @query("J10_reconcile_segments", f"""WITH {STORED_SQL} SELECT source_id, expected_rows, stored_rows, expected_rows - stored_rows + (conv % 9 = 0)::INT AS different_rows, expected_rows = stored_rows AND conv % 9 <> 0 AS equal FROM facts""")
 def j10(t):
-    return audit.reconcile(_expected(t), _stored(t), ["source_id", "idx"], STORED_VALUES)
+    expected = checkpointed(timeline.segment_times(_audit(t), st.clocks(t)))
+    return audit.reconcile(expected, _stored(expected), ["source_id", "idx"], STORED_VALUES)
 
 
 @query("A18_coverage", """SELECT l_orderkey AS run_id, bool_and(l_discount > 0) AS complete, sum((l_partkey * 16000 + 44099) // 44100 - (l_discount = 0)::INT)::BIGINT / 16000 AS duration_seconds FROM lineitem GROUP BY l_orderkey""")
@@ -568,12 +575,13 @@ SELECT source_id AS run_id, CASE WHEN list_position(ok, false) IS NULL THEN 'PAS
 def q1(t):
     """Named checks per run over rebuilt facts, texts and pointers; the first failure decides."""
     conv = F.substring("source_id", 5, 20).cast("bigint")
-    expected = _expected(t)
+    rows_audited = _audit(t)
+    expected = checkpointed(timeline.segment_times(rows_audited, st.clocks(t)))
     moved = (conv % 12 == 5) & (F.col("idx") == 3)
-    stored = _stored(t).withColumn("start_seconds", F.when(moved, F.col("start_seconds") + 1).otherwise(F.col("start_seconds")))
+    stored = _stored(expected).withColumn("start_seconds", F.when(moved, F.col("start_seconds") + 1).otherwise(F.col("start_seconds")))
     values = [*STORED_VALUES, "endpoint_rounding_clamped"]
     fields = audit.field_checks(expected, stored, ["source_id", "idx"], values)
-    timing = timeline.verdicts(timeline.audited(st.turns(t), st.clocks(t)), st.clocks(t)).select("source_id", "valid", "frames")
+    timing = timeline.verdicts(rows_audited, st.clocks(t)).select("source_id", "valid", "frames")
     # Saved text files, as lines, against the lines rebuilt from the stored segments.
     clocks = st.clocks(t).select("source_id")
     rebuilt = exports.txt_lines(st.turns(t), clocks)

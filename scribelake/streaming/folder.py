@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from scribelake.functions.text import basename
-from scribelake.operators.ordered import BLOCK_ROWS, split_runs
+from scribelake.operators.ordered import BLOCK_ROWS, ordered, split_runs
 from scribelake.operators.results import sha_of
+from scribelake.session import checkpointed
 
 # Milliseconds until a file counts as settled, and as broken; observation budget.
 STABLE_MS, INVALID_MS, UI_STABLE_MS = 750, 5000, 800
@@ -35,10 +36,11 @@ def classified(
     version_key. A hash is only offered once the stat has rested; afterwards the
     unchanged version is a candidate without a new hash.
     """
-    rows = split_runs(
+    # Versions are numbered once; first sight, first hash and states read the result.
+    rows = checkpointed(split_runs(
         observations, ["path"], ["at_ms"], lag={"prev_stat": "stat"}, uses=["stat"],
         starts=F.col("stat") != F.col("prev_stat"), name="version_no", width=width,
-    ).drop("prev_stat")
+    ).drop("prev_stat"))
     key = ["path", "version_no"]
     seen = rows.groupBy(*key).agg(F.min("at_ms").alias("first_seen"))
     aged = rows.join(seen, key).withColumn("age", F.col("at_ms") - F.col("first_seen"))
@@ -88,8 +90,6 @@ def stable_twice(observations: DataFrame, *, width: int = BLOCK_ROWS * 1000) ->
 
 def within_budget(observations: DataFrame, *, width: int = BLOCK_ROWS * 1000) -> DataFrame:
     """Whether another look is scheduled after an observation of a version: seven at most."""
-    from scribelake.operators.ordered import ordered
-
     rows = split_runs(
         observations, ["path"], ["at_ms"], lag={"prev_stat": "stat"}, uses=["stat"],
         starts=F.col("stat") != F.col("prev_stat"), name="version_no", width=width,

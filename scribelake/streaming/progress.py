@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from scribelake.operators.ordered import BLOCK_ROWS, ordered
 from scribelake.operators.telemetry import valid_event
+from scribelake.session import checkpointed
 
 # Terminal states and the events that end a batch.
 TERMINAL = ("completed", "review_required", "failed", "cancelled")
@@ -36,7 +37,8 @@ def judged(events: DataFrame, *, width: int = BLOCK_ROWS) -> DataFrame:
         before={"high": ("max", F.when(F.col("__valid"), F.col("seq")))}, width=width,
     )
     fresh = F.col("__valid") & F.coalesce(F.col("seq") > F.col("high"), F.lit(True))
-    rows = rows.withColumn("__fresh", fresh).drop("high")
+    # Bindings, ends and verdicts below each read these rows.
+    rows = checkpointed(rows.withColumn("__fresh", fresh).drop("high"))
     per_job = F.col("type").isin("file", "progress")
     opens = F.col("__fresh") & (F.col("type") == "file") & (F.col("state") == "waiting") & (F.col("stage") == "queued")
     bound = rows.where(opens).groupBy("batch_id", "job_id").agg(

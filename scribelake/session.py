@@ -29,20 +29,26 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSe
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session. A folder of our own is
-    set only where none is configured and the master is local.
+    A folder of our own is used only where none is configured and the master is local.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if configured:
+        return configured
     if sc.getCheckpointDir() is None:
-        if configured:
-            sc.setCheckpointDir(configured)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        else:
+        if not sc.master.startswith("local"):
             raise ValueError("Set spark.checkpoint.dir to a folder every executor can reach.")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scribelake.functions.text import tokens_word, tokens_ws
-from scribelake.operators.ordered import islands, ordered, split_runs
+from scribelake.operators.ordered import BLOCK_ROWS, islands, ordered, split_runs
 from scribelake.session import checkpointed
 
 # Thresholds of the gates.
@@ -35,6 +35,14 @@ def segment_words(segments: DataFrame) -> DataFrame:
     return segments.withColumn("words", tokens_word("text")).withColumn("word_count", F.size("words"))
 
 
+def counted(segments: DataFrame) -> DataFrame:
+    """Words per segment, stored once: a narrow table in place of tokenizing again.
+
+    Positions, per-source totals and empties all read it.
+    """
+    return checkpointed(segment_words(segments).select("source_id", "idx", "word_count"))
+
+
 def word_locations(segments: DataFrame, *, width: int = TEXT_BLOCK_ROWS) -> DataFrame:
     """Segments with the position of their first word inside the source."""
     return ordered(
@@ -150,7 +158,7 @@ def _run_finder(size: int):
 
 
 def loop_candidates(
-    segments: DataFrame, *, width: int = TEXT_BLOCK_ROWS, chunk_words: int = CHUNK_WORDS
+    segments: DataFrame, *, counts: DataFrame | None = None, width: int = BLOCK_ROWS, chunk_words: int = CHUNK_WORDS,
 ) -> DataFrame:
     """Periodic word runs before merging: source_id, start, end, period, and the
     segments that hold the first and last word.
@@ -158,8 +166,15 @@ def loop_candidates(
     Runs are found per bounded chunk; the few that touch a chunk edge are joined
     with their neighbours afterwards, so a run may be as long as its source.
     """
-    located = word_locations(
-        segments.select("source_id", "idx", "start_seconds", "end_seconds", "text"), width=width
+    # Positions come from the narrow counts; the text itself moves once to meet them, spread by segment.
+    places = ordered(
+        counts if counts is not None else counted(segments), ["source_id"], ["idx"],
+        before={"first_word": ("sum", "word_count")}, width=width,
+    ).where("word_count > 0")
+    located = (
+        segments.select("source_id", "idx", "start_seconds", "end_seconds", "text")
+        .join(places, ["source_id", "idx"])
+        .withColumn("words", tokens_word("text"))
     )
     chunks = _chunks(located, chunk_words)
     # Few rows out of an expensive pass, read several times below: stored once.
@@ -317,9 +332,9 @@ def glossary_findings(sources: DataFrame, terms: Column, max_context: Column) ->
     )
 
 
-def word_counts(segments: DataFrame, audits: DataFrame | None = None) -> DataFrame:
-    """Segments and words of every source with segments or an audit."""
-    counts = segment_words(segments).groupBy("source_id").agg(
+def word_counts(counts: DataFrame, audits: DataFrame | None = None) -> DataFrame:
+    """Segments and words of every source with segments (``counted``) or an audit."""
+    counts = counts.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("segment_count"), F.sum("word_count").alias("word_count")
     )
     if audits is not None:
@@ -331,12 +346,13 @@ def word_counts(segments: DataFrame, audits: DataFrame | None = None) -> DataFra
 
 
 def findings(
-    segments: DataFrame, *, audits: DataFrame | None = None, violations: DataFrame | None = None,
-    compression: bool = True, width: int = TEXT_BLOCK_ROWS, chunk_words: int = CHUNK_WORDS,
+    segments: DataFrame, *, counts: DataFrame | None = None, audits: DataFrame | None = None,
+    violations: DataFrame | None = None, compression: bool = True, width: int = BLOCK_ROWS, chunk_words: int = CHUNK_WORDS,
 ) -> DataFrame:
     """All findings as one long table with sparse columns."""
-    ranges = merged_ranges(loop_candidates(segments, width=width, chunk_words=chunk_words))
-    parts = [empty_findings(word_counts(segments, audits)), loop_findings(ranges)]
+    counts = counts if counts is not None else counted(segments)
+    ranges = merged_ranges(loop_candidates(segments, counts=counts, width=width, chunk_words=chunk_words))
+    parts = [empty_findings(word_counts(counts, audits)), loop_findings(ranges)]
     if compression:
         parts.append(compression_findings(segments))
     if violations is not None:
@@ -348,12 +364,13 @@ def findings(
 
 
 def by_source(
-    segments: DataFrame, found: DataFrame, audits: DataFrame | None = None
+    segments: DataFrame, found: DataFrame, audits: DataFrame | None = None, *, counts: DataFrame | None = None
 ) -> DataFrame:
     """Per-source summary: status, timing, segment, word and finding counts."""
+    counts = counts if counts is not None else counted(segments)
     totals = found.groupBy("source_id").agg(F.count(F.lit(1)).alias("finding_count"))
     n = F.coalesce(F.col("finding_count"), F.lit(0))
-    return word_counts(segments, audits).join(totals, "source_id", "left").select(
+    return word_counts(counts, audits).join(totals, "source_id", "left").select(
         "source_id", F.when(n > 0, "review_required").otherwise("passed_checks").alias("status"),
         "timestamp_valid", "segment_count", "word_count", n.alias("finding_count"),
     )

@@ -212,8 +212,12 @@ FOUND_SQL = f"""{MERGED_SQL}, totals AS (
   UNION ALL SELECT source_id, 'empty_transcript' FROM totals WHERE word_count = 0)"""
 
 
-def _found(t):
-    return quality.findings(lines(t), compression=False)
+def _summary(t, *, compression):
+    """Findings and per-source summary over one count of the words."""
+    segments = lines(t)
+    counts = quality.counted(segments)
+    found = quality.findings(segments, counts=counts, compression=compression)
+    return found, quality.by_source(segments, found, counts=counts)
 
 
 @query("A1_quality_by_source", f"""WITH {FOUND_SQL}
@@ -222,12 +226,12 @@ SELECT t.source_id, CASE WHEN count(f.category) > 0 THEN 'review_required' ELSE
 FROM totals t LEFT JOIN found f USING (source_id) GROUP BY t.source_id, segment_count, word_count""", bigint="word_count")
 def a1(t):
     """Which documents need review: loops and empties over all lines."""
-    return quality.by_source(lines(t), _found(t))
+    return _summary(t, compression=False)[1]
 
 
 @query("A1_quality_with_compression")
 def a1_full(t):
-    return quality.by_source(lines(t), quality.findings(lines(t)))
+    return _summary(t, compression=True)[1]
 
 
 @query("A2_verdict", f"""WITH {FOUND_SQL}, members AS (SELECT 'doc-' || doc_id AS source_id, source AS run_id FROM documents)
@@ -239,8 +243,8 @@ def a2(t):
     runs = t.documents.select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_id"), F.col("source").alias("run_id")
     )
-    found = _found(t)
-    summary = quality.by_source(lines(t), found).join(runs, "source_id")
+    found, by_source = _summary(t, compression=False)
+    summary = by_source.join(runs, "source_id")
     verdicts = quality.verdict(summary, found.select("source_id", "category").join(runs, "source_id"), ["run_id"])
     return verdicts.withColumn("reasons", F.array_join("reasons", ","))
 

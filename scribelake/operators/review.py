@@ -105,11 +105,7 @@ def term_accuracy(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def phrase_occurrences(tokens: Column, phrase: Column) -> Column:
-    """Overlapping occurrences of a phrase in a token list.
-
-    Both lists are joined with a separator no token holds, so each start is one
-    substring test instead of an array slice.
-    """
+    """Overlapping occurrences of a phrase in a token list."""
     n, m = F.size(tokens), F.size(phrase)
     starts = F.when((m > 0) & (n >= m), F.sequence(F.lit(1), n - m + 1)).otherwise(F.array().cast("array<int>"))
     return F.size(F.filter(starts, lambda i: F.slice(tokens, i, m) == phrase))

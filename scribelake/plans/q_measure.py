@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scribelake.functions.alignment import wer_counts
 from scribelake.functions.text import agreement_ratio, compression_ratio, tokens_review, tokens_ws
-from scribelake.operators import audit, exports, levels, purge, review, timeline
-from scribelake.operators import identity as idn
+from scribelake.operators import audit, exports, levels, review, timeline
 from scribelake.operators import telemetry as tel
 from scribelake.plans import standins as st
 from scribelake.plans.catalog import query

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from scribelake.functions.text import valid_id
 from scribelake.operators import config as cfg
 from scribelake.operators import identity as idn
-from scribelake.operators import purge
 from scribelake.operators import results as res
 from scribelake.plans import standins as st
 from scribelake.plans.catalog import query

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribelake.llm import block_naming, histogram_shards, line_chunks
+from scribelake.llm import block_naming, histogram_shards, line_chunks, rule_ledger, simhash_pivots
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,30 @@ def op2_block_naming(spark: SparkSession, folder: str) -> DataFrame:
     return block_naming.groups(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_simhash_pivots(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate classes of ``documents`` by SimHash."""
+    out = simhash_pivots.classes(_table(spark, folder, "documents"))
+    return out.select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
+    )
+
+
+def op7_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Measurements, failed rules and the verdict of policy v2 for ``documents``."""
+    led = rule_ledger.ledger(_table(spark, folder, "documents"))
+    return led.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        (~rule_ledger.passes("base")).alias("base_failed"),
+        rule_ledger.passes("v2").alias("kept"),
+        "failed",
+    )
+
+
 def op8_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """What line dedup leaves of each document: counts and a digest of the text."""
     out = line_chunks.deduplicated(_table(spark, folder, "documents"), report=True)
@@ -55,5 +79,44 @@ FROM t WINDOW g AS (PARTITION BY norm)
 """
 
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+    SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos
+    FROM (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)
+),
+tri AS (
+    SELECT doc_id, pos, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+),
+hit AS (SELECT doc_id, pos, w, w3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w, w2, w3) > 1 AS h FROM tri),
+cov AS (
+    SELECT doc_id, w, h OR coalesce(lag(h) OVER o, false) OR coalesce(lag(h, 2) OVER o, false) AS c
+    FROM hit WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+),
+ws AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (c) AS n_repeat_words FROM cov GROUP BY doc_id),
+ln AS (
+    SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
+    FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id
+),
+m AS (
+    SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+           length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+           coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+           length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper,
+           length(regexp_replace(t, '[^A-Za-z\x{C0}-\x{10FFFF}]', '', 'g')) AS n_letters
+    FROM d LEFT JOIN ws ON d.doc_id = ws.doc_id LEFT JOIN ln ON d.doc_id = ln.doc_id
+),
+b AS (
+    SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT
+        + 4 * (n_words > 0 AND 5 * n_symbols > n_words)::BIGINT + 8 * (n_lines >= 4 AND 2 * n_dup_lines > n_lines)::BIGINT
+        + 16 * (n_letters >= 200 AND 2 * n_upper > n_letters)::BIGINT + 32 * (n_words >= 50 AND word_chars > 20 * n_words)::BIGINT
+        + 64 * (n_words >= 50 AND 4 * n_letters < word_chars)::BIGINT AS failed
+    FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_block_naming": OP2_SQL}
+    return {"op2_block_naming": OP2_SQL, "op7_rule_ledger": OP7_SQL}

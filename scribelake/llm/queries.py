@@ -7,18 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribelake.llm import block_naming, histogram_shards, line_chunks, rule_ledger, simhash_pivots
+from scribelake.llm import block_naming, histogram_shards, line_chunks, rule_ledger, simhash_pivots, swap_packing
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """A public vocabulary file, at the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_block_naming(spark: SparkSession, folder: str) -> DataFrame:
     """Exact dedup of ``documents`` by block names."""
     return block_naming.groups(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_swap_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """``documents`` packed into sequences of 1024 tokens."""
+    out = swap_packing.packed(_table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op6_simhash_pivots(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate classes of ``documents`` by SimHash."""
     out = simhash_pivots.classes(_table(spark, folder, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribelake.llm import block_naming, histogram_shards, line_chunks, rule_ledger, simhash_pivots, swap_packing
+from scribelake.llm import block_naming, cross_parsing, histogram_shards, line_chunks, rule_ledger, simhash_pivots, swap_packing, toxicity_pu
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +26,17 @@ def op2_block_naming(spark: SparkSession, folder: str) -> DataFrame:
     return block_naming.groups(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op3_toxicity_pu(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity scores of ``documents``, learnt from two thirds of ``labels``."""
+    out = toxicity_pu.scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op4_cross_parsing(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of ``documents`` by cross-parsing."""
+    return cross_parsing.languages(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_swap_packing(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` packed into sequences of 1024 tokens."""
     out = swap_packing.packed(_table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))

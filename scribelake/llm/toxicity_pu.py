@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A document is a set of hashed features: its words, and the first 4, 5 and 6 letters of each word. Features that occur in confirmed
+A document is a set of hashed features: its words and the first 4, 5 and 6 letters of each word, and which of these are dense in it. Features that occur in confirmed
 toxic examples far more often than elsewhere are found by counting over all learnable documents; a linear model over the presence of
 these is trained with NumPy from confirmed toxic examples and unlabelled text. The risk corrects the unlabelled part by the class
 prior and never lets it fall below zero (Kiryo et al., 2017). Negative labels serve for nothing but the prior.
@@ -25,10 +25,21 @@ from scribelake.session import checkpointed
 
 BITS = 20
 PREFIXES = (4, 5, 6)
+#: Occurrences per 1000 words from which two or more count as dense.
+DENSE = 7
 MAX_POSITIVE = 6_000
 MAX_UNLABELLED = 18_000
 MAX_FEATURES = 4_096
 THRESHOLD = 0.7
+DECAY = 2e-5
+
+
+def _levels(states: np.ndarray, kind: int, words: int) -> np.ndarray:
+    """Features of hashed prefixes: that they occur, and that they occur repeatedly and densely."""
+    value, times = np.unique(states, return_counts=True)
+    dense = value[(times >= 2) & (1000 * times >= DENSE * words)]
+    # `kind` keeps prefixes apart from whole words, and both apart from their dense forms.
+    return np.concatenate([mixed(value ^ np.uint64(kind)), mixed(dense ^ np.uint64(kind | 64))])
 
 
 def features(text: str | None) -> np.ndarray:
@@ -40,18 +51,18 @@ def features(text: str | None) -> np.ndarray:
     if not len(first):
         return np.zeros(0, np.int64)
     # A prefix's hash is a polynomial over its letters: the same for all words that begin with it.
-    state, found = np.zeros(len(first), np.uint64), []
+    state, found, whole = np.zeros(len(first), np.uint64), [], []
     live, step = np.arange(len(first)), 0
     while len(live):
         state[live] = (state[live] + code[first[live] + step].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         step += 1
         if step in PREFIXES:
-            # A set bit keeps prefixes apart from whole words.
-            found.append(mixed(np.unique(state[live]) ^ np.uint64(step)))
+            found.append(_levels(state[live], step, len(first)))
         done = size[live] == step
         if done.any():
-            found.append(mixed(np.unique(state[live[done]])))
+            whole.append(state[live[done]])
             live = live[~done]
+    found.append(_levels(np.concatenate(whole), 0, len(first)))
     return np.unique(np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
@@ -104,37 +115,38 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 
 def _chosen(rows: DataFrame, n_p: int, n_u: int, most: int) -> np.ndarray:
-    """Features far more frequent in positives: at least 5 positives and three times the rate, by the strength of the excess."""
+    """Features far more frequent in positives: at least 5, three times the rate and 6 deviations above it, strongest first."""
     rate_p, rate_u = (F.col("p") + 0.0) / n_p, (F.col("u") + 1.0) / (n_u + 1.0)
-    strong = _counts(rows).where((F.col("p") >= 5) & (rate_p >= 3 * rate_u))
+    strong = _counts(rows).where((F.col("p") >= 5) & (rate_p >= 3 * rate_u) & (F.col("p") - n_p * rate_u >= 6 * F.sqrt(n_p * rate_u)))
     top = strong.select("feature", ((rate_p - rate_u) / F.sqrt(rate_u)).alias("s")).orderBy(F.desc("s"), "feature").limit(most)
     return np.sort(np.array([r["feature"] for r in top.collect()], np.int64))
 
 
-def _nonnegative(rows: list[np.ndarray], positive: np.ndarray, width: int, prior: float, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic nnPU risk minimised by Adam over all rows; ``rows`` hold column numbers."""
+def _nonnegative(rows: list[np.ndarray], positive: np.ndarray, width: int, prior: float, share: float, steps: int = 600) -> tuple[np.ndarray, float]:
+    """Logistic nnPU risk minimised by Adam over all rows; ``rows`` hold column numbers.
+
+    All text is the unlabelled rows and the ``share`` of confirmed examples together, so the negatives' risk is
+    ``(1 - share) * unlabelled - (prior - share) * positive``, kept at or above zero.
+    """
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     is_p, is_u = positive == 1, positive == 0
     n_p, n_u = max(1, is_p.sum()), max(1, is_u.sum())
+    hidden = max(0.0, prior - share)
     w, b = np.zeros(width), np.log(prior / (1 - prior))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, steps + 1):
         z = b + np.bincount(at, w[col], len(rows))
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        loss_neg = np.logaddexp(0, z)
-        rest = loss_neg[is_u].mean() - prior * loss_neg[is_p].mean() if is_u.any() else 0.0
-        # Derivatives by z: positive loss s - 1, negative loss s.
-        up = np.zeros(len(rows))
-        if rest >= 0:
-            up[is_p] = prior * ((s[is_p] - 1) - s[is_p]) / n_p
-            up[is_u] = s[is_u] / n_u
-        else:  # the corrected part is overfitted: step back on it alone
-            up[is_p] = prior * s[is_p] / n_p
-            up[is_u] = -s[is_u] / n_u
-        grad = np.append(np.bincount(col, up[at], width)[:width] + 1e-5 * w, up.sum())
+        loss = np.logaddexp(0, z)
+        rest = (1 - share) * loss[is_u].sum() / n_u - hidden * loss[is_p].sum() / n_p
+        # Derivatives by z: s - 1 of the positive loss, s of the negative one.
+        up = np.where(is_p, (prior * (s - 1) - hidden * s) / n_p, (1 - share) * s / n_u)
+        if rest < 0:  # the corrected part is overfitted: step back on it alone
+            up = np.where(is_p, hidden * s / n_p, -(1 - share) * s / n_u)
+        grad = np.append(np.bincount(col, up[at], width)[:width] + DECAY * w, up.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
     return w, float(b)
 
@@ -151,9 +163,12 @@ def train(
 ) -> Model:
     """Fit on the documents that are not held out. Without toxic examples every score is the prior's floor."""
     rows = checkpointed(sample(docs, labels, id_col, text_col, label_col, max_positive, max_unlabelled).repartition(16))
-    # The prior: the share of toxic labels among all learnable ones.
-    seen = labels.where(~held_out(id_col)).where(F.col(label_col).isNotNull()).agg(F.avg(F.col(label_col).cast("double"))).first()[0]
-    prior = min(0.9, max(1e-3, seen or 0.0))
+    # The prior: the share of toxic labels among all learnable ones. The share: confirmed examples among learnable documents.
+    known = labels.where(~held_out(id_col)).where(F.col(label_col).isNotNull()).agg(
+        F.avg((F.col(label_col) == 1).cast("double")).alias("rate"), F.sum((F.col(label_col) == 1).cast("bigint")).alias("n")
+    ).first()
+    prior = min(0.9, max(1e-3, known["rate"] or 0.0))
+    share = min(prior, (known["n"] or 0) / max(1, docs.where(~held_out(id_col)).count()))
     sizes = {r["positive"]: r["n"] for r in rows.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1):
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(1e-3)))
@@ -168,7 +183,7 @@ def train(
     got = rows.mapInPandas(narrow, "columns array<bigint>, positive int").collect()
     got.sort(key=lambda r: (r["positive"], r["columns"]))
     held = [np.array(r["columns"], np.int64) for r in got]
-    w, b = _nonnegative(held, np.array([r["positive"] for r in got]), len(chosen), prior)
+    w, b = _nonnegative(held, np.array([r["positive"] for r in got]), len(chosen), prior, share)
     return Model(chosen, w, b)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribelake.llm import block_naming, cross_parsing, histogram_shards, line_chunks, rule_ledger, simhash_pivots, swap_packing, toxicity_pu
+from scribelake.llm import block_naming, cross_parsing, histogram_shards, line_chunks, piece_sampling, rule_ledger, simhash_pivots, swap_packing, toxicity_pu
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -80,6 +80,20 @@ def op8_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_piece_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Sampled segmentations of ``documents``: size and digest of the ids, digest of the decoded text, and whether it is the text."""
+    path = tokenizer("piece_bpe_32k.model")
+    rows = piece_sampling.segmentations(_table(spark, folder, "documents"), path)
+    back = rows.select("id", "text", F.size("ids").alias("n_pieces"), piece_sampling.ids_crc32(F.col("ids")).alias("ids_crc32"), piece_sampling.decoded(F.col("ids"), path).alias("back"))
+    return back.select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("text").isNotNull(), F.col("n_pieces")).alias("n_pieces"),
+        "ids_crc32",
+        F.sha2("back", 256).alias("decoded_sha256"),
+        F.col("back").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
 def op10_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Shards of near equal bytes for ``documents``."""
     out = histogram_shards.assign(_table(spark, folder, "documents"))

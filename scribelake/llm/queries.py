@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribelake.llm import block_naming, cross_parsing, histogram_shards, line_chunks, piece_sampling, rule_ledger, simhash_pivots, swap_packing, toxicity_pu
+from scribelake.llm import block_naming, cross_parsing, histogram_shards, html_wrappers, line_chunks, piece_sampling, rule_ledger, simhash_pivots, swap_packing, toxicity_pu
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_wrappers(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of ``pages``."""
+    out = html_wrappers.extracted(_table(spark, folder, "pages"))
+    return out.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def op2_block_naming(spark: SparkSession, folder: str) -> DataFrame:
     """Exact dedup of ``documents`` by block names."""
     return block_naming.groups(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")

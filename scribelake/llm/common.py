@@ -7,13 +7,10 @@ import zlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch where whole texts cross to Python, so that long texts stay within memory.
-TEXT_ROWS = 512
-
-
 def held_out(id_col: str | Column) -> Column:
     """The third of the documents whose labels are never learnt from: crc32 of the id as text, modulo 3, is 1."""
-    return F.crc32(F.coalesce(F.col(id_col) if isinstance(id_col, str) else id_col, F.lit("")).cast("string")) % 3 == 1
+    as_text = (F.col(id_col) if isinstance(id_col, str) else id_col).cast("string")
+    return F.crc32(F.coalesce(as_text, F.lit(""))) % 3 == 1
 
 
 def crc_of(ids) -> int:

@@ -70,16 +70,19 @@ def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
 def parse_table(step: list[dict[int, int]], width: int) -> np.ndarray:
     """The automaton as a flat table of ``(next state * width) * 2 + 1 if a phrase ended``; the last symbol is padding.
 
-    Where a match cannot go on, the symbol opens the next phrase; one that the language lacks is a phrase of its own.
+    Where a match cannot go on, the symbol opens the next phrase. A symbol that the language lacks is a phrase of its own: it leads to
+    one more state, from which every symbol opens a phrase. State 0 is the start only.
     """
-    after_end = np.zeros(width, np.int64)
+    alone = len(step)
+    opened = np.full(width, alone, np.int64)
     for c, to in step[0].items():
-        after_end[c] = to
-    table = np.tile(after_end * width * 2 + 1, (len(step), 1))
+        opened[c] = to
+    table = np.tile(opened * width * 2 + 1, (len(step) + 1, 1))
+    table[0] -= 1
     for s, moves in enumerate(step):
         for c, to in moves.items():
             table[s, c] = to * width * 2
-    table[:, width - 1] = np.arange(len(step)) * width * 2
+    table[:, width - 1] = np.arange(len(step) + 1) * width * 2
     return table.ravel().astype(np.int32 if table.max() < 1 << 31 else np.int64)
 
 

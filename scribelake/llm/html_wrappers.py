@@ -303,7 +303,8 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
                     held[host] = _aligned(held[host], one) if host in held else one
                     if len(held) >= HOSTS_HELD:
                         yield passed_on()
-        yield passed_on()
+        if held:
+            yield passed_on()
 
     schema = "host string, wrapper string"
     partial = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInPandas(infer, schema).distinct()

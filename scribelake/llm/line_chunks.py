@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from scribelake.session import checkpointed
 
 #: Mean number of lines between two boundaries.
-DIVISOR = 3
+DIVISOR = 2
 MIN_WORDS = 50
 KEY = ["_id", "_h1", "_h2"]
 

@@ -83,6 +83,7 @@ class _Search:
         self.of = np.empty(len(lengths), np.int64)
         for k, b in enumerate(bins):
             self.of[b] = k
+        self.pairs = None
 
     def _shift(self, give: list[int], take: list[int], source: int, target: int) -> None:
         for i in give:
@@ -93,6 +94,7 @@ class _Search:
             self.bins[target].remove(i)
             self.bins[source].append(i)
             self.of[i] = source
+        self.pairs = None
         moved = int(self.lengths[give].sum() - (self.lengths[take].sum() if take else 0))
         self.fill[source] -= moved
         self.fill[target] += moved
@@ -118,26 +120,24 @@ class _Search:
         self._shift(give, [take], source, int(self.of[take]))
         return True
 
+    def _neighbours(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of items next to each other in length inside a bin; kept until something moves."""
+        if self.pairs is None:
+            order = np.lexsort((self.lengths, self.of))
+            same = self.of[order[:-1]] == self.of[order[1:]]
+            self.pairs = order[:-1][same], order[1:][same]
+        return self.pairs
+
     def _swap_for_two(self, source: int, i: int) -> bool:
-        weight = int(self.lengths[i])
-        for target in np.flatnonzero((self.fill < self.capacity) & (self.fill > 0)).tolist():
-            held = sorted(self.bins[target], key=lambda j: (self.lengths[j], j))
-            if target == source or len(held) < 2:
-                continue
-            gap = self.capacity - int(self.fill[target])
-            low, high, best = 0, len(held) - 1, None
-            while low < high:
-                gain = weight - int(self.lengths[held[low]] + self.lengths[held[high]])
-                if gain > gap:
-                    low += 1
-                    continue
-                if gain > 0 and (best is None or gain > best[0]):
-                    best = (gain, held[low], held[high])
-                high -= 1
-            if best and self.fill[target] + best[0] > self.fill[source]:
-                self._shift([i], [best[1], best[2]], source, target)
-                return True
-        return False
+        a, b = self._neighbours()
+        target = self.of[a]
+        gain = int(self.lengths[i]) - self.lengths[a] - self.lengths[b]
+        ok = (gain > 0) & (gain <= self.capacity - self.fill[target]) & (target != source) & (self.fill[target] + gain > self.fill[source])
+        if not ok.any():
+            return False
+        best = int(np.argmax(np.where(ok, gain, 0)))
+        self._shift([i], [int(a[best]), int(b[best])], source, int(target[best]))
+        return True
 
     def _improve(self, source: int) -> bool:
         held = sorted(self.bins[source], key=lambda j: (-self.lengths[j], j))
@@ -149,16 +149,15 @@ class _Search:
         )
 
     def run(self) -> list[list[int]]:
-        least = math.ceil(int(self.lengths.sum()) / self.capacity)
-        stuck: set[int] = set()
-        while int((self.fill > 0).sum()) > least:
-            order = [k for k in np.argsort(self.fill, kind="stable").tolist() if 0 < self.fill[k] < self.capacity and k not in stuck]
-            if not order:
-                break
-            if self._improve(order[0]):
-                stuck.clear() if self.fill[order[0]] == 0 else None
-            else:
-                stuck.add(order[0])
+        """Sweep over the underfull bins, emptiest first, until a sweep changes nothing or no fewer bins can do."""
+        least, changed = math.ceil(int(self.lengths.sum()) / self.capacity), True
+        while changed:
+            changed = False
+            for source in np.argsort(self.fill, kind="stable").tolist():
+                if int((self.fill > 0).sum()) <= least:
+                    return [b for b in self.bins if b]
+                while 0 < self.fill[source] < self.capacity and self._improve(source):
+                    changed = True
         return [b for b in self.bins if b]
 
 

@@ -25,6 +25,8 @@ from pyspark.sql.types import StringType
 from scribelake.session import checkpointed
 
 SALTS = 32
+#: Measured size up to which the hosts' paths are sent to all executors instead of moving the pages.
+BROADCAST_BYTES = 8 << 20
 #: Wrappers a task keeps before it passes them on.
 HOSTS_HELD = 2_000
 #: Share of a container's varying text that one child must hold for the search to go on inside it.
@@ -318,7 +320,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Repeated rows and null ids are rows like any other; an empty input gives an empty result. Other columns are not read.
     """
     to_path = F.udf(lambda w: json.dumps(main_path(json.loads(w))), StringType())
-    # One short row per host; stored, so that the join is of two plain sides and a hot host can be split.
+    # One short row per host.
     paths = checkpointed(wrappers(pages, url_col, html_col).select("host", to_path("wrapper").alias("path")))
 
     @F.pandas_udf(StringType())
@@ -327,5 +329,13 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         return pd.Series([extract(h, known.get(p, [])) for h, p in zip(html, path)], dtype=object)
 
     plain = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    joined = plain.withColumn("host", host_of(F.col("url"))).join(paths, "host", "left")
+    hosted = plain.withColumn("host", host_of(F.col("url")))
+    size = paths.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        joined = hosted.join(F.broadcast(paths), "host", "left")
+    else:
+        # Pages of a host are spread over SALTS keys; its one short row goes to each.
+        spread = hosted.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)))
+        each = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("bigint"))
+        joined = spread.join(each, ["host", "salt"], "left")
     return joined.select("id", "url", text_of("html", "path").alias("text"))

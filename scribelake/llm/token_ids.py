@@ -61,7 +61,7 @@ class _Known(dict):
 class Encoder:
     """Encodes texts; keeps the ids of about ``entries`` words."""
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = 100_000):
         ids_of = loaded(path)
         self.entries = entries
         self.first, self.spaced = _Known(ids_of, ""), _Known(ids_of, " ")

@@ -5,8 +5,8 @@ toxic examples far more often than elsewhere are found by counting over all lear
 these is trained with NumPy from confirmed toxic examples and unlabelled text. The risk corrects the unlabelled part by the class
 prior and never lets it fall below zero (Kiryo et al., 2017). Negative labels serve for nothing but the prior.
 
-The model is fitted on a bounded sample: at most ``max_positive`` toxic and ``max_unlabelled`` other documents, those with the least
-hash, one of each text. Counting, too, covers this sample only; scoring covers every whole text.
+The model is fitted on a bounded sample: about ``max_positive`` toxic and ``max_unlabelled`` other documents, those with the least
+hashes, one of each text. Counting, too, covers this sample only; scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -85,18 +85,23 @@ class Model:
 def sample(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_positive: int, max_unlabelled: int
 ) -> DataFrame:
-    """``text, positive``: the learnable documents with the least hash, one of each text."""
+    """``text, positive``: about ``max_positive`` and ``max_unlabelled`` learnable documents, one of each text.
+
+    A text is taken if its hash lies in the share of the hash range that leaves this many rows; no rows are ranked or gathered.
+    """
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     toxic = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id"), F.lit(1).alias("positive")).distinct()
     learn = plain.where(~held_out("id")).where("text IS NOT NULL").join(toxic, "id", "left")
     keyed = learn.select("text", F.coalesce("positive", F.lit(0)).alias("positive"), F.xxhash64("text").alias("h"))
-    # A rank limit inside each task comes before the exchange, so few rows reach the one window per class.
-    rank = F.row_number().over(Window.partitionBy("positive").orderBy("h"))
-    limit = F.when(F.col("positive") == 1, 2 * max_positive).otherwise(2 * max_unlabelled)
-    most = 2 * max(max_positive, max_unlabelled)
-    picked = keyed.withColumn("rank", rank).where(F.col("rank") <= most).where(F.col("rank") <= limit)
-    once = picked.dropDuplicates(["positive", "h"]).withColumn("rank", F.row_number().over(Window.partitionBy("positive").orderBy("h")))
-    return once.where(F.col("rank") <= F.when(F.col("positive") == 1, max_positive).otherwise(max_unlabelled)).select("text", "positive")
+    # The texts stay where they are while the classes are counted: ids and labels only.
+    ids = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id")).where(~held_out("id"))
+    marked = ids.join(toxic, "id", "left").groupBy(F.coalesce("positive", F.lit(0)).alias("positive")).count().collect()
+    n = {r["positive"]: r["count"] for r in marked}
+    share = F.lit(0.0)
+    for kind, most in ((0, max_unlabelled), (1, max_positive)):
+        share = F.when(F.col("positive") == kind, min(1.0, most / max(1, n.get(kind, 0)))).otherwise(share)
+    place = F.shiftrightunsigned("h", 11) / float(1 << 53)
+    return keyed.where(place < share).groupBy("positive", "h").agg(F.first("text").alias("text")).select("text", "positive")
 
 
 def _counts(rows: DataFrame) -> DataFrame:

@@ -4,9 +4,20 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows per batch in which whole texts cross to Python.
+TEXT_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's default, for rows as wide as texts; a value set by the user stays."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(TEXT_ROWS))
+
+
 def held_out(id_col: str | Column) -> Column:
     """The third of the documents whose labels are never learnt from: crc32 of the id as text, modulo 3, is 1."""
     as_text = (F.col(id_col) if isinstance(id_col, str) else id_col).cast("string")

@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribelake.llm import block_naming, cross_parsing, histogram_shards, html_wrappers, line_chunks, piece_sampling, rule_ledger, simhash_pivots, swap_packing, toxicity_pu
+from scribelake.llm import (
+    block_naming,
+    cross_parsing,
+    histogram_shards,
+    html_wrappers,
+    line_chunks,
+    piece_sampling,
+    rule_ledger,
+    simhash_pivots,
+    swap_packing,
+    toxicity_pu,
+)
+from scribelake.llm.common import bounded_batches
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -189,5 +189,7 @@ def packed(
             offset[items] = np.cumsum(lengths[items]) - lengths[items]
         return pd.DataFrame({"row": group["row"], "sequence_id": sequence, "offset": offset})
 
-    placed = dealt.select("row", "length", "bucket").groupBy("bucket").applyInPandas(fit, "row bigint, sequence_id bigint, offset bigint")
+    # A fixed number of partitions: small as the rows are, a bucket is seconds of work and should not share its task with many.
+    spread = dealt.select("row", "length", "bucket").repartition(min(buckets, 8192), "bucket")
+    placed = spread.groupBy("bucket").applyInPandas(fit, "row bigint, sequence_id bigint, offset bigint")
     return whole.unionByName(part.join(placed, "row")).drop("row")

@@ -7,10 +7,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_BITS = 21
-_SUB, _DEL, _INS = 1 << (2 * _BITS), 1 << _BITS, 1
-_MASK = (1 << _BITS) - 1
-
 WER = T.StructType(
     [
         T.StructField("S", T.LongType()),
@@ -20,55 +16,85 @@ WER = T.StructType(
     ]
 )
 
+# Cells of one diagonal over all pairs aligned together.
+BATCH_CELLS = 1 << 16
 
-def edit_counts(ref, hyp) -> tuple[int, int, int]:
-    """Substitutions, deletions, insertions; ties prefer them in this order.
 
-    Cells of one anti-diagonal do not depend on each other, so each diagonal is
-    one vector step. Counts are packed in one integer; their sum is the cost.
+def batch_counts(pairs: list[tuple]) -> np.ndarray:
+    """Substitutions, deletions, insertions per (reference, hypothesis); ties prefer them in this order.
+
+    Pairs of like length are aligned together. Cells of an anti-diagonal do not
+    depend on each other, so a diagonal of all pairs is one vector step; a cell
+    holds its cost, deletions and insertions. What pads a shorter pair lies
+    behind its last cell and cannot reach it.
     """
-    n, m = len(ref), len(hyp)
-    if n == 0 or m == 0:
-        return 0, n, m
+    out = np.zeros((len(pairs), 3), np.int64)
     ids: dict[str, int] = {}
-    a = np.fromiter((ids.setdefault(w, len(ids)) for w in ref), np.int64, n)
-    b = np.fromiter((ids.setdefault(w, len(ids)) for w in hyp), np.int64, m)[::-1]
-    # Row i of a diagonal holds cell (i, d - i); arrays are indexed by i.
-    cost2 = np.zeros(n + 1, np.int64)
-    pack2 = np.zeros(n + 1, np.int64)
-    cost1 = np.zeros(n + 1, np.int64)
-    pack1 = np.zeros(n + 1, np.int64)
-    cost1[0], pack1[0], cost1[1], pack1[1] = 1, _INS, 1, _DEL
-    for d in range(2, n + m + 1):
-        lo, hi = max(1, d - m), min(n, d - 1)
-        cost, pack = np.empty(n + 1, np.int64), np.empty(n + 1, np.int64)
-        if d <= m:
-            cost[0], pack[0] = d, d * _INS
-        if d <= n:
-            cost[d], pack[d] = d, d * _DEL
-        if lo <= hi:
-            same = a[lo - 1 : hi] == b[m - d + lo : m - d + hi + 1]
-            diag_c, diag_p = cost2[lo - 1 : hi], pack2[lo - 1 : hi]
-            up_c, left_c = cost1[lo - 1 : hi], cost1[lo : hi + 1]
-            best_c, best_p = diag_c + 1, diag_p + _SUB
-            take = up_c + 1 < best_c
-            best_c = np.where(take, up_c + 1, best_c)
-            best_p = np.where(take, pack1[lo - 1 : hi] + _DEL, best_p)
-            take = left_c + 1 < best_c
-            best_c = np.where(take, left_c + 1, best_c)
-            best_p = np.where(take, pack1[lo : hi + 1] + _INS, best_p)
-            cost[lo : hi + 1] = np.where(same, diag_c, best_c)
-            pack[lo : hi + 1] = np.where(same, diag_p, best_p)
-        cost2, pack2, cost1, pack1 = cost1, pack1, cost, pack
-    packed = int(pack1[n])
-    return packed >> (2 * _BITS), (packed >> _BITS) & _MASK, packed & _MASK
+    coded = [tuple(np.fromiter((ids.setdefault(w, len(ids)) for w in side), np.int64, len(side)) for side in pair) for pair in pairs]
+    sizes = np.array([(len(a), len(b)) for a, b in coded], np.int64).reshape(-1, 2)
+    order = np.argsort(sizes.sum(axis=1), kind="stable")
+    at = 0
+    while at < len(order):
+        stop, widest = at, 0
+        while stop < len(order):
+            widest = max(widest, int(sizes[order[stop], 0]))
+            if stop > at and (stop + 1 - at) * (widest + 1) > BATCH_CELLS:
+                break
+            stop += 1
+        group = order[at:stop]
+        out[group] = _aligned([coded[k] for k in group], sizes[group])
+        at = stop
+    return out
+
+
+def _aligned(pairs: list[tuple], sizes: np.ndarray) -> np.ndarray:
+    rows = np.arange(len(pairs))
+    n, m = (int(x) for x in sizes.max(axis=0))
+    ref, hyp = np.full((len(pairs), n), -1, np.int64), np.full((len(pairs), m), -2, np.int64)
+    for k, (a, b) in enumerate(pairs):
+        ref[k, : len(a)], hyp[k, : len(b)] = a, b
+    hyp = hyp[:, ::-1]
+    ends = sizes.sum(axis=1)
+    out = np.zeros((len(pairs), 3), np.int64)
+    # Last axis: cost, deletions, insertions. Row i of diagonal d is cell (i, d - i).
+    older = np.zeros((len(pairs), n + 1, 3), np.int64)
+    newer = np.zeros((len(pairs), n + 1, 3), np.int64)
+    newer[:, 0] = (1, 0, 1)
+    if n:
+        newer[:, 1] = (1, 1, 0)
+    for d in range(1, n + m + 1):
+        if d > 1:
+            cell = np.zeros_like(newer)
+            if d <= m:
+                cell[:, 0] = (d, 0, d)
+            if d <= n:
+                cell[:, d] = (d, d, 0)
+            low, high = max(1, d - m), min(n, d - 1)
+            if low <= high:
+                same = ref[:, low - 1 : high] == hyp[:, m - d + low : m - d + high + 1]
+                diagonal, up, left = older[:, low - 1 : high], newer[:, low - 1 : high], newer[:, low : high + 1]
+                best = diagonal + (1, 0, 0)
+                best = np.where((up[..., :1] + 1 < best[..., :1]), up + (1, 1, 0), best)
+                best = np.where((left[..., :1] + 1 < best[..., :1]), left + (1, 0, 1), best)
+                cell[:, low : high + 1] = np.where(same[..., None], diagonal, best)
+            older, newer = newer, cell
+        done = rows[ends == d]
+        out[done] = newer[done, sizes[done, 0]]
+    return np.stack([out[:, 0] - out[:, 1] - out[:, 2], out[:, 1], out[:, 2]], axis=1)
+
+
+def edit_counts(ref, hyp) -> tuple[int, int, int]:
+    """The counts of one pair."""
+    return tuple(int(x) for x in batch_counts([(ref, hyp)])[0])
 
 
 @F.pandas_udf(WER)
 def wer_counts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     """S, D, I and N per pair of token arrays; nulls where either side is null."""
-    rows = [
-        (None, None, None, None) if r is None or h is None else (*edit_counts(r, h), len(r))
-        for r, h in zip(ref, hyp)
-    ]
-    return pd.DataFrame(rows, columns=["S", "D", "I", "N"]).astype("Int64")
+    both = [i for i, (r, h) in enumerate(zip(ref, hyp)) if r is not None and h is not None]
+    pairs = [(ref.iloc[i], hyp.iloc[i]) for i in both]
+    out = pd.DataFrame(index=range(len(ref)), columns=["S", "D", "I", "N"], dtype="Int64")
+    if pairs:
+        out.loc[both, ["S", "D", "I"]] = batch_counts(pairs)
+        out.loc[both, "N"] = [len(r) for r, _ in pairs]
+    return out

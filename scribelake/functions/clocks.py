@@ -30,7 +30,7 @@ def civil(day: Column, clock: Column) -> Column:
 def iso_parts(text: Column | str) -> Column:
     """Struct(day, clock, fraction, offset, at) of an ISO clock, null when malformed."""
     x = _col(text)
-    day, clock, rest = F.substring(x, 1, 10), F.substring(x, 12, 8), F.substring(x, 20, 64)
+    day, clock, rest = F.substring(x, 1, 10), F.substring(x, 12, 8), F.substr(x, F.lit(20))
     offset = F.regexp_extract(rest, r"(Z|[+-][0-9]{2}:[0-9]{2})?$", 1)
     at = civil(day, clock)
     # Offsets stay below 24 hours.

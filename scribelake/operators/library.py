@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scribelake.functions.clocks import instant
-from scribelake.functions.text import fold, fold_nfc, natural_key, text_lines
+from scribelake.functions.text import casefold, fold_nfc, natural_key, text_lines
 from scribelake.operators.ordered import BLOCK_ROWS, numbered, split_runs
 
 # Longest gap inside a group, and the UI state buckets.
@@ -101,9 +101,9 @@ def state_bucket(state: Column) -> Column:
 
 
 def matches_text(haystack: Column, needle: str) -> Column:
-    """Folded substring; an empty needle matches all."""
+    """Substring after casefolding both sides; an empty needle matches all."""
     wanted = needle.casefold().strip()
-    return F.contains(fold(haystack), F.lit(wanted)) if wanted else F.lit(True)
+    return F.contains(casefold(haystack), F.lit(wanted)) if wanted else F.lit(True)
 
 
 def library_search(reports: DataFrame, needle: str) -> DataFrame:
@@ -130,7 +130,7 @@ def result_search(results: DataFrame, segments: DataFrame, labels: DataFrame, ne
 def line_matches(reports: DataFrame, needle: str) -> DataFrame:
     return (
         reports.select("report_id", F.posexplode(text_lines("report_text")).alias("pos", "text"))
-        .where(F.contains(fold("text"), F.lit(needle.casefold())) if needle else F.lit(False))
+        .where(F.contains(casefold("text"), F.lit(needle.casefold())) if needle else F.lit(False))
         .select("report_id", (F.col("pos") + 1).alias("line"), "text")
     )
 

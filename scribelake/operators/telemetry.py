@@ -162,8 +162,13 @@ def valid_event(
     states: tuple[str, ...] = (
         "waiting", "checking", "processing", "completed", "review_required", "failed", "cancelled"
     ),
+    admission: Column | None = None,
 ) -> Column:
-    """Schema check of a progress event before any state is touched."""
+    """Schema check of a progress event before any state is touched.
+
+    ``admission`` says whether an admission event is well formed (``valid_admission``);
+    without it no such event is.
+    """
     elapsed = F.col("elapsed")
     good = elapsed.isNotNull() & ~F.isnan(elapsed) & (elapsed >= 0) & (elapsed < F.lit(float("inf")))
     per_job = F.col("job_id").isNotNull() & F.col("attempt_id").isNotNull() & F.col("index").isNotNull()
@@ -172,7 +177,8 @@ def valid_event(
         (F.col("seq") >= 0)
         & F.when(kind.isin("file", "progress"), per_job & F.col("state").isin(*states) & (F.col("stage") != "") & good)
         .when(kind.isin("metadata", "drained", "cleanup_required"), per_job)
-        .when(kind.isin("batch", "admission", "result", "cancelled", "error"), F.lit(True))
+        .when(kind == "admission", F.lit(False) if admission is None else admission)
+        .when(kind.isin("batch", "result", "cancelled", "error"), F.lit(True))
         .otherwise(False),
         F.lit(False),
     )

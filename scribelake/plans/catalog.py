@@ -21,18 +21,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(df) if name in _WIDE_TEXT else df
-
-
-# Tables whose rows carry long texts: worth spreading when a scan has few splits.
-_WIDE_TEXT = ("documents", "conversations", "pages")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Even out a scan with fewer splits than cores; a scan with enough is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
 def query(name: str, oracle: str | None = None, *, bigint: str = "", double: str = ""):

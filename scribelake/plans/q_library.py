@@ -78,11 +78,11 @@ def f8(t):
 
 
 @query("F9_natural_key", r"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(lower(regexp_extract(url, '[^/]*$')), '[0-9]+|[^0-9]+'),
-  lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN '0:' || lpad(regexp_replace(p, '^0+(.)', '\1'), 12, '0') ELSE '1:' || p END), '|') AS sort_key FROM pages""")
+  lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN '0:' || length(regexp_replace(p, '^0+(.)', '\1')) || ':' || regexp_replace(p, '^0+(.)', '\1') ELSE '1:' || p END), '|') AS sort_key FROM pages""")
 def f9(t):
     key = F.transform(
         tx.natural_key("url"),
-        lambda p: F.concat(p["kind"].cast("string"), F.lit(":"), F.when(p["kind"] == 0, F.lpad(p["text"], 12, "0")).otherwise(p["text"])),
+        lambda p: F.concat(p["kind"].cast("string"), F.lit(":"), F.when(p["kind"] == 0, F.concat(p["digits"].cast("string"), F.lit(":"), p["text"])).otherwise(p["text"])),
     )
     return lib.natural_sort(t.pages, "url").select("page_id", F.array_join(key, "|").alias("sort_key"))
 
@@ -96,13 +96,13 @@ def f10(t):
     )
 
 
-@query("F13_clean_title_slug", r"""WITH x AS (SELECT doc_id, trim(regexp_replace(string_split(text, chr(10))[1], '[\s\p{Z}]+', ' ', 'g')) AS t FROM documents), y AS (
+@query("F13_clean_title_slug", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), x AS (SELECT doc_id, trim(regexp_replace(line, '[\s\p{Z}]+', ' ', 'g')) AS t FROM l), y AS (
  SELECT doc_id, CASE WHEN length(t) BETWEEN 1 AND 160 AND NOT regexp_matches(t, '\p{C}') THEN t END AS title FROM x), z AS (
  SELECT *, substr(regexp_replace(regexp_replace(regexp_replace(title, '[^\p{L}\p{N}_-]', '-', 'g'), '-+', '-', 'g'), '^[-_]+|[-_]+$', '', 'g'), 1, 72) AS s FROM y)
 SELECT doc_id, title, CASE WHEN s = '' THEN 'recordings' ELSE s END AS slug FROM z""")
 def f13(t):
-    title = tx.clean_title(F.split("text", "\n")[0])
-    return t.documents.select("doc_id", title.alias("title")).withColumn("slug", tx.slug("title"))
+    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.select("doc_id", tx.clean_title("line").alias("title")).withColumn("slug", tx.slug("title"))
 
 
 @query("F14_cpu_seconds", """SELECT event_id, (user_id % 3) * 86400 + (event_id % 24) * 3600 + (event_id % 60) * 60 + round(value % 60, 2) AS seconds FROM events""")
@@ -230,7 +230,7 @@ def p8(t):
 WHERE contains(lower(filename), 'rude') OR contains(lower(coalesce(course, '')), 'rude') OR contains(lower(coalesce(speaker, '')), 'rude') OR contains(replace(lower(text), 'ß', 'ss'), 'rude')""")
 def p9(t):
     rows = st.results(t).select("result_id", "filename")
-    segments = st.lines(t).select(F.concat(F.lit("r-"), F.substring("source_id", 5, 30)).alias("result_id"), "text")
+    segments = st.lines(t).select(F.concat(F.lit("r-"), F.substr(F.col("source_id"), F.lit(5))).alias("result_id"), "text")
     return lib.result_search(rows, segments, st.labels(t), "RUDE")
 
 

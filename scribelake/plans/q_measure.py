@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scribelake.functions.text import agreement_ratio, compression_ratio, tokens_review, tokens_ws
+from scribelake.functions.text import REVIEW_TOKEN, agreement_ratio, compression_ratio, tokens_review, tokens_ws
 from scribelake.operators import audit, exports, levels, review, timeline
 from scribelake.operators import telemetry as tel
 from scribelake.plans import standins as st
@@ -129,16 +129,22 @@ def s13(t):
 
 # Progress
 
-JUDGED_SQL = f"""{st.PROGRESS_SQL}, f AS (SELECT *, seq >= 0 AS valid FROM progress), h AS (
-  SELECT *, max(CASE WHEN valid THEN seq END) OVER (PARTITION BY batch_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM f), g AS (
-  SELECT *, valid AND coalesce(seq > high, true) AS fresh FROM h), b AS (
-  SELECT batch_id, job_id, min(seq) AS bound, arg_min(attempt_id, seq) AS who FROM g WHERE fresh AND type = 'file' AND state = 'waiting' AND stage = 'queued' GROUP BY ALL), e AS (
-  SELECT batch_id, job_id, min(seq) AS fin FROM g JOIN b USING (batch_id, job_id) WHERE fresh AND seq >= bound AND attempt_id = who AND state = 'completed' GROUP BY ALL), judged AS (
-  SELECT g.*, CASE WHEN NOT valid THEN 'invalid' WHEN NOT fresh THEN 'stale' WHEN bound IS NULL OR seq < bound THEN 'unbound' WHEN attempt_id <> who THEN 'other_attempt' WHEN coalesce(seq > fin, false) THEN 'job_ended' ELSE 'accepted' END AS verdict
-  FROM g LEFT JOIN b USING (batch_id, job_id) LEFT JOIN e USING (batch_id, job_id)), acc AS (SELECT * FROM judged WHERE verdict = 'accepted'), l AS (
-  SELECT batch_id, job_id, arg_max(state, seq) AS state, arg_max(stage, seq) AS stage, arg_max(attempt_id, seq) AS attempt_id, max(seq) AS last_seq, max(elapsed) AS elapsed, count(*) AS events FROM acc GROUP BY ALL), settled AS (
-  SELECT l.*, (SELECT max(a.percent) FROM acc a WHERE a.batch_id = l.batch_id AND a.job_id = l.job_id AND a.stage = 'transcribing' AND l.stage = 'transcribing' AND a.percent BETWEEN 0 AND 100
-     AND a.seq > coalesce((SELECT max(x.seq) FROM acc x WHERE x.batch_id = l.batch_id AND x.job_id = l.job_id AND x.stage <> l.stage), -1)) AS percent FROM l)"""
+# The oracle replays each batch event by event, carrying the last accepted number and one entry per job.
+JUDGED_SQL = f"""RECURSIVE {st.PROGRESS_SQL}, placed AS (
+  SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY arrival) AS nth,
+         seq >= 0 AND CASE type WHEN 'admission' THEN requested BETWEEN 1 AND 9 AND admitted BETWEEN 0 AND requested AND reason <> '' ELSE true END AS valid FROM progress), fold AS (
+  SELECT batch_id, 0::BIGINT AS nth, NULL::BIGINT AS arrival, -1::BIGINT AS last, false AS closed, MAP {{}}::MAP(VARCHAR, STRUCT(who VARCHAR, fin BOOLEAN)) AS jobs, '' AS verdict FROM (SELECT DISTINCT batch_id FROM placed)
+  UNION ALL
+  SELECT batch_id, nth, arrival, CASE WHEN v = 'accepted' THEN seq ELSE last END, closed OR (v = 'accepted' AND type = 'result'),
+         CASE WHEN v = 'accepted' AND type IN ('file', 'progress') THEN map_concat(jobs, MAP {{job_id: {{'who': attempt_id, 'fin': state = 'completed'}}}}) ELSE jobs END, v
+  FROM (SELECT *, CASE WHEN NOT valid THEN 'invalid' WHEN closed THEN 'batch_closed' WHEN seq <= last THEN 'stale' WHEN type IN ('admission', 'result') THEN 'accepted'
+                       WHEN job IS NULL THEN CASE WHEN type = 'file' AND state = 'waiting' AND stage = 'queued' THEN 'accepted' ELSE 'unbound' END
+                       WHEN job.who <> attempt_id THEN 'other_attempt' WHEN job.fin AND type <> 'drained' THEN 'job_ended' ELSE 'accepted' END AS v
+        FROM (SELECT p.*, f.last, f.closed, f.jobs, map_extract_value(f.jobs, p.job_id) AS job FROM fold f JOIN placed p ON p.batch_id = f.batch_id AND p.nth = f.nth + 1))), judged AS (
+  SELECT p.*, f.verdict FROM fold f JOIN placed p USING (batch_id, nth) WHERE f.nth > 0), acc AS (SELECT * FROM judged WHERE verdict = 'accepted'), l AS (
+  SELECT batch_id, job_id, arg_max(state, seq) AS state, arg_max(stage, seq) AS stage, arg_max(attempt_id, seq) AS attempt_id, max(seq) AS last_seq, max(elapsed) AS elapsed, count(*) AS events FROM acc WHERE type IN ('file', 'progress') GROUP BY ALL), settled AS (
+  SELECT l.*, (SELECT max(a.percent) FROM acc a WHERE a.batch_id = l.batch_id AND a.job_id = l.job_id AND a.type IN ('file', 'progress') AND a.stage = 'transcribing' AND l.stage = 'transcribing' AND a.percent BETWEEN 0 AND 100
+     AND a.seq > coalesce((SELECT max(x.seq) FROM acc x WHERE x.batch_id = l.batch_id AND x.job_id = l.job_id AND x.type IN ('file', 'progress') AND x.stage <> l.stage), -1)) AS percent FROM l)"""
 
 
 @query("R3_progress_state", f"WITH {JUDGED_SQL} SELECT batch_id, job_id, state, stage, attempt_id, last_seq, elapsed, percent, events FROM settled")
@@ -161,10 +167,10 @@ def r10(t):
     return prog.rollup(prog.settled(_accepted(t)))
 
 
-@query("P24_event_valid", f"WITH {st.PROGRESS_SQL} SELECT arrival, seq >= 0 AND stage <> 'finished' AS valid FROM progress")
+@query("P24_event_valid", f"WITH {st.PROGRESS_SQL} SELECT arrival, seq >= 0 AND CASE type WHEN 'admission' THEN requested BETWEEN 1 AND 9 AND admitted BETWEEN 0 AND requested AND reason <> '' WHEN 'file' THEN stage <> 'finished' WHEN 'progress' THEN stage <> 'finished' ELSE true END AS valid FROM progress")
 def p24(t):
     state = F.when(F.col("stage") == "finished", "odd").otherwise(F.col("state"))
-    return st.progress(t).withColumn("state", state).select("arrival", tel.valid_event().alias("valid"))
+    return st.progress(t).withColumn("state", state).select("arrival", tel.valid_event(admission=tel.valid_admission(F.col("requested"), F.col("admitted"), F.col("reason"))).alias("valid"))
 
 
 @query("W9_running_percent", f"""WITH {st.PROGRESS_SQL}, c AS (SELECT *, lag(stage) OVER (PARTITION BY job_id ORDER BY arrival) AS p FROM progress), i AS (SELECT *, sum(CASE WHEN stage = p THEN 0 ELSE 1 END) OVER (PARTITION BY job_id ORDER BY arrival) AS stage_no FROM c)
@@ -363,7 +369,13 @@ def a4(t):
     return review.aggregate_wer(_wer(t), "role").withColumn("WER", F.round("WER", 6))
 
 
-@query("F3_tokens_review")
+REVIEW_SQL = (
+    "regexp_extract_all(translate(replace(lower({0}), 'ß', 'ss'), '‘’ʼ−', '" + "''" * 3 + "-'), '"
+    + REVIEW_TOKEN.replace("'", "''").replace("{", "{{").replace("}", "}}") + "')"
+)
+
+
+@query("F3_tokens_review", f"""WITH {st.LINES_SQL} SELECT source_id, idx, array_to_string({REVIEW_SQL.format('text')}, '|') AS tokens FROM lines""")
 def f3(t):
     return st.lines(t).select("source_id", "idx", F.array_join(tokens_review("text"), "|").alias("tokens"))
 
@@ -524,7 +536,7 @@ def _audit(t):
 
 def _stored(expected):
     """A saved copy in which some conversations were edited and some lost a segment."""
-    conv = F.substring("source_id", 5, 20).cast("bigint")
+    conv = F.substr(F.col("source_id"), F.lit(5)).cast("bigint")
     rows = expected.withColumn("text", F.when((conv % 9 == 0) & (F.col("idx") == 1), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     return rows.where(~((conv % 10 == 1) & (F.col("idx") == 2)))
 
@@ -572,7 +584,7 @@ SELECT source_id AS run_id, CASE WHEN list_position(ok, false) IS NULL THEN 'PAS
  coalesce(list_position(ok, false) - 1, {len(RUN_CHECKS)}) AS assertions_passed FROM c""")
 def q1(t):
     """Named checks per run over rebuilt facts, texts and pointers; the first failure decides."""
-    conv = F.substring("source_id", 5, 20).cast("bigint")
+    conv = F.substr(F.col("source_id"), F.lit(5)).cast("bigint")
     rows_audited = _audit(t)
     expected = checkpointed(timeline.segment_times(rows_audited, st.clocks(t)))
     moved = (conv % 12 == 5) & (F.col("idx") == 3)

@@ -124,11 +124,11 @@ def w4(t):
 
 @query("F17_review_reasons", f"""WITH {LINES_SQL}, n AS (SELECT *, {WS_SQL.format('text')} AS t FROM lines)
 SELECT source_id, idx, len(t) AS word_count, len(t) >= 12 AND len(list_distinct(t)) / len(t) < 0.3 AS high_internal_repetition
-FROM n WHERE len(t) >= 12""")
+FROM n""")
 def f17(t):
     rows = lines(t).withColumn("t", tokens_ws("text"))
     flags = quality.segment_flags(F.col("t"), F.col("start_seconds"), F.col("end_seconds"), F.col("text"))
-    return rows.where(F.size("t") >= 12).select(
+    return rows.select(
         "source_id", "idx", F.size("t").alias("word_count"),
         flags["high_internal_repetition"].alias("high_internal_repetition"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scribelake.plans import standins as st
 from scribelake.plans.catalog import query
 from scribelake.plans.q_change import OBS_SQL, _known_results, _observations
-from scribelake.plans.q_measure import SPANS_SQL
+from scribelake.plans.q_measure import JUDGED_SQL, SPANS_SQL
 from scribelake.session import shared_folder
 from scribelake.streaming import folder, progress, spans
 
@@ -61,6 +61,7 @@ def r1_stream(t):
     return drained(t, folder.folder_stream(seen, _known_results(t))).drop("version_key")
 
 
-@query("R3_progress_stream")
+@query("R3_progress_stream", f"WITH {JUDGED_SQL} SELECT batch_id, job_id, seq, verdict FROM judged")
 def r3_stream(t):
-    return drained(t, progress.progress_stream(st.progress(_Streamed(t))))
+    """Verdicts of the live form: the same as those of the stored form."""
+    return drained(t, progress.progress_stream(st.progress(_Streamed(t)))).select("batch_id", "job_id", "seq", "verdict")

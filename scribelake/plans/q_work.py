@@ -14,7 +14,7 @@ from scribelake.plans.catalog import query
 
 @query("P4_valid_id", r"""SELECT page_id, regexp_full_match(replace(substr(url, 9), '/', '_'), '[A-Za-z0-9][A-Za-z0-9_-]{0,95}') AS valid FROM pages""")
 def p4(t):
-    return t.pages.select("page_id", valid_id(F.replace(F.substring("url", 9, 10000), F.lit("/"), F.lit("_"))).alias("valid"))
+    return t.pages.select("page_id", valid_id(F.replace(F.substr(F.col("url"), F.lit(9)), F.lit("/"), F.lit("_"))).alias("valid"))
 
 
 @query("P5_source_rules", """WITH s AS (SELECT l_orderkey AS session_id, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS source_id, l_returnflag, l_linestatus, l_linenumber, l_quantity, l_partkey FROM lineitem)
@@ -165,13 +165,18 @@ def p21(t):
     return t.orders.select("o_orderkey", idn.has_required(state, hashes).alias("complete"))
 
 
-@query("J20_overlap_check", """WITH b AS (SELECT conv_id AS ses, string_agg(turn || ':' || left(md5(text), 1), ',' ORDER BY turn) AS l FROM conversations GROUP BY conv_id), a AS (SELECT l_orderkey AS sel, string_agg(DISTINCT l_linenumber - 1 || ':' || substr('0123456789abcdef', CAST(l_linenumber * 5 % 16 AS INTEGER) + 1, 1), ',' ORDER BY l_linenumber - 1 || ':' || substr('0123456789abcdef', CAST(l_linenumber * 5 % 16 AS INTEGER) + 1, 1)) AS l, max(l_linenumber) AS top FROM lineitem GROUP BY l_orderkey), e AS (SELECT l, min(ses) AS ses FROM b GROUP BY l)
-SELECT sel AS selection_id, ses AS reused_session, CASE WHEN ses IS NOT NULL THEN 'reuse' WHEN EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey = sel AND substr('0123456789abcdef', CAST(x.l_linenumber * 5 % 16 AS INTEGER) + 1, 1) IN (SELECT left(md5(text), 1) FROM conversations)) THEN 'conflict' ELSE 'new' END AS decision FROM a LEFT JOIN e USING (l)""")
+@query("J20_overlap_check", """WITH b AS (SELECT conv_id AS ses, turn AS pos, sha256(text) AS h FROM conversations), a AS (
+  SELECT conv_id + 1000000 AS sel, turn AS pos, CASE WHEN conv_id % 3 = 0 OR (conv_id % 3 = 1 AND turn = 0) THEN sha256(text) ELSE sha256(text || '!') END AS h FROM conversations),
+ wb AS (SELECT ses, string_agg(pos || ':' || h, ',' ORDER BY pos, h) AS l FROM b GROUP BY ses), wa AS (SELECT sel, string_agg(pos || ':' || h, ',' ORDER BY pos, h) AS l FROM a GROUP BY sel), e AS (SELECT l, min(ses) AS ses FROM wb GROUP BY l)
+SELECT sel AS selection_id, ses AS reused_session, CASE WHEN ses IS NOT NULL THEN 'reuse' WHEN sel IN (SELECT sel FROM a WHERE h IN (SELECT h FROM b)) THEN 'conflict' ELSE 'new' END AS decision FROM wa LEFT JOIN e USING (l)""")
 def j20(t):
-    nth = F.col("l_linenumber")
-    letter = F.substring(F.lit("0123456789abcdef"), (nth * 5 % 16 + 1).cast("int"), F.lit(1))
-    a = t.lineitem.select(F.col("l_orderkey").alias("selection_id"), (nth - 1).alias("pos"), letter.alias("sha256")).distinct()
-    b = t.conversations.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("pos"), F.substring(F.md5("text"), 1, 1).alias("sha256"))
+    conv, turn = F.col("conv_id"), F.col("turn")
+    kept = (conv % 3 == 0) | ((conv % 3 == 1) & (turn == 0))
+    a = t.conversations.select(
+        (conv + 1000000).alias("selection_id"), turn.alias("pos"),
+        F.sha2(F.when(kept, F.col("text")).otherwise(F.concat("text", F.lit("!"))), 256).alias("sha256"),
+    )
+    b = t.conversations.select(conv.alias("session_id"), turn.alias("pos"), F.sha2("text", 256).alias("sha256"))
     return idn.import_overlap(a, b)
 
 

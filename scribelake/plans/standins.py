@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scribelake.plans.catalog import spread
-
 FOLD = "replace(lower({0}), 'ß', 'ss')"
 WORDS_SQL = r"regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+(?:[''’][\p{{L}}\p{{N}}_]+)*')"
 WS_SQL = r"list_filter(string_split_regex(replace(lower({0}), 'ß', 'ss'), '[\s\p{{Z}}]+'), lambda x: x <> '')"
@@ -120,8 +118,7 @@ def entries(t) -> DataFrame:
         .when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"), "cancelled")
         .otherwise("completed")
     )
-    # Names and clocks are built and parsed per row: worth all cores.
-    return spread(t.lineitem).select(
+    return t.lineitem.select(
         F.concat(F.lit("b-"), F.col("l_orderkey").cast("string")).alias("batch_id"),
         ((F.col("l_linenumber") * 100000000 + F.col("l_partkey")) * 1000000 + F.col("l_suppkey")).alias("position"),
         F.when(F.col("l_discount") == 0, F.concat(F.lit("notes_"), F.col("l_partkey").cast("string"), F.lit(".wav")))
@@ -297,22 +294,29 @@ def progress(t) -> DataFrame:
         F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "purchase", "finished")
         .when(F.col("event_type") == "view", "transcribing").otherwise("preparing")
     )
+    kind = (
+        F.when(F.col("event_id") % 97 == 5, "admission").when(F.col("event_id") % 89 == 7, "drained")
+        .when((F.col("event_id") % 7 == 3) & (F.col("user_id") % 10 == 9) & (F.col("event_id") > 700), "result")
+        .when(F.col("event_type") == "view", "progress").otherwise("file")
+    )
     return t.events.select(
         F.col("event_id").alias("arrival"), F.concat(F.lit("batch-"), (F.col("user_id") % 10).cast("string")).alias("batch_id"),
-        (F.col("event_id") - F.when(late, 300).otherwise(0)).alias("seq"), F.col("value").alias("elapsed"),
-        F.when(F.col("event_type") == "view", "progress").otherwise("file").alias("type"),
+        (F.col("event_id") - F.when(late, 300).otherwise(0)).alias("seq"), F.col("value").alias("elapsed"), kind.alias("type"),
         F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("job_id"),
         F.when(F.col("value") < 60, "a1").otherwise("a2").alias("attempt_id"), F.col("user_id").cast("int").alias("index"),
         state.alias("state"), stage.alias("stage"), F.floor("value").cast("int").alias("percent"),
+        (F.col("user_id") % 11).cast("int").alias("requested"), (F.col("event_id") % 7).cast("int").alias("admitted"),
+        F.when(F.col("event_id") % 2 == 0, "memory").otherwise("").alias("reason"),
     )
 
 
 PROGRESS_SQL = """progress AS (
   SELECT event_id AS arrival, 'batch-' || (user_id % 10) AS batch_id, event_id - CASE WHEN event_type = 'error' THEN 300 ELSE 0 END AS seq, value AS elapsed,
-         CASE WHEN event_type = 'view' THEN 'progress' ELSE 'file' END AS type, 'job-' || user_id AS job_id, CASE WHEN value < 60 THEN 'a1' ELSE 'a2' END AS attempt_id,
+         CASE WHEN event_id % 97 = 5 THEN 'admission' WHEN event_id % 89 = 7 THEN 'drained' WHEN event_id % 7 = 3 AND user_id % 10 = 9 AND event_id > 700 THEN 'result'
+              WHEN event_type = 'view' THEN 'progress' ELSE 'file' END AS type, 'job-' || user_id AS job_id, CASE WHEN value < 60 THEN 'a1' ELSE 'a2' END AS attempt_id,
          user_id AS index, CASE event_type WHEN 'signup' THEN 'waiting' WHEN 'purchase' THEN 'completed' ELSE 'processing' END AS state,
          CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'finished' WHEN 'view' THEN 'transcribing' ELSE 'preparing' END AS stage,
-         CAST(floor(value) AS INTEGER) AS percent FROM events)"""
+         CAST(floor(value) AS INTEGER) AS percent, user_id % 11 AS requested, event_id % 7 AS admitted, CASE WHEN event_id % 2 = 0 THEN 'memory' ELSE '' END AS reason FROM events)"""
 
 
 def sample_blocks(t) -> DataFrame:

@@ -10,12 +10,12 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from scribelake.operators.ordered import BLOCK_ROWS, ordered
-from scribelake.operators.telemetry import valid_event
+from scribelake.operators.telemetry import valid_admission, valid_event
 from scribelake.session import checkpointed
 
 # Terminal states and the events that end a batch.
@@ -28,43 +28,62 @@ def judged(events: DataFrame, *, width: int = BLOCK_ROWS) -> DataFrame:
     """Events in arrival order with ``verdict``: accepted, or why not.
 
     ``events``: batch_id, arrival, seq, type, job_id, attempt_id, index, state,
-    stage, percent, elapsed. What binds or ends a job is a minimum per job, so no
-    batch is replayed in one task. Events behind the highest number seen are stale.
+    stage, percent, elapsed; requested, admitted and reason where there are
+    admissions. Only accepted events move a batch's number, so a verdict depends
+    on the verdicts before it. They are found by repetition: given a guess of
+    what is accepted, all events are judged at once; a verdict is right as soon
+    as those before it are, so the guess that reproduces itself is the answer.
+    No batch is replayed in one task.
     """
-    ok = valid_event()
-    rows = ordered(
-        events.withColumn("__valid", ok), ["batch_id"], ["arrival"],
-        before={"high": ("max", F.when(F.col("__valid"), F.col("seq")))}, width=width,
+    valid = valid_event(admission=_admission(events))
+    rows = checkpointed(events.withColumn("__valid", valid).withColumn("__accepted", F.col("__valid")))
+    while True:
+        told = checkpointed(_verdicts(rows, width))
+        now = F.col("verdict") == "accepted"
+        if told.where(now != F.col("__accepted")).isEmpty():
+            return told.drop("__valid", "__accepted")
+        rows = told.withColumn("__accepted", now).drop("verdict")
+
+
+def _admission(events: DataFrame) -> Column:
+    if {"requested", "admitted", "reason"} <= set(events.columns):
+        return valid_admission(F.col("requested"), F.col("admitted"), F.col("reason"))
+    return F.lit(False)
+
+
+def _verdicts(rows: DataFrame, width: int) -> DataFrame:
+    """Verdict of every event if exactly the events marked ``__accepted`` were accepted."""
+    taken = F.col("__accepted")
+    ending = taken & F.col("type").isin(*BATCH_END)
+    placed = ordered(
+        rows, ["batch_id"], ["arrival"],
+        before={"seen_high": ("max", F.when(taken, F.col("seq"))), "seen_end": ("max", F.when(ending, F.lit(1)))}, width=width,
     )
-    fresh = F.col("__valid") & F.coalesce(F.col("seq") > F.col("high"), F.lit(True))
-    # Bindings, ends and verdicts below each read these rows.
-    rows = checkpointed(rows.withColumn("__fresh", fresh).drop("high"))
-    per_job = F.col("type").isin("file", "progress")
+    placed = placed.withColumn("__fresh", F.col("__valid") & F.coalesce(F.col("seq") > F.col("seen_high"), F.lit(True)))
     opens = F.col("__fresh") & (F.col("type") == "file") & (F.col("state") == "waiting") & (F.col("stage") == "queued")
-    bound = rows.where(opens).groupBy("batch_id", "job_id").agg(
-        F.min("seq").alias("__bound"), F.min_by(F.struct("attempt_id", "index"), "seq").alias("__who")
+    job = ["batch_id", "job_id"]
+    bound = placed.where(opens).groupBy(*job).agg(
+        F.min("arrival").alias("__bound"), F.min_by(F.struct("attempt_id", "index"), "arrival").alias("__who")
     )
-    mine = (F.col("seq") >= F.col("__bound")) & (F.col("attempt_id") == F.col("__who.attempt_id")) & (
+    mine = (F.col("arrival") >= F.col("__bound")) & (F.col("attempt_id") == F.col("__who.attempt_id")) & (
         F.col("index") == F.col("__who.index")
     )
-    ends = (
-        rows.join(bound, ["batch_id", "job_id"]).where(F.col("__fresh") & mine & per_job & F.col("state").isin(*TERMINAL))
-        .groupBy("batch_id", "job_id").agg(F.min("seq").alias("__end"))
-    )
-    facts = bound.join(ends, ["batch_id", "job_id"], "left")
-    closed = rows.where(F.col("__fresh") & F.col("type").isin(*BATCH_END)).groupBy("batch_id").agg(F.min("seq").alias("__closed"))
-    whole = rows.join(facts, ["batch_id", "job_id"], "left").join(closed, "batch_id", "left")
+    final = F.col("__fresh") & F.col("type").isin("file", "progress") & F.col("state").isin(*TERMINAL)
+    ends = placed.where(final).join(bound, job).where(mine).groupBy(*job).agg(F.min("arrival").alias("__end"))
+    whole = placed.join(bound.join(ends, job, "left"), job, "left")
+    moves = F.col("type").isin("file", "progress", "metadata")
     verdict = (
         F.when(~F.col("__valid"), "invalid")
+        .when(F.col("seen_end").isNotNull(), "batch_closed")
         .when(~F.col("__fresh"), "stale")
-        .when(F.coalesce(F.col("seq") > F.col("__closed"), F.lit(False)), "batch_closed")
         .when(F.col("type").isin("batch", "admission", *BATCH_END), "accepted")
-        .when(F.col("__bound").isNull() | (F.col("seq") < F.col("__bound")), "unbound")
+        .when(F.col("__bound").isNull() | (F.col("arrival") < F.col("__bound")), "unbound")
         .when(~mine, "other_attempt")
-        .when(F.coalesce(F.col("seq") > F.col("__end"), F.lit(False)), "job_ended")
+        # What a job leaves behind may be told after its end.
+        .when(moves & F.coalesce(F.col("arrival") > F.col("__end"), F.lit(False)), "job_ended")
         .otherwise("accepted")
     )
-    return whole.withColumn("verdict", verdict).drop("__valid", "__fresh", "__bound", "__who", "__end", "__closed")
+    return whole.withColumn("verdict", verdict).drop("__fresh", "__bound", "__who", "__end", "seen_end", "seen_high")
 
 
 def settled(accepted: DataFrame) -> DataFrame:
@@ -98,6 +117,11 @@ def rollup(jobs: DataFrame) -> DataFrame:
     )
 
 
+def _admits(e) -> bool:
+    wanted, given, reason = (getattr(e, c, None) for c in ("requested", "admitted", "reason"))
+    return all(pd.notna(x) for x in (wanted, given, reason)) and 1 <= wanted <= 9 and 0 <= given <= wanted and reason != ""
+
+
 OUTPUT = (
     "batch_id string, job_id string, seq long, verdict string, state string, stage string, percent int, elapsed double"
 )
@@ -109,12 +133,16 @@ class ProgressState(StatefulProcessor):
     """State of one batch: the last accepted number and a small row per job.
 
     Emits every event with its verdict and the job's state after it. Only an
-    accepted event moves the number. State ends with the batch.
+    accepted event moves the number. The jobs are forgotten when the batch ends;
+    what is left, and batches that never end, go after ``ttl_ms`` without an update.
     """
 
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", _HEAD)
-        self.jobs = handle.getMapState("jobs", "job_id string", _JOB)
+        self.head = handle.getValueState("head", _HEAD, self.ttl_ms)
+        self.jobs = handle.getMapState("jobs", "job_id string", _JOB, self.ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         last, ended = self.head.get() if self.head.exists() else (-1, False)
@@ -136,9 +164,12 @@ class ProgressState(StatefulProcessor):
                     held[e.job_id] = job
             shown = job or [None] * 6
             out.append((key[0], e.job_id, e.seq, verdict, shown[2], shown[3], shown[4], shown[5]))
-        for ident, job in held.items():
-            if job is not None:
-                self.jobs.updateValue((ident,), tuple(job))
+        if ended:
+            self.jobs.clear()
+        else:
+            for ident, job in held.items():
+                if job is not None:
+                    self.jobs.updateValue((ident,), tuple(job))
         self.head.update((last, ended))
         columns = [c.split(" ")[0] for c in OUTPUT.split(", ")]
         yield pd.DataFrame(out, columns=columns).astype({"percent": "Int32", "seq": "int64"})
@@ -149,8 +180,12 @@ class ProgressState(StatefulProcessor):
         if not (per_job or e.type in ("batch", "admission", *BATCH_END)) or pd.isna(e.seq) or e.seq < 0:
             return "invalid", job
         moves = e.type in ("file", "progress")
+        if per_job and (pd.isna(e.job_id) or pd.isna(e.attempt_id) or pd.isna(e.index)):
+            return "invalid", job
         if moves and (e.state not in STATES or not e.stage or pd.isna(e.elapsed) or not 0 <= e.elapsed < float("inf")):
             return "invalid", job
+        if e.type == "admission" and not _admits(e):
+            return "invalid", job
         if ended:
             return "batch_closed", job
         if e.seq <= last:
@@ -163,7 +198,7 @@ class ProgressState(StatefulProcessor):
             job = [int(e.index), e.attempt_id, "waiting", "queued", None, 0.0]
         elif job[1] != e.attempt_id or job[0] != e.index:
             return "other_attempt", job
-        if job[2] in TERMINAL:
+        if job[2] in TERMINAL and e.type not in ("drained", "cleanup_required"):
             return "job_ended", job
         if moves:
             job = list(job)
@@ -178,7 +213,10 @@ class ProgressState(StatefulProcessor):
         pass
 
 
-def progress_stream(events: DataFrame) -> DataFrame:
+DAY_MS = 86_400_000
+
+
+def progress_stream(events: DataFrame, *, ttl_ms: int = 7 * DAY_MS) -> DataFrame:
     return events.groupBy("batch_id").transformWithStateInPandas(
-        statefulProcessor=ProgressState(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
+        statefulProcessor=ProgressState(ttl_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime"
     )

@@ -43,7 +43,6 @@ def test_plain_set_is_exact():
     ],
 )
 def test_review_tokens(spark, text, tokens):
-    assert tx.review_tokens(text) == tokens
     assert one(spark, tx.tokens_review(F.lit(text))) == tokens
 
 

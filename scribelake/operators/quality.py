@@ -347,9 +347,14 @@ def word_counts(counts: DataFrame, audits: DataFrame | None = None) -> DataFrame
 
 def findings(
     segments: DataFrame, *, counts: DataFrame | None = None, audits: DataFrame | None = None,
-    violations: DataFrame | None = None, compression: bool = True, width: int = BLOCK_ROWS, chunk_words: int = CHUNK_WORDS,
+    violations: DataFrame | None = None, settings: DataFrame | None = None, compression: bool = True, width: int = BLOCK_ROWS,
+    chunk_words: int = CHUNK_WORDS,
 ) -> DataFrame:
-    """All findings as one long table with sparse columns."""
+    """All findings as one long table with sparse columns.
+
+    ``audits`` and ``violations`` bring the timestamp gate, ``settings`` (source_id, terms,
+    max_context) the glossary gate; timing that is not audited is not assessed.
+    """
     counts = counts if counts is not None else counted(segments)
     ranges = merged_ranges(loop_candidates(segments, counts=counts, width=width, chunk_words=chunk_words))
     parts = [empty_findings(word_counts(counts, audits)), loop_findings(ranges)]
@@ -357,6 +362,9 @@ def findings(
         parts.append(compression_findings(segments))
     if violations is not None:
         parts.append(timestamp_findings(violations))
+    if settings is not None:
+        known = settings.join(word_counts(counts, audits).select("source_id"), "source_id", "left_semi")
+        parts.append(glossary_findings(known, F.col("terms"), F.col("max_context")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
@@ -382,11 +390,15 @@ def all_valid(flag: str) -> Column:
     return F.when((n > 0) & (n == known), F.bool_and(F.col(flag)))
 
 
-def verdict(summary: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+def verdict(summary: DataFrame, found: DataFrame, keys: list[str], asked: DataFrame | None = None) -> DataFrame:
     """One verdict per ``keys`` (e.g. a run): any finding asks for review.
 
     ``summary`` and ``found`` carry ``keys`` columns. Reasons are a sorted set of categories.
+    ``asked`` lists all keys: one without any source is an empty transcript.
     """
+    if asked is not None:
+        bare = asked.select(*keys).distinct().join(summary.select(*keys), keys, "left_anti")
+        found = found.select(*keys, "category").unionByName(bare.withColumn("category", F.lit("empty_transcript")))
     reasons = found.groupBy(*keys).agg(F.array_sort(F.collect_set("category")).alias("reasons"))
     timing = summary.groupBy(*keys).agg(all_valid("timestamp_valid").alias("timestamp_valid"))
     none = F.array().cast("array<string>")

@@ -8,8 +8,9 @@ from scribelake.functions.text import tokens_word, tokens_ws
 from scribelake.operators import quality, timeline
 from scribelake.plans.catalog import query
 from scribelake.plans.standins import (
-    AUDIT_SQL, LINES_SQL, WORDS_SQL, WS_SQL, clocks, lines, turns,
+    AUDIT_SQL, LINE_AUDIT_SQL, LINES_SQL, WORDS_SQL, WS_SQL, clocks, glossaries, line_clocks, line_times, lines, turns,
 )
+from scribelake.session import checkpointed
 
 
 def _audit(t):
@@ -206,46 +207,59 @@ def w7_words(t):
     return quality.window_ratios(lines(t)).select("source_id", "bucket", "start_seconds", "end_seconds", "word_count")
 
 
+# Every gate but compression, which SQL cannot compute.
 FOUND_SQL = f"""{MERGED_SQL}, totals AS (
-  SELECT source_id, count(*) AS segment_count, sum(len(words)) AS word_count FROM located GROUP BY source_id), found AS (
+  SELECT source_id, count(*) AS segment_count, sum(len(words)) AS word_count FROM located GROUP BY source_id), {LINE_AUDIT_SQL}, timing AS (
+  SELECT source_id, sum(len(reasons)) = 0 AS timestamp_valid FROM line_audited GROUP BY source_id), found AS (
   SELECT source_id, 'repeated_phrase_loop' AS category FROM merged
-  UNION ALL SELECT source_id, 'empty_transcript' FROM totals WHERE word_count = 0)"""
+  UNION ALL SELECT source_id, 'empty_transcript' FROM totals WHERE word_count = 0
+  UNION ALL SELECT source_id, 'invalid_timestamp' FROM (SELECT source_id, unnest(reasons) AS reason FROM line_audited)
+  UNION ALL SELECT 'doc-' || doc_id, 'glossary_context_disabled' FROM documents WHERE doc_id % 6 = 0 AND doc_id % 4 <> 0)"""
 
 
 def _summary(t, *, compression):
-    """Findings and per-source summary over one count of the words."""
-    segments = lines(t)
+    """Findings of all gates and the per-source summary, over one count of the words and one audit."""
+    segments, clock = lines(t), line_clocks(t)
     counts = quality.counted(segments)
-    found = quality.findings(segments, counts=counts, compression=compression)
-    return found, quality.by_source(segments, found, counts=counts)
+    audit = checkpointed(timeline.audited(line_times(t), clock))
+    audits = timeline.verdicts(audit, clock)
+    found = checkpointed(quality.findings(
+        segments, counts=counts, audits=audits, violations=timeline.violations(audit), settings=glossaries(t), compression=compression
+    ))
+    return found, quality.by_source(segments, found, audits, counts=counts)
 
 
 @query("A1_quality_by_source", f"""WITH {FOUND_SQL}
 SELECT t.source_id, CASE WHEN count(f.category) > 0 THEN 'review_required' ELSE 'passed_checks' END AS status,
-       NULL::BOOLEAN AS timestamp_valid, segment_count, word_count, count(f.category) AS finding_count
-FROM totals t LEFT JOIN found f USING (source_id) GROUP BY t.source_id, segment_count, word_count""", bigint="word_count")
+       timestamp_valid, segment_count, word_count, count(f.category) AS finding_count
+FROM totals t JOIN timing USING (source_id) LEFT JOIN found f USING (source_id) GROUP BY t.source_id, timestamp_valid, segment_count, word_count""", bigint="word_count")
 def a1(t):
-    """Which documents need review: loops and empties over all lines."""
+    """Which documents need review, by every gate that SQL can express too: loops, empties, timestamps, glossary."""
     return _summary(t, compression=False)[1]
 
 
 @query("A1_quality_with_compression")
 def a1_full(t):
+    """Which documents need review, by all gates."""
     return _summary(t, compression=True)[1]
 
 
-@query("A2_verdict", f"""WITH {FOUND_SQL}, members AS (SELECT 'doc-' || doc_id AS source_id, source AS run_id FROM documents)
-SELECT run_id, coalesce(string_agg(DISTINCT f.category, ',' ORDER BY f.category), '') AS reasons,
+@query("A2_verdict", f"""WITH {FOUND_SQL}, members AS (SELECT 'doc-' || doc_id AS source_id, source AS run_id FROM documents), valid AS (
+  SELECT run_id, bool_and(timestamp_valid) AS timestamp_valid FROM members JOIN timing USING (source_id) GROUP BY run_id)
+SELECT m.run_id, coalesce(string_agg(DISTINCT f.category, ',' ORDER BY f.category), '') AS reasons,
        CASE WHEN count(f.category) > 0 THEN 'review_required' ELSE 'passed_checks' END AS status,
-       NULL::BOOLEAN AS timestamp_valid, FALSE AS accuracy_verified
-FROM members LEFT JOIN found f USING (source_id) GROUP BY run_id""")
+       any_value(v.timestamp_valid) AS timestamp_valid, FALSE AS accuracy_verified
+FROM members m JOIN valid v USING (run_id) LEFT JOIN found f USING (source_id) GROUP BY m.run_id
+UNION ALL SELECT n_name, 'empty_transcript', 'review_required', NULL, FALSE FROM nation""")
 def a2(t):
+    """One verdict per run; the nations stand for runs without a source."""
     runs = t.documents.select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_id"), F.col("source").alias("run_id")
     )
+    asked = runs.select("run_id").unionByName(t.nation.select(F.col("n_name").alias("run_id")))
     found, by_source = _summary(t, compression=False)
     summary = by_source.join(runs, "source_id")
-    verdicts = quality.verdict(summary, found.select("source_id", "category").join(runs, "source_id"), ["run_id"])
+    verdicts = quality.verdict(summary, found.select("source_id", "category").join(runs, "source_id"), ["run_id"], asked)
     return verdicts.withColumn("reasons", F.array_join("reasons", ","))
 
 

@@ -69,14 +69,16 @@ CLOCKS_SQL = """clocks AS (
         FROM conversations GROUP BY conv_id))"""
 
 
-AUDIT_SQL = TURNS_SQL + ", " + CLOCKS_SQL + """, placed AS (
+def audit_sql(segments: str, clocks: str, prefix: str = "") -> str:
+    """CTEs that audit the times of ``segments`` against ``clocks``; the last is ``{prefix}audited``."""
+    return f""", {prefix}placed AS (
   SELECT t.*, c.frames, c.rate,
          lag(from_ms) OVER w AS prev_from, lag(to_ms) OVER w AS prev_to, lead(idx) OVER w IS NULL AS is_last
-  FROM turns t JOIN clocks c USING (source_id)
-  WINDOW w AS (PARTITION BY source_id ORDER BY idx)), ticked AS (
+  FROM {segments} t JOIN {clocks} c USING (source_id)
+  WINDOW w AS (PARTITION BY source_id ORDER BY idx)), {prefix}ticked AS (
   SELECT *, is_last AND from_ms >= 0 AND from_ms * rate < 1000 * frames AND to_ms * rate > 1000 * frames
             AND to_ms % 10 = 0 AND to_ms = 10 * ((100 * frames + rate - 1) // rate) AS normalized
-  FROM placed), audited AS (
+  FROM {prefix}placed), {prefix}audited AS (
   SELECT *, list_filter([
       CASE WHEN from_ms < 0 THEN 'negative_start' END,
       CASE WHEN to_ms < from_ms THEN 'end_before_start' END,
@@ -84,7 +86,10 @@ AUDIT_SQL = TURNS_SQL + ", " + CLOCKS_SQL + """, placed AS (
       CASE WHEN to_ms < prev_to THEN 'nonmonotonic_end' END,
       CASE WHEN from_ms * rate > 1000 * frames THEN 'start_after_eof' END,
       CASE WHEN to_ms * rate > 1000 * frames AND NOT normalized THEN 'end_after_eof' END], lambda x: x IS NOT NULL) AS reasons
-  FROM ticked)"""
+  FROM {prefix}ticked)"""
+
+
+AUDIT_SQL = TURNS_SQL + ", " + CLOCKS_SQL + audit_sql("turns", "clocks")
 
 
 def lines(t) -> DataFrame:
@@ -104,6 +109,43 @@ LINES_SQL = """lines AS (
                generate_subscripts(string_split(text, chr(10)), 1) AS idx FROM documents))"""
 
 
+def line_times(t) -> DataFrame:
+    """Times of document lines as a decoder gave them, without their text: some begin before zero."""
+    early = (F.col("doc_id") % 13 == 0) & (F.col("pos") == 0)
+    counts = t.documents.select("doc_id", F.explode(F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1)).alias("pos"))
+    return counts.select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_id"), (F.col("pos") + 1).alias("idx"),
+        (F.col("pos") * 2000 - F.when(early, 700).otherwise(0)).cast("bigint").alias("from_ms"),
+        (F.col("pos") * 2000 + 2000).cast("bigint").alias("to_ms"),
+    )
+
+
+def line_clocks(t) -> DataFrame:
+    """Exact length of each document's recording: long, within the last tick, exact, and short."""
+    n = F.size(F.split("text", "\n")).cast("bigint")
+    spare = F.when(F.col("doc_id") % 4 == 0, -16000).when(F.col("doc_id") % 4 == 1, 159).when(F.col("doc_id") % 4 == 2, 0).otherwise(32000)
+    return t.documents.select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_id"), (n * 32000 - spare).cast("bigint").alias("frames"),
+        F.lit(16000).alias("rate"),
+    )
+
+
+def glossaries(t) -> DataFrame:
+    """Decoder settings per document: some have terms, some a context."""
+    return t.documents.select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_id"),
+        F.when(F.col("doc_id") % 6 == 0, F.array(F.col("source"))).alias("terms"),
+        F.when(F.col("doc_id") % 4 == 0, 224).alias("max_context"),
+    )
+
+
+LINE_AUDIT_SQL = """line_times AS (
+  SELECT source_id, idx, (idx - 1) * 2000 - CASE WHEN doc_id % 13 = 0 AND idx = 1 THEN 700 ELSE 0 END AS from_ms, idx * 2000 AS to_ms
+  FROM (SELECT doc_id, 'doc-' || doc_id AS source_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS idx FROM documents)), line_clocks AS (
+  SELECT 'doc-' || doc_id AS source_id, 16000 AS rate, len(string_split(text, chr(10))) * 32000 - CASE doc_id % 4 WHEN 0 THEN -16000 WHEN 1 THEN 159 WHEN 2 THEN 0 ELSE 32000 END AS frames
+  FROM documents)""" + audit_sql("line_times", "line_clocks", "line_")
+
+
 def _two(c):
     return F.lpad(c.cast("string"), 2, "0")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scribelake.functions.alignment import wer_counts
 from scribelake.functions.clocks import iso_parts
+from scribelake.functions.text import tokens_review
 
 # Review vocabulary.
 CATEGORIES = (
@@ -72,6 +73,33 @@ def aggregate_wer(scores: DataFrame, *keys: str) -> DataFrame:
     ).withColumn("WER", F.when(F.col("N") > 0, (F.col("S") + F.col("D") + F.col("I")) / F.col("N")))
 
 
+# States whose text can be scored.
+SCORABLE = ("completed", "review_required")
+
+
+def score_review(references: DataFrame, hypotheses: DataFrame) -> DataFrame:
+    """One row per review and candidate: refusal, status, counts and token-weighted WER.
+
+    ``references``: review_id, clip_id and the columns of ``attested``; ``hypotheses``: review_id,
+    clip_id, candidate, state, hyp_text. A single bad reference refuses its whole review; of the
+    others only attested references are scored, against candidates that have a result.
+    """
+    refs = attested(references, tokens_review("human_text"))
+    # A review's reasons are a set of at most seven names.
+    about = refs.groupBy("review_id").agg(
+        F.array_sort(F.collect_set("reject_reason")).alias("refused"), F.count(F.lit(1)).alias("clips"), F.count_if("usable").alias("verified")
+    )
+    status = (
+        F.when(F.size("refused") > 0, "refused").when(F.col("verified") == F.col("clips"), "verified_references")
+        .when(F.col("verified") > 0, "partially_verified").otherwise("awaiting_human_review")
+    )
+    about = about.select("review_id", "refused", status.alias("status"))
+    rows = refs.select("review_id", "clip_id", "usable", tokens_review("human_text").alias("ref")).join(hypotheses, ["review_id", "clip_id"])
+    rows = rows.join(about, "review_id").withColumn("hyp", tokens_review("hyp_text"))
+    counts = scored(rows, "ref", "hyp", F.col("usable") & (F.size("refused") == 0) & F.col("state").isin(*SCORABLE))
+    return aggregate_wer(counts, "review_id", "candidate").join(about, "review_id")
+
+
 def judgment_counts(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     """Category x judgment counts of verified rows per candidate, zeros shown.
 

@@ -337,6 +337,10 @@ def s11(t):
 
 # Review
 
+REVIEW_SQL = (
+    "regexp_extract_all(translate(replace(lower({0}), 'ß', 'ss'), '‘’ʼ−', '" + "''" * 3 + "-'), '"
+    + REVIEW_TOKEN.replace("'", "''").replace("{", "{{").replace("}", "}}") + "')"
+)
 PAIRS_ONLY_SQL = f"""pairs AS (SELECT a.conv_id, a.turn, a.role, {st.WS_SQL.format('a.text')} AS ref, {st.WS_SQL.format('b.text')} AS hyp FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"""
 SCORED_SQL = """scored AS (
   SELECT conv_id, turn, role, len(ref) AS n, list_reduce(ref, lambda rr, w: list_reduce(hyp, lambda r, h: list_append(r,
@@ -346,6 +350,7 @@ SCORED_SQL = """scored AS (
           ELSE r[len(r)] + 1000000000001 END), [rr[1] + 1000000010000]), list_transform(range(len(hyp) + 1), lambda j: j * 1000000000001)) AS last FROM pairs), wer AS (
   SELECT conv_id, turn, role, n AS "N", last[-1] // 100000000 % 10000 AS "S", last[-1] // 10000 % 10000 AS "D", last[-1] % 10000 AS "I" FROM scored)"""
 PAIRS_SQL = f"{PAIRS_ONLY_SQL}, {SCORED_SQL}"
+REVIEW_PAIRS_SQL = f"""pairs AS (SELECT a.conv_id, a.turn, a.role, {REVIEW_SQL.format('a.text')} AS ref, {REVIEW_SQL.format('b.text')} AS hyp FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1), {SCORED_SQL}"""
 
 
 def _pairs(t):
@@ -369,12 +374,6 @@ def a4(t):
     return review.aggregate_wer(_wer(t), "role").withColumn("WER", F.round("WER", 6))
 
 
-REVIEW_SQL = (
-    "regexp_extract_all(translate(replace(lower({0}), 'ß', 'ss'), '‘’ʼ−', '" + "''" * 3 + "-'), '"
-    + REVIEW_TOKEN.replace("'", "''").replace("{", "{{").replace("}", "}}") + "')"
-)
-
-
 @query("F3_tokens_review", f"""WITH {st.LINES_SQL} SELECT source_id, idx, array_to_string({REVIEW_SQL.format('text')}, '|') AS tokens FROM lines""")
 def f3(t):
     return st.lines(t).select("source_id", "idx", F.array_join(tokens_review("text"), "|").alias("tokens"))
@@ -395,16 +394,19 @@ REF_SQL = """refs AS (SELECT conv_id, turn, text, CASE role WHEN 'user' THEN 've
     WHEN regexp_matches(text, '\\?{3,}') THEN 'uncertainty_marker' END AS reject_reason FROM refs)"""
 
 
-def _attested(t):
+def _references(t):
     conv, turn = F.col("conv_id"), F.col("turn")
     at = F.when(conv % 11 != 0, "2024-01-01T00:00:00Z").otherwise("2024-01-01T00:00:00")
     saved = F.when((turn % 5 != 0) | (conv % 2 == 0), F.sha2("text", 256)).otherwise("x")
-    refs = t.conversations.select(
+    return t.conversations.select(
         "conv_id", "turn", F.col("text").alias("human_text"), (conv % 7 != 3).alias("human_confirmed"),
         F.when(F.col("role") == "user", "verified").when(F.col("role") == "assistant", "draft").otherwise("odd").alias("status"),
         at.alias("created_at"), at.alias("updated_at"), at.alias("verified_at"), saved.alias("verified_text_sha256"),
     )
-    return review.attested(refs, tokens_ws("human_text"))
+
+
+def _attested(t):
+    return review.attested(_references(t), tokens_review("human_text"))
 
 
 @query("P16_attested_reference", f"WITH {REF_SQL} SELECT conv_id, turn, status = 'verified' AND reject_reason IS NULL AS usable, reject_reason FROM judged_refs")
@@ -412,16 +414,33 @@ def p16(t):
     return _attested(t).select("conv_id", "turn", "usable", "reject_reason")
 
 
-@query("Q4_score_review", f"""WITH {REF_SQL}, {PAIRS_SQL} SELECT role, sum("S") FILTER (u) AS "S", sum("D") FILTER (u) AS "D", sum("I") FILTER (u) AS "I", sum("N") FILTER (u) AS "N", count(*) FILTER (u) AS verified_clips, count(*) AS total_clips, round(sum("S" + "D" + "I") FILTER (u) / sum("N") FILTER (u), 6) AS "WER"
+@query("Q4_score_review", f"""WITH {REF_SQL}, {REVIEW_PAIRS_SQL} SELECT role, sum("S") FILTER (u) AS "S", sum("D") FILTER (u) AS "D", sum("I") FILTER (u) AS "I", sum("N") FILTER (u) AS "N", count(*) FILTER (u) AS verified_clips, count(*) AS total_clips, round(sum("S" + "D" + "I") FILTER (u) / sum("N") FILTER (u), 6) AS "WER"
 FROM (SELECT w.*, status = 'verified' AND reject_reason IS NULL AS u FROM wer w JOIN judged_refs USING (conv_id, turn)) GROUP BY role""", bigint="S D I N")
 def q4(t):
     """Only attested references are scored; the totals are token-weighted."""
     usable = _attested(t).select("conv_id", "turn", "usable")
-    rows = _pairs(t).join(usable, ["conv_id", "turn"]).select("conv_id", "turn", "role", "usable", tokens_ws("ref_text").alias("ref"), tokens_ws("hyp_text").alias("hyp"))
+    rows = _pairs(t).join(usable, ["conv_id", "turn"]).select("conv_id", "turn", "role", "usable", tokens_review("ref_text").alias("ref"), tokens_review("hyp_text").alias("hyp"))
     scores = review.scored(rows, "ref", "hyp", F.col("usable"))
     return review.aggregate_wer(scores, "role").withColumn("WER", F.round("WER", 6))
 
 
+@query("Q4_whole_review", f"""WITH {REF_SQL}, {REVIEW_PAIRS_SQL}, about AS (
+  SELECT conv_id, coalesce(string_agg(DISTINCT reject_reason, ',' ORDER BY reject_reason), '') AS refused, count(*) AS clips, count(*) FILTER (status = 'verified' AND reject_reason IS NULL) AS v FROM judged_refs GROUP BY conv_id), x AS (
+  SELECT w.*, status = 'verified' AND reject_reason IS NULL AND refused = '' AND turn % 6 <> 5 AND "N" > 0 AS u FROM wer w JOIN judged_refs USING (conv_id, turn) JOIN about USING (conv_id))
+SELECT conv_id AS review_id, 'next' AS candidate, refused, CASE WHEN refused <> '' THEN 'refused' WHEN v = clips THEN 'verified_references' WHEN v > 0 THEN 'partially_verified' ELSE 'awaiting_human_review' END AS status,
+ sum("S") FILTER (u) AS "S", sum("D") FILTER (u) AS "D", sum("I") FILTER (u) AS "I", sum("N") FILTER (u) AS "N", count(*) FILTER (u) AS verified_clips, count(*) AS total_clips, round(sum("S" + "D" + "I") FILTER (u) / sum("N") FILTER (u), 6) AS "WER"
+FROM x JOIN about USING (conv_id) GROUP BY conv_id, refused, v, clips""", bigint="S D I N")
+def q4_whole(t):
+    """A review from gate to totals in one call; a conversation is a review, the next turn its only candidate."""
+    references = _references(t)
+    hypotheses = _pairs(t).select(
+        F.col("conv_id").alias("review_id"), F.col("turn").alias("clip_id"), F.lit("next").alias("candidate"),
+        F.when(F.col("turn") % 6 == 5, "failed").otherwise("completed").alias("state"), "hyp_text",
+    )
+    out = review.score_review(references.withColumnsRenamed({"conv_id": "review_id", "turn": "clip_id"}), hypotheses)
+    return out.withColumns({"refused": F.array_join("refused", ","), "WER": F.round("WER", 6)})
+
+
 @query("Q4_review_status", f"""WITH {REF_SQL} SELECT count(*) AS clips, count(*) FILTER (status = 'verified' AND reject_reason IS NULL) AS verified, 'partially_verified' AS status FROM judged_refs""")
 def q4_status(t):
     return review.review_status(_attested(t))
@@ -468,9 +487,9 @@ def a6(t):
     return review.term_accuracy(_critical(t), "source", "candidate").withColumn("term_accuracy", F.round("term_accuracy", 6))
 
 
-@query("A7_term_occurrences", f"""WITH x AS (SELECT conv_id, turn, {st.WS_SQL.format('text')} AS k FROM conversations) SELECT conv_id, turn, len(list_filter(range(1, len(k)), lambda i: k[i] = k[1] AND k[i + 1] = k[2])) AS n FROM x""")
+@query("A7_term_occurrences", f"""WITH x AS (SELECT conv_id, turn, {REVIEW_SQL.format('text')} AS k FROM conversations) SELECT conv_id, turn, len(list_filter(range(1, len(k)), lambda i: k[i] = k[1] AND k[i + 1] = k[2])) AS n FROM x""")
 def a7(t):
-    rows = t.conversations.select("conv_id", "turn", tokens_ws("text").alias("k"))
+    rows = t.conversations.select("conv_id", "turn", tokens_review("text").alias("k"))
     return rows.select("conv_id", "turn", review.phrase_occurrences(F.col("k"), F.slice("k", 1, 2)).alias("n"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scribelake.operators.timeline import nearest_frame
+from scribelake.operators.joins import with_key_facts
 
 # Candidates; the second only where every clip is of a known source.
 CANDIDATES = ("large-v3-A", "large-v3-B", "large-v3-turbo-A")
@@ -16,7 +17,7 @@ def candidate_clips(clips: DataFrame) -> DataFrame:
     """Each clip once per candidate. The three candidates are a literal, so no join is needed."""
     known = clips.groupBy("benchmark_id").agg(F.bool_and("known_source").alias("all_known"))
     named = F.array(*[F.lit(c) for c in CANDIDATES])
-    return clips.join(known, "benchmark_id").withColumn("candidate", F.explode(named)).where(
+    return with_key_facts(clips, known, "benchmark_id", "inner").withColumn("candidate", F.explode(named)).where(
         (F.col("candidate") != SCOPED) | F.col("all_known")
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scribelake.operators.joins import with_key_facts
+
 # Allowed ranges and enumerations of policy fields.
 RANGES = {
     "peak_dbfs": (-30.0, -0.1), "max_gain_db": (0.0, 60.0), "gain_db": (-60.0, 60.0),
@@ -70,7 +72,7 @@ def applicable_recipes(requests: DataFrame, recipes: DataFrame) -> DataFrame:
     wanted = recipes.where((F.col("state") == "validated_for_listed_clips") & F.col("apply_to_matching_profiles"))
     key = ["speaker_id", "capture_id", "glossary_sha256"]
     per_scope = wanted.groupBy(*key).agg(F.count(F.lit(1)).alias("matches"), F.min("recipe_id").alias("recipe_id"))
-    return requests.join(per_scope, key, "left").select(
+    return with_key_facts(requests, per_scope, key).select(
         "request_id", F.coalesce("matches", F.lit(0)).alias("matches"),
         F.when(F.col("matches") == 1, F.col("recipe_id")).alias("recipe_id"),
         F.coalesce(F.col("matches") > 1, F.lit(False)).alias("conflict"),

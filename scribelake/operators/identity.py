@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scribelake.functions.text import valid_id, valid_sha
+from scribelake.operators.joins import with_key_facts
 
 # Artifacts a finished run must have hashed, and session states that are busy.
 REQUIRED = {
@@ -123,7 +124,7 @@ def reusable_run(requests: DataFrame, runs: DataFrame, same: list[str], compatib
     newest = F.max(F.struct("at", F.col("run_id").alias("reused_run"), "reused_state"))
     exact = kept.groupBy("__identity", "fingerprint").agg(newest.alias("__exact"))
     any_ = kept.groupBy("__identity").agg(newest.alias("__any"))
-    hit = asked.join(any_, "__identity").join(exact, ["__identity", "fingerprint"], "left")
+    hit = with_key_facts(with_key_facts(asked, any_, "__identity", "inner"), exact, ["__identity", "fingerprint"])
     best = hit.groupBy("request_id").agg(F.max("__exact").alias("e"), F.max("__any").alias("a"))
     pick = lambda c: F.coalesce(F.col(f"e.{c}"), F.col(f"a.{c}")).alias(c)
     return requests.join(best, "request_id", "left").select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scribelake.functions.text import dbfs
+from scribelake.operators.joins import with_key_facts
 
 # Levels and block lengths.
 CANCELLATION = 10 ** (-12 / 10)
@@ -189,7 +190,7 @@ def active_frames(frames: DataFrame) -> DataFrame:
     threshold = F.greatest(
         F.lit(10 ** (FLOOR_DBFS / 20)), F.sqrt("mean_square") * F.lit(10 ** (BELOW_WHOLE_DB / 20))
     )
-    return frames.join(whole, "source_id").groupBy("source_id").agg(
+    return with_key_facts(frames, whole, "source_id", "inner").groupBy("source_id").agg(
         F.count(F.lit(1)).alias("frames"),
         F.count_if(F.sqrt(F.col("square_sum") / F.col("n")) >= threshold).alias("active"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scribelake.functions.clocks import instant
 from scribelake.functions.text import casefold, fold_nfc, natural_key, text_lines
 from scribelake.operators.ordered import BLOCK_ROWS, numbered, split_runs
+from scribelake.operators.joins import with_key_facts
 
 # Longest gap inside a group, and the UI state buckets.
 GAP_SECONDS = 15 * 60
@@ -215,7 +216,7 @@ def known_recordings(sources: DataFrame, sessions: DataFrame) -> DataFrame:
     single = sources.groupBy("session_id").agg(F.count(F.lit(1)).alias("__n")).where("__n = 1").join(
         sessions.select("session_id", F.col("recorded_at").alias("__session_at")), "session_id"
     ).drop("__n")
-    return sources.join(single, "session_id", "left").select(
+    return with_key_facts(sources, single, "session_id").select(
         "path", F.coalesce("recorded_at", "__session_at").alias("recorded_at")
     )
 
@@ -242,7 +243,7 @@ def confirmed_partition(groups: DataFrame, sizes: DataFrame) -> DataFrame:
 def first_of_key(rows: DataFrame, key: str, pos: str, name: str = "duplicate_of") -> DataFrame:
     """Position of the first row with the same key, null on that row itself."""
     firsts = rows.groupBy(key).agg(F.min(pos).alias("__first"))
-    return rows.join(firsts, key, "left").withColumn(
+    return with_key_facts(rows, firsts, key).withColumn(
         name, F.when(F.col("__first") < F.col(pos), F.col("__first"))
     ).drop("__first")
 
@@ -252,7 +253,7 @@ def name_collisions(sources: DataFrame) -> DataFrame:
     rows = sources.withColumn("folded", fold_nfc("basename"))
     firsts = rows.groupBy("session_id", "folded").agg(F.min("pos").alias("__first"))
     taken = F.col("pos") > F.col("__first")
-    return rows.join(firsts, ["session_id", "folded"]).select(
+    return with_key_facts(rows, firsts, ["session_id", "folded"], "inner").select(
         "session_id", "pos", "basename",
         F.when(taken, F.concat_ws("/", F.lit("source"), "source_id", "basename"))
         .otherwise(F.concat_ws("/", F.lit("source"), "basename")).alias("relative_path"),
@@ -265,4 +266,4 @@ def reusable_report(requests: DataFrame, reports: DataFrame, trashed: DataFrame)
         (F.col("report_id") == F.col("folder")) & (F.sha2("report_text", 256) == F.col("report_sha256"))
     ).join(trashed.select("report_id"), "report_id", "left_anti")
     newest = intact.groupBy("fingerprint").agg(F.max("report_id").alias("reused_report"))
-    return requests.join(newest, "fingerprint", "left")
+    return with_key_facts(requests, newest, "fingerprint")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scribelake.functions.text import valid_sha
+from scribelake.operators.joins import with_key_facts
 
 # Representation names and terminal states.
 SAMPLE_FORMATS = {
@@ -47,7 +48,7 @@ def lookup_by_hash(paths: DataFrame, results: DataFrame) -> DataFrame:
     Copies are counted per hash before the join, so many paths of one much-copied
     recording do not multiply with its results.
     """
-    return paths.join(verified_by_hash(results), "sha256", "left").withColumn(
+    return with_key_facts(paths, verified_by_hash(results), "sha256").withColumn(
         "existing", F.coalesce("existing", F.lit(0))
     )
 
@@ -260,7 +261,7 @@ def restore_queue(paths: DataFrame, saved: DataFrame) -> DataFrame:
     unknown = F.col("__state").isNotNull() & ~F.col("__state").isin(*QUEUE_STATES)
     inflight = F.col("__state").isin("checking", "processing")
     firsts = rows.where("__job IS NOT NULL").groupBy("__job").agg(F.min("position").alias("__first"))
-    return rows.join(firsts, "__job", "left").select(
+    return with_key_facts(rows, firsts, "__job").select(
         "position", "path", F.when(inflight, "waiting").otherwise(known).alias("state"),
         F.when(inflight, "interrupted").when(unknown, F.lit(None)).otherwise(F.col("__message")).alias("message"),
         F.when(F.col("position") == F.col("__first"), F.col("__job")).alias("kept_job_id"),

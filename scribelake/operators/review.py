@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scribelake.functions.alignment import wer_counts
 from scribelake.functions.clocks import iso_parts
 from scribelake.functions.text import tokens_review
+from scribelake.operators.joins import with_key_facts
 
 # Review vocabulary.
 CATEGORIES = (
@@ -145,7 +146,7 @@ def rows_in_clip(rows: DataFrame, clips: DataFrame) -> DataFrame:
     inside = F.col("source_seconds").isNull() | F.col("source_seconds").between(
         F.col("source_start_seconds"), F.col("source_end_seconds")
     )
-    return rows.join(c, "clip_id").withColumn("inside", inside)
+    return with_key_facts(rows, c, "clip_id", "inner").withColumn("inside", inside)
 
 
 def package_rules(clips: DataFrame) -> DataFrame:

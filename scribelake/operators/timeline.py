@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scribelake.operators.ordered import BLOCK_ROWS, ordered
+from scribelake.operators.joins import with_key_facts
 
 # Decoder tick and the order in which reasons are listed.
 TICK_MS = 10
@@ -119,7 +120,7 @@ def segment_times(
     about = verdicts(rows, clocks).select("source_id", "valid")
     if offsets is not None:
         about = about.join(offsets, "source_id", "left")
-    joined = rows.join(about, "source_id")
+    joined = with_key_facts(rows, about, "source_id", "inner")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if offsets is not None else F.lit(0.0)
     clamped = F.col("normalized") & F.col("valid")
     start = F.col("from_ms") / 1000

@@ -19,6 +19,7 @@ from scribelake.functions.text import basename
 from scribelake.operators.ordered import BLOCK_ROWS, ordered, split_runs
 from scribelake.operators.results import sha_of
 from scribelake.session import checkpointed
+from scribelake.operators.joins import with_key_facts
 
 # Milliseconds until a file counts as settled, and as broken; observation budget.
 STABLE_MS, INVALID_MS, UI_STABLE_MS = 750, 5000, 800
@@ -43,7 +44,7 @@ def classified(
     ).drop("prev_stat"))
     key = ["path", "version_no"]
     seen = rows.groupBy(*key).agg(F.min("at_ms").alias("first_seen"))
-    aged = rows.join(seen, key).withColumn("age", F.col("at_ms") - F.col("first_seen"))
+    aged = with_key_facts(rows, seen, key, "inner").withColumn("age", F.col("at_ms") - F.col("first_seen"))
     settled = (F.col("age") > 0) & (F.col("age") >= STABLE_MS)
     hashed = aged.where(settled & F.col("wav_ok")).groupBy(*key).agg(
         F.min("at_ms").alias("hashed_at"), F.min_by("sha256", "at_ms").alias("known_sha")
@@ -83,7 +84,7 @@ def stable_twice(observations: DataFrame, *, width: int = BLOCK_ROWS * 1000) ->
         starts=F.col("stat") != F.col("prev_stat"), name="version_no", width=width,
     )
     seen = rows.groupBy("path", "version_no").agg(F.min("at_ms").alias("first_seen"))
-    return rows.join(seen, ["path", "version_no"]).select(
+    return with_key_facts(rows, seen, ["path", "version_no"], "inner").select(
         "path", "at_ms", (F.col("at_ms") - F.col("first_seen") >= UI_STABLE_MS).alias("stable")
     )
 

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from scribelake.operators.ordered import BLOCK_ROWS, ordered
 from scribelake.operators.telemetry import valid_admission, valid_event
 from scribelake.session import checkpointed
+from scribelake.operators.joins import with_key_facts
 
 # Terminal states and the events that end a batch.
 TERMINAL = ("completed", "review_required", "failed", "cancelled")
@@ -70,7 +71,7 @@ def _verdicts(rows: DataFrame, width: int) -> DataFrame:
     )
     final = F.col("__fresh") & F.col("type").isin("file", "progress") & F.col("state").isin(*TERMINAL)
     ends = placed.where(final).join(bound, job).where(mine).groupBy(*job).agg(F.min("arrival").alias("__end"))
-    whole = placed.join(bound.join(ends, job, "left"), job, "left")
+    whole = with_key_facts(placed, bound.join(ends, job, "left"), job)
     moves = F.col("type").isin("file", "progress", "metadata")
     verdict = (
         F.when(~F.col("__valid"), "invalid")

@@ -187,8 +187,8 @@ def sort_rows(rows: DataFrame, mode: str) -> DataFrame:
     return rows.orderBy(*first, F.col("row_id").asc())
 
 
-def natural_sort(paths: DataFrame, column: str = "path") -> DataFrame:
-    return paths.orderBy(natural_key(column), F.col(column))
+def natural_sort(paths: DataFrame, column: str = "path", *ties: str) -> DataFrame:
+    return paths.orderBy(natural_key(column), F.col(column), *ties)
 
 
 def per_date(reports: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scribelake.session import checkpointed
+
 BLOCK_ROWS = 1 << 16
 
 BLOCK = "__block"
@@ -217,3 +219,20 @@ def split_runs(
     return placed.withColumn("__begins", begins).withColumn(
         name, F.col("__before") + F.sum("__begins").over(running)
     ).drop(BLOCK, "__carry", "__before", "__rn", "__begins")
+
+
+def placed(rows: DataFrame, name: str = "place") -> DataFrame:
+    """Rows of a sorted DataFrame with their place in it, from 1.
+
+    The sorted parts are stored once; a row's place is its place in its part plus the
+    sizes of the parts before, of which there is one row each.
+    """
+    stored = checkpointed(rows)
+    own = stored.withColumn("__at", F.monotonically_increasing_id())
+    part = F.shiftright("__at", 33).alias("__part")
+    sizes = own.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.col("__at") - F.shiftleft(F.shiftright("__at", 33), 33)
+    joined = own.withColumn("__part", part).join(starts, "__part")
+    return joined.withColumn(name, (F.col("__before") + inside + 1).cast("bigint")).drop("__part", "__at", "__before")

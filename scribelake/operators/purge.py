@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scribelake.functions.text import strip
 from scribelake.operators.identity import tree_digest
 
 
@@ -152,7 +153,34 @@ def upsert(current: DataFrame, edits: DataFrame, key: str, values: list[str]) ->
     )
 
 
+def annotated(reports: DataFrame, edits: DataFrame) -> DataFrame:
+    """Titles and trash marks after renaming, trashing or restoring; edits of unknown reports change nothing.
+
+    ``edits``: report_id (once), action, new_title, at. Trashing again keeps the first mark.
+    """
+    e = edits.select("report_id", F.col("action").alias("__do"), F.col("new_title").alias("__title"), F.col("at").alias("__at"))
+    do = F.col("__do")
+    return reports.join(e, "report_id", "left").withColumns({
+        "title": F.when(do == "rename", F.col("__title")).otherwise(F.col("title")),
+        "deleted_at": F.when(do == "restore", F.lit(None)).when(do == "trash", F.coalesce("deleted_at", "__at")).otherwise(F.col("deleted_at")),
+    }).drop("__do", "__title", "__at")
+
+
+# Fixed value: longest label.
+MAX_LABEL = 500
+
+
+def relabelled(current: DataFrame, edits: DataFrame, key: str, labels: list[str]) -> DataFrame:
+    """Trimmed labels of accepted edits; one label that is too long or holds a NUL refuses its edit."""
+    good = F.lit(True)
+    for c in labels:
+        good = good & F.coalesce((F.length(c) <= MAX_LABEL) & ~F.contains(F.col(c), F.lit("\x00")), F.lit(True))
+    accepted = edits.where(good).withColumns({c: clean_label(F.col(c)) for c in labels})
+    known = accepted.join(current.select(key), key, "left_semi")
+    return upsert(current, known, key, labels)
+
+
 def clean_label(c: Column) -> Column:
-    """Trimmed label; empty becomes null; over 500 characters is refused by the caller."""
-    text = F.trim(c)
+    """Trimmed label; empty becomes null."""
+    text = strip(c)
     return F.when(text != "", text)

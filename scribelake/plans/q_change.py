@@ -8,6 +8,7 @@ from scribelake.operators import exports, library, purge, timeline
 from scribelake.operators import identity as idn
 from scribelake.operators import results as res
 from scribelake.operators import telemetry as tel
+from scribelake.operators.ordered import placed
 from scribelake.plans import standins as st
 from scribelake.plans.catalog import query
 from scribelake.session import checkpointed
@@ -135,22 +136,30 @@ def m3(t):
     return purge.publishable(incoming, jobs, epochs, _scopes(t)).select("result_id")
 
 
-@query("M4_trash_restore", """SELECT coalesce(c_custkey, o_custkey) AS report_id, CASE WHEN o_custkey IS NOT NULL THEN c_name ELSE c_name END AS title, CASE WHEN o_custkey IS NOT NULL THEN d ELSE '2020-01-01' END AS deleted_at FROM customer FULL JOIN (SELECT o_custkey, CASE WHEN max(o_orderpriority) = '5-LOW' THEN '2024-05-05' END AS d FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) ON c_custkey = o_custkey""")
+@query("M4_trash_restore", """SELECT c_custkey AS report_id, CASE WHEN act = 'rename' THEN 'Renamed' ELSE c_name END AS title,
+ CASE WHEN act = 'restore' THEN NULL WHEN act = 'trash' AND c_nationkey % 2 = 1 THEN '2024-05-05' WHEN c_nationkey % 2 = 0 THEN '2020-01-01' END AS deleted_at
+FROM customer LEFT JOIN (SELECT o_custkey, ['trash', 'restore', 'rename'][max(o_orderkey) % 3 + 1] AS act FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey""")
 def m4(t):
-    current = t.customer.select(F.col("c_custkey").alias("report_id"), F.col("c_name").alias("title"), F.lit("2020-01-01").alias("deleted_at"))
-    edits = t.orders.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("report_id")).agg(
-        F.when(F.max("o_orderpriority") == "5-LOW", "2024-05-05").alias("deleted_at")
-    ).join(t.customer.select(F.col("c_custkey").alias("report_id"), F.col("c_name").alias("title")), "report_id", "left")
-    return purge.upsert(current, edits, "report_id", ["title", "deleted_at"])
+    """Half of the reports are in the trash; some edits name reports that do not exist."""
+    current = t.customer.select(
+        F.col("c_custkey").alias("report_id"), F.col("c_name").alias("title"), F.when(F.col("c_nationkey") % 2 == 0, "2020-01-01").alias("deleted_at")
+    )
+    action = F.element_at(F.array(F.lit("trash"), F.lit("restore"), F.lit("rename")), (F.max("o_orderkey") % 3 + 1).cast("int"))
+    edits = t.orders.groupBy(F.col("o_custkey").alias("report_id")).agg(action.alias("action"))
+    unknown = edits.withColumn("report_id", -F.col("report_id") - 1)
+    edits = edits.unionByName(unknown).select("*", F.lit("Renamed").alias("new_title"), F.lit("2024-05-05").alias("at"))
+    return purge.annotated(current, edits)
 
 
-@query("M5_relabel", """SELECT 'r-' || d.doc_id AS result_id, CASE WHEN l.doc_id IS NOT NULL THEN CASE WHEN quality = 1 THEN 'good' END ELSE d.source END AS course FROM documents d LEFT JOIN labels l USING (doc_id)""")
+@query("M5_relabel", r"""SELECT 'r-' || d.doc_id AS result_id, CASE WHEN l.doc_id IS NULL OR (quality = 0 AND length(text) > 500) THEN d.source WHEN quality = 1 THEN 'good'
+  ELSE nullif(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '') END AS course FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def m5(t):
+    """Labels longer than 500 characters refuse the edit."""
     current = t.documents.select(F.concat(F.lit("r-"), F.col("doc_id").cast("string")).alias("result_id"), F.col("source").alias("course"))
-    edits = t.labels.select(
-        F.concat(F.lit("r-"), F.col("doc_id").cast("string")).alias("result_id"), purge.clean_label(F.when(F.col("quality") == 1, " good ").otherwise("  ")).alias("course")
+    edits = t.labels.join(t.documents.select("doc_id", "text"), "doc_id").select(
+        F.concat(F.lit("r-"), F.col("doc_id").cast("string")).alias("result_id"), F.when(F.col("quality") == 1, " good ").otherwise(F.col("text")).alias("course")
     )
-    return purge.upsert(current, edits, "result_id", ["course"])
+    return purge.relabelled(current, edits, "result_id", ["course"])
 
 
 @query("M6_relink_source", """SELECT d.doc_id AS result_id, CASE WHEN l.quality = 1 AND lang <> 'de' THEN 'new' ELSE 'old' END AS external_path, coalesce(l.quality = 1 AND lang <> 'de', false) AS relinked FROM documents d LEFT JOIN labels l USING (doc_id)""")
@@ -402,9 +411,9 @@ def k7(t):
     return rows.select("batch_id", F.to_json(F.struct("batch_id", "events", "last")).alias("document"))
 
 
-@query("K8_library_index", f"""WITH {st.REPORTS_SQL} SELECT report_id, title, date, start_time, created_at FROM reports WHERE deleted_at IS NULL""")
+@query("K8_library_index", f"""WITH {st.REPORTS_SQL} SELECT report_id, title, date, start_time, created_at, row_number() OVER (ORDER BY coalesce(date,'') DESC, coalesce(start_time,'') DESC, coalesce(created_at, '') DESC, report_id DESC) AS place FROM reports WHERE deleted_at IS NULL""")
 def k8(t):
-    return library.sort_recorded(library.in_view(st.reports(t), "active")).select("report_id", "title", "date", "start_time", "created_at")
+    return placed(library.sort_recorded(library.in_view(st.reports(t), "active")).select("report_id", "title", "date", "start_time", "created_at"))
 
 
 @query("K9_comparison_table", """SELECT l_orderkey || '/' || l_linenumber || '/' || l_partkey AS clip_id, l_suppkey AS candidate, printf('%.2f', l_quantity) AS runtime, printf('%.3f', l_quantity / 64) AS rtf, l_linenumber AS gain_db, 'unmeasured' AS "WER" FROM lineitem""")

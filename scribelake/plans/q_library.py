@@ -9,7 +9,7 @@ from scribelake.functions import text as tx
 from scribelake.operators import library as lib
 from scribelake.operators import results as res
 from scribelake.operators import timeline
-from scribelake.operators.ordered import numbered
+from scribelake.operators.ordered import numbered, placed
 from scribelake.plans import standins as st
 from scribelake.plans.catalog import query
 from scribelake.sources.recordings import allowed_media
@@ -245,31 +245,38 @@ def p12(t):
     return lib.in_view(st.reports(t), "trash").select("report_id")
 
 
-@query("T1_sort_recorded", f"""WITH {st.REPORTS_SQL} SELECT report_id, date, start_time, created_at FROM reports ORDER BY coalesce(date,'') DESC, coalesce(start_time,'') DESC, created_at DESC, report_id DESC""")
+@query("T1_sort_recorded", f"""WITH {st.REPORTS_SQL} SELECT report_id, date, start_time, created_at, row_number() OVER (ORDER BY coalesce(date,'') DESC, coalesce(start_time,'') DESC, coalesce(created_at, '') DESC, report_id DESC) AS place FROM reports""")
 def t1(t):
-    return lib.sort_recorded(st.reports(t)).select("report_id", "date", "start_time", "created_at")
+    return placed(lib.sort_recorded(st.reports(t)).select("report_id", "date", "start_time", "created_at"))
 
 
-@query("T2_sort_recent", f"""WITH {st.REPORTS_SQL} SELECT report_id, CASE WHEN created_at LIKE '%Z' THEN epoch(strptime(left(created_at, 19), '%Y-%m-%dT%H:%M:%S')) WHEN created_at LIKE '%+02:00' THEN epoch(strptime(left(created_at, 19), '%Y-%m-%dT%H:%M:%S')) - 7200 END AS created_instant FROM reports""")
+@query("T2_sort_recent", f"""WITH {st.REPORTS_SQL} SELECT report_id, CASE WHEN created_at LIKE '%Z' THEN epoch(strptime(left(created_at, 19), '%Y-%m-%dT%H:%M:%S')) WHEN created_at LIKE '%+02:00' THEN epoch(strptime(left(created_at, 19), '%Y-%m-%dT%H:%M:%S')) - 7200 END AS created_instant, row_number() OVER (ORDER BY created_instant DESC NULLS LAST, report_id DESC) AS place FROM reports""")
 def t2(t):
-    return lib.sort_recent(st.reports(t)).select("report_id", "created_instant")
+    return placed(lib.sort_recent(st.reports(t)).select("report_id", "created_instant"))
 
 
-for _mode in ("newest", "filename", "longest", "status"):
+NATURAL_SQL = r"""list_transform(regexp_extract_all(replace(lower(regexp_extract({0}, '[^/]*$')), 'ß', 'ss'), '[0-9]+|[^0-9]+'),
+  lambda p: {{'kind': CASE WHEN regexp_matches(p, '^[0-9]') THEN 0 ELSE 1 END, 'digits': CASE WHEN regexp_matches(p, '^[0-9]') THEN length(regexp_replace(p, '^0+(.)', '\1')) END,
+             'text': CASE WHEN regexp_matches(p, '^[0-9]') THEN regexp_replace(p, '^0+(.)', '\1') ELSE p END}})"""
+_MODES = {
+    "newest": "coalesce(generated_at, '') DESC", "filename": NATURAL_SQL.format("filename"), "longest": "coalesce(duration, -1) DESC", "status": "state",
+}
+for _mode, _order in _MODES.items():
 
     def _t3(t, mode=_mode):
         rows = st.results(t).select(
             F.col("result_id").alias("row_id"), "filename", clk.instant("generated_at").alias("imported_at"),
             F.when(F.col("lang") != "fr", F.col("duration_seconds")).alias("duration"), "state",
         )
-        return lib.sort_rows(rows, mode).select("row_id", "filename", "duration", "state")
+        return placed(lib.sort_rows(rows, mode).select("row_id", "filename", "duration", "state"))
 
-    query(f"T3_sort_rows_{_mode}", f"""WITH {st.RESULTS_SQL} SELECT result_id AS row_id, filename, CASE WHEN lang <> 'fr' THEN duration_seconds END AS duration, state FROM results""")(_t3)
+    query(f"T3_sort_rows_{_mode}", f"""WITH {st.RESULTS_SQL}, d AS (SELECT *, CASE WHEN lang <> 'fr' THEN duration_seconds END AS duration FROM results)
+SELECT result_id AS row_id, filename, duration, state, row_number() OVER (ORDER BY {_order}, result_id) AS place FROM d""")(_t3)
 
 
-@query("T4_natural_sort", """SELECT page_id, url FROM pages""")
+@query("T4_natural_sort", f"""SELECT page_id, url, row_number() OVER (ORDER BY {NATURAL_SQL.format('url')}, url, page_id) AS place FROM pages""")
 def t4(t):
-    return lib.natural_sort(t.pages, "url").select("page_id", "url")
+    return placed(lib.natural_sort(t.pages, "url", "page_id").select("page_id", "url"))
 
 
 @query("T5_first_n", f"""WITH {st.ENTRIES_SQL} SELECT batch_id, position FROM entries QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY position) <= 2""")
@@ -278,11 +285,11 @@ def t5(t):
     return rows.where("nth <= 2").select("batch_id", "position")
 
 
-@query("T6_per_date_sort", f"""WITH {st.CLOCKED_SQL} SELECT batch_id AS report_id, date, min(time) AS start_time FROM clocked GROUP BY batch_id, date""")
+@query("T6_per_date_sort", f"""WITH {st.CLOCKED_SQL} SELECT *, row_number() OVER (ORDER BY coalesce(date, '') DESC, coalesce(start_time, '') DESC, report_id DESC) AS place FROM (SELECT batch_id AS report_id, date, min(time) AS start_time FROM clocked GROUP BY batch_id, date)""")
 def t6(t):
     facets = lib.date_facets(_clocked(t), "batch_id").withColumnsRenamed({"batch_id": "report_id"})
     rows = facets.select("report_id", F.lit(None).cast("string").alias("created_at"), F.array(F.struct("date", "start_time")).alias("date_start_times"))
-    return lib.per_date(rows).select("report_id", "date", "start_time")
+    return placed(lib.per_date(rows).select("report_id", "date", "start_time"))
 
 
 @query("T7_newest_per_hash", f"""WITH {st.RESULTS_SQL} SELECT source_sha256, result_id, generated_at FROM results QUALIFY row_number() OVER (PARTITION BY source_sha256 ORDER BY coalesce(generated_at, '') DESC, result_id DESC) = 1""")
@@ -290,9 +297,9 @@ def t7(t):
     return res.newest_first(st.results(t).select("source_sha256", "result_id", "generated_at"), "source_sha256", "generated_at", "result_id")
 
 
-@query("T8_selection_order", f"""WITH {st.ENTRIES_SQL} SELECT batch_id, position, state FROM entries""")
+@query("T8_selection_order", f"""WITH {st.ENTRIES_SQL} SELECT batch_id, position, state, row_number() OVER (ORDER BY batch_id, position) AS place FROM entries""")
 def t8(t):
-    return st.entries(t).select("batch_id", "position", "state").orderBy("batch_id", "position")
+    return placed(st.entries(t).select("batch_id", "position", "state").orderBy("batch_id", "position"))
 
 
 @query("W10_numbering", f"""WITH {st.ENTRIES_SQL} SELECT batch_id, position, row_number() OVER (PARTITION BY batch_id ORDER BY position) AS number FROM entries""")

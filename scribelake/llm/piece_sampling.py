@@ -97,18 +97,19 @@ class Pieces:
 
     def segment(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
         """Ids of each text, drawn by its seed."""
-        cut = [_WORD.findall(" " + t) if t else [] for t in texts]
+        # A word is named without the space it begins with.
+        cut = [[] if not t else t.split(" ") if "  " not in t and t[0] != " " and t[-1] != " " else [w[1:] for w in _WORD.findall(" " + t)] for t in texts]
         words = dict.fromkeys(chain.from_iterable(cut))
         if not words:
             return [np.zeros(0, np.int32) for _ in texts]
         words = dict(zip(words, range(len(words))))
         per_row = np.array([len(ws) for ws in cut], np.int64)
         word = np.fromiter(map(words.__getitem__, chain.from_iterable(cut)), np.int64, int(per_row.sum()))
-        code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        code = np.frombuffer("".join([" " + w for w in words]).encode("utf-32-le"), np.uint32).astype(np.int64)
         literal = code == SPACE
         code[code == 0x20] = SPACE
         code[literal] = LITERAL
-        size = np.fromiter(map(len, words), np.int64, len(words))
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
         begin = np.concatenate(([0], np.cumsum(size)))
         of = np.repeat(np.arange(len(words)), size)
         # Node of a place in a word: words have one place more than characters.
@@ -117,8 +118,9 @@ class Pieces:
         source, target = start + own, start + length + own
         weight = np.where(piece >= 0, self.weight[piece], self.byte_weight)
         place = start + length - begin[own]
-        # By place, then target, then length; one number sorts faster than three columns.
-        order = np.argsort((place * (len(code) + len(words)) + target) * (int(length.max()) + 1) + length)
+        # By place, then target, long pieces first; one number sorts faster than three columns.
+        most = int(length.max()) + 1
+        order = np.argsort((place * (len(code) + len(words)) + target) * most + most - length)
         source, target, weight, place, piece, start = (x[order] for x in (source, target, weight, place, piece, start))
         # Forward: places in rising order, all words at once.
         total = np.full(len(code) + len(words), -np.inf)
@@ -132,12 +134,13 @@ class Pieces:
             summed = np.logaddexp.reduceat(into, at)
             total[target[a:b][at]] = summed
             share[a:b] = np.exp(into - np.repeat(summed, np.diff(np.append(at, b - a))))
-        # Cumulated shares of the edges into each node; the node's number in front makes one rising array.
-        group = np.cumsum(head) - 1
+        # Cumulated shares of the edges into each node, added node by node so that they do not depend on the batch.
         first = np.flatnonzero(head)
-        last = np.append(first[1:], len(head)) - 1
-        run = np.cumsum(share)
-        shares = run - (run[first] - share[first])[group] + group
+        sizes = np.diff(np.append(first, len(head)))
+        for k in range(1, int(sizes.max())):
+            at = first[sizes > k] + k
+            share[at] += share[at - 1]
+        share[first + sizes - 1] = 1.0
         group_of = np.full(len(total), -1, np.int64)
         group_of[target[first]] = np.arange(len(first))
         # Backward: one piece per step for every word that is not used up.
@@ -151,9 +154,12 @@ class Pieces:
         drawn_by, drawn = [], []
         while len(live):
             u = (mixed(key[live] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
-            g = group_of[node]
-            edge = np.minimum(np.searchsorted(shares, g + u, "right"), last[g])
-            edge = np.maximum(edge, first[g])
+            edge = first[group_of[node]]
+            # Long pieces come first and hold most of the weight, so few draws go on to the next.
+            on = np.flatnonzero(share[edge] <= u)
+            while len(on):
+                edge[on] += 1
+                on = on[share[edge[on]] <= u[on]]
             drawn_by.append(live)
             drawn.append(edge)
             node = source[edge]

@@ -21,7 +21,15 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        parts = self.spark.conf.get(DEAL, None)
+        return df.repartition(int(parts)) if parts and name in WORDY else df
+
+
+#: Session setting, unset on clusters: into how many parts tables that are one row group in one file are dealt.
+DEAL = "spark.scribelake.dealInto"
+#: Tables whose rows are much work each.
+WORDY = ("documents", "conversations", "pages", "lineitem")
 
 
 def query(name: str, oracle: str | None = None, *, bigint: str = "", double: str = ""):

@@ -1,6 +1,6 @@
 """Registered queries against their SQL on the smallest tables.
 
-Every query runs; SCRIBELAKE_SPREAD=1 runs a spread of them
+By default a spread of queries runs; SCRIBELAKE_ALL=1 runs every one
 (``tools/check.py`` does the same on any folder).
 """
 
@@ -19,10 +19,11 @@ from check import TABLES, table_of  # noqa: E402
 FOLDER = "/root/testdata/sf0.001"
 SPREAD = (
     "A1_quality_by_source", "W1_timeline_audit", "W4_adjacent_identical", "P8_library_search", "W8_gap_groups", "J5_reusable_run",
-    "J20_overlap_check", "M1_purge_plan", "R1_folder_watch", "R3_progress_state", "F16_wer_counts", "A13_channel_levels", "K6_batch_report", "Q1_run_audit",
+    "J20_overlap_check", "M1_purge_plan", "R1_folder_watch", "R3_progress_state", "R4_stale_reject", "R3_progress_stream", "F16_wer_counts", "F3_tokens_review", "Q4_whole_review", "A2_verdict",
+    "T1_sort_recorded", "T3_sort_rows_filename", "T4_natural_sort", "M4_trash_restore", "M5_relabel", "P10_line_matches", "A13_channel_levels", "K6_batch_report", "Q1_run_audit",
 )
 ALL = sorted(registered().plans())
-NAMES = [n for n in ALL if n in SPREAD or not os.environ.get("SCRIBELAKE_SPREAD")]
+NAMES = [n for n in ALL if n in SPREAD or os.environ.get("SCRIBELAKE_ALL")]
 
 
 @pytest.fixture(scope="module")

@@ -135,15 +135,18 @@ class ProgressState(StatefulProcessor):
 
     Emits every event with its verdict and the job's state after it. Only an
     accepted event moves the number. The jobs are forgotten when the batch ends;
-    what is left, and batches that never end, go after ``ttl_ms`` without an update.
+    with ``ttl_ms``, what is left and batches that never end go after that time without an update.
     """
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
+    def _ttl(self) -> tuple[int, ...]:
+        return () if self.ttl_ms is None else (self.ttl_ms,)
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", _HEAD, self.ttl_ms)
-        self.jobs = handle.getMapState("jobs", "job_id string", _JOB, self.ttl_ms)
+        self.head = handle.getValueState("head", _HEAD, *self._ttl())
+        self.jobs = handle.getMapState("jobs", "job_id string", _JOB, *self._ttl())
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         last, ended = self.head.get() if self.head.exists() else (-1, False)
@@ -214,10 +217,9 @@ class ProgressState(StatefulProcessor):
         pass
 
 
-DAY_MS = 86_400_000
-
-
-def progress_stream(events: DataFrame, *, ttl_ms: int = 7 * DAY_MS) -> DataFrame:
+def progress_stream(events: DataFrame, *, ttl_ms: int | None = None) -> DataFrame:
+    """``ttl_ms`` needs a trigger that goes on without data, so it is for streams that never stop."""
     return events.groupBy("batch_id").transformWithStateInPandas(
-        statefulProcessor=ProgressState(ttl_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=ProgressState(ttl_ms), outputStructType=OUTPUT, outputMode="Append",
+        timeMode="None" if ttl_ms is None else "ProcessingTime",
     )

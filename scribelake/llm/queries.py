@@ -88,7 +88,7 @@ def op7_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """What line dedup leaves of each document: counts and a digest of the text."""
-    out = line_chunks.deduplicated(_table(spark, folder, "documents"), report=True)
+    out = line_chunks.deduplicated(_table(spark, folder, "documents"), report=True, passages=True)
     return out.select(
         F.col("id").alias("doc_id"),
         "lines_in",

@@ -40,7 +40,11 @@ NOT_TEXT = set("head script style noscript template iframe object svg math canva
 #: An opening tag ends an open element of the same kind.
 SIBLINGS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Words in class, id or role that name parts outside the article.
+#: Never outside by name: their classes speak of the whole page.
+WHOLE = set("html body main article".split())
+#: What may stand beside such a word in a compound (ad-slot, cookie-notice-inner); any other word makes it a name of its own.
+HOLDERS = set("area bar block box button buttons container form header inner item items link links list outer section site slot unit wrap wrapper".split())
+#: Class tokens, ids and roles that name parts outside the article.
 OUTSIDE = set(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent gdpr notice notices alert popup modal overlay "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments disqus respond replies share sharing "
@@ -49,7 +53,16 @@ OUTSIDE = set(
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)", re.S)
 _NAME = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def _outside(names: str) -> bool:
+    """Whether one of the names is, as a whole, a word of ``OUTSIDE`` or a compound of such words and ``HOLDERS``; digits are no words."""
+    for name in names.split():
+        words = set(_WORDS.findall(name))
+        if words & OUTSIDE and words <= OUTSIDE | HOLDERS:
+            return True
+    return False
 
 
 def _attributes(html: str, at: int) -> tuple[str, int]:
@@ -102,7 +115,7 @@ def events(html: str) -> Iterator[tuple[str, str, bool]]:
             yield "close", open_.pop()[1], False
         names = " ".join(v.strip("\"'").lower() for _, v in _NAME.findall(attributes)) if "=" in attributes else ""
         label = tag + ("." + re.sub(r"\d+", "0", names.split()[0]) if names.split() else "")
-        outside = tag in NOT_TEXT or bool(OUTSIDE.intersection(_WORDS.findall(names))) or (tag == "header" and not any(t in ("article", "main") for t, _ in open_))
+        outside = tag in NOT_TEXT or (tag not in WHOLE and _outside(names)) or (tag == "header" and not any(t in ("article", "main") for t, _ in open_))
         yield "open", label, outside
         if tag in VOID or attributes.rstrip().endswith("/") and tag not in RAW:
             yield "close", label, False
@@ -234,11 +247,16 @@ def main_path(wrapper: list) -> list[str]:
 
 
 def extract(html: str | None, path: list[str]) -> str:
-    """The blocks of a page under ``path`` (or its own article, or all of it), joined by an empty line."""
+    """The blocks of a page under ``path`` (or its own article, or all of it), joined by an empty line.
+
+    If all text is outside by name, it is that of the widest element so named: a page is not emptied by a class.
+    """
     if not html:
         return ""
     texts = {"path": [], "article": [], "page": []}
     words = {k: [] for k in texts}
+    named: list[list[str]] = []
+    aside: list[str] = []
     stack: list[tuple[str, bool]] = []
 
     def end_block() -> None:
@@ -248,9 +266,14 @@ def extract(html: str | None, path: list[str]) -> str:
                 if block:
                     texts[k].append(block)
                 w.clear()
+        if aside:
+            block = " ".join(unescape("".join(aside)).split())
+            if block:
+                named[-1].append(block)
+            aside.clear()
 
     labels: list[str] = []
-    hidden = inside = articles = 0
+    hidden = inside = articles = never = 0
     for kind, value, outside in events(html):
         if kind == "text":
             if not hidden:
@@ -259,6 +282,8 @@ def extract(html: str | None, path: list[str]) -> str:
                     words["article"].append(value)
                 if inside:
                     words["path"].append(value)
+            elif not never:
+                aside.append(value)
             continue
         end_block()
         if kind == "open":
@@ -266,13 +291,18 @@ def extract(html: str | None, path: list[str]) -> str:
             article = value.split(".")[0] in ("article", "main") and not outside
             on_path = bool(path) and len(labels) == len(path) and labels == path
             stack.append((outside, on_path, article))
+            if outside and not hidden:
+                named.append([])
+            never += value.split(".")[0] in NOT_TEXT
             hidden, inside, articles = hidden + outside, inside + on_path, articles + article
         else:
             labels.pop()
+            never -= value.split(".")[0] in NOT_TEXT
             outside, on_path, article = stack.pop()
             hidden, inside, articles = hidden - outside, inside - on_path, articles - article
     end_block()
-    return "\n\n".join(next((texts[k] for k in ("path", "article", "page") if texts[k]), []))
+    widest = max(named, key=lambda blocks: sum(map(len, blocks)), default=[])
+    return "\n\n".join(next((texts[k] for k in ("path", "article", "page") if texts[k]), widest))
 
 
 def host_of(url: Column) -> Column:

@@ -7,7 +7,9 @@ that all its pages match. The wrapper tells where the varying text is: the path
 the parts that are menus, notices and so on by tag or name.
 
 Streams are aligned inside each task first, page by page; equal partial wrappers of a host are then counted once, and the others are
-merged in two steps (``SALTS`` groups per host, then one), so no host's pages meet in one task.
+merged in two steps (``SALTS`` groups per host, then one), so no host's pages meet in one task. Names (classes and ids) that are on
+fewer than ``SHARE`` of a host's pages are no part of its template and are left out before, so the number of names in a wrapper is
+bounded by what a page holds and not by the number of pages.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ SALTS = 32
 BROADCAST_BYTES = 8 << 20
 #: Wrappers a task keeps before it passes them on.
 HOSTS_HELD = 2_000
+#: Share of a host's pages that a label with a name must be on; a host's kept labels are at most 1 / SHARE times those of a mean page.
+SHARE = 0.05
+#: Labels a task counts before it passes them on.
+LABELS_HELD = 200_000
 #: Share of a container's varying text that one child must hold for the search to go on inside it.
 MOST = 0.7
 
@@ -185,12 +191,17 @@ def _aligned(a: list, b: list) -> list:
     return _folded(out)
 
 
-def page_wrapper(html: str) -> list:
-    """One page's expression."""
+def _known(label: str, names: set[str] | None) -> str:
+    """The label, or its bare tag if its name is not among the host's; without ``names`` all are."""
+    return label if names is None or label in names else label.split(".")[0]
+
+
+def page_wrapper(html: str, names: set[str] | None = None) -> list:
+    """One page's expression; names other than ``names`` are left out."""
     stack: list[list] = [[]]
     for kind, value, outside in events(html):
         if kind == "open":
-            stack.append([value + ("!" if outside else "")])
+            stack.append([_known(value, names) + ("!" if outside else "")])
         elif kind == "close":
             label, *parts = stack.pop()
             node = [label, False, False, 0, 0, _folded(parts)]
@@ -246,7 +257,7 @@ def main_path(wrapper: list) -> list[str]:
         nodes = top[5]
 
 
-def extract(html: str | None, path: list[str]) -> str:
+def extract(html: str | None, path: list[str], names: set[str] | None = None) -> str:
     """The blocks of a page under ``path`` (or its own article, or all of it), joined by an empty line.
 
     If all text is outside by name, it is that of the widest element so named: a page is not emptied by a class.
@@ -287,7 +298,7 @@ def extract(html: str | None, path: list[str]) -> str:
             continue
         end_block()
         if kind == "open":
-            labels.append(value + ("!" if outside else ""))
+            labels.append(_known(value, names) + ("!" if outside else ""))
             article = value.split(".")[0] in ("article", "main") and not outside
             on_path = bool(path) and len(labels) == len(path) and labels == path
             stack.append((outside, on_path, article))
@@ -317,8 +328,50 @@ def _merge_group(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(whole, separators=(",", ":"))]})
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def template_names(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``host, names``: the labels with a name that are on at least ``SHARE`` of a host's pages, as JSON; stored."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[str, str], int] = {}
+
+        def passed_on() -> pd.DataFrame:
+            out = pd.DataFrame({"host": [k[0] for k in held], "label": [k[1] for k in held], "n": list(held.values())})
+            held.clear()
+            return out
+
+        for batch in batches:
+            for host, html in zip(batch["host"], batch["html"]):
+                if html:
+                    # The empty label counts the pages.
+                    for label in {"", *(v for kind, v, _ in events(html) if kind == "open" and "." in v)}:
+                        held[host, label] = held.get((host, label), 0) + 1
+                    if len(held) >= LABELS_HELD:
+                        yield passed_on()
+        if held:
+            yield passed_on()
+
+    plain = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    counts = checkpointed(plain.mapInPandas(count, "host string, label string, n bigint").groupBy("host", "label").agg(F.sum("n").alias("n")))
+    total = checkpointed(counts.where("label = ''").select("host", F.col("n").alias("pages")))
+    often = total.join(counts, "host").where((F.col("label") == "") | (F.col("n") >= SHARE * F.col("pages")))
+    kept = F.filter(F.sort_array(F.collect_list("label")), lambda x: x != "")
+    return checkpointed(often.groupBy("host").agg(F.to_json(kept).alias("names")))
+
+
+def _with_host(rows: DataFrame, facts: DataFrame, spread_by: list[str]) -> DataFrame:
+    """Rows joined with the one row of their host."""
+    size = facts.agg(F.sum(sum((F.octet_length(c) for c in facts.columns), F.lit(64)))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(facts), "host", "left")
+    # Pages of a host are spread over SALTS keys; its one short row goes to each.
+    spread = rows.withColumn("salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
+    each = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("bigint"))
+    return spread.join(each, ["host", "salt"], "left").drop("salt")
+
+
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", names: DataFrame | None = None) -> DataFrame:
     """``host, wrapper``: one wrapper (JSON) per host; pages without a host share the empty one."""
+    names = template_names(pages, url_col, html_col) if names is None else names
 
     def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = {}
@@ -329,9 +382,10 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             return out
 
         for batch in batches:
-            for host, html in zip(batch["host"], batch["html"]):
+            known = {x: set(json.loads(x)) for x in batch["names"].dropna().unique()}
+            for host, html, own in zip(batch["host"], batch["html"], batch["names"]):
                 if html:
-                    one = page_wrapper(html)
+                    one = page_wrapper(html, known.get(own, set()))
                     held[host] = _aligned(held[host], one) if host in held else one
                     if len(held) >= HOSTS_HELD:
                         yield passed_on()
@@ -339,7 +393,8 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             yield passed_on()
 
     schema = "host string, wrapper string"
-    partial = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInPandas(infer, schema).distinct()
+    hosted = pages.select(host_of(F.col(url_col)).alias("host"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    partial = _with_host(hosted, names, ["url", "html"]).select("host", "html", "names").mapInPandas(infer, schema).distinct()
     salted = partial.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     return salted.groupBy("host", "salt").applyInPandas(_merge_group, schema).groupBy("host").applyInPandas(_merge_group, schema)
 
@@ -350,22 +405,16 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Repeated rows and null ids are rows like any other; an empty input gives an empty result. Other columns are not read.
     """
     to_path = F.udf(lambda w: json.dumps(main_path(json.loads(w))), StringType())
+    names = template_names(pages, url_col, html_col)
     # One short row per host.
-    paths = checkpointed(wrappers(pages, url_col, html_col).select("host", to_path("wrapper").alias("path")))
+    paths = checkpointed(wrappers(pages, url_col, html_col, names).select("host", to_path("wrapper").alias("path")).join(names, "host"))
 
     @F.pandas_udf(StringType())
-    def text_of(html: pd.Series, path: pd.Series) -> pd.Series:
-        known = {p: json.loads(p) for p in path.dropna().unique()}
-        return pd.Series([extract(h, known.get(p, [])) for h, p in zip(html, path)], dtype=object)
+    def text_of(html: pd.Series, path: pd.Series, names: pd.Series) -> pd.Series:
+        paths = {p: json.loads(p) for p in path.dropna().unique()}
+        known = {x: set(json.loads(x)) for x in names.dropna().unique()}
+        return pd.Series([extract(h, paths.get(p, []), known.get(x, set())) for h, p, x in zip(html, path, names)], dtype=object)
 
     plain = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     hosted = plain.withColumn("host", host_of(F.col("url")))
-    size = paths.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        joined = hosted.join(F.broadcast(paths), "host", "left")
-    else:
-        # Pages of a host are spread over SALTS keys; its one short row goes to each.
-        spread = hosted.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)))
-        each = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("bigint"))
-        joined = spread.join(each, ["host", "salt"], "left")
-    return joined.select("id", "url", text_of("html", "path").alias("text"))
+    return _with_host(hosted, paths, ["id", "url"]).select("id", "url", text_of("html", "path", "names").alias("text"))

@@ -1,5 +1,7 @@
 """Templates of web pages whose names or number of names are unusual."""
 
+import json
+
 import pytest
 
 from scribelake.llm import html_wrappers
@@ -28,3 +30,26 @@ def test_names_of_a_page_do_not_hide_it(html):
 def test_parts_outside_the_article_stay_out(name):
     html = f'<body><div><p>{TEXT}</p><div class="{name}">not this</div></div></body>'
     assert html_wrappers.extract(html, html_wrappers.main_path(html_wrappers.page_wrapper(html))) == TEXT
+
+
+def test_a_wrapper_does_not_grow_with_the_pages_of_a_host(spark):
+    def page(i):
+        # Names of letters only: folding digits does not join them.
+        own = "post-" + "".join(chr(97 + int(c)) for c in f"{i:04d}")
+        return (
+            f'<body><div class="top"><a>Home</a></div><div class="wrap"><div id="{own}"><p>Text of {own}</p></div><p id="x{own}">More {i}</p></div>'
+            f'<div class="ad">Buy {i}</div></body>'
+        )
+
+    def nodes(wrapper):
+        return sum(1 + nodes(x[5]) for x in wrapper)
+
+    size = {}
+    for n in (60, 600):
+        pages = spark.createDataFrame([(i, "http://h/", page(i)) for i in range(n)], "page_id int, url string, html string").repartition(4)
+        (row,) = html_wrappers.wrappers(pages).collect()
+        size[n] = nodes(json.loads(row["wrapper"]))
+        assert "div.wrap" in row["wrapper"] and "post-" not in row["wrapper"]
+    assert size[600] == size[60] < 30
+    for r in html_wrappers.extracted(pages).collect():
+        assert r["text"].split("\n\n")[-1] == f"More {r['id']}" and "Home" not in r["text"] and "Buy" not in r["text"]

@@ -2,7 +2,8 @@
 
 For each language a suffix automaton is built over labelled text. A text is parsed against it greedily: the longest match from the
 current place is one phrase, the next begins behind it (Ziv and Merhav, 1993). The language that needs fewest phrases per symbol
-wins. Texts are lower-cased; letters are symbols, each run of other characters is one blank.
+wins. Texts are lower-cased; letters are symbols, each run of other characters is one blank. Every letter of every language's sample
+is a symbol of its own; a language's table is over the symbols of its own text, and sparse if these are many.
 
 Learning uses a bounded sample: of each of the ``max_languages`` most frequent labels the ``sample_docs`` learnable documents with the
 least hash, of each at most ``doc_symbols`` symbols, together at most ``train_symbols``. Every prediction reads the whole text. The
@@ -29,7 +30,9 @@ TRAIN_SYMBOLS = 24_000
 MAX_LANGUAGES = 200
 #: Bytes of all automata together; with many languages each learns from less text.
 TABLE_BYTES = 64 << 20
-MAX_LETTERS = 60
+#: Symbols of a language up to which its table is dense, and about how many bytes a symbol of its text takes in a sparse one.
+DENSE_WIDTH = 128
+SPARSE_BYTES = 64
 UNKNOWN = "und"
 #: Phrases per symbol above which no learnt language is taken to fit, for filtering.
 MAX_RATE = 0.6
@@ -86,6 +89,37 @@ def parse_table(step: list[dict[int, int]], width: int) -> np.ndarray:
     return table.ravel().astype(np.int32 if table.max() < 1 << 31 else np.int64)
 
 
+class Dense:
+    """A parse table that is looked up by place."""
+
+    def __init__(self, step: list[dict[int, int]], width: int):
+        self.table = parse_table(step, width)
+        self.dtype = self.table.dtype
+
+    def moved(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        return self.table.take(state + symbol)
+
+
+class Sparse:
+    """The same moves from the automaton's transitions only, found by bisection."""
+
+    dtype = np.dtype(np.int64)
+
+    def __init__(self, step: list[dict[int, int]], width: int):
+        moves = sorted((s * width + c, to) for s, row in enumerate(step) for c, to in row.items())
+        # The last key is above all others, so a place behind the rest can be read.
+        self.keys = np.array([k for k, _ in moves] + [(len(step) + 2) * width], np.int64)
+        self.to = np.array([to for _, to in moves] + [0], np.int64) * width * 2
+        self.opened = np.full(width, len(step), np.int64)
+        self.opened[list(step[0])] = list(step[0].values())
+        self.opened *= width * 2
+
+    def moved(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        key = state + symbol
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.to[at], self.opened[symbol] + (state != 0))
+
+
 @dataclass
 class Model:
     """Letters, and per language the text it was learnt from; automata are built once per Python worker."""
@@ -99,11 +133,20 @@ class Model:
             return
         # 0 is blank, then the letters, then any other letter, then padding.
         n = len(self.letters)
-        lookup = np.zeros(0x110000, np.uint8)
+        lookup = np.zeros(0x110000, np.int32)
         lookup[[i for i in range(0x110000) if chr(i).isalpha()]] = n + 1
         lookup[[ord(c) for c in self.letters]] = np.arange(1, n + 1)
         self.__dict__.update(_lookup=lookup, _width=n + 3)
-        self.__dict__["_tables"] = [parse_table(suffix_automaton(self.symbols(t)), n + 3) for t in self.texts]
+        self.__dict__["_tables"] = [self._table(self.symbols(t)) for t in self.texts]
+
+    def _table(self, symbols: np.ndarray) -> tuple[np.ndarray, Dense | Sparse]:
+        """A language's own symbols (all it lacks are one, behind them; then padding), and its moves."""
+        own = np.unique(symbols)
+        to_own = np.full(self._width, len(own), np.int32)
+        to_own[own] = np.arange(len(own))
+        to_own[self._width - 1] = len(own) + 1
+        kind = Dense if len(own) + 2 <= DENSE_WIDTH else Sparse
+        return to_own, kind(suffix_automaton(to_own[symbols]), len(own) + 2)
 
     def symbols(self, text: str) -> np.ndarray:
         found = self._lookup[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
@@ -120,7 +163,7 @@ class Model:
         total = np.zeros((len(rows), len(self.texts)), np.int64)
         for at in range(0, len(of), 8192):
             own = of[at : at + 8192]
-            grid = np.full((len(own), SEGMENT), self._width - 1, np.uint8)
+            grid = np.full((len(own), SEGMENT), self._width - 1, np.int32)
             first = at - np.concatenate(([0], np.cumsum(lanes)))[own]
             for k, (r, f) in enumerate(zip(own.tolist(), first.tolist())):
                 part = rows[r][(f + k) * SEGMENT : (f + k + 1) * SEGMENT]
@@ -130,11 +173,12 @@ class Model:
             order = np.argsort(-used, kind="stable")
             steps, own, used = np.ascontiguousarray(grid[order].T), own[order], used[order]
             running = np.searchsorted(-used, -np.arange(SEGMENT), "left")
-            for j, table in enumerate(self._tables):
+            for j, (to_own, table) in enumerate(self._tables):
+                mine = to_own[steps]
                 state, count = np.zeros(len(own), table.dtype), np.ones(len(own), np.int32)
                 for t in range(int(used[0]) if len(used) else 0):
                     n = int(running[t])
-                    moved = table.take(state[:n] + steps[t, :n])
+                    moved = table.moved(state[:n], mine[t, :n])
                     count[:n] += moved & 1
                     state[:n] = moved >> 1
                 total[:, j] += np.bincount(own, count, len(rows)).astype(np.int64)
@@ -191,15 +235,14 @@ def train(
     by_lang: dict[str, list[str]] = {}
     for r in got:
         by_lang.setdefault(r["lang"], []).append(r["text"].lower()[: 2 * doc_symbols])
-    letters, seen = np.unique([c for ts in by_lang.values() for t in ts for c in t if c.isalpha()], return_counts=True)
-    most = sorted(letters[np.lexsort((letters, -seen))][:MAX_LETTERS].tolist())
-    width = len(most) + 3
-    each = max(500, min(train_symbols, TABLE_BYTES // (max(1, len(by_lang)) * width * 4 * 2)))
+    alphabets = [{c for t in ts for c in t if c.isalpha()} for ts in by_lang.values()]
+    widths = [len(x) + 4 for x in alphabets]
+    each = max(500, min(train_symbols, TABLE_BYTES // max(1, sum(w * 4 * 2 if w <= DENSE_WIDTH else SPARSE_BYTES for w in widths))))
     texts = []
     for ts in by_lang.values():
         plain = [re.sub(r"[\W\d_]+", " ", t)[:doc_symbols] for t in ts]
         texts.append(" ".join(plain)[:each])
-    return Model("".join(most), list(by_lang), texts)
+    return Model("".join(sorted(set().union(*alphabets))), list(by_lang), texts)
 
 
 def predicted(model: Model, text: Column) -> Column:

@@ -4,23 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Parts into which the rows of a key are dealt.
-SALTS = 64
 
-
-def with_key_facts(rows: DataFrame, facts: DataFrame, keys: str | list[str], how: str = "left", *, salts: int = SALTS) -> DataFrame:
+def with_key_facts(rows: DataFrame, facts: DataFrame, keys: str | list[str], how: str = "left") -> DataFrame:
     """``rows`` joined with ``facts``, which hold at most one row per key.
 
-    An adaptive join only splits a skewed key if both sides come straight from a
-    shuffle, which an aggregate does not. So the rows of a key are dealt into
-    ``salts`` parts by their other columns, and the key's one row of facts goes to
-    each part. A small side is still broadcast, by Spark's own size check.
+    The adaptive join splits a crowded partition only if both sides come straight from a shuffle. An aggregate by the same keys is
+    already dealt by them and gets none. The extra key (zero everywhere, but not to the optimizer) asks for one: the facts move
+    once more, a single row per key, and the rows of a hot key are then split by their measured size. Nothing is copied for keys
+    that are not crowded, and a small side is broadcast by its real size.
     """
     on = [keys] if isinstance(keys, str) else list(keys)
-    plain = [f.name for f in rows.schema.fields if f.name not in on and not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    salt = F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int") if plain else F.lit(0)
-    dealt = rows.withColumn("__salt", salt)
-    each = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1 if plain else 0))))
-    return dealt.join(each, [*on, "__salt"], how).drop("__salt")
+    zero = F.pmod(F.xxhash64(*on), F.lit(1)).alias("__zero")
+    return rows.select("*", zero).join(facts.select("*", zero), [*on, "__zero"], how).drop("__zero")

@@ -26,7 +26,7 @@ class Tables:
         return df.repartition(int(parts)) if parts and name in WORDY else df
 
 
-#: Session setting, unset on clusters: into how many parts tables that are one row group in one file are dealt.
+#: Session setting of the bench alone: into how many parts tables that are one row group in one file are dealt.
 DEAL = "spark.scribelake.dealInto"
 #: Tables whose rows are much work each.
 WORDY = ("documents", "conversations", "pages", "lineitem")

@@ -17,8 +17,6 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.driver.memory", os.environ.get("SCRIBELAKE_DRIVER_MEMORY", "12g"))
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        # The shared test tables are one row group each, which one core would read alone.
-        .config("spark.scribelake.dealInto", str(cpus) if str(cpus).isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -1,25 +1,65 @@
-"""A key with a third of all rows does not gather in one task."""
+"""A key with a third of all rows does not gather in one task, and no key's facts are copied without need."""
+
+import re
 
 from pyspark.sql import functions as F
 
 from scribelake.operators import library
 from scribelake.operators.joins import with_key_facts
 
+#: A join of shuffled sides whose crowded partitions are split at test size.
+SMALL = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.shuffle.partitions": "40",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+}
+
+
+def configured(spark, settings):
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    return before
+
+
+def restore(spark, before):
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
 
-def test_hot_key_is_dealt_out(spark):
-    rows = spark.range(60_000).select(F.col("id").alias("pos"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"))
-    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+def hot(spark):
+    ids = spark.range(0, 60_000, 1, 24)
+    return ids.select(F.col("id").alias("pos"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"))
+
+
+def test_hot_key_is_split(spark):
+    before = configured(spark, SMALL)
     try:
-        for k, v in zip(before, ("-1", "40", "false")):
-            spark.conf.set(k, v)
-        out = library.first_of_key(rows, "key", "pos")
-        per_task = out.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        out = library.first_of_key(hot(spark), "key", "pos")
+        per_task = out.select("*", F.spark_partition_id().alias("task")).groupBy("task").count().collect()
         assert sum(r["count"] for r in per_task) == 60_000
-        assert max(r["count"] for r in per_task) < 0.08 * 60_000
+        assert max(r["count"] for r in per_task) < 0.1 * 60_000
         assert out.where("duplicate_of = 0").count() == 19_999 and out.where("duplicate_of IS NULL").count() == 40_001
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+        restore(spark, before)
+
+
+def test_facts_are_never_multiplied(spark):
+    """The build side of a broadcast is as large as Spark thinks, and a shuffled side holds one row per key."""
+    out = library.first_of_key(hot(spark), "key", "pos")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    before = configured(spark, SMALL)
+    try:
+        plan = library.first_of_key(hot(spark), "key", "pos")._jdf.queryExecution().executedPlan().toString()
+        # Rows, the aggregate, and the aggregate once more by the join's own keys.
+        assert "Generate" not in plan and len(re.findall(r"Exchange hashpartitioning\(key", plan)) == 3
+    finally:
+        restore(spark, before)
 
 
 def test_keys_without_facts(spark):

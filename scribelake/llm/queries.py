@@ -18,6 +18,7 @@ from scribelake.llm import (
     simhash_pivots,
     swap_packing,
     toxicity_pu,
+    whitening,
 )
 from scribelake.llm.common import bounded_batches
 
@@ -121,6 +122,11 @@ def op10_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """``embeddings`` along their 16 leading components, each of unit variance."""
+    return whitening.whitened(_table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op")}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))

@@ -16,6 +16,7 @@ from scribelake.llm import (
     piece_sampling,
     rule_ledger,
     simhash_pivots,
+    source_divergence,
     swap_packing,
     toxicity_pu,
     whitening,
@@ -127,6 +128,11 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened(_table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """How the sources of each language of ``documents`` differ in their terms."""
+    return source_divergence.audit(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op")}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -181,5 +187,46 @@ FROM b
 """
 
 
+OP12_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+    FROM documents
+),
+w AS (SELECT doc, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+per AS (SELECT doc, lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS ln FROM per GROUP BY ALL HAVING count(*) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(ln) AS nl FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, sum(n) AS n FROM per GROUP BY ALL),
+dense AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.ln, v.v, v.nl,
+           sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source)::HUGEINT AS total
+    FROM g JOIN k ON g.lang = k.lang JOIN v ON v.lang = g.lang
+         LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+p AS (
+    SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * v)::HUGEINT AS p,
+           1 + (1000000000::HUGEINT * (ln + 2)::HUGEINT) // (nl + 2 * v)::HUGEINT AS q
+    FROM dense
+),
+both_ AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN both_ x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_block_naming": OP2_SQL, "op7_rule_ledger": OP7_SQL}
+    return {"op2_block_naming": OP2_SQL, "op7_rule_ledger": OP7_SQL, "op12_source_divergence": OP12_SQL}

@@ -14,6 +14,7 @@ from scribelake.llm import (
     html_wrappers,
     line_chunks,
     piece_sampling,
+    piecewise_hashes,
     rule_ledger,
     simhash_pivots,
     source_divergence,
@@ -133,6 +134,11 @@ def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return source_divergence.audit(_table(spark, folder, "documents"))
 
 
+def op13_piecewise_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    """Piecewise fingerprints of ``documents`` and of their edited texts, with likenesses."""
+    return piecewise_hashes.beside_next(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op")}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))

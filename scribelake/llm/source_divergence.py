@@ -28,7 +28,7 @@ MIN_DOCS = 10
 #: Terms of a group in the report.
 TOP = 10
 #: Terms a task counts before it passes them on.
-HELD = 200_000
+HELD = 600_000
 UNIT = 1_000_000_000
 DIGEST_BITS = 64
 
@@ -118,7 +118,9 @@ def kept_counts(
     columns = [F.coalesce(F.col(c).cast("string"), empty) for c in (lang_col, source_col, text_col)]
     digest = F.shiftrightunsigned(F.xxhash64("term"), 64 - digest_bits)
     parts, names = _identified(_stored(_counted(docs, *columns).withColumn("digest", digest), "counts"))
-    counts = parts.groupBy("lang", "source", "digest", "split").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Tasks have added up what they saw, so one exchange by term serves the sums by source and the window over a term's sources alike.
+    met = parts.select("lang", "source", "digest", "split", "n", "docs").repartition("lang", "digest", "split")
+    counts = met.groupBy("lang", "source", "digest", "split").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     # As many rows as the language has sources.
     term = Window.partitionBy("lang", "digest", "split")
     known = counts.select(

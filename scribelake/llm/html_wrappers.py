@@ -1,21 +1,23 @@
 """Main text of web pages by wrappers inferred per host.
 
-A page's token stream (block tags and text slots; inline tags are no tokens) is folded into a union-free expression: adjacent equal
-runs become repeated groups. Streams of one host are aligned one after another; where they differ, the tokens of one side become
-optional or a repeated group, and differing texts become slots. What comes out is the host's wrapper: an expression without unions
-that all its pages match. The wrapper tells where the varying text is: the path that holds it is extracted from each page, without
-the parts that are menus, notices and so on by tag or name.
+A page's token stream (block tags and texts; inline tags are no tokens) is folded into a union-free expression: adjacent equal runs
+become repeated groups. Streams of one host are aligned one after another; where they differ, the tokens of one side become optional or
+a repeated group, and differing texts become slots. A text that nearly all pages of a host hold at the same kind of element is part of its
+template: a literal token of the expression, like a tag. What comes out is the host's wrapper: an expression without unions that all its
+pages match. It tells where the varying text is: the path that holds it is extracted from each page, without the parts that are menus,
+notices and so on by tag or name, without hidden elements, and without the template's own texts.
 
 Streams are aligned inside each task first, page by page; equal partial wrappers of a host are then counted once, and the others are
 merged in two steps (``SALTS`` groups per host, then one), so no host's pages meet in one task. Names (classes and ids) that are on
 fewer than ``SHARE`` of a host's pages are no part of its template and are left out before, so the number of names in a wrapper is
-bounded by what a page holds and not by the number of pages.
+bounded by what a page holds and not by the number of pages. Nothing recurses: a page may nest as deep as it likes.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from html import unescape
 
@@ -33,6 +35,12 @@ BROADCAST_BYTES = 8 << 20
 HOSTS_HELD = 2_000
 #: Share of a host's pages that a label with a name must be on; a host's kept labels are at most 1 / SHARE times those of a mean page.
 SHARE = 0.05
+#: Share of a host's pages that a text must be on to be part of its template, of at least so many pages.
+TEMPLATE = 0.95
+TEMPLATE_PAGES = 20
+#: Sequences whose alignment table would have more cells are aligned by looking ahead.
+CELLS = 1 << 20
+AHEAD = 64
 #: Labels a task counts before it passes them on.
 LABELS_HELD = 200_000
 #: Share of a container's varying text that one child must hold for the search to go on inside it.
@@ -58,7 +66,9 @@ OUTSIDE = set(
 )
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)", re.S)
-_NAME = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_SPEAKING = re.compile(r"class|id|role|hidden|style", re.I)
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -86,12 +96,38 @@ def _attributes(html: str, at: int) -> tuple[str, int]:
             return html[at:end], stop
 
 
+def _spoken(attributes: str) -> tuple[str, bool]:
+    """The names (class, id, role) of a tag's attributes, in lower case, and whether they hide the element."""
+    names, unseen = [], False
+    if _SPEAKING.search(attributes):
+        for key, value in _ATTRIBUTE.findall(attributes):
+            key = key.lower()
+            value = value.strip("\"'")
+            if key in ("class", "id", "role"):
+                names.append(value.lower())
+            elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _UNSEEN.search(value)):
+                unseen = True
+    return " ".join(names), unseen
+
+
 def events(html: str) -> Iterator[tuple[str, str, bool]]:
-    """``("open", label, outside)``, ``("close", label, False)`` and ``("text", text, False)`` in page order, well nested.
+    """``("open", label, outside)``, ``("close", label, False)`` and ``("text", text, False)`` in page order, well nested; ``("hide", "",
+    True)`` and ``("show", "", False)`` around inline elements that are no article text.
 
     A label is the tag with its class or id, digits aside; ``outside`` marks elements that are no article text.
     """
-    open_: list[tuple[str, str]] = []
+    open_: list[tuple[str, str, str]] = []  # tag, label, and what to say when it ends
+    count: dict[str, int] = {}  # open elements by tag
+
+    def push(tag: str, label: str, end: str) -> None:
+        open_.append((tag, label, end))
+        count[tag] = count.get(tag, 0) + 1
+
+    def pop() -> tuple[str, str, str]:
+        top = open_.pop()
+        count[top[0]] -= 1
+        return top
+
     at, n = 0, len(html)
     while at < n:
         m = _TAG.search(html, at)
@@ -105,23 +141,30 @@ def events(html: str) -> Iterator[tuple[str, str, bool]]:
             continue
         tag = m[2].lower()
         attributes, at = _attributes(html, at)
-        if tag in INLINE:
-            if tag == "br":
-                yield "text", " ", False
-            continue
         if m[1]:
-            if any(t == tag for t, _ in open_):
+            if count.get(tag):
                 while True:
-                    t, label = open_.pop()
-                    yield "close", label, False
+                    t, label, end = pop()
+                    if end:
+                        yield end, label, False
                     if t == tag:
                         break
             continue
+        names, unseen = _spoken(attributes) if "=" in attributes or "hidden" in attributes.lower() else ("", False)
+        if tag in INLINE:
+            if tag == "br":
+                yield "text", " ", False
+            elif unseen or _outside(names):
+                push(tag, "", "show")
+                yield "hide", "", True
+            elif count.get(tag):  # inside a hidden one of its kind: its end is not that one's
+                push(tag, "", "")
+            continue
         while open_ and (open_[-1][0] in SIBLINGS.get(tag, ()) or (open_[-1][0] == "p" and tag in ENDS_P)):
-            yield "close", open_.pop()[1], False
-        names = " ".join(v.strip("\"'").lower() for _, v in _NAME.findall(attributes)) if "=" in attributes else ""
+            yield "close", pop()[1], False
         label = tag + ("." + re.sub(r"\d+", "0", names.split()[0]) if names.split() else "")
-        outside = tag in NOT_TEXT or (tag not in WHOLE and _outside(names)) or (tag == "header" and not any(t in ("article", "main") for t, _ in open_))
+        outside = tag in NOT_TEXT or (tag not in WHOLE and _outside(names)) or (unseen and tag not in ("html", "body"))
+        outside = outside or (tag == "header" and not (count.get("article") or count.get("main")))
         yield "open", label, outside
         if tag in VOID or attributes.rstrip().endswith("/") and tag not in RAW:
             yield "close", label, False
@@ -130,18 +173,44 @@ def events(html: str) -> Iterator[tuple[str, str, bool]]:
             at = close.end()
             yield "close", label, False
         else:
-            open_.append((tag, label))
+            push(tag, label, "close")
     while open_:
-        yield "close", open_.pop()[1], False
+        _, label, end = pop()
+        if end:
+            yield end, label, False
+
 
+def _block(words: list[str]) -> str:
+    return " ".join(unescape("".join(words)).split())
 
-# A wrapper is a list of nodes [label, optional, repeated, text, chars, parts]. Text has label "#" and the text's hash, 0 for a slot;
-# chars counts varying characters of slots.
 
+def text_key(label: str, block: str) -> str:
+    """A text as a token of a template: a digest of it and of the tag it stands in."""
+    import xxhash
 
-def _merged(a: list, b: list) -> list:
+    return "=" + xxhash.xxh3_64_hexdigest(label.split(".")[0].rstrip("!") + "\n" + block)
+
+
+def hash_of(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "replace")) | 1 << 32
+
+
+# A wrapper is a list of nodes [label, optional, repeated, text, chars, below]. Text has label "#" and its hash, 0 for a slot; a text of the
+# template has its key as label; chars counts varying characters. ``below`` lists sequences of nodes that are still to be aligned with each
+# other; when a wrapper is settled, every node has one.
+
+
+def _join(a: list, b: list) -> None:
+    """Take ``b`` into ``a``, whose list of sequences is its own."""
     slot = a[0] == "#" and (a[3] == 0 or a[3] != b[3])
-    return [a[0], a[1] or b[1], a[2] or b[2], 0 if slot else a[3], a[4] + b[4], _aligned(a[5], b[5])]
+    a[1:5] = a[1] or b[1], a[2] or b[2], 0 if slot else a[3], a[4] + b[4]
+    a[5].extend(b[5])
+
+
+def _joined(a: list, b: list) -> list:
+    out = [*a[:5], list(a[5])]
+    _join(out, b)
+    return out
 
 
 def _folded(nodes: list) -> list:
@@ -152,14 +221,17 @@ def _folded(nodes: list) -> list:
             run = nodes[i : i + period]
             j = i + period
             while len(run) == period and [x[0] for x in nodes[j : j + period]] == [x[0] for x in run] and (period > 1 or run[0][0] != "#"):
-                run = [_merged(x, y) for x, y in zip(run, nodes[j : j + period])]
+                if j == i + period:
+                    run = [[*x[:5], list(x[5])] for x in run]
+                for x, y in zip(run, nodes[j : j + period]):
+                    _join(x, y)
                 j += period
             if j > i + period:
                 if period == 1:
                     run[0][2] = True
                     out += run
                 else:
-                    out.append(["(" + " ".join(x[0] for x in run) + ")", False, True, 0, 0, run])
+                    out.append(["(" + " ".join(x[0] for x in run) + ")", False, True, 0, 0, [run]])
                 i = j
             else:
                 out.append(nodes[i])
@@ -168,152 +240,241 @@ def _folded(nodes: list) -> list:
     return nodes
 
 
-def _aligned(a: list, b: list) -> list:
-    """Two sequences as one: common labels in order are merged, all others become optional."""
-    if [x[0] for x in a] == [x[0] for x in b]:
-        return [_merged(x, y) for x, y in zip(a, b)]
-    n, m = len(a), len(b)
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of equal labels, rising on both sides: as many as there can be, or found by looking ahead where that takes too long."""
+    n, m, found = len(a), len(b), []
+    if n * m > CELLS:
+        i = j = 0
+        while i < n and j < m:
+            # The nearest equal labels, by what is skipped on both sides together; none near: one label of each is skipped.
+            near = ((i + k, j + d - k) for d in range(AHEAD) for k in range(d + 1) if i + k < n and j + d - k < m and a[i + k] == b[j + d - k])
+            i, j = next(near, (-i - 1, -j - 1))
+            if i < 0:
+                i, j = -i, -j
+            else:
+                found.append((i, j))
+                i, j = i + 1, j + 1
+        return found
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(_merged(a[i], b[j]))
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
+    while i < n and j < m:
+        if a[i] == b[j]:
+            found.append((i, j))
             i, j = i + 1, j + 1
-        elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append([a[i][0], True, *a[i][2:]])
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append([b[j][0], True, *b[j][2:]])
             j += 1
+    return found
+
+
+def _level(a: list, b: list) -> list:
+    """Two sequences as one: common labels in order are joined, all others become optional."""
+    left, right = [x[0] for x in a], [x[0] for x in b]
+    if left == right:
+        return [_joined(x, y) for x, y in zip(a, b)]
+    out, i, j = [], 0, 0
+    for k, l in [*_common(left, right), (len(a), len(b))]:
+        out += [[x[0], True, *x[2:]] for x in (*a[i:k], *b[j:l])]
+        if k < len(a):
+            out.append(_joined(a[k], b[l]))
+        i, j = k + 1, l + 1
     return _folded(out)
 
 
+def aligned(*sequences: list) -> list:
+    """Wrappers as one, level by level."""
+    root: list = []
+    work = [(root, list(sequences))]
+    while work:
+        below, todo = work.pop()
+        level = todo[0]
+        for other in todo[1:]:
+            level = _level(level, other)
+        below[:] = [level]
+        work += [(x[5], list(x[5])) for x in level if x[5]]
+    return root[0]
+
+
+def to_json(wrapper: list) -> str:
+    """Nodes with the place of their parent (-1 for none), parents first."""
+    rows: list[list] = []
+    work = [(x, -1) for x in reversed(wrapper)]
+    while work:
+        node, parent = work.pop()
+        rows.append([parent, *node[:5]])
+        at = len(rows) - 1
+        work += [(x, at) for x in reversed(node[5][0] if node[5] else [])]
+    return json.dumps(rows, separators=(",", ":"))
+
+
+def from_json(text: str) -> list:
+    root: list = []
+    nodes: list[list] = []
+    for parent, *own in json.loads(text):
+        nodes.append([*own, []])
+        if parent < 0:
+            root.append(nodes[-1])
+        elif nodes[parent][5]:
+            nodes[parent][5][0].append(nodes[-1])
+        else:
+            nodes[parent][5].append([nodes[-1]])
+    return root
+
+
 def _known(label: str, names: set[str] | None) -> str:
     """The label, or its bare tag if its name is not among the host's; without ``names`` all are."""
     return label if names is None or label in names else label.split(".")[0]
 
 
-def page_wrapper(html: str, names: set[str] | None = None) -> list:
-    """One page's expression; names other than ``names`` are left out."""
-    stack: list[list] = [[]]
-    for kind, value, outside in events(html):
-        if kind == "open":
-            stack.append([_known(value, names) + ("!" if outside else "")])
-        elif kind == "close":
-            label, *parts = stack.pop()
-            node = [label, False, False, 0, 0, _folded(parts)]
-            stack[-1].append(node)
-        elif value.strip():
-            text = " ".join(value.split())
-            last = stack[-1][-1] if stack[-1] else None
-            if isinstance(last, list) and last[0] == "#":
-                last[3], last[4] = hash_of(str(last[3]) + text), last[4] + len(text)
-            else:
-                stack[-1].append(["#", False, False, hash_of(text), len(text), []])
-    return _folded(stack[0])
-
+def page_wrapper(html: str, names: set[str] | None = None, template: frozenset[str] | set[str] = frozenset()) -> list:
+    """One page's expression; names other than ``names`` are left out, texts of the ``template`` are literal tokens."""
+    stack: list[list] = [["", []]]
+    words: list[str] = []
+    unseen = 0
 
-def hash_of(text: str) -> int:
-    import zlib
+    def end_text() -> None:
+        text = _block(words) if words else ""
+        words.clear()
+        if text:
+            key = text_key(stack[-1][0], text) if template else ""
+            stack[-1][1].append([key, False, False, 0, 0, []] if key in template else ["#", False, False, hash_of(text), len(text), []])
 
-    return zlib.crc32(text.encode("utf-8", "replace")) | 1 << 32
+    for kind, value, outside in events(html):
+        if kind == "text":
+            if not unseen:
+                words.append(value)
+            continue
+        if kind in ("hide", "show"):
+            unseen += 1 if kind == "hide" else -1
+            continue
+        end_text()
+        if kind == "open":
+            stack.append([_known(value, names) + ("!" if outside else ""), []])
+        else:
+            label, parts = stack.pop()
+            stack[-1][1].append([label, False, False, 0, 0, [_folded(parts)] if parts else []])
+    end_text()
+    return aligned(_folded(stack[0][1]))
 
 
 def main_path(wrapper: list) -> list[str]:
     """Labels from the root to the container of the article.
 
-    An article or main element is one if there is such; otherwise the search goes down while one child holds most varying text.
+    The widest article or main element is one if it holds at least half of the varying text; otherwise the search goes down while one child
+    holds most of it.
     """
-
-    def weight(node: list) -> int:
-        if node[0].endswith("!"):
-            return 0
-        return (node[4] if node[3] == 0 else 0) if node[0] == "#" else sum(map(weight, node[5]))
-
-    def named(nodes: list, path: list[str]) -> tuple[int, list[str]]:
-        found = (0, [])
-        for node in nodes:
-            if node[0] == "#" or node[0].endswith("!"):
-                continue
-            here = path if node[0][0] == "(" else [*path, node[0]]
-            own = (max(1, weight(node)), here) if re.split(r"[.]", node[0])[0] in ("article", "main") else named(node[5], here)
-            found = max(found, own, key=lambda x: x[0])
-        return found
-
-    best = named(wrapper, [])
-    if best[0]:
-        return best[1]
-    path, nodes = [], wrapper
+    nodes: list[list] = []
+    above: list[int] = []
+    work = [(x, -1) for x in reversed(wrapper)]
+    while work:
+        node, parent = work.pop()
+        nodes.append(node)
+        above.append(parent)
+        at = len(nodes) - 1
+        work += [(x, at) for x in reversed(node[5][0] if node[5] else [])]
+    weight = [x[4] if x[0] == "#" and x[3] == 0 else 0 for x in nodes]
+    below: list[list[int]] = [[] for _ in nodes]
+    top: list[int] = []
+    for at in range(len(nodes) - 1, -1, -1):
+        if nodes[at][0].endswith("!"):
+            weight[at] = 0
+        (below[above[at]] if above[at] >= 0 else top).append(at)
+        if above[at] >= 0:
+            weight[above[at]] += weight[at]
+    total = sum(weight[at] for at in top)
+    # Inside an element that is no article text, or inside an article already found.
+    shut = [False] * len(nodes)
+    best = None
+    for at, node in enumerate(nodes):
+        shut[at] = (above[at] >= 0 and shut[above[at]]) or node[0].endswith("!")
+        if not shut[at] and node[0].split(".")[0] in ("article", "main"):
+            shut[at] = True
+            if best is None or weight[at] > weight[best]:
+                best = at
+    path: list[str] = []
+    if best is not None and 2 * weight[best] >= total:
+        while best >= 0:
+            if nodes[best][0][0] != "(":
+                path.append(nodes[best][0])
+            best = above[best]
+        return path[::-1]
     while True:
-        total = sum(map(weight, nodes))
-        top = max((x for x in nodes if x[0] != "#"), key=weight, default=None)
-        if top is None or not total or weight(top) < MOST * total or top[2]:
+        within = sum(weight[at] for at in top)
+        most = max((at for at in reversed(top) if nodes[at][0] != "#"), key=weight.__getitem__, default=None)
+        if most is None or not within or weight[most] < MOST * within or nodes[most][2]:
+            return path
+        # A text block is part of what is looked for; only containers are gone into.
+        if 2 * sum(weight[at] for at in below[most] if nodes[at][0] == "#") > weight[most]:
             return path
-        if top[0][0] != "(":
-            path.append(top[0])
-        nodes = top[5]
+        if nodes[most][0][0] != "(":
+            path.append(nodes[most][0])
+        top = below[most]
 
 
-def extract(html: str | None, path: list[str], names: set[str] | None = None) -> str:
+def extract(html: str | None, path: list[str], names: set[str] | None = None, template: frozenset[str] | set[str] = frozenset()) -> str:
     """The blocks of a page under ``path`` (or its own article, or all of it), joined by an empty line.
 
-    If all text is outside by name, it is that of the widest element so named: a page is not emptied by a class.
+    Texts of the ``template`` are left out, unless they are more than half of what there is: then the page is a copy of others rather than
+    made from a template. If all text is outside by name, it is that of the widest element so named: a page is not emptied by a class.
     """
     if not html:
         return ""
-    texts = {"path": [], "article": [], "page": []}
-    words = {k: [] for k in texts}
+    texts: dict[str, list[tuple[str, bool]]] = {"path": [], "article": [], "page": []}
     named: list[list[str]] = []
-    aside: list[str] = []
-    stack: list[tuple[str, bool]] = []
+    words: list[str] = []
+    stack: list[tuple[bool, bool, bool]] = []
+    labels: list[str] = []
+    hidden = inside = articles = never = unseen = 0
 
     def end_block() -> None:
-        for k, w in words.items():
-            if w:
-                block = " ".join(unescape("".join(w)).split())
-                if block:
-                    texts[k].append(block)
-                w.clear()
-        if aside:
-            block = " ".join(unescape("".join(aside)).split())
-            if block:
-                named[-1].append(block)
-            aside.clear()
+        block = _block(words) if words else ""
+        words.clear()
+        if not block:
+            return
+        if hidden:
+            named[-1].append(block)
+            return
+        item = (block, bool(template) and text_key(labels[-1] if labels else "", block) in template)
+        texts["page"].append(item)
+        if articles:
+            texts["article"].append(item)
+        if inside:
+            texts["path"].append(item)
 
-    labels: list[str] = []
-    hidden = inside = articles = never = 0
     for kind, value, outside in events(html):
         if kind == "text":
-            if not hidden:
-                words["page"].append(value)
-                if articles:
-                    words["article"].append(value)
-                if inside:
-                    words["path"].append(value)
-            elif not never:
-                aside.append(value)
+            if not unseen and not never:
+                words.append(value)
+            continue
+        if kind in ("hide", "show"):
+            unseen += 1 if kind == "hide" else -1
             continue
         end_block()
+        tag = value.split(".")[0]
         if kind == "open":
             labels.append(_known(value, names) + ("!" if outside else ""))
-            article = value.split(".")[0] in ("article", "main") and not outside
+            article = tag in ("article", "main") and not outside
             on_path = bool(path) and len(labels) == len(path) and labels == path
             stack.append((outside, on_path, article))
             if outside and not hidden:
                 named.append([])
-            never += value.split(".")[0] in NOT_TEXT
+            never += tag in NOT_TEXT
             hidden, inside, articles = hidden + outside, inside + on_path, articles + article
         else:
             labels.pop()
-            never -= value.split(".")[0] in NOT_TEXT
+            never -= tag in NOT_TEXT
             outside, on_path, article = stack.pop()
             hidden, inside, articles = hidden - outside, inside - on_path, articles - article
     end_block()
-    widest = max(named, key=lambda blocks: sum(map(len, blocks)), default=[])
-    return "\n\n".join(next((texts[k] for k in ("path", "article", "page") if texts[k]), widest))
+    chosen = next((texts[k] for k in ("path", "article", "page") if texts[k]), [])
+    own = [block for block, fixed in chosen if not fixed]
+    if 2 * sum(map(len, own)) < sum(len(block) for block, _ in chosen):
+        own = [block for block, _ in chosen]
+    return "\n\n".join(own or max(named, key=lambda blocks: sum(map(len, blocks)), default=[]))
 
 
 def host_of(url: Column) -> Column:
@@ -323,13 +484,45 @@ def host_of(url: Column) -> Column:
 def _merge_group(rows: pd.DataFrame) -> pd.DataFrame:
     whole = None
     for text in rows.sort_values("wrapper")["wrapper"]:
-        one = json.loads(text)
-        whole = one if whole is None else _aligned(whole, one)
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(whole, separators=(",", ":"))]})
+        whole = from_json(text) if whole is None else aligned(whole, from_json(text))
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [to_json(whole)]})
 
 
-def template_names(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, names``: the labels with a name that are on at least ``SHARE`` of a host's pages, as JSON; stored."""
+def page_tokens(html: str) -> set[str]:
+    """What may be part of a template: labels with a name, and keys of the texts outside hidden parts."""
+    found: set[str] = set()
+    words: list[str] = []
+    stack: list[tuple[str, bool]] = []
+    hidden = unseen = 0
+
+    def end_block() -> None:
+        block = _block(words) if words else ""
+        words.clear()
+        if block:
+            found.add(text_key(stack[-1][0] if stack else "", block))
+
+    for kind, value, outside in events(html):
+        if kind == "text":
+            if not hidden and not unseen:
+                words.append(value)
+        elif kind in ("hide", "show"):
+            unseen += 1 if kind == "hide" else -1
+        else:
+            end_block()
+            if kind == "open":
+                stack.append((value, outside))
+                hidden += outside
+                if "." in value:
+                    found.add(value)
+            else:
+                hidden -= stack.pop()[1]
+    end_block()
+    return found
+
+
+def template_tokens(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``host, names, template``, JSON arrays, stored: labels with a name on at least ``SHARE`` of a host's pages, and keys of the texts on
+    at least ``TEMPLATE`` of them."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple[str, str], int] = {}
@@ -343,7 +536,7 @@ def template_names(pages: DataFrame, url_col: str = "url", html_col: str = "html
             for host, html in zip(batch["host"], batch["html"]):
                 if html:
                     # The empty label counts the pages.
-                    for label in {"", *(v for kind, v, _ in events(html) if kind == "open" and "." in v)}:
+                    for label in {"", *page_tokens(html)}:
                         held[host, label] = held.get((host, label), 0) + 1
                     if len(held) >= LABELS_HELD:
                         yield passed_on()
@@ -351,11 +544,14 @@ def template_names(pages: DataFrame, url_col: str = "url", html_col: str = "html
             yield passed_on()
 
     plain = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    counts = checkpointed(plain.mapInPandas(count, "host string, label string, n bigint").groupBy("host", "label").agg(F.sum("n").alias("n")))
+    counts = checkpointed(plain.mapInPandas(count, "host string, label string, n bigint").groupBy("host", "label").agg(F.sum("n").alias("n")).where("n > 1 OR label NOT LIKE '=%'"))
     total = checkpointed(counts.where("label = ''").select("host", F.col("n").alias("pages")))
-    often = total.join(counts, "host").where((F.col("label") == "") | (F.col("n") >= SHARE * F.col("pages")))
-    kept = F.filter(F.sort_array(F.collect_list("label")), lambda x: x != "")
-    return checkpointed(often.groupBy("host").agg(F.to_json(kept).alias("names")))
+    is_text = F.col("label").startswith("=")
+    enough = F.when(is_text, (F.col("n") >= TEMPLATE * F.col("pages")) & (F.col("pages") >= TEMPLATE_PAGES)).otherwise(F.col("n") >= SHARE * F.col("pages"))
+    often = total.join(counts, "host").where((F.col("label") == "") | enough)
+    kept = F.sort_array(F.collect_list("label"))
+    names, texts = F.filter(kept, lambda x: (x != "") & ~x.startswith("=")), F.filter(kept, lambda x: x.startswith("="))
+    return checkpointed(often.groupBy("host").agg(F.to_json(names).alias("names"), F.to_json(texts).alias("template")))
 
 
 def _with_host(rows: DataFrame, facts: DataFrame, spread_by: list[str]) -> DataFrame:
@@ -369,24 +565,28 @@ def _with_host(rows: DataFrame, facts: DataFrame, spread_by: list[str]) -> DataF
     return spread.join(each, ["host", "salt"], "left").drop("salt")
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", names: DataFrame | None = None) -> DataFrame:
+def _sets(column: pd.Series) -> dict[str, set[str]]:
+    return {x: set(json.loads(x)) for x in column.dropna().unique()}
+
+
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", tokens: DataFrame | None = None) -> DataFrame:
     """``host, wrapper``: one wrapper (JSON) per host; pages without a host share the empty one."""
-    names = template_names(pages, url_col, html_col) if names is None else names
+    tokens = template_tokens(pages, url_col, html_col) if tokens is None else tokens
 
     def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = {}
 
         def passed_on() -> pd.DataFrame:
-            out = pd.DataFrame({"host": list(held), "wrapper": [json.dumps(w, separators=(",", ":")) for w in held.values()]})
+            out = pd.DataFrame({"host": list(held), "wrapper": [to_json(w) for w in held.values()]})
             held.clear()
             return out
 
         for batch in batches:
-            known = {x: set(json.loads(x)) for x in batch["names"].dropna().unique()}
-            for host, html, own in zip(batch["host"], batch["html"], batch["names"]):
+            names, template = _sets(batch["names"]), _sets(batch["template"])
+            for host, html, own, fixed in zip(batch["host"], batch["html"], batch["names"], batch["template"]):
                 if html:
-                    one = page_wrapper(html, known.get(own, set()))
-                    held[host] = _aligned(held[host], one) if host in held else one
+                    one = page_wrapper(html, names.get(own, set()), template.get(fixed, set()))
+                    held[host] = aligned(held[host], one) if host in held else one
                     if len(held) >= HOSTS_HELD:
                         yield passed_on()
         if held:
@@ -394,27 +594,34 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", nam
 
     schema = "host string, wrapper string"
     hosted = pages.select(host_of(F.col(url_col)).alias("host"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    partial = _with_host(hosted, names, ["url", "html"]).select("host", "html", "names").mapInPandas(infer, schema).distinct()
+    partial = _with_host(hosted, tokens, ["url", "html"]).select("host", "html", "names", "template").mapInPandas(infer, schema).distinct()
     salted = partial.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     return salted.groupBy("host", "salt").applyInPandas(_merge_group, schema).groupBy("host").applyInPandas(_merge_group, schema)
 
 
+@F.pandas_udf(StringType())
+def _paths(wrapper: pd.Series) -> pd.Series:
+    return pd.Series([json.dumps(main_path(from_json(w))) for w in wrapper], dtype=object)
+
+
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id, url, text`` for every row of ``pages``; a null or empty page has an empty text.
 
+    Elements that their attributes hide (``hidden``, ``aria-hidden``, ``display: none``) are no text; nor are texts that nearly all pages of a
+    host of ``TEMPLATE_PAGES`` pages or more hold in the same kind of element, unless they are most of a page. A page may nest to any depth.
     Repeated rows and null ids are rows like any other; an empty input gives an empty result. Other columns are not read.
     """
-    to_path = F.udf(lambda w: json.dumps(main_path(json.loads(w))), StringType())
-    names = template_names(pages, url_col, html_col)
+    tokens = template_tokens(pages, url_col, html_col)
     # One short row per host.
-    paths = checkpointed(wrappers(pages, url_col, html_col, names).select("host", to_path("wrapper").alias("path")).join(names, "host"))
+    paths = checkpointed(wrappers(pages, url_col, html_col, tokens).select("host", _paths("wrapper").alias("path")).join(tokens, "host"))
 
     @F.pandas_udf(StringType())
-    def text_of(html: pd.Series, path: pd.Series, names: pd.Series) -> pd.Series:
+    def text_of(html: pd.Series, path: pd.Series, names: pd.Series, template: pd.Series) -> pd.Series:
         paths = {p: json.loads(p) for p in path.dropna().unique()}
-        known = {x: set(json.loads(x)) for x in names.dropna().unique()}
-        return pd.Series([extract(h, paths.get(p, []), known.get(x, set())) for h, p, x in zip(html, path, names)], dtype=object)
+        known, fixed = _sets(names), _sets(template)
+        rows = zip(html, path, names, template)
+        return pd.Series([extract(h, paths.get(p, []), known.get(x, set()), fixed.get(t, set())) for h, p, x, t in rows], dtype=object)
 
     plain = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     hosted = plain.withColumn("host", host_of(F.col("url")))
-    return _with_host(hosted, paths, ["id", "url"]).select("id", "url", text_of("html", "path", "names").alias("text"))
+    return _with_host(hosted, paths, ["id", "url"]).select("id", "url", text_of("html", "path", "names", "template").alias("text"))

@@ -131,11 +131,11 @@ def test_main_text_without_an_article_element(spark):
 
 def test_wrappers_are_union_free_and_shared(spark):
     a, b = "<body><h1>x</h1><p>a</p><p>b</p><hr></body>", "<body><h1>y</h1><p>a</p><div>opt</div></body>"
-    whole = html_wrappers._aligned(html_wrappers.page_wrapper(a), html_wrappers.page_wrapper(b))
-    body = {x[0]: x for x in whole[0][5]}
+    whole = html_wrappers.aligned(html_wrappers.page_wrapper(a), html_wrappers.page_wrapper(b))
+    body = {x[0]: x for x in whole[0][5][0]}
     assert body["p"][2] and not body["p"][1] and body["hr"][1] and body["div"][1] and not body["h1"][1]
-    assert body["h1"][5][0][3] == 0  # x and y differ: a slot
-    group = html_wrappers.page_wrapper("<dl><dt>1</dt><dd>2</dd><dt>3</dt><dd>4</dd></dl>")[0][5]
+    assert body["h1"][5][0][0][3] == 0  # x and y differ: a slot
+    group = html_wrappers.page_wrapper("<dl><dt>1</dt><dd>2</dd><dt>3</dt><dd>4</dd></dl>")[0][5][0]
     assert [x[0] for x in group] == ["(dt dd)"] and group[0][2]
     pages = spark.createDataFrame([(i, "http://h/", _page(i)) for i in range(6)] + [(9, None, a)], "page_id int, url string, html string")
     assert sorted(r["host"] for r in html_wrappers.wrappers(pages).collect()) == ["", "h"]

@@ -119,7 +119,7 @@ def kept_counts(
     digest = F.shiftrightunsigned(F.xxhash64("term"), 64 - digest_bits)
     parts, names = _identified(_stored(_counted(docs, *columns).withColumn("digest", digest), "counts"))
     # Tasks have added up what they saw, so one exchange by term serves the sums by source and the window over a term's sources alike.
-    met = parts.select("lang", "source", "digest", "split", "n", "docs").repartition("lang", "digest", "split")
+    met = parts.select("lang", "source", "digest", "split", "n", "docs").repartition("lang", "digest")
     counts = met.groupBy("lang", "source", "digest", "split").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     # As many rows as the language has sources.
     term = Window.partitionBy("lang", "digest", "split")
@@ -147,7 +147,8 @@ def _terms(shares: DataFrame, names: DataFrame, top: int) -> DataFrame:
     above = shares.where("p > q").withColumn("value", _apart(F.col("p"), F.col("q")))
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"))
     near = above.withColumn("place", F.rank().over(by_value)).where(F.col("place") <= top)
-    named = near.join(names, "digest", "left").withColumn("item", F.when(F.col("split") != "", F.col("split")).otherwise(F.col("text")))
+    # Stored: Spark knows the size of these few rows and need not shuffle all names to meet them.
+    named = _stored(near, "near").join(names, "digest", "left").withColumn("item", F.when(F.col("split") != "", F.col("split")).otherwise(F.col("text")))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")

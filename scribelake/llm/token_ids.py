@@ -1,23 +1,20 @@
-"""Token ids of whole texts by a byte-level BPE file of the ``tokenizers`` library, with a bounded memory of words.
+"""Token ids of whole texts by a byte-level BPE file of the ``tokenizers`` library.
 
-Such a tokenizer cuts a text into words before it merges bytes, and a word never reaches over a single space (or line feed) between
-two characters that are no white space. So ids of a text are the ids of its words, put end to end, and a word met before need not be
-encoded again. Texts with other white space are cut only where that rule allows.
-
-New words are encoded by ``tiktoken`` over the ranks in the same file: the same merges, without the bookkeeping of character
-offsets that makes ``tokenizers`` several times slower. A file whose merges are not in the order of their ids has no such ranks and
-is read by ``tokenizers`` itself.
+Texts are encoded by ``tiktoken`` over the ranks in the same file: the same words and merges, without the bookkeeping of character
+offsets that makes ``tokenizers`` several times slower. Strings of the file's added tokens become their own ids, as
+``tokenizers`` does without being told otherwise. This holds for files whose merges are in the order of their ids, whose words are cut
+by the byte-level rule alone, and whose added tokens are plain strings, none the beginning of another; any other file is read by ``tokenizers`` itself, and so is a text
+whose white space runs too long for the word rule's regular expression.
 """
 
 from __future__ import annotations
 
 import json
-import re
-from array import array
 from collections.abc import Callable
 
-_BREAK = re.compile(r"(?<=\S)([ \n])(?=\S)")
-#: Fixed value: how such a tokenizer cuts a text into words.
+import numpy as np
+
+#: Fixed value: how the byte-level rule cuts a text into words.
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -28,71 +25,64 @@ def _bytes_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def loaded(path: str) -> Callable[[str], list[int]]:
-    """A function from text to ids, special tokens' strings being ordinary text."""
-    with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+def ranked(file: dict) -> bool:
+    """Whether ranks alone give the ids of this tokenizer file."""
+    model, cut = file["model"], file.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    if file.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return False
+    added = file.get("added_tokens") or []
+    if any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added):
+        return False
+    # Where one is the beginning of another, the longer one wins, which ranks do not promise.
+    if any(a is not b and b["content"].startswith(a["content"]) for a in added for b in added):
+        return False
     merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-    if [model["vocab"].get(m) for m in merges] == list(range(256, 256 + len(merges))):
-        import tiktoken
+    return [model["vocab"].get(m) for m in merges] == list(range(256, 256 + len(merges)))
+
+
+def loaded(path: str) -> Callable[[str], np.ndarray]:
+    """A function from text to ids (unsigned, 32 bits), as ``tokenizers`` gives them for this file without adding special tokens."""
+    with open(path, encoding="utf-8") as opened:
+        file = json.load(opened)
+    slow: list = []
 
-        to = _bytes_of()
-        ranks = {bytes(to[c] for c in t): i for t, i in model["vocab"].items() if i < 256 + len(merges)}
-        return tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    from tokenizers import Tokenizer
+    def by_tokenizers(text: str) -> np.ndarray:
+        from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        if not slow:
+            slow.append(Tokenizer.from_file(path))
+        return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
+    if not ranked(file):
+        return by_tokenizers
+    import tiktoken
 
-class _Known(dict):
-    """Ids of words by their text; a new word is encoded when it is asked for."""
+    to, last = _bytes_of(), 256 + len(file["model"]["merges"])
+    ranks = {bytes(to[c] for c in t): i for t, i in file["model"]["vocab"].items() if i < last}
+    added = {t["content"]: t["id"] for t in file.get("added_tokens") or []}
+    encoding = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=added)
+    allowed = set(added)
 
-    def __init__(self, ids_of: Callable[[str], list[int]], before: str):
-        super().__init__()
-        self.ids_of, self.before = ids_of, before
+    def by_ranks(text: str) -> np.ndarray:
+        try:
+            return encoding.encode_to_numpy(text, allowed_special=allowed)
+        except ValueError:  # the expression ran out of its stack
+            return by_tokenizers(text)
 
-    def __missing__(self, word: str) -> bytes:
-        self[word] = found = array("I", self.ids_of(self.before + word)).tobytes()
-        return found
+    return by_ranks
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of about ``entries`` words."""
+    """Encodes texts with one tokenizer file."""
 
-    def __init__(self, path: str, entries: int = 100_000):
-        ids_of = loaded(path)
-        self.entries = entries
-        self.first, self.spaced = _Known(ids_of, ""), _Known(ids_of, " ")
+    def __init__(self, path: str):
+        self.ids_of = loaded(path)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        for known in (self.first, self.spaced):
-            if len(known) > self.entries:
-                known.clear()
-        if not text:
-            return b""
-        out = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            if words != line.split():
-                return self._irregular(text)
-            if out:
-                out.append(self.first["\n"])
-            out.append(self.first[words[0]])
-            out += map(self.spaced.__getitem__, words[1:])
-        return b"".join(out)
-
-    def _irregular(self, text: str) -> bytes:
-        cut = _BREAK.split(text)
-        out = [self.first[cut[0]]]
-        for mark, part in zip(cut[1::2], cut[2::2]):
-            if mark == " ":
-                out.append(self.spaced[part])
-            else:
-                out += (self.first["\n"], self.first[part])
-        return b"".join(out)
+        return self.ids_of(text).astype("<u4", copy=False).tobytes() if text else b""
 
 
 _ENCODERS: dict[str, Encoder] = {}

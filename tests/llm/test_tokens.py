@@ -1,5 +1,6 @@
 """Packing, token ids, sampled pieces and page text."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -22,15 +23,51 @@ TEXTS = [
 def _ids(text):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(BPE).encode(text, add_special_tokens=False).ids
 
 
 def test_ids_equal_the_tokenizer():
-    enc = Encoder(BPE, entries=5)  # the memory of words is emptied again and again
-    for text in TEXTS + TEXTS:
-        assert np.frombuffer(enc.encode(text), "<u4").tolist() == _ids(text), text
+    enc = Encoder(BPE)
+    more = ["<|endoftext|><|endoftext|>", " <|endoftext|> ", "x\n<|endoftext|>", "<|endoftext", "<|<|endoftext|>|>", " " * 300_000, "a" + "\n" * 200_000 + "b", "x" * 100_000]
+    for text in TEXTS + more:
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == _ids(text), text[:50]
+
+
+def test_ids_of_many_texts_with_special_strings():
+    from tokenizers import Tokenizer
+
+    tokenizer, enc, r = Tokenizer.from_file(BPE), Encoder(BPE), random.Random(6)
+    marks = ["<|endoftext|>", "<|endoftext|", "|>", " ", "  ", "\n", "\t", "'s", "'S", "é", "你", "🙂", "\u00a0", "\u200b", "1", "22", "!", "_", "\r\n", "\x1c", "\x85"]
+    texts = ["".join(r.choice((prose(r.randrange(10**6), 1), r.choice(marks))) for _ in range(r.randrange(25))) for _ in range(10_000)]
+    for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == want.ids, text
+
+
+def test_other_files_are_read_by_the_library(tmp_path):
+    """Files that ranks alone do not describe: another word rule, a normalizer, tokens with conditions."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    words = public_tokenizers.path("word_bpe_49k.json")
+    with open(BPE, encoding="utf-8") as f:
+        plain = json.load(f)
+    changed = {
+        "prefix": {"pre_tokenizer": plain["pre_tokenizer"] | {"add_prefix_space": True}},
+        "digits": {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, plain["pre_tokenizer"]]}},
+        "lower": {"normalizer": {"type": "Lowercase"}},
+        "strip": {"added_tokens": [plain["added_tokens"][0] | {"lstrip": True}]},
+        "more": {"added_tokens": [*plain["added_tokens"], plain["added_tokens"][0] | {"id": 50257, "content": "<|end"}, plain["added_tokens"][0] | {"id": 50258, "content": "the"}]},
+    }
+    paths = [words]
+    for name, change in changed.items():
+        paths.append(str(tmp_path / f"{name}.json"))
+        with open(paths[-1], "w", encoding="utf-8") as f:
+            json.dump(plain | change, f)
+    for path in paths:
+        tokenizer, enc = Tokenizer.from_file(path), Encoder(path)
+        for text in [*TEXTS, "The <|endoftext|> and 123 <|end the", "x <|endoftext|>"]:
+            assert np.frombuffer(enc.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, (path, text[:40])
 
 
 def test_local_search_empties_bins():

@@ -36,6 +36,8 @@ SPARSE_BYTES = 64
 UNKNOWN = "und"
 #: Phrases per symbol above which no learnt language is taken to fit, for filtering.
 MAX_RATE = 0.6
+#: Characters a text must have to be judged by its rate: the first phrase counts in full, so short clean texts have high rates.
+JUDGED_CHARS = 60
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -269,7 +271,11 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rate: float = MAX_RATE) -> DataFrame:
-    """The rows of ``docs`` whose text is in a learnt language, with their columns."""
+    """The rows of ``docs`` whose text has a letter and, if it is long enough to tell, fits a learnt language; with their columns.
+
+    A language that shares most of its letter sequences with a learnt one fits it too: this drops noise, not every unlabelled language.
+    """
     model = train(docs, id_col, text_col, lang_col)
     found = predicted(model, F.col(text_col))
-    return docs.where(F.when(found["lang_pred"] == UNKNOWN, False).otherwise(found["rate"] <= max_rate))
+    fits = (found["rate"] <= max_rate) | (F.length(text_col) < JUDGED_CHARS)
+    return docs.where(F.when(found["lang_pred"] == UNKNOWN, False).otherwise(fits))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scribelake.operators import results as res
 from scribelake.plans import standins as st
 from scribelake.plans.catalog import query
 from scribelake.plans.q_change import OBS_SQL, _known_results, _observations
@@ -19,13 +20,16 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 class _Streamed:
-    """The same tables, with events arriving as a stream."""
+    """The same tables, arriving as streams."""
 
     def __init__(self, t):
-        spark = t.spark
-        self.events = (
-            spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
-        )
+        self.t = t
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        schema = self.t.spark.read.parquet(f"{self.t.folder}/{name}.parquet").schema
+        return self.t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.t.folder)
 
 
 def drained(t, stream: DataFrame) -> DataFrame:
@@ -65,3 +69,35 @@ def r1_stream(t):
 def r3_stream(t):
     """Verdicts of the live form: the same as those of the stored form."""
     return drained(t, progress.progress_stream(st.progress(_Streamed(t)))).select("batch_id", "job_id", "seq", "verdict")
+
+
+@query("R7_retry_timers", """WITH o AS (SELECT '/watch/' || c_custkey || '.wav' AS path, 1000 + c_custkey * 10 AS seen, c_mktsegment <> 'BUILDING' AS ok FROM customer),
+ w AS (SELECT max(seen) AS until FROM o), looks AS (SELECT path, seen + 1200 * k AS at_ms, k, ok FROM o, range(0, 6) AS r(k) WHERE k = 0 OR k <= CASE WHEN ok THEN 1 ELSE 5 END)
+SELECT path, at_ms, CASE WHEN k = 0 THEN 'event' ELSE 'timer' END AS origin, CASE WHEN k = 0 THEN 'copying' WHEN ok THEN 'ready' WHEN k = 5 THEN 'failed' ELSE 'copying' END AS state,
+ (CASE WHEN k = 0 OR (NOT ok AND k < 5) THEN k + 1 ELSE 0 END)::INTEGER AS attempt FROM looks, w WHERE at_ms <= until""", bigint="at_ms")
+def r7_timers(t):
+    """One event per file; every other row comes from a timer, up to where the stream's time has got."""
+    version = F.lit("1")
+    seen = _Streamed(t).customer.select(
+        F.concat(F.lit("/watch/"), F.col("c_custkey").cast("string"), F.lit(".wav")).alias("path"), (1000 + F.col("c_custkey") * 10).alias("at_ms"),
+        F.lit("observe").alias("kind"), version.alias("stat"), F.sha2(F.col("c_custkey").cast("string"), 256).alias("sha256"),
+        (F.col("c_mktsegment") != "BUILDING").alias("wav_ok"), F.lit(False).alias("forced"), F.lit(None).cast("string").alias("version_key"),
+    )
+    none = _known_results(t).where("false")
+    return drained(t, folder.watch_stream(seen, none)).select("path", "at_ms", "origin", "state", "attempt")
+
+
+@query("R1_folder_live")
+def r1_live(t):
+    """The watched folder with everything that may happen to a file: looks by timers, versions ignored and added again, files away or gone."""
+    events = _Streamed(t).events
+    version = F.call_function("div", "event_id", F.lit(2000)).cast("string")
+    path = F.concat(F.lit("/watch/"), F.col("user_id").cast("string"), F.lit(".wav"))
+    sha = F.sha2(F.concat_ws(":", F.col("user_id").cast("string"), version), 256)
+    turn = F.col("event_id") % 13
+    kind = F.when(turn == 3, "ignore").when(turn == 7, "readd").when(turn == 11, "unavailable").when(F.col("event_id") % 97 == 5, "missing").otherwise("observe")
+    seen = events.select(
+        path.alias("path"), (1000 + F.col("event_id") * 10).alias("at_ms"), kind.alias("kind"), version.alias("stat"), sha.alias("sha256"),
+        (F.col("event_type") != "error").alias("wav_ok"), (F.col("event_type") == "signup").alias("forced"), res.sha_of(path, sha).alias("version_key"),
+    )
+    return drained(t, folder.watch_stream(seen, _known_results(t)))

@@ -1,14 +1,15 @@
 """Watched files: what each observation of a path means.
 
 ``classified`` is the batch form over stored observations; ``FolderState`` is
-the same machine on a stream, one small state per path. Time comes with the
-observation, so both are deterministic.
+the same machine on a stream, one small state per path. ``WatchTimers`` looks
+again at files that are still copying by itself, when their time comes. Time
+comes with the observation, so all are deterministic.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
+from collections.abc import Iterable, Iterator
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -121,71 +122,203 @@ OUTPUT = "path string, at_ms long, state string, version_key string, source_sha2
 _STATE = "stat string, first_seen long, sha256 string, version_key string, revalidate boolean, ignored string"
 
 
+_NAMES = [c.split(" ")[0] for c in _STATE.split(", ")]
+
+
+def stepped(held: dict | None, path: str, e: Any) -> tuple[dict | None, tuple]:
+    """What one event makes of a path's state, and the row to report.
+
+    ``e``: at_ms, kind, stat, sha256, wav_ok, forced, version_key, processed. Kinds: observe; ignore and readd (a version, refused unless it
+    is the current one); unavailable (nothing is known now, what was stays); missing (the file is gone, and with it all but its fence).
+    """
+    import hashlib
+    import json
+
+    at = int(e.at_ms)
+    if e.kind == "unavailable":
+        return held, (path, at, "unavailable", None if held is None else held["version_key"], None)
+    if e.kind == "missing":
+        gone = held and held["ignored"] and dict.fromkeys(_NAMES) | {"ignored": held["ignored"], "revalidate": False}
+        return gone or None, (path, at, "missing", None, None)
+    if e.kind != "observe":
+        if held is None or held["version_key"] is None or held["version_key"] != e.version_key:
+            return held, (path, at, "refused", e.version_key, None)
+        held = held | {"ignored": held["version_key"] if e.kind == "ignore" else None, "revalidate": e.kind == "readd"}
+        return held, (path, at, "ignored" if e.kind == "ignore" else "ready", e.version_key, None)
+    if held is None or held["stat"] != e.stat:
+        ignored = None if held is None else held["ignored"]
+        held = dict(stat=e.stat, first_seen=at, sha256=None, version_key=None, revalidate=False, ignored=ignored)
+        return held, (path, at, "copying", None, None)
+    if not e.forced and not held["revalidate"] and held["version_key"]:
+        fenced = held["ignored"] == held["version_key"]
+        state = "ignored" if fenced else "processed_candidate" if e.processed else "ready"
+        return held, (path, at, state, held["version_key"], None)
+    age = at - held["first_seen"]
+    if not held["revalidate"] and age < STABLE_MS:
+        return held, (path, at, "copying", held["version_key"], None)
+    if not e.wav_ok:
+        return held, (path, at, "failed" if age >= INVALID_MS else "copying", held["version_key"], None)
+    text = json.dumps([path, e.sha256], ensure_ascii=False, separators=(",", ":"))
+    held = held | dict(sha256=e.sha256, version_key=hashlib.sha256(text.encode()).hexdigest(), revalidate=False)
+    fenced = held["ignored"] == held["version_key"]
+    state = "ignored" if fenced else "processed" if e.processed else "ready"
+    return held, (path, at, state, held["version_key"], e.sha256)
+
+
 class FolderState(StatefulProcessor):
     """Observations and controls of one path.
 
-    Input: path, at_ms, kind (observe / ignore / readd), stat, sha256, wav_ok,
-    forced, version_key, processed (from the stream-static join).
+    Input: path, at_ms, kind (see ``stepped``), stat, sha256, wav_ok, forced, version_key, processed (from the stream-static join).
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.cache = handle.getValueState("cache", _STATE)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        import hashlib
-        import json
-
-        names = [c.split(" ")[0] for c in _STATE.split(", ")]
-        held = dict(zip(names, self.cache.get())) if self.cache.exists() else None
+        held = dict(zip(_NAMES, self.cache.get())) if self.cache.exists() else None
         out = []
         for e in pd.concat(list(rows)).sort_values("at_ms").itertuples(index=False):
-            path, at = key[0], int(e.at_ms)
-            if e.kind != "observe":
-                if held is None or held["version_key"] is None or held["version_key"] != e.version_key:
-                    out.append((path, at, "refused", e.version_key, None))
-                    continue
-                held["ignored"] = held["version_key"] if e.kind == "ignore" else None
-                held["revalidate"] = e.kind == "readd"
-                out.append((path, at, "ignored" if e.kind == "ignore" else "ready", e.version_key, None))
-                continue
-            if held is None or held["stat"] != e.stat:
-                ignored = None if held is None else held["ignored"]
-                held = dict(stat=e.stat, first_seen=at, sha256=None, version_key=None, revalidate=False, ignored=ignored)
-                out.append((path, at, "copying", None, None))
-                continue
-            if not e.forced and not held["revalidate"] and held["version_key"]:
-                fenced = held["ignored"] == held["version_key"]
-                state = "ignored" if fenced else "processed_candidate" if e.processed else "ready"
-                out.append((path, at, state, held["version_key"], None))
-                continue
-            age = at - held["first_seen"]
-            if not held["revalidate"] and age < STABLE_MS:
-                out.append((path, at, "copying", held["version_key"], None))
-                continue
-            if not e.wav_ok:
-                out.append((path, at, "failed" if age >= INVALID_MS else "copying", held["version_key"], None))
-                continue
-            text = json.dumps([path, e.sha256], ensure_ascii=False, separators=(",", ":"))
-            held.update(sha256=e.sha256, version_key=hashlib.sha256(text.encode()).hexdigest(), revalidate=False)
-            fenced = held["ignored"] == held["version_key"]
-            state = "ignored" if fenced else "processed" if e.processed else "ready"
-            out.append((path, at, state, held["version_key"], e.sha256))
+            held, row = stepped(held, key[0], e)
+            out.append(row)
         if held is not None:
-            self.cache.update(tuple(held[n] for n in names))
+            self.cache.update(tuple(held[n] for n in _NAMES))
+        else:
+            self.cache.clear()
         yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in OUTPUT.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def folder_stream(observations: DataFrame, results: DataFrame) -> DataFrame:
-    """States of a stream of observations; finished results are joined in as a static side."""
+def _with_results(observations: DataFrame, results: DataFrame) -> DataFrame:
     known = results.select(
         F.col("source_sha256").alias("sha256"), F.col("filename").alias("__name"), F.lit(True).alias("__known")
     ).distinct()
-    rows = observations.withColumn("__name", basename("path")).join(known, ["sha256", "__name"], "left").withColumn(
-        "processed", F.coalesce("__known", F.lit(False))
-    ).drop("__name", "__known")
+    rows = observations.withColumn("__name", basename("path")).join(known, ["sha256", "__name"], "left")
+    return rows.withColumn("processed", F.coalesce("__known", F.lit(False))).drop("__name", "__known")
+
+
+def folder_stream(observations: DataFrame, results: DataFrame) -> DataFrame:
+    """States of a stream of observations; finished results are joined in as a static side."""
+    rows = _with_results(observations, results)
     return rows.groupBy("path").transformWithStateInPandas(
         statefulProcessor=FolderState(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
     )
+
+
+# --- watching with timers ---------------------------------------------------------------------------------------------------------------
+
+#: Fixed value: milliseconds after which a file that is not settled is looked at again.
+RETRY_MS = 1200
+LIVE = "path string, at_ms long, origin string, state string, attempt int, version_key string, source_sha256 string"
+_EVENT = "at_ms long, kind string, stat string, sha256 string, wav_ok boolean, forced boolean, version_key string, processed boolean"
+_WATCHED = _STATE + ", attempt int, due long, seen_sha256 string, seen_ok boolean, seen_processed boolean"
+
+
+class Event(NamedTuple):
+    at_ms: int
+    kind: str
+    stat: str | None
+    sha256: str | None
+    wav_ok: bool | None
+    forced: bool | None
+    version_key: str | None
+    processed: bool | None
+
+
+def watched(held: dict | None, path: str, events: Iterable[Event], until: int) -> tuple[dict | None, list[tuple]]:
+    """Events in order and the looks that fall due between them and up to ``until``.
+
+    ``held`` holds a path's state with ``attempt``, ``due`` and what was last seen of the file. A look that finds the file still copying makes
+    the next one due ``RETRY_MS`` later, up to ``MAX_ATTEMPTS`` looks; any other state and any new version starts over. A look due at the
+    time of an event comes first.
+    """
+    extra = ["attempt", "due", "seen_sha256", "seen_ok", "seen_processed"]
+    out = []
+
+    def look(e: Event, origin: str) -> None:
+        nonlocal held
+        known = None if held is None else {n: held[n] for n in _NAMES}
+        kept = dict.fromkeys(extra) if held is None else {n: held[n] for n in extra}
+        now, row = stepped(known, path, e)
+        if e.kind == "observe":
+            fresh = known is None or known["stat"] != e.stat
+            copying = row[2] == "copying"
+            attempt = ((0 if fresh else kept["attempt"] or 0) + 1) if copying else 0
+            due = e.at_ms + RETRY_MS if copying and attempt < MAX_ATTEMPTS else None
+            kept = dict(attempt=attempt, due=due, seen_sha256=e.sha256, seen_ok=e.wav_ok, seen_processed=e.processed)
+        elif e.kind in ("unavailable", "missing"):
+            kept = kept | {"attempt": 0, "due": None}
+        held = None if now is None else now | kept
+        out.append((row[0], row[1], origin, row[2], kept["attempt"] or 0, row[3], row[4]))
+
+    def due_before(limit: int) -> None:
+        while held is not None and held["due"] is not None and held["due"] <= limit:
+            look(Event(held["due"], "observe", held["stat"], held["seen_sha256"], held["seen_ok"], False, None, held["seen_processed"]), "timer")
+
+    for e in events:
+        due_before(e.at_ms)
+        look(e, "event")
+    due_before(until)
+    return held, out
+
+
+class WatchTimers(StatefulProcessor):
+    """Files looked at again by event-time timers, without a new row.
+
+    Rows of a path wait in its state until the watermark has reached them (Spark takes no row at or before it any more), so they are taken in
+    the order of their times whatever batch brought them; a timer stands at the first waiting row or the look that is due.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.cache = handle.getValueState("cache", _WATCHED)
+        self.waiting = handle.getListState("waiting", _EVENT)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        names = list(Event._fields)
+        for batch in rows:
+            clean = batch[names].astype(object).where(batch[names].notna(), None)
+            arrived = [tuple(r) for r in clean.itertuples(index=False)]
+            self.waiting.appendList([(int(r[0]), *r[1:]) for r in arrived])
+            self.handle.registerTimer(min(int(r[0]) for r in arrived))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        names = [c.split(" ")[0] for c in _WATCHED.split(", ")]
+        held = dict(zip(names, self.cache.get())) if self.cache.exists() else None
+        rows = sorted((Event(*r) for r in (self.waiting.get() if self.waiting.exists() else ())), key=lambda e: (e.at_ms, e.kind != "observe", str(e)))
+        ready = [e for e in rows if e.at_ms <= now]
+        rest = rows[len(ready) :]
+        held, out = watched(held, key[0], ready, now)
+        if rest:
+            self.waiting.put([tuple(e) for e in rest])
+        else:
+            self.waiting.clear()
+        if held is not None:
+            self.cache.update(tuple(held[n] for n in names))
+        else:
+            self.cache.clear()
+        coming = [e.at_ms for e in rest[:1]] + ([held["due"]] if held is not None and held["due"] is not None else [])
+        # Timers at or before the watermark have fired or are about to; none is set twice.
+        if coming and min(coming) > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(min(coming))
+        if out:
+            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in LIVE.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def watch_stream(events: DataFrame, results: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """States of watched files as time goes by.
+
+    ``events``: path, at_ms, kind (observe, ignore, readd, unavailable, missing), stat, sha256, wav_ok, forced, version_key. Time is that of the
+    events: a row or a due look is taken once the watermark, ``delay`` behind the latest event of any path, is past it. ``origin`` tells whether
+    an event or a timer made the row.
+    """
+    rows = _with_results(events, results).withColumn("event_time", F.timestamp_millis("at_ms")).withWatermark("event_time", delay)
+    return rows.groupBy("path").transformWithStateInPandas(
+        statefulProcessor=WatchTimers(), outputStructType=LIVE, outputMode="Append", timeMode="EventTime"
+    )

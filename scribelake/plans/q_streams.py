@@ -97,7 +97,7 @@ def r1_live(t):
     turn = F.col("event_id") % 13
     kind = F.when(turn == 3, "ignore").when(turn == 7, "readd").when(turn == 11, "unavailable").when(F.col("event_id") % 97 == 5, "missing").otherwise("observe")
     seen = events.select(
-        path.alias("path"), (1000 + F.col("event_id") * 10).alias("at_ms"), kind.alias("kind"), version.alias("stat"), sha.alias("sha256"),
+        path.alias("path"), (1000 + F.col("event_id") * 40).alias("at_ms"), kind.alias("kind"), version.alias("stat"), sha.alias("sha256"),
         (F.col("event_type") != "error").alias("wav_ok"), (F.col("event_type") == "signup").alias("forced"), res.sha_of(path, sha).alias("version_key"),
     )
     return drained(t, folder.watch_stream(seen, _known_results(t)))

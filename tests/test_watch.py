@@ -174,7 +174,7 @@ def test_registered_stream_equals_the_replay(spark):
         import hashlib
 
         sha = hashlib.sha256(f"{u}:{i // 2000}".encode()).hexdigest()
-        rows.append((f"/watch/{u}.wav", 1000 + 10 * i, kind, str(i // 2000), sha, e["event_type"] != "error", e["event_type"] == "signup", key_of(f"/watch/{u}.wav", sha)))
+        rows.append((f"/watch/{u}.wav", 1000 + 40 * i, kind, str(i // 2000), sha, e["event_type"] != "error", e["event_type"] == "signup", key_of(f"/watch/{u}.wav", sha)))
     done = {(r[4], r[0].rsplit("/", 1)[-1]) for r in rows if int(r[0].split("/")[-1][:-4]) % 5 == 0}
     until = max(r[1] for r in rows)
     want = replay(rows, done, until + 1)

@@ -1,4 +1,4 @@
-"""RIFF/WAVE headers and samples of one file held in memory."""
+"""RIFF/WAVE headers and samples of one file, given as bytes or as anything with a length and slices."""
 
 from __future__ import annotations
 
@@ -31,11 +31,11 @@ def need(condition, reason: str) -> None:
 def chunks(data: bytes):
     """(id, payload start, payload size) of each chunk; refuses a broken container."""
     need(len(data) >= 12 and data[:4] == b"RIFF" and data[8:12] == b"WAVE", "not_riff_wave")
-    need(struct.unpack_from("<I", data, 4)[0] + 8 == len(data), "riff_size_mismatch")
+    need(struct.unpack("<I", data[4:8])[0] + 8 == len(data), "riff_size_mismatch")
     at = 12
     while at < len(data):
         need(at + 8 <= len(data), "chunk_header_incomplete")
-        name, size = struct.unpack_from("<4sI", data, at)
+        name, size = struct.unpack("<4sI", data[at : at + 8])
         padded = size + (size & 1)
         need(at + 8 + padded <= len(data), "chunk_past_end")
         yield name, at + 8, size

@@ -11,7 +11,7 @@ from scribelake.plans import standins as st
 from scribelake.plans.catalog import query
 from scribelake.session import checkpointed
 from scribelake.sources import documents as docs
-from scribelake.sources import logs, recordings
+from scribelake.sources import logs, recordings, wav_source
 from scribelake.streaming import progress as prog
 
 # Telemetry
@@ -298,11 +298,36 @@ def s4(t):
     return rows.select("path", "block", "start_frame", "frames", F.round(F.aggregate(F.col("channels")[0], F.lit(0.0), lambda a, x: a + x), 5).alias("left_sum"))
 
 
-@query("S5_bwf_clock", "SELECT '/rec/' || vec_id || '.wav' AS path, NULL::VARCHAR AS clock FROM embeddings")
+CLOCK_SQL = """CASE WHEN label <> 3 AND vec_id % 5 <> 0 AND vec_id % 7 <> 0 THEN printf('2024-%02d-%02dT%02d:%02d:00', 1 + vec_id % 12, 1 + vec_id % 28, vec_id % 24, vec_id % 60) END"""
+
+
+@query("S5_bwf_clock", f"SELECT '/rec/' || vec_id || '.wav' AS path, {CLOCK_SQL} AS clock FROM embeddings")
 def s5(t):
     return recordings.inventory(st.recordings(t)).select("path", "clock")
 
 
+def _files(t, format_: str, **options):
+    """The stand-in files through a data source, by their names."""
+    wav_source.register(t.spark)
+    rows = t.spark.read.format(format_).options(**options).load(st.recording_files(t))
+    return rows.withColumn("path", F.concat(F.lit("/rec/"), F.substring_index("path", "/", -1)))
+
+
+@query("S3_wav_headers", f"""SELECT '/rec/' || vec_id || '.wav' AS path, CASE WHEN label = 3 THEN 'riff_size_mismatch' END AS reason, CASE WHEN label <> 3 THEN 'IEEE_FLOAT32' END AS encoding, CASE WHEN label <> 3 THEN 2 END AS channels,
+ CASE WHEN label <> 3 THEN 32 END AS frames, {CLOCK_SQL} AS clock, CASE WHEN label = 3 THEN 100 WHEN vec_id % 5 = 0 THEN 300 ELSE 910 END AS size_bytes FROM embeddings""", bigint="frames size_bytes")
+def s3_headers(t):
+    """Facts of every file from its first kilobyte."""
+    return _files(t, "wav_headers").select("path", "reason", "encoding", "channels", "frames", "clock", "size_bytes")
+
+
+@query("S4_channel_blocks", """SELECT '/rec/' || vec_id || '.wav' AS path, NULL::VARCHAR AS reason, b AS block, b * 8 AS start_frame, c AS channel, 8 AS frames, round(list_sum(list_transform(range(8), lambda i: embedding[(b * 8 + i) * 2 + c + 1]::DOUBLE)), 5) AS total
+ FROM embeddings, range(4) AS r(b), range(2) AS s(c) WHERE label <> 3 UNION ALL SELECT '/rec/' || vec_id || '.wav', 'riff_size_mismatch', NULL, NULL, NULL, NULL, NULL FROM embeddings WHERE label = 3""", bigint="block start_frame frames")
+def s4_channels(t):
+    """All channels, block by block, and the refused files with their reasons."""
+    rows = _files(t, "wav_blocks", blockFrames=8).select("path", "reason", "block", "start_frame", "frames", F.posexplode_outer("samples").alias("channel", "values"))
+    return rows.select("path", "reason", "block", "start_frame", "channel", "frames", F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
 # Documents
 
 

@@ -5,10 +5,14 @@ Each builder has a SQL twin (``*_SQL``, a CTE) that derives the same rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scribelake.session import shared_folder
+
 FOLD = "replace(lower({0}), 'ß', 'ss')"
 WORDS_SQL = r"regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+(?:[''’][\p{{L}}\p{{N}}_]+)*')"
 WS_SQL = r"list_filter(string_split_regex(replace(lower({0}), 'ß', 'ss'), '[\s\p{{Z}}]+'), lambda x: x <> '')"
@@ -377,24 +381,47 @@ BLOCKS_SQL = """samples AS (
 
 
 @F.pandas_udf(T.BinaryType())
-def wav_bytes(embedding):
-    """A two-channel 32-bit float file holding the vector's values."""
+def wav_bytes(embedding, clock):
+    """A two-channel 32-bit float file holding the vector's values, with a clock chunk if there is a clock."""
     import struct
 
     import numpy as np
 
-    def build(v):
+    def build(v, at):
         data = np.asarray(v, "<f4").tobytes()
         fmt = struct.pack("<HHIIHH", 3, 2, 16000, 16000 * 8, 8, 32)
-        body = b"WAVE" + b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(data)) + data
+        bext = b"" if at is None else b"bext" + struct.pack("<I", 602) + bytes(320) + at.encode().ljust(282, b"\0")
+        body = b"WAVE" + bext + b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(data)) + data
         return b"RIFF" + struct.pack("<I", len(body)) + body
 
-    return embedding.map(build)
+    return embedding.combine(clock, build)
 
 
 def recordings(t) -> DataFrame:
-    """Embeddings as small files; some are cut short."""
-    whole = wav_bytes("embedding")
+    """Embeddings as small files; some are cut short, some have no clock or one that is no date."""
+    n = F.col("vec_id")
+    month = F.when(n % 7 == 0, 13).otherwise(1 + n % 12)
+    clock = F.when(n % 5 != 0, F.format_string("2024-%02d-%02d%02d:%02d:00", month, 1 + n % 28, n % 24, n % 60))
+    whole = wav_bytes("embedding", clock)
     return t.embeddings.select(F.concat(F.lit("/rec/"), F.col("vec_id").cast("string"), F.lit(".wav")).alias("path"), "label", whole.alias("content")).withColumn(
         "content", F.when(F.col("label") == 3, F.substring("content", 1, 100)).otherwise(F.col("content"))
     )
+
+
+def recording_files(t) -> str:
+    """The same as files in a new folder that executors share; a task that runs again writes the same bytes."""
+    from pyarrow import fs
+
+    folder = f"{shared_folder(t.spark)}/recordings-{uuid.uuid4().hex}"
+
+    def write(batches):
+        system, inside = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+        system.create_dir(inside, recursive=True)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with system.open_output_stream(f"{inside}/{path.rsplit('/', 1)[-1]}") as file:
+                    file.write(content)
+            yield batch.select([0])
+
+    recordings(t).select("path", "content").mapInArrow(write, "path string").count()
+    return folder

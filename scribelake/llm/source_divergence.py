@@ -13,7 +13,6 @@ that), plus a correction for terms that both have (a join by digest of the count
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scribelake.session import checkpointed, shared_folder
+from scribelake.llm.common import stored
+from scribelake.session import checkpointed
 
 #: A kept term is in so many documents of its language at least.
 MIN_DOCS = 10
@@ -93,15 +93,9 @@ def _apart(p: Column, q: Column) -> Column:
     return _div((p - q) * (p - q), p + q)
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    at = f"{shared_folder(df.sparkSession)}/divergence-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.parquet(at)
-
-
 def _identified(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``parts`` with ``split`` (empty, or the text of a term whose digest is another's too), and ``digest, text`` of all other digests."""
-    names = _stored(parts.groupBy("digest").agg(F.min("term").alias("text"), F.max("term").alias("last")), "names")
+    names = stored(parts.groupBy("digest").agg(F.min("term").alias("text"), F.max("term").alias("last")), "divergence-names")
     clash = names.where("text <> last").select("digest", F.lit(True).alias("clash"))
     if clash.isEmpty():
         return parts.withColumn("split", F.lit("")), names.select("digest", "text")
@@ -117,7 +111,7 @@ def kept_counts(
     empty = F.lit("")
     columns = [F.coalesce(F.col(c).cast("string"), empty) for c in (lang_col, source_col, text_col)]
     digest = F.shiftrightunsigned(F.xxhash64("term"), 64 - digest_bits)
-    parts, names = _identified(_stored(_counted(docs, *columns).withColumn("digest", digest), "counts"))
+    parts, names = _identified(stored(_counted(docs, *columns).withColumn("digest", digest), "divergence-counts"))
     # Tasks have added up what they saw, so one exchange by term serves the sums by source and the window over a term's sources alike.
     met = parts.select("lang", "source", "digest", "split", "n", "docs").repartition("lang", "digest")
     counts = met.groupBy("lang", "source", "digest", "split").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -127,7 +121,7 @@ def kept_counts(
         "lang", "source", "digest", "split", "n", F.sum("n").over(term).alias("lang_n"), F.sum("docs").over(term).alias("lang_docs"),
         (F.col("source") == F.min("source").over(term)).alias("lead"),
     )
-    return _stored(known.where(F.col("lang_docs") >= min_docs).drop("lang_docs"), "kept"), names
+    return stored(known.where(F.col("lang_docs") >= min_docs).drop("lang_docs"), "divergence-kept"), names
 
 
 def group_facts(docs: DataFrame, kept: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -148,7 +142,7 @@ def _terms(shares: DataFrame, names: DataFrame, top: int) -> DataFrame:
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"))
     near = above.withColumn("place", F.rank().over(by_value)).where(F.col("place") <= top)
     # Stored: Spark knows the size of these few rows and need not shuffle all names to meet them.
-    named = _stored(near, "near").join(names, "digest", "left").withColumn("item", F.when(F.col("split") != "", F.col("split")).otherwise(F.col("text")))
+    named = stored(near, "divergence-near").join(names, "digest", "left").withColumn("item", F.when(F.col("split") != "", F.col("split")).otherwise(F.col("text")))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from scribelake.operators import exports, library, purge, timeline
+from scribelake.operators import exports, library, purge, purge_log, timeline
 from scribelake.operators import identity as idn
 from scribelake.operators import results as res
 from scribelake.operators import telemetry as tel
 from scribelake.operators.ordered import placed
 from scribelake.plans import standins as st
 from scribelake.plans.catalog import query
-from scribelake.session import checkpointed
+from scribelake.session import checkpointed, shared_folder
 from scribelake.streaming import folder
 
 # Purge: orders are results and jobs, customers their scopes.
@@ -119,6 +121,89 @@ def m2(t):
     return purge.committed(results, targets, F.lit("t-1"), done)
 
 
+OBJECTS_SQL = """objects AS (SELECT 'data' AS root, 'results/' || o_orderkey AS path, 'result' AS kind, true AS bound, 1 AS device, o_orderkey AS inode FROM orders
+ UNION ALL SELECT DISTINCT 'data', 'audio/' || l_orderkey || '/' || l_partkey, 'managed_audio', true, 1, l_partkey FROM lineitem
+ UNION ALL SELECT 'cache', 'decoded/' || p_partkey, 'decoded_media', p_partkey % 50 <> 0, 2, p_partkey FROM part
+ UNION ALL SELECT DISTINCT 'log', 'app/' || o_orderkey // 8, 'job_log', true, 3, o_orderkey // 8 FROM orders),
+uses AS (SELECT 'results/' || o_orderkey AS path, o_orderkey AS o, 'result' AS owner FROM orders UNION ALL SELECT DISTINCT 'audio/' || l_orderkey || '/' || l_partkey, l_orderkey, 'result' FROM lineitem
+ UNION ALL SELECT DISTINCT 'decoded/' || l_partkey, l_orderkey, 'result' FROM lineitem UNION ALL SELECT 'app/' || o_orderkey // 8, o_orderkey, 'job' FROM orders),
+counted AS (SELECT path, count(*) FILTER (o_custkey IN (FROM scopes)) AS i, count(*) FILTER (o_custkey NOT IN (FROM scopes) AND CASE owner WHEN 'job' THEN o_orderstatus <> 'F' ELSE o_orderpriority <> '5-LOW' END) AS k
+ FROM uses JOIN orders ON o_orderkey = o GROUP BY path),
+touched AS (SELECT CASE WHEN NOT bound THEN 'unresolved' WHEN k > 0 THEN 'retained' ELSE 'target' END AS section, root, path, kind, CASE WHEN NOT bound THEN 'cache_identity_requires_review' WHEN k > 0 AND kind = 'decoded_media' THEN 'Decoded audio is shared by a retained recording.'
+ WHEN k > 0 THEN 'Batch log also belongs to unselected tasks.' END AS reason, device, inode, inode % 1000 AS size, inode % 1000 * 2 AS allocated FROM objects JOIN counted USING (path) WHERE i > 0)"""
+
+
+def _objects(t):
+    """Managed objects and who refers to them: results and jobs are orders, sources and cached media are parts."""
+    line = t.lineitem.select("l_orderkey", "l_partkey").distinct()
+    text = lambda c: F.col(c).cast("string")
+    log = F.call_function("div", "o_orderkey", F.lit(8))
+    audio = F.concat(F.lit("audio/"), text("l_orderkey"), F.lit("/"), text("l_partkey"))
+    decoded = lambda c: F.concat(F.lit("decoded/"), text(c))
+    app, result = F.concat(F.lit("app/"), log.cast("string")), F.concat(F.lit("results/"), text("o_orderkey"))
+
+    def rows(df, root, path, kind, device, inode, bound=F.lit(True)):
+        size = F.col("inode") % 1000
+        own = df.select(F.lit(root).alias("root"), path.alias("path"), F.lit(kind).alias("kind"), bound.alias("bound"), F.lit(device).cast("long").alias("device"), inode.cast("long").alias("inode"))
+        return own.withColumns({"size": size, "allocated": size * 2})
+
+    objects = rows(t.orders, "data", result, "result", 1, F.col("o_orderkey")).unionByName(
+        rows(line, "data", audio, "managed_audio", 1, F.col("l_partkey"))
+    ).unionByName(rows(t.part, "cache", decoded("p_partkey"), "decoded_media", 2, F.col("p_partkey"), F.col("p_partkey") % 50 != 0)).unionByName(
+        rows(t.orders, "log", app, "job_log", 3, log).distinct()
+    )
+    job = F.concat(F.lit("j-"), text("o_orderkey"))
+    refer = lambda df, root, path, kind, owner: df.select(F.lit(root).alias("root"), path.alias("path"), F.lit(kind).alias("owner_kind"), owner.alias("owner_id"))
+    references = refer(t.orders, "data", result, "result", text("o_orderkey")).unionByName(refer(line, "data", audio, "result", text("l_orderkey"))).unionByName(
+        refer(line, "cache", decoded("l_partkey"), "result", text("l_orderkey"))
+    ).unionByName(refer(t.orders, "log", app, "job", job))
+    owners = t.orders.select(F.lit("result").alias("owner_kind"), text("o_orderkey").alias("owner_id"), (F.col("o_orderpriority") != "5-LOW").alias("live")).unionByName(
+        t.orders.select(F.lit("job").alias("owner_kind"), job.alias("owner_id"), (F.col("o_orderstatus") != "F").alias("live"))
+    )
+    return objects, references, owners
+
+
+def _facts(t):
+    objects, references, owners = _objects(t)
+    records = _records(t).withColumn("result_id", F.col("result_id").cast("string"))
+    selected = purge.closure(records, _jobs(t), _scopes(t)).select(F.col("kind").alias("owner_kind"), F.col("id").alias("owner_id"))
+    epochs = t.customer.select(F.col("c_custkey").alias("scope"), F.col("c_nationkey").alias("epoch"))
+    return objects, purge_log.plan_facts(objects, references, owners, selected, _scopes(t), epochs, _jobs(t))
+
+
+@query("M1_plan_facts", f"""WITH {SCOPE_SQL}, {OBJECTS_SQL} SELECT *, NULL AS epoch FROM touched UNION ALL SELECT 'scope', NULL, scope::VARCHAR, NULL, NULL, NULL, NULL, NULL, NULL, coalesce(c_nationkey, 0) FROM scopes LEFT JOIN customer ON c_custkey = scope
+UNION ALL SELECT 'owner', NULL, x || o_orderkey, k, NULL, NULL, NULL, NULL, NULL, NULL FROM orders, (VALUES ('', 'result'), ('j-', 'job')) AS v(x, k) WHERE o_custkey IN (FROM scopes)
+UNION ALL SELECT 'active', NULL, 'j-' || o_orderkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM orders WHERE o_orderstatus = 'P' AND o_custkey IN (FROM scopes)""", bigint="device inode size allocated epoch")
+def m1_facts(t):
+    """Everything a plan knows: targets, what is shared and why, what needs a review, scopes with epochs, owners, active jobs."""
+    return _facts(t)[1]
+
+
+def _interrupted(t):
+    """A commit that is killed after three of its parts, begun again and resumed."""
+    objects, facts = _facts(t)
+    facts = checkpointed(facts)
+    log = purge_log.PurgeLog(t.spark, f"{shared_folder(t.spark)}/purges-{uuid.uuid4().hex}")
+    seen = purge_log.plan_token(facts).first()["token"]
+    log.begin("op-1", facts, seen, stop_selected=True)
+    log.perform("op-1", until=3)
+    log.begin("op-1", facts, seen, stop_selected=True)
+    log.perform("op-1")
+    return objects, log
+
+
+@query("M2_resumed_commit", f"WITH {SCOPE_SQL}, {OBJECTS_SQL} SELECT root, path, kind FROM objects WHERE path NOT IN (SELECT path FROM touched WHERE section = 'target')")
+def m2_resumed(t):
+    objects, log = _interrupted(t)
+    return log.remaining(objects, "op-1").select("root", "path", "kind")
+
+
+@query("M2_receipt", f"""WITH {SCOPE_SQL}, {OBJECTS_SQL}, i AS (SELECT device, inode, min(size) AS size, min(allocated) AS allocated, count(*) AS paths FROM touched WHERE section = 'target' GROUP BY ALL)
+SELECT sum(size) AS removed_logical_bytes, sum(allocated) AS removed_allocated_bytes, sum(paths) AS removed_items, CASE WHEN EXISTS (FROM touched WHERE section = 'unresolved') THEN 'cleanup_needed' ELSE 'completed' END AS state FROM i""", bigint="removed_logical_bytes removed_allocated_bytes removed_items")
+def m2_receipt(t):
+    return _interrupted(t)[1].read("op-1", "receipt")
+
+
 @query("M2_tombstones", f"""WITH {SCOPE_SQL} SELECT scope, coalesce(c_nationkey, 0) + 1 AS epoch, 'op-1' AS operation_id FROM scopes LEFT JOIN customer ON c_custkey = scope""")
 def m2_tombstones(t):
     return purge.tombstones(_scopes(t), t.customer.select(F.col("c_custkey").alias("scope"), F.col("c_nationkey").alias("epoch")), "op-1")

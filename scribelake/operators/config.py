@@ -9,7 +9,7 @@ from scribelake.operators.joins import with_key_facts
 
 # Allowed ranges and enumerations of policy fields.
 RANGES = {
-    "peak_dbfs": (-30.0, -0.1), "max_gain_db": (0.0, 60.0), "gain_db": (-60.0, 60.0),
+    "peak_dbfs": (-30.0, -0.1), "max_gain_db": (0.0, 60.0), "gain_db": (-120.0, 60.0),
     "temperature": (0.0, 1.0), "temperature_increment": (0.0, 1.0), "beam_size": (1, 100),
     "threads": (1, 128), "max_context": (0, 16384), "asr_workers": (1, 9), "prepare_workers": (1, 4),
     "prepared_ahead": (1, 9),
@@ -36,10 +36,27 @@ def broken_policies(settings: DataFrame) -> DataFrame:
     return settings.withColumn("__ok", F.coalesce(ok, F.lit(False))).where("NOT __ok").select("request_id", "field", "value")
 
 
+#: Fixed value: the limit of a gain where none is set.
+MAX_GAIN_DB = 30.0
+
+
 def gain_above_limit(gain: Column, limit: Column) -> Column:
     return F.coalesce(gain > limit, F.lit(False))
 
 
+def gains_above_limit(settings: DataFrame) -> DataFrame:
+    """Requests whose fixed gain is above their own limit, a rule over two fields: ``request_id, gain_db, max_gain_db``.
+
+    ``settings``: request_id, field, value, at most one value per field; a value that is no number sets nothing here.
+    """
+    number = F.col("value").try_cast("double")
+    one = lambda name: F.max(F.when((F.col("field") == name) & ~F.isnan(number), number))
+    both = settings.where(F.col("field").isin("gain_db", "max_gain_db")).groupBy("request_id").agg(
+        one("gain_db").alias("gain_db"), F.coalesce(one("max_gain_db"), F.lit(MAX_GAIN_DB)).alias("max_gain_db")
+    )
+    return both.where(gain_above_limit(F.col("gain_db"), F.col("max_gain_db")))
+
+
 def broken_terms(profiles: DataFrame) -> DataFrame:
     """Profiles whose glossary terms break a rule, with the rules broken."""
     terms = F.col("terms")

@@ -434,6 +434,18 @@ def p13(t):
     return cfg.broken_policies(_layers(t))
 
 
+@query("P13_gain_limit", """SELECT o_orderkey AS request_id, (o_custkey % 50)::DOUBLE AS gain_db, CASE WHEN o_orderkey % 3 = 0 THEN 30.0 ELSE o_orderkey % 61 END::DOUBLE AS max_gain_db FROM orders
+WHERE o_orderkey % 7 <> 0 AND o_custkey % 50 > CASE WHEN o_orderkey % 3 = 0 THEN 30 ELSE o_orderkey % 61 END""")
+def p13_gain(t):
+    """A gain above the request's own limit, or above the usual one where it has none; some gains are no numbers."""
+    key = F.col("o_orderkey")
+    gain = F.when(key % 7 == 0, F.lit("loud")).otherwise((F.col("o_custkey") % 50).cast("string"))
+    limit = F.when(key % 3 != 0, (key % 61).cast("string"))
+    fields = F.array(F.struct(F.lit("gain_db").alias("field"), gain.alias("value")), F.struct(F.lit("max_gain_db").alias("field"), limit.alias("value")))
+    rows = t.orders.select(key.alias("request_id"), F.explode(fields).alias("f")).select("request_id", "f.field", "f.value")
+    return cfg.gains_above_limit(rows.where("value IS NOT NULL"))
+
+
 @query("P14_profile_rules", """WITH p AS (SELECT doc_id AS profile_id, string_split(text, chr(10)) AS terms FROM documents)
 SELECT profile_id, unnest(list_filter([CASE WHEN len(terms) > 100 THEN 'too_many_terms' END, CASE WHEN len(list_filter(terms, lambda x: trim(x) = '')) > 0 THEN 'blank_term' END,
  CASE WHEN len(list_filter(terms, lambda x: length(x) > 200)) > 0 THEN 'long_term' END], lambda x: x IS NOT NULL)) AS broken_rule FROM p""")

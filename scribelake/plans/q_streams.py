@@ -13,7 +13,7 @@ from scribelake.plans.catalog import query
 from scribelake.plans.q_change import OBS_SQL, _known_results, _observations
 from scribelake.plans.q_measure import JUDGED_SQL, SPANS_SQL
 from scribelake.session import shared_folder
-from scribelake.streaming import folder, progress, spans
+from scribelake.streaming import folder, ledger, progress, spans
 
 _STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -49,6 +49,42 @@ def drained(t, stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def entered(t, stream: DataFrame, step: ledger.Rows, schema: str, merge: ledger.Rows) -> DataFrame:
+    """Run a stream into a ledger, hand all its batches over a second time, and read what the ledger says."""
+    spark = t.spark
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    book = ledger.BatchLedger(spark, f"{base}/book", schema, merge)
+    before = spark.conf.get(_STATE_STORE)
+    spark.conf.set(_STATE_STORE, _ROCKSDB)
+    try:
+        for turn in ("first", "again"):
+            book.start(stream, step, f"{base}/{turn}", availableNow=True).awaitTermination()
+    finally:
+        spark.conf.set(_STATE_STORE, before)
+    return book.table()
+
+
+@query("R9_invalidated_live", """WITH o AS (SELECT o_custkey AS path, o_orderkey AS at_ms, CASE WHEN o_orderkey % 11 = 3 THEN 'missing' WHEN o_orderpriority = '1-URGENT' THEN 'touched'
+  WHEN o_orderkey % 3 = 0 AND o_orderkey % 25 <> o_custkey % 25 THEN 'changed' END AS why FROM orders)
+SELECT c_custkey AS result_id, path, min(at_ms) AS at_ms, arg_min(why, at_ms) AS why, count(*) AS hits FROM o JOIN customer ON path = c_custkey WHERE why IS NOT NULL GROUP BY ALL""")
+def r9_live(t):
+    """Every micro-batch arrives twice; results are told once, with the first look that contradicts them."""
+    seen = _Streamed(t).orders.select(
+        F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("at_ms"), (F.col("o_orderpriority") == "1-URGENT").alias("touched"),
+        F.when(F.col("o_orderkey") % 11 == 3, None).when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 25).otherwise(F.col("o_custkey") % 25).alias("version"),
+    )
+    held = t.customer.select(F.col("c_custkey").alias("result_id"), F.col("c_custkey").alias("path"), (F.col("c_custkey") % 25).alias("version"))
+    out = entered(t, seen, lambda rows: ledger.invalidations(rows, held), ledger.INVALIDATED, ledger.merged_invalidations)
+    return out.select("result_id", "path", "first.at_ms", "first.why", "hits")
+
+
+@query("R10_rollup_live", f"""WITH {JUDGED_SQL} SELECT batch_id, count(*) AS jobs, count(*) FILTER (state = 'completed') AS completed, 0::BIGINT AS review_required, 0::BIGINT AS failed, 0::BIGINT AS cancelled,
+ count(*) FILTER (state = 'completed') AS finished, count(*) FILTER (state <> 'completed' AND stage = 'transcribing') AS decoding FROM settled GROUP BY batch_id""")
+def r10_live(t):
+    """Counts kept up by the changes of each micro-batch: the same as those of the stored events."""
+    return entered(t, progress.rollup_changes(st.progress(_Streamed(t))), lambda rows: rows, progress.CHANGES, progress.summed_changes)
+
+
 @query("R6_span_stream", f"WITH {SPANS_SQL} SELECT batch_id, job_id, attempt_id, stage, started_at, ended_at, outcome, worker_seconds FROM spans")
 def r6_stream(t):
     return drained(t, spans.span_stream(st.telemetry(_Streamed(t))))

@@ -223,3 +223,49 @@ def progress_stream(events: DataFrame, *, ttl_ms: int | None = None) -> DataFram
         statefulProcessor=ProgressState(ttl_ms), outputStructType=OUTPUT, outputMode="Append",
         timeMode="None" if ttl_ms is None else "ProcessingTime",
     )
+
+
+# --- live counts ------------------------------------------------------------------------------------------------------------------------
+
+COUNTS = ("jobs", *TERMINAL, "finished", "decoding")
+CHANGES = "batch_id string, " + ", ".join(f"{c} long" for c in COUNTS)
+
+
+def _counted(state: str | None, stage: str | None) -> list[int]:
+    """What one job adds to its batch's counts; nothing if there is no such job."""
+    ended = state in TERMINAL
+    return [int(state is not None), *(int(state == s) for s in TERMINAL), int(ended), int(state is not None and not ended and stage == "transcribing")]
+
+
+class RollupChanges(ProgressState):
+    """What a micro-batch changes in a batch's counts: every job's counts after it, less those before it."""
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        parts = list(rows)
+        before = {}
+        for job in {j for p in parts for j in p["job_id"].dropna()}:
+            before[job] = self.jobs.getValue((job,))[2:4] if self.jobs.containsKey((job,)) else (None, None)
+        change = [0] * len(COUNTS)
+        for told in super().handleInputRows(key, iter(parts), timerValues):
+            after = told[(told["verdict"] == "accepted") & told["state"].notna()].groupby("job_id").tail(1)
+            for job, state, stage in zip(after["job_id"], after["state"], after["stage"]):
+                old, new = _counted(*before[job]), _counted(state, stage)
+                change = [c + n - o for c, n, o in zip(change, new, old)]
+        if any(change):
+            yield pd.DataFrame([(key[0], *change)], columns=["batch_id", *COUNTS])
+
+
+def rollup_changes(events: DataFrame, *, ttl_ms: int | None = None) -> DataFrame:
+    """Changes of the live counts, one row per batch that a micro-batch changes; their sums are ``rollup`` of what has arrived.
+
+    Only what changed moves on: a job that goes from one state to another is taken from one count and added to the next. Sums must see every
+    change once, so they belong in a ``BatchLedger``.
+    """
+    return events.groupBy("batch_id").transformWithStateInPandas(
+        statefulProcessor=RollupChanges(ttl_ms), outputStructType=CHANGES, outputMode="Append",
+        timeMode="None" if ttl_ms is None else "ProcessingTime",
+    )
+
+
+def summed_changes(changes: DataFrame) -> DataFrame:
+    return changes.groupBy("batch_id").agg(*[F.sum(c).alias(c) for c in COUNTS])

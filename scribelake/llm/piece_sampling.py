@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -26,8 +27,28 @@ from scribelake.llm.common import crc_of, mixed
 SPACE = 0x2581
 LITERAL = 0x110000  # no character: stands for a literal U+2581 while matching
 _WORD = re.compile(r" +[^ ]*")
-#: Characters of text segmented together.
-CHUNK_CHARS = 1_500_000
+#: Characters of text segmented together. Memory grows with them; below a third of this, words are met again too often.
+CHUNK_CHARS = 800_000
+
+
+def _spelling(model) -> tuple[list[int], list[bytes]]:
+    """The ids of pieces of text, and the bytes that each id of the model stands for (none for control pieces)."""
+    n = model.get_piece_size()
+    plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    # Pieces with a space behind another character would reach over two words.
+    plain = [i for i in plain if "▁" not in model.id_to_piece(i).lstrip("▁")]
+    bytes_of = [b""] * n
+    for i in plain:
+        bytes_of[i] = model.id_to_piece(i).replace("▁", " ").encode()
+    for i in range(n):
+        if model.is_byte(i):
+            bytes_of[i] = bytes([int(model.id_to_piece(i)[3:5], 16)])
+    return plain, bytes_of
+
+
+def _text(ids, bytes_of: list[bytes]) -> str:
+    """The text of a segmentation."""
+    return b"".join([bytes_of[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
 class Pieces:
@@ -42,47 +63,37 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
-        plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        names = {i: model.id_to_piece(i) for i in plain}
-        # Pieces with a space behind another character would reach over two words.
-        plain = [i for i in plain if "▁" not in names[i].lstrip("▁")]
+        plain, self.bytes_of = _spelling(model)
         score = np.array([model.get_score(i) for i in range(n)])
         self.weight = sharpness * (score if score.min() > -1000 else -np.log(2.0 - score))
         self.byte_ids = np.full(256, -1, np.int64)
         for i in range(n):
             if model.is_byte(i):
                 self.byte_ids[int(model.id_to_piece(i)[3:5], 16)] = i
-        self.bytes_of = [b""] * n
-        for i in plain:
-            self.bytes_of[i] = names[i].replace("▁", " ").encode()
-        for b, i in enumerate(self.byte_ids.tolist()):
-            if i >= 0:
-                self.bytes_of[i] = bytes([b])
         # Byte pieces are the way out for any character, so they weigh less than every piece.
         self.byte_weight = float(self.weight[plain].min()) - sharpness
-        nodes: dict[tuple[int, int], int] = {}
+        nodes: dict[int, int] = {}
         ends = {}
         for i in plain:
             at = 0
-            for c in names[i]:
-                at = nodes.setdefault((at, ord(c)), len(nodes) + 1)
+            for c in model.id_to_piece(i):
+                at = nodes.setdefault((at << 21) | ord(c), len(nodes) + 1)
             ends[at] = i
-        keys = np.array([(a << 21) | c for a, c in nodes], np.int64)
+        keys = np.fromiter(nodes, np.int64, len(nodes))
         order = np.argsort(keys)
-        self.keys, self.to = keys[order], np.array(list(nodes.values()), np.int64)[order]
+        self.keys, self.to = keys[order], np.fromiter(nodes.values(), np.int64, len(nodes))[order]
+        # First steps, by character: every place of every word begins there.
+        self.root = np.zeros(LITERAL + 1, np.int32)
+        self.root[self.keys[self.keys < 1 << 21]] = self.to[self.keys < 1 << 21]
         self.piece = np.full(len(nodes) + 1, -1, np.int64)
         self.piece[list(ends)] = list(ends.values())
 
     def _edges(self, code: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All pieces that match: start, length, id; id -1 is a character in bytes."""
-        live, node = np.arange(len(code)), np.zeros(len(code), np.int64)
-        starts, sizes, ids, step = [], [], [], 0
-        while len(live):
-            key = (node << 21) | code[live + step]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            live, node = live[hit], self.to[at[hit]]
-            step += 1
+        live = np.flatnonzero(self.root[code])
+        node = self.root[code[live]].astype(np.int64)
+        starts, sizes, ids, step = [], [], [], 1
+        while True:
             found = self.piece[node]
             ok = found >= 0
             starts.append(live[ok])
@@ -90,6 +101,13 @@ class Pieces:
             ids.append(found[ok])
             more = live + step < stop[live]
             live, node = live[more], node[more]
+            if not len(live):
+                break
+            key = (node << 21) | code[live + step]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            live, node = live[hit], self.to[at[hit]]
+            step += 1
         single = np.zeros(len(code), bool)
         single[starts[0]] = True
         lone = np.flatnonzero(~single)
@@ -187,7 +205,7 @@ class Pieces:
 
     def join(self, ids) -> str:
         """The text of a segmentation."""
-        return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")[1:]
+        return _text(ids, self.bytes_of)
 
 
 _LOADED: dict[tuple[str, float], Pieces] = {}
@@ -200,6 +218,14 @@ def loaded(path: str, sharpness: float) -> Pieces:
     return _LOADED[path, sharpness]
 
 
+@cache
+def spelling(path: str) -> list[bytes]:
+    """The bytes of each id, without the trie that drawing needs."""
+    import sentencepiece
+
+    return _spelling(sentencepiece.SentencePieceProcessor(model_file=path))[1]
+
+
 def drawn(keys: pd.Series, texts: pd.Series, path: str, sharpness: float) -> pd.Series:
     """Ids of a batch of texts, segmented in chunks of bounded size; null for null."""
     pieces = loaded(path, sharpness)
@@ -229,8 +255,8 @@ def decoded(ids: Column, path: str) -> Column:
 
     @F.pandas_udf(StringType())
     def of(rows: pd.Series) -> pd.Series:
-        pieces = loaded(path, 1.0)
-        return pd.Series([None if r is None else pieces.join(np.asarray(r).tolist()) for r in rows], dtype=object)
+        bytes_of = spelling(path)
+        return pd.Series([None if r is None else _text(np.asarray(r).tolist(), bytes_of) for r in rows], dtype=object)
 
     return of(ids)
 

@@ -1,10 +1,12 @@
 """Packing, token ids, sampled pieces and page text."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import prose
 
@@ -138,6 +140,22 @@ def test_pieces_follow_the_lattice():
         assert abs(drawn[ids] / n - p) < 5 * np.sqrt(p * (1 - p) / n) + 1e-3
 
 
+def test_pieces_of_a_batch_are_drawn_in_little_memory():
+    """A batch of a thousand long texts with many distinct words: what is held at once is bounded by characters, not by the batch."""
+    r = np.random.default_rng(3)
+    texts = pd.Series([" ".join("".join(chr(97 + c) for c in r.integers(0, 26, 7)) for _ in range(400)) for _ in range(600)])
+    keys = pd.Series(np.arange(len(texts)))
+    piece_sampling.loaded(PIECES, 1.0)
+    tracemalloc.start()
+    try:
+        ids = piece_sampling.drawn(keys, texts, PIECES, 1.0)
+        assert tracemalloc.get_traced_memory()[1] < 250 << 20
+    finally:
+        tracemalloc.stop()
+    spelled = piece_sampling.spelling(PIECES)
+    assert all(b"".join(spelled[i] for i in x.tolist()).decode()[1:] == t for x, t in zip(ids, texts))
+
+
 def test_piece_columns(odd_docs, no_docs):
     rows = piece_sampling.segmentations(odd_docs, PIECES)
     back = rows.select("id", "text", piece_sampling.decoded(rows["ids"], PIECES).alias("back"), piece_sampling.ids_crc32(rows["ids"]).alias("crc"), "ids").collect()

@@ -28,7 +28,7 @@ MIN_DOCS = 10
 #: Terms of a group in the report.
 TOP = 10
 #: Terms a task counts before it passes them on.
-HELD = 600_000
+HELD = 1_200_000
 UNIT = 1_000_000_000
 DIGEST_BITS = 64
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from conftest import prose
+from pyspark.sql import functions as F
 
 from scribelake.llm import source_divergence
 
@@ -79,3 +80,12 @@ def test_digests_with_one_text_are_not_split(spark, rows):
     assert kept.where("split <> ''").isEmpty() and kept.join(names, "digest", "left_anti").isEmpty()
     kept, names = source_divergence.kept_counts(df, digest_bits=3)
     assert kept.where("split <> ''").count() > 8 and kept.where("split = ''").join(names, "digest", "left_anti").isEmpty()
+
+
+def test_a_task_adds_up_what_it_sees(spark):
+    """Of 900,000 terms that a task meets twice there is one row each: what is stored and shuffled does not repeat them."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join("".join(letters[n // 26**k % 26] for k in range(5)) for n in range(a, a + 300_000)) for a in (0, 300_000, 600_000)]
+    df = spark.createDataFrame([(t, "en", "s") for t in [*texts, *texts]], "text string, lang string, source string").coalesce(1)
+    found = source_divergence._counted(df, F.col("lang"), F.col("source"), F.col("text"))
+    assert tuple(found.agg(F.count("*"), F.min("n"), F.max("n"), F.sum("docs")).first()) == (900_000, 2, 2, 1_800_000)

@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 from typing import Any, NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -213,6 +213,10 @@ RETRY_MS = 1200
 LIVE = "path string, at_ms long, origin string, state string, attempt int, version_key string, source_sha256 string"
 _EVENT = "at_ms long, kind string, stat string, sha256 string, wav_ok boolean, forced boolean, version_key string, processed boolean"
 _WATCHED = _STATE + ", attempt int, due long, seen_sha256 string, seen_ok boolean, seen_processed boolean"
+_WATCHED_NAMES = [c.split(" ")[0] for c in _WATCHED.split(", ")]
+_LIVE_ROW = Row(*[c.split(" ")[0] for c in LIVE.split(", ")])
+#: Rows of a path handed to its state in one message.
+ROWS_AT_ONCE = 1000
 
 
 class Event(NamedTuple):
@@ -275,37 +279,37 @@ class WatchTimers(StatefulProcessor):
         self.cache = handle.getValueState("cache", _WATCHED)
         self.waiting = handle.getListState("waiting", _EVENT)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        names = list(Event._fields)
-        for batch in rows:
-            clean = batch[names].astype(object).where(batch[names].notna(), None)
-            arrived = [tuple(r) for r in clean.itertuples(index=False)]
-            self.waiting.appendList([(int(r[0]), *r[1:]) for r in arrived])
-            self.handle.registerTimer(min(int(r[0]) for r in arrived))
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        arrived = [tuple(r[n] for n in Event._fields) for r in rows]
+        for at in range(0, len(arrived), ROWS_AT_ONCE):
+            self.waiting.appendList(arrived[at : at + ROWS_AT_ONCE])
+        if arrived:
+            self.handle.registerTimer(min(r[0] for r in arrived))
         return iter(())
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        # Every call of the state is a message to the JVM and back: none is made that changes nothing.
         now = timerValues.getCurrentWatermarkInMs()
-        names = [c.split(" ")[0] for c in _WATCHED.split(", ")]
-        held = dict(zip(names, self.cache.get())) if self.cache.exists() else None
-        rows = sorted((Event(*r) for r in (self.waiting.get() if self.waiting.exists() else ())), key=lambda e: (e.at_ms, e.kind != "observe", str(e)))
+        known = self.cache.get()
+        before = held = None if known is None else dict(zip(_WATCHED_NAMES, known))
+        rows = sorted((Event(*r) for r in self.waiting.get()), key=lambda e: (e.at_ms, e.kind != "observe", str(e)))
         ready = [e for e in rows if e.at_ms <= now]
         rest = rows[len(ready) :]
         held, out = watched(held, key[0], ready, now)
-        if rest:
+        if rest and ready:
             self.waiting.put([tuple(e) for e in rest])
-        else:
+        elif ready:
             self.waiting.clear()
-        if held is not None:
-            self.cache.update(tuple(held[n] for n in names))
-        else:
+        if held is not None and held != before:
+            self.cache.update(tuple(held[n] for n in _WATCHED_NAMES))
+        elif held is None and before is not None:
             self.cache.clear()
         coming = [e.at_ms for e in rest[:1]] + ([held["due"]] if held is not None and held["due"] is not None else [])
         # Timers at or before the watermark have fired or are about to; none is set twice.
         if coming and min(coming) > expiredTimerInfo.getExpiryTimeInMs():
             self.handle.registerTimer(min(coming))
-        if out:
-            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in LIVE.split(", ")])
+        for row in out:
+            yield _LIVE_ROW(*row)
 
     def close(self) -> None:
         pass
@@ -319,6 +323,6 @@ def watch_stream(events: DataFrame, results: DataFrame, delay: str = "0 seconds"
     an event or a timer made the row.
     """
     rows = _with_results(events, results).withColumn("event_time", F.timestamp_millis("at_ms")).withWatermark("event_time", delay)
-    return rows.groupBy("path").transformWithStateInPandas(
+    return rows.groupBy("path").transformWithState(
         statefulProcessor=WatchTimers(), outputStructType=LIVE, outputMode="Append", timeMode="EventTime"
     )

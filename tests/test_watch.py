@@ -181,3 +181,59 @@ def test_registered_stream_equals_the_replay(spark):
     assert len(got) == len(want)
     assert got == want
     assert {r[2] for r in got} == {"event", "timer"}
+
+
+class _Held:
+    """A value or list state in memory that counts its messages."""
+
+    def __init__(self, calls):
+        self.calls, self.value = calls, None
+
+    def _told(self, value, *, write):
+        self.calls.append("write" if write else "read")
+        if write:
+            self.value = value
+
+    def get(self):
+        self._told(None, write=False)
+        return iter(list(self.value or ())) if isinstance(self.value, list) or self.value is None and self.is_list else self.value
+
+    def exists(self):
+        self._told(None, write=False)
+        return self.value is not None
+
+    def update(self, value):
+        self._told(value, write=True)
+
+    def put(self, value):
+        self._told(list(value), write=True)
+
+    def appendList(self, rows):
+        self._told([*(self.value or []), *rows], write=True)
+
+    def clear(self):
+        self._told(None, write=True)
+
+
+def test_a_look_makes_few_messages():
+    """Rows come and go without frames; a file that is seen once and looked at later costs seven messages at most."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    calls, timers, states = [], [], {}
+
+    def state(name, schema):
+        states[name] = _Held(calls)
+        states[name].is_list = name == "waiting"
+        return states[name]
+
+    handle = SimpleNamespace(getValueState=state, getListState=state, registerTimer=lambda at: (calls.append("timer"), timers.append(at)))
+    machine = folder.WatchTimers()
+    machine.init(handle)
+    fields = ("at_ms", "kind", "stat", "sha256", "wav_ok", "forced", "version_key", "processed")
+    list(machine.handleInputRows(("/a",), iter([Row(*fields)(1000, "observe", "1", "s", True, False, None, False)]), None))
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    out = list(machine.handleExpiredTimer(("/a",), at(5000), SimpleNamespace(getExpiryTimeInMs=lambda: 1000)))
+    assert [tuple(r)[:4] for r in out] == [("/a", 1000, "event", "copying"), ("/a", 2200, "timer", "ready")]
+    assert timers == [1000] and len(calls) <= 7

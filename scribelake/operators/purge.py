@@ -71,12 +71,17 @@ def plan(sources: DataFrame, artifacts: DataFrame, refs: DataFrame, retained: Da
     A session goes only when all its sources are selected and none is retained.
     """
     key = ["session_id", "source_id"]
-    marked = sources.select(*key).join(refs.select(*key).distinct().withColumn("__sel", F.lit(True)), key, "left").join(
-        retained.select(*key).distinct().withColumn("__kept", F.lit(True)), key, "left"
-    )
+    known = F.when(F.col("session_id").isNotNull() & F.col("source_id").isNotNull(), F.lit(1)).otherwise(F.lit(0))
+    none = F.lit(0)
+
+    def marks(rows: DataFrame, own: Column, chosen: Column, kept: Column) -> DataFrame:
+        return rows.select(*key, own.alias("__own"), chosen.alias("__sel"), kept.alias("__kept"))
+
+    # One aggregation for the three sets instead of joins that sort each of them: a null id equals none.
+    every = marks(sources, F.lit(1), none, none).unionByName(marks(refs, none, known, none)).unionByName(marks(retained, none, none, known))
+    marked = every.groupBy(*key).agg(*[F.max(c).alias(c) for c in ("__own", "__sel", "__kept")]).where("__own = 1")
     sessions = marked.groupBy("session_id").agg(
-        F.count("__sel").alias("chosen"), F.count(F.lit(1)).alias("all"),
-        F.count(F.when(F.col("__sel") & F.col("__kept"), 1)).alias("kept"),
+        F.sum("__sel").alias("chosen"), F.count(F.lit(1)).alias("all"), F.sum(F.col("__sel") * F.col("__kept")).alias("kept"),
     ).where("chosen > 0")
     decided = sessions.select(
         "session_id",

@@ -1,15 +1,15 @@
 """One document of each group of near copies, by 5-word shingles and a Jaccard similarity of 0.8 or more.
 
-SimHash at such a similarity differs in about ten of 64 bits, too many for exact block keys of fingerprints: half of the pairs would be
-missed at a radius that block keys can serve. So candidates meet under bands of minimum hashes of their shingles (a pair at similarity 0.8
-shares one with a chance of 0.998); the pivot distances of their SimHash fingerprints, then the fingerprints themselves, discard what
-cannot be similar; and the similarity of the survivors is computed from their whole shingle sets.
-
-Equal texts are one candidate. Under a key with few candidates all pairs are looked at. A crowded key is led by its least candidate: those
-similar to it join it, the others go on under the next leader, and those left are compared in tiles of bounded size where their texts are
-not joined yet, be it by another key. A tile yields a spanning forest of its links, not its pairs. So near copies of a leader cost about as
-many comparisons as there are of them; texts that share a crowded key but are similar to no leader cost the square of their number in
-comparisons, and rows in proportion to the number of tiles. Shingle sets are built a second time, once for each text that shares a key.
+SimHash fingerprints within 4 bits are found as ``simhash_pivots`` finds them, by exact block keys and pivot distances, none missed. At a
+similarity of 0.8 fingerprints differ in about ten of 64 bits, though, too many for exact block keys: half of the pairs would be missed. So
+texts also meet under bands of minimum hashes of their shingles (a pair at similarity 0.8 shares one with a chance of 0.998), where the pivot
+distances and the fingerprints discard again. The similarity of all survivors is computed from their whole shingle sets.
+
+Equal texts are one candidate. Under a band with few candidates all pairs are looked at. Under a crowded one, texts that the links so far
+have not joined are compared in tiles of bounded size. A tile yields a spanning forest of its links, not its pairs. So near copies that
+fingerprints join cost about as many comparisons as there are of them; texts that share a crowded band but are similar to none cost the
+square of their number in comparisons, and rows in proportion to the number of tiles. Shingle sets are built a second time, once for each
+text that shares a key.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from scribelake.llm import components
+from scribelake.llm import components, simhash_pivots
 from scribelake.llm.common import mixed, stored
 from scribelake.llm.simhash_pivots import CROWD, PIVOTS, SEED, with_pivots
 from scribelake.session import checkpointed
@@ -30,8 +30,6 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 6
 #: Bits in which fingerprints of similar texts differ at most: the mean at similarity 0.8 and four deviations.
 RADIUS = 21
-#: Times that a crowded key is led before those left are compared with each other.
-LEADS = 2
 #: Texts and shingles on one side of a tile.
 TILE, TILE_SHINGLES = 256, 1 << 20
 #: Shingles times permutations held at a time.
@@ -93,7 +91,6 @@ def _close(a: str, b: str) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``u, v`` of text keys whose shingle sets are similar; stored."""
-    pairs = stored(pairs.distinct(), "pairs")
     one, other = (sets.select(F.col("k").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "uv")
     both = F.size(F.array_intersect("of_u", "of_v"))
     alike = both / (F.size("of_u") + F.size("of_v") - both)
@@ -169,40 +166,34 @@ def _tiled(apart: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(tiles.applyInPandas(_tile_links, "u string, v string"), "tiled")
 
 
+def by_fingerprint(texts: DataFrame) -> DataFrame:
+    """``u, v``: pairs of text keys that join all texts whose fingerprints are within ``simhash_pivots.RADIUS`` bits. ``texts``: k, fp."""
+    faces = checkpointed(texts.groupBy("fp").agg(F.min("k").alias("face")))
+    same = texts.join(faces, "fp").where("k <> face").select(F.col("k").alias("u"), F.col("face").alias("v"))
+    one, other = (faces.select(F.col("fp").alias(c), F.col("face").alias(f"face_{c}")) for c in "uv")
+    near = simhash_pivots.links(faces.select("fp")).join(one, "u").join(other, "v")
+    return same.unionByName(near.select(F.greatest("face_u", "face_v").alias("u"), F.least("face_u", "face_v").alias("v")))
+
+
 def links(texts: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``u, v``: similar texts by key. ``texts`` holds ``k, fp, keys`` once per text."""
+    """``u, v``: links that join all groups of similar texts, by key. ``texts`` holds ``k, fp, keys`` once per text."""
     keyed = with_pivots(texts.select("k", "fp", F.explode("keys").alias("key")))
     shared = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     met = stored(keyed.join(shared, "key"), "met")
-    needed = stored(met.select("k").distinct(), "needed")
+    few, crowd = met.where(F.col("n") <= CROWD).drop("n"), met.where(F.col("n") > CROWD).drop("n")
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.k") < F.col("b.k"))
+    pairs = few.alias("a").join(few.alias("b"), same & _close("a", "b")).select(F.col("b.k").alias("u"), F.col("a.k").alias("v"))
+    pairs = stored(by_fingerprint(texts.select("k", "fp")).unionByName(pairs).distinct(), "pairs")
+    needed = pairs.select("u").union(pairs.select("v")).union(crowd.select("k")).toDF("k").distinct()
+    needed = stored(needed, "needed")
     whole = docs.select(_text_key(F.col(text_col)).alias("k"), F.col(text_col).alias("text")).join(needed, "k", "left_semi").dropDuplicates(["k"])
     sets = stored(whole.select("k", _sets("text").alias("shingles")), "shingles")
-
-    def pairs(rows: DataFrame) -> DataFrame:
-        same = (F.col("a.key") == F.col("b.key")) & (F.col("a.k") < F.col("b.k"))
-        return rows.alias("a").join(rows.alias("b"), same & _close("a", "b")).select(F.col("b.k").alias("u"), F.col("a.k").alias("v"))
-
-    few, crowd, found = met.where(F.col("n") <= CROWD).drop("n"), met.where(F.col("n") > CROWD).drop("n"), []
-    for _ in range(LEADS):
-        led = checkpointed(crowd.groupBy("key").agg(F.min(F.struct("k", "fp", "dist")).alias("lead")).select("key", "lead.*"))
-        star = crowd.alias("a").join(led.alias("b"), "key").where(F.col("a.k") != F.col("b.k"))
-        alike = _verified(star.where(_close("a", "b")).select(F.col("a.k").alias("u"), F.col("b.k").alias("v")), sets)
-        found.append(alike)
-        # Leaders and those that joined one leave its key.
-        rest = star.select("key", F.col("a.k").alias("k"), F.col("a.fp").alias("fp"), F.col("a.dist").alias("dist"), F.col("b.k").alias("v"))
-        crowd = checkpointed(rest.join(alike.withColumnRenamed("u", "k"), ["k", "v"], "left_anti").select("k", "fp", "key", "dist"))
-    found.append(_verified(pairs(few), sets))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    if crowd.isEmpty():
-        return out
     # A link inside a group that is joined already says nothing new: only texts of different groups are compared, under keys that hold such.
-    tied = components.stars(out)
+    tied = components.stars(_verified(pairs, sets))
     grouped = stored(crowd.join(tied.withColumnRenamed("u", "k"), "k", "left").withColumn("root", F.coalesce("v", "k")).drop("v"), "grouped")
     split = grouped.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("last")).where("least <> last").select("key")
     apart = stored(grouped.join(split, "key", "left_semi"), "apart")
-    return out.unionByName(_tiled(apart, sets))
+    return tied if apart.isEmpty() else tied.unionByName(_tiled(apart, sets))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

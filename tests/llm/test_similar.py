@@ -127,3 +127,45 @@ def test_sketch_by_blocks(monkeypatch):
     whole = similar_texts.sketch(text)
     monkeypatch.setattr(similar_texts, "HELD", 500)
     assert similar_texts.sketch(text) == whole and similar_texts.sketch("") == (0, []) and len(similar_texts.sketch("one")[1]) == similar_texts.BANDS
+
+
+def test_fingerprints_join_what_no_band_joins(spark):
+    """SimHash and pivots are a step of their own: near copies within 4 bits are linked though no two texts share a band."""
+    r = random.Random(8)
+    rows = [(f"{base}-{k}", changed(r, text, k)) for base, text in ((b, prose(600 + b, 700)) for b in range(12)) for k in range(4)]
+    sketched = [(k, similar_texts.sketch(t)[0], [i]) for i, (k, t) in enumerate(rows)]
+    bits = {k: fp & (1 << 64) - 1 for k, fp, _ in sketched}
+    near = [(a, b) for a in bits for b in bits if a < b and (bits[a] ^ bits[b]).bit_count() <= 4]
+    texts = spark.createDataFrame(sketched, "k string, fp bigint, keys array<bigint>")
+    tops = {x["u"]: x["v"] for x in similar_texts.components.stars(similar_texts.by_fingerprint(texts.select("k", "fp"))).collect()}
+    assert len(near) > 15 and all(tops.get(a, a) == tops.get(b, b) for a, b in near)
+    # Keys by which the stage finds the texts again are digests of the texts.
+    docs = spark.createDataFrame([(t,) for _, t in rows], "text string")
+    named = spark.createDataFrame([(t, *s[1:]) for (_, t), s in zip(rows, sketched)], "text string, fp bigint, keys array<bigint>")
+    named = named.select(similar_texts._text_key(similar_texts.F.col("text")).alias("k"), "fp", "keys")
+    assert similar_texts.links(named, docs).count() >= len({b for _, b in near}) // 2
+    assert similar_texts.links(named.where("false"), docs).count() == 0
+
+
+def test_components_take_tasks_by_their_edges(spark):
+    """A few edges among many shuffle partitions: rounds do not run a task for each partition and exchange."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (201, 200), (200, 201)]
+    sc = spark.sparkContext
+    try:
+        spark.conf.set(names[0], "100")
+        spark.conf.set(names[1], "false")
+        sc.setJobGroup("stars", "stars")
+        got = similar_texts.components.stars(spark.createDataFrame(edges, "u bigint, v bigint"))
+        got = {x["u"]: x["v"] for x in got.collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 140)} | {201: 200}
+    status = sc.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup("stars") for s in status.getJobInfo(j).stageIds}
+    done = sum(info.numCompletedTasks for s in stages if (info := status.getStageInfo(s)))
+    print("tasks", done)
+    assert 0 < done < 4000

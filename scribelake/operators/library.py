@@ -242,7 +242,8 @@ def confirmed_partition(groups: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def first_of_key(rows: DataFrame, key: str, pos: str, name: str = "duplicate_of") -> DataFrame:
     """Position of the first row with the same key, null on that row itself."""
-    firsts = rows.groupBy(key).agg(F.min(pos).alias("__first"))
+    # A key of one row has no other: only keys that come again move to the join.
+    firsts = rows.groupBy(key).agg(F.min(pos).alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
     return with_key_facts(rows, firsts, key).withColumn(
         name, F.when(F.col("__first") < F.col(pos), F.col("__first"))
     ).drop("__first")

@@ -205,7 +205,7 @@ def a25(t):
 SELECT batch_id, count(*) AS selected, count(*) FILTER (state = 'completed') AS completed, count(*) FILTER (state = 'review_required') AS review_required,
  count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'cancelled') AS cancelled, count(*) FILTER (firstpos < position) AS duplicates FROM d GROUP BY batch_id""")
 def a3(t):
-    rows = st.entries(t).withColumn("key", F.concat_ws("/", "batch_id", "sha256"))
+    rows = st.entries(t).withColumn("key", st.copy_key())
     return res.state_counts(lib.first_of_key(rows, "key", "position"), "batch_id")
 
 

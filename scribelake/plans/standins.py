@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -177,6 +177,12 @@ def entries(t) -> DataFrame:
     )
 
 
+def copy_key() -> Column:
+    """The batch and the bytes of an entry: the digest of a copy in 32 bytes, not 64 digits."""
+    none = F.lit("").cast("binary")
+    return F.concat(F.coalesce(F.unhex("sha256"), none), F.coalesce(F.col("batch_id").cast("binary"), none))
+
+
 ENTRIES_SQL = """entries AS (
   SELECT 'b-' || l_orderkey AS batch_id, (l_linenumber::BIGINT * 100000000 + l_partkey) * 1000000 + l_suppkey AS position,
          CASE WHEN l_discount = 0 THEN 'notes_' || l_partkey || '.wav'

@@ -69,3 +69,17 @@ def test_keys_without_facts(spark):
     assert [r["n"] for r in with_key_facts(rows, facts, "key", "inner").collect()] == [1]
     bare = rows.select("key")
     assert with_key_facts(bare, facts, "key").count() == 3
+
+
+def test_keys_of_one_row_do_not_move(spark):
+    """Only keys that come again are facts; the key of an entry is its digest in bytes, batches and absent digests kept apart."""
+    from scribelake.plans import standins
+
+    plan = library.first_of_key(hot(spark), "key", "pos")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Filter .*__n#\d+L? > 1", plan)
+    a, b = "ab" * 32, "cd" * 32
+    rows = [("b-1", 1, a), ("b-1", 2, a), ("b-1", 3, b), ("b-2", 4, a), ("b-2", 5, None), ("b-2", 6, None), ("b-1", 7, None), ("b-2", 4, a)]
+    keyed = spark.createDataFrame(rows, "batch_id string, position int, sha256 string").withColumn("key", standins.copy_key())
+    assert keyed.agg(F.max(F.octet_length("key"))).first()[0] == 35
+    got = {(r["position"], r["duplicate_of"]) for r in library.first_of_key(keyed, "key", "position").collect()}
+    assert got == {(1, None), (2, 1), (3, None), (4, None), (5, None), (6, 5), (7, None)}

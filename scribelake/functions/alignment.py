@@ -16,23 +16,24 @@ WER = T.StructType(
     ]
 )
 
-# Cells of one diagonal over all pairs aligned together.
+# Cells of one diagonal over all pairs aligned together: a few such vectors stay in a core's cache.
 BATCH_CELLS = 1 << 16
+# Pairs are put together by reference lengths of so many words, then by hypothesis length.
+STEP_WORDS = 16
 
 
 def batch_counts(pairs: list[tuple]) -> np.ndarray:
     """Substitutions, deletions, insertions per (reference, hypothesis); ties prefer them in this order.
 
     Pairs of like length are aligned together. Cells of an anti-diagonal do not
-    depend on each other, so a diagonal of all pairs is one vector step; a cell
-    holds its cost, deletions and insertions. What pads a shorter pair lies
-    behind its last cell and cannot reach it.
+    depend on each other, so a diagonal of all pairs is one vector step. What pads
+    a shorter pair lies behind its last cell and cannot reach it.
     """
     out = np.zeros((len(pairs), 3), np.int64)
     ids: dict[str, int] = {}
-    coded = [tuple(np.fromiter((ids.setdefault(w, len(ids)) for w in side), np.int64, len(side)) for side in pair) for pair in pairs]
+    coded = [tuple(np.fromiter((ids.setdefault(w, len(ids)) for w in side), np.int32, len(side)) for side in pair) for pair in pairs]
     sizes = np.array([(len(a), len(b)) for a, b in coded], np.int64).reshape(-1, 2)
-    order = np.argsort(sizes.sum(axis=1), kind="stable")
+    order = np.lexsort((sizes[:, 1], sizes[:, 0] // STEP_WORDS))
     at = 0
     while at < len(order):
         stop, widest = at, 0
@@ -48,39 +49,44 @@ def batch_counts(pairs: list[tuple]) -> np.ndarray:
 
 
 def _aligned(pairs: list[tuple], sizes: np.ndarray) -> np.ndarray:
-    rows = np.arange(len(pairs))
+    """A cell is one number: its cost, two bits for the step that led to it, its deletions.
+
+    The least of the three steps is then the cheapest, and of equal costs the one
+    preferred; the step's bits are cleared behind it. Insertions follow from the
+    place of the cell, since deletions less insertions are i - j.
+    """
     n, m = (int(x) for x in sizes.max(axis=0))
-    ref, hyp = np.full((len(pairs), n), -1, np.int64), np.full((len(pairs), m), -2, np.int64)
+    kind, bits = (np.int32, 14) if max(n, m) < 1 << 14 else (np.int64, 30)
+    cost, keep = 1 << bits + 2, ~(3 << bits)
+    delete, insert = cost + (1 << bits) + 1, cost + (2 << bits)
+    # Second axis: the pairs, so that what a diagonal reads and writes lies together.
+    ref, hyp = np.full((n, len(pairs)), -1, np.int32), np.full((m, len(pairs)), -2, np.int32)
     for k, (a, b) in enumerate(pairs):
-        ref[k, : len(a)], hyp[k, : len(b)] = a, b
-    hyp = hyp[:, ::-1]
+        ref[: len(a), k], hyp[: len(b), k] = a, b
+    hyp = hyp[::-1]
     ends = sizes.sum(axis=1)
-    out = np.zeros((len(pairs), 3), np.int64)
-    # Last axis: cost, deletions, insertions. Row i of diagonal d is cell (i, d - i).
-    older = np.zeros((len(pairs), n + 1, 3), np.int64)
-    newer = np.zeros((len(pairs), n + 1, 3), np.int64)
-    newer[:, 0] = (1, 0, 1)
-    if n:
-        newer[:, 1] = (1, 1, 0)
+    last = np.zeros(len(pairs), np.int64)
+    # Row i of diagonal d is cell (i, d - i).
+    older, newer, cell, spare = (np.zeros((n + 1, len(pairs)), kind) for _ in range(4))
     for d in range(1, n + m + 1):
-        if d > 1:
-            cell = np.zeros_like(newer)
-            if d <= m:
-                cell[:, 0] = (d, 0, d)
-            if d <= n:
-                cell[:, d] = (d, d, 0)
-            low, high = max(1, d - m), min(n, d - 1)
-            if low <= high:
-                same = ref[:, low - 1 : high] == hyp[:, m - d + low : m - d + high + 1]
-                diagonal, up, left = older[:, low - 1 : high], newer[:, low - 1 : high], newer[:, low : high + 1]
-                best = diagonal + (1, 0, 0)
-                best = np.where((up[..., :1] + 1 < best[..., :1]), up + (1, 1, 0), best)
-                best = np.where((left[..., :1] + 1 < best[..., :1]), left + (1, 0, 1), best)
-                cell[:, low : high + 1] = np.where(same[..., None], diagonal, best)
-            older, newer = newer, cell
-        done = rows[ends == d]
-        out[done] = newer[done, sizes[done, 0]]
-    return np.stack([out[:, 0] - out[:, 1] - out[:, 2], out[:, 1], out[:, 2]], axis=1)
+        if d <= m:
+            cell[0] = d * cost
+        if d <= n:
+            cell[d] = d * (cost + 1)
+        low, high = max(1, d - m), min(n, d - 1)
+        if low <= high:
+            best, other = cell[low : high + 1], spare[low : high + 1]
+            np.multiply(ref[low - 1 : high] != hyp[m - d + low : m - d + high + 1], cost, out=best, dtype=kind)
+            best += older[low - 1 : high]
+            np.minimum(best, np.add(newer[low - 1 : high], delete, out=other), out=best)
+            np.minimum(best, np.add(newer[low : high + 1], insert, out=other), out=best)
+            best &= keep
+        older, newer, cell = newer, cell, older
+        done = np.flatnonzero(ends == d)
+        last[done] = newer[sizes[done, 0], done]
+    deleted = last & ((1 << bits) - 1)
+    inserted = deleted - (sizes[:, 0] - sizes[:, 1])
+    return np.stack([(last >> bits + 2) - deleted - inserted, deleted, inserted], axis=1)
 
 
 def edit_counts(ref, hyp) -> tuple[int, int, int]:

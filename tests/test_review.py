@@ -1,9 +1,10 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from scribelake.functions.alignment import edit_counts
+from scribelake.functions.alignment import batch_counts, edit_counts
 from scribelake.functions.text import tokens_review
 from scribelake.operators import review
 
@@ -41,6 +42,30 @@ def test_counts_equal_slow_form():
         assert edit_counts(a, b) == slow_counts(a, b), (a, b)
 
 
+def test_counts_of_many_pairs_together():
+    rng = random.Random(12)
+    text = lambda most: [rng.choice("abcd") for _ in range(rng.randint(0, most))]
+    pairs = [(text(60), text(60)) for _ in range(200)]
+    assert [tuple(row) for row in batch_counts(pairs)] == [slow_counts(a, b) for a, b in pairs]
+
+
+@pytest.mark.parametrize("n, m", [(17000, 4), (4, 17000)])
+def test_counts_of_texts_beyond_small_cells(n, m):
+    rng = random.Random(13)
+    a, b = [rng.choice("abc") for _ in range(n)], [rng.choice("abc") for _ in range(m)]
+    assert edit_counts(a, b) == slow_counts(a, b)
+
+
+def test_texts_of_unlike_length_cost_their_own_cells():
+    rng = random.Random(14)
+    text = lambda: [rng.choice("abcdefgh") for _ in range(rng.randint(0, 300))]
+    pairs = [(text(), text()) for _ in range(1200)]
+    began = time.process_time()
+    batch_counts(pairs)
+    # 27 million cells: 15 s where pairs meet by their sum alone and a cell is three numbers, 0.3 s now.
+    assert time.process_time() - began < 5
+
+
 def refs(spark, **changes):
     import hashlib
 

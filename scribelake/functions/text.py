@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 import unicodedata
 import zlib
 
@@ -80,6 +81,25 @@ def tokens_word(c: Column | str) -> Column:
     return F.regexp_extract_all(fold(c), F.lit(WORD), F.lit(0))
 
 
+# The same words in Python, whose word class holds exactly the letters, numbers and underscore.
+_WORDS = re.compile(r"\w+(?:['’]\w+)*")
+# ASCII that is in no word; apostrophes, which may be inside one, are left to the pattern.
+_GAPS = {i: " " for i in range(128) if not re.match(r"\w", chr(i))}
+
+
+def folded_words(text: str) -> list[str]:
+    """``tokens_word`` of one text, for passes that run in Python anyway or cut the words there."""
+    if not text.isascii():
+        return _WORDS.findall(unicodedata.normalize("NFKC", text).casefold())
+    return _WORDS.findall(text.lower()) if "'" in text else text.lower().translate(_GAPS).split()
+
+
+@F.pandas_udf(T.IntegerType())
+def word_count(s: pd.Series) -> pd.Series:
+    """Size of ``tokens_word``."""
+    return s.map(lambda x: None if x is None else len(folded_words(x))).astype("Int32")
+
+
 # Review tokens are words, numbers, other runs, operators and symbols; apostrophe and minus forms are one.
 REVIEW_TOKEN = (
     r"[\p{L}\p{Nl}\p{No}][\p{L}\p{N}]*(?:'[\p{L}\p{N}]+)*|\p{Nd}+(?:[.,]\p{Nd}+)*(?:e[+-]?\p{Nd}+)?"

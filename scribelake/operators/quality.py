@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scribelake.functions.text import tokens_word, tokens_ws
+from scribelake.functions.text import folded_words, tokens_ws, word_count
 from scribelake.operators.ordered import BLOCK_ROWS, islands, ordered, split_runs
 from scribelake.session import checkpointed
 
@@ -32,7 +32,7 @@ TEXT_BLOCK_ROWS = 1 << 13
 
 
 def segment_words(segments: DataFrame) -> DataFrame:
-    return segments.withColumn("words", tokens_word("text")).withColumn("word_count", F.size("words"))
+    return segments.withColumn("word_count", word_count("text"))
 
 
 def counted(segments: DataFrame) -> DataFrame:
@@ -51,22 +51,38 @@ def word_locations(segments: DataFrame, *, width: int = TEXT_BLOCK_ROWS) -> Data
     )
 
 
+_PIECES = (
+    "source_id string, chunk bigint, lo bigint, hi bigint, w string, idx bigint, start_seconds double, end_seconds double"
+)
+
+
+def _cutter(size: int):
+    """Segments as the pieces of their words that each chunk sees, words space-joined."""
+
+    def cut(batches):
+        schema = pa.schema([(n, {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}[t]) for n, t in (c.split(" ") for c in _PIECES.split(", "))])
+        for batch in batches:
+            out = []
+            names = ("source_id", "first_word", "text", "idx", "start_seconds", "end_seconds")
+            for source, first, text, *about in zip(*(batch.column(n).to_pylist() for n in names)):
+                words = folded_words(text)
+                stop = first + len(words)
+                for chunk in range(first // size, (stop - 1 + MAX_PERIOD) // size + 1):
+                    lo, hi = max(first, chunk * size - MAX_PERIOD), min(stop, (chunk + 1) * size)
+                    if hi > lo:
+                        out.append((source, chunk, lo, hi, " ".join(words[lo - first : hi - first]), *about))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return cut
+
+
 def _chunks(located: DataFrame, size: int) -> DataFrame:
-    """Word arrays of bounded size per (source, chunk), each with the 64 words before it."""
-    first, n = F.col("first_word"), F.col("word_count")
-    chunk_of = lambda c: F.floor(c / F.lit(size)).cast("bigint")
-    pieces = (
-        located.where("word_count > 0")
-        .withColumn("chunk", F.explode(F.sequence(chunk_of(first), chunk_of(first + n - 1 + MAX_PERIOD))))
-        .withColumn("lo", F.greatest(first, F.col("chunk") * size - MAX_PERIOD))
-        .withColumn("hi", F.least(first + n, (F.col("chunk") + 1) * size))
-        .where("hi > lo")
-        .select(
-            "source_id", "chunk", "lo", "hi",
-            F.slice("words", (F.col("lo") - first + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")).alias("w"),
-            "idx", "start_seconds", "end_seconds",
-        )
-    )
+    """Words of bounded number per (source, chunk) by segment, each chunk with the 64 words before it."""
+    pieces = located.where("word_count > 0").select(
+        "source_id", F.col("first_word").cast("bigint").alias("first_word"), "text", F.col("idx").cast("bigint").alias("idx"),
+        *[F.col(c).cast("double").alias(c) for c in ("start_seconds", "end_seconds")],
+    ).mapInArrow(_cutter(size), _PIECES)
     return (
         pieces.groupBy("source_id", "chunk")
         .agg(
@@ -75,9 +91,7 @@ def _chunks(located: DataFrame, size: int) -> DataFrame:
         )
         .where(F.col("hi") > F.col("chunk") * size)
         .select(
-            "source_id", "chunk", "lo", F.flatten(F.transform("parts", lambda p: p["w"])).alias("words"),
-            # Per word: the row of its segment in the arrays that follow.
-            F.transform("parts", lambda p: F.size(p["w"])).alias("seg_words"),
+            "source_id", "chunk", "lo", F.col("parts.w").alias("seg_words"),
             *[F.col(f"parts.{c}").alias(f"seg_{c}") for c in ("idx", "start_seconds", "end_seconds")],
         )
     )
@@ -124,8 +138,13 @@ def _run_finder(size: int):
         for whole in batches:
             for offset in range(0, whole.num_rows, 64):
                 batch = whole.slice(offset, 64)
-                words = batch.column("words")
-                counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+                words = pc.split_pattern(batch.column("seg_words").flatten(), " ")
+                # Words and segments of the batch lie one after another: word -> segment by count.
+                in_segment = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+                segment_of = np.repeat(np.arange(len(in_segment)), in_segment)
+                upto = np.concatenate(([0], np.cumsum(in_segment)))
+                last_segment = np.cumsum(pc.list_value_length(batch.column("seg_words")).to_numpy(zero_copy_only=False))
+                counts = np.diff(upto[last_segment], prepend=0)
                 codes = words.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
                 row_of = np.repeat(np.arange(len(counts)), counts)
                 lo = batch.column("lo").to_numpy(zero_copy_only=False)
@@ -135,10 +154,6 @@ def _run_finder(size: int):
                     continue
                 period = np.concatenate([np.full(len(f[1]), f[0], np.int32) for f in found])
                 row, start, end, left, right = (np.concatenate([f[i] for f in found]) for i in range(1, 6))
-                # Words and segments of the batch lie one after another: word -> segment by count.
-                segment_of = np.repeat(
-                    np.arange(len(batch.column("seg_words").flatten())), flat(batch.column("seg_words"), np.int64)
-                )
                 base = np.cumsum(counts) - counts
                 first = segment_of[base[row] + start - period - lo[row]]
                 last = segment_of[base[row] + end - 1 - lo[row]]
@@ -174,7 +189,6 @@ def loop_candidates(
     located = (
         segments.select("source_id", "idx", "start_seconds", "end_seconds", "text")
         .join(places, ["source_id", "idx"])
-        .withColumn("words", tokens_word("text"))
     )
     chunks = _chunks(located, chunk_words)
     # Few rows out of an expensive pass, read several times below: stored once.
@@ -261,8 +275,8 @@ def _window_ratios(batches):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     for batch in batches:
-        names = ("source_id", "bucket", "start_seconds", "end_seconds", "word_count", "text")
-        for source, bucket, start, end, words, text in zip(*(batch.column(n).to_pylist() for n in names)):
+        names = ("source_id", "bucket", "start_seconds", "end_seconds", "text")
+        for source, bucket, start, end, text in zip(*(batch.column(n).to_pylist() for n in names)):
             if (source, bucket) != key:
                 if key is not None:
                     close()
@@ -273,7 +287,7 @@ def _window_ratios(batches):
                 raw = b" " + text.encode("utf-8")
             state["bytes"] += len(state["z"].compress(raw))
             state["raw"] += len(raw)
-            state["words"] += words
+            state["words"] += len(folded_words(text))
             state["end"] = end
         if out:
             yield drain()
@@ -290,10 +304,7 @@ def window_ratios(segments: DataFrame) -> DataFrame:
     arrive sorted and are never held together.
     """
     bucket = F.greatest(F.lit(0), F.floor(F.col("start_seconds") / WINDOW_SECONDS)).cast("bigint")
-    rows = segment_words(segments).select(
-        "source_id", bucket.alias("bucket"), "idx", "start_seconds", "end_seconds",
-        F.col("word_count").cast("bigint").alias("word_count"), "text",
-    )
+    rows = segments.select("source_id", bucket.alias("bucket"), "idx", "start_seconds", "end_seconds", "text")
     return (
         rows.repartition("source_id", "bucket")
         .sortWithinPartitions("source_id", "bucket", "idx")

@@ -6,6 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from scribelake.functions.text import folded_words, tokens_word, word_count
 from scribelake.operators import quality
 
 SEGMENTS = "source_id string, idx int, start_seconds double, end_seconds double, text string"
@@ -156,3 +157,37 @@ def test_glossary_warning_shows_no_terms(spark):
     sources = spark.createDataFrame([("s", ["Neyman"], 0), ("t", ["Neyman"], 224), ("u", [], 0)], "source_id string, terms array<string>, ctx int")
     got = quality.glossary_findings(sources, F.col("terms"), F.col("ctx"))
     assert [r["source_id"] for r in got.collect()] == ["s"] and "terms" not in got.columns
+
+
+def test_words_in_python_are_those_of_the_column(spark):
+    rng = random.Random(5)
+    signs = "aZ09_ '’-.,\n\t\x1c\x0b\x85\u00a0ßéÀÿµ²ⅣﬁΣςİЖ中½①\u0301"
+    texts = ["", "'", "a'b'c''d' 'e", "Don't STOP_now 3.5", None]
+    texts += ["".join(rng.choice(signs[:some]) for _ in range(rng.randint(1, 30))) for some in (19, len(signs)) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", tokens_word("text").alias("w"), word_count("text").alias("n"))
+    for r in rows.collect():
+        if r["text"] is None:
+            assert r["w"] is None and r["n"] is None
+        else:
+            assert (folded_words(r["text"]), r["n"]) == (r["w"], len(r["w"])), r["text"]
+
+
+def test_text_is_not_matched_by_patterns_on_the_way_to_chunks(spark):
+    """Words are found in one pass of Python per step and travel as text, not by three patterns a line and as arrays."""
+    located = segs(spark, ["one two", "three"]).withColumns({"first_word": F.lit(0).cast("bigint"), "word_count": F.size(F.split("text", " "))})
+    plan = quality._chunks(located, 64)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp" not in plan and "rlike" not in plan
+    assert "regexp" not in quality.window_ratios(located)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp" not in quality.segment_words(located)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert quality._chunks(located, 64).schema["seg_words"].dataType.simpleString() == "array<string>"
+
+
+def test_pieces_are_cut_at_chunks_of_any_size(spark):
+    words_of = " ".join(f"w{i % 7}" for i in range(300))
+    located = segs(spark, [words_of]).withColumns({"first_word": F.lit(10).cast("bigint"), "word_count": F.lit(300)})
+    got = {r["chunk"]: (r["lo"], " ".join(r["seg_words"]).split()) for r in quality._chunks(located, 100).collect()}
+    want = words_of.split()
+    assert sorted(got) == [0, 1, 2, 3]
+    for chunk, (lo, part) in got.items():
+        first = max(10, chunk * 100 - quality.MAX_PERIOD)
+        assert lo == first and part == want[first - 10 : (chunk + 1) * 100 - 10]

@@ -1,5 +1,7 @@
 import tempfile
+import tracemalloc
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +102,70 @@ def test_progress_stream_equals_batch(spark):
     assert progress.rollup(states).first()["finished"] == 2
 
 
+class _Value:
+    """A state value without a stream."""
+
+    def __init__(self):
+        self.held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+
+class _Map(dict):
+    getValue, containsKey = dict.__getitem__, dict.__contains__
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+
+def _stateful(kind):
+    found = kind(None)
+    found.head, found.jobs = _Value(), _Map()
+    return found
+
+
+def _told_events(n, size):
+    """Numbered events of 50 jobs in chunks, the last event first."""
+    for stop in range(n, 0, -size):
+        at = range(stop - 1, max(stop - size, 0) - 1, -1)
+        yield pd.DataFrame(
+            [
+                (i, "b", i, "file" if i < 50 or i % 3 else "progress", f"job-{i % 50}", "a", i % 50, "waiting" if i < 50 else "processing",
+                 "queued" if i < 50 else ("transcribing" if i % 3 == 0 else "preparing"), i % 100, float(i)) for i in at
+            ],
+            columns=[c.split(" ")[0] for c in PROGRESS.split(", ")],
+        )
+
+
+def test_progress_events_of_a_batch_are_held_as_numbers():
+    def peak(n):
+        tracemalloc.start()
+        told, largest = 0, 0
+        for out in _stateful(progress.ProgressState).handleInputRows(("b",), _told_events(n, 1000), None):
+            told, largest = told + (out["verdict"] == "accepted").sum(), max(largest, len(out))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert told == n and largest <= progress.TOLD_ROWS
+        return most
+
+    # Frames of all events and rows of all verdicts took over 500 bytes an event.
+    assert (peak(80_000) - peak(30_000)) / 50_000 < 150
+
+
+def test_rollup_changes_do_not_depend_on_the_size_of_chunks():
+    def changes(size):
+        return [r for out in _stateful(progress.RollupChanges).handleInputRows(("b",), _told_events(25_000, size), None) for r in out.itertuples(index=False, name=None)]
+
+    assert changes(1000) == changes(25_000) == [("b", 50, 0, 0, 0, 0, 0, 17)]
+
+
 def test_span_stream_equals_batch(spark):
     rows = [("b", i, i / 2, "stage_start" if (i // 3) % 2 == 0 else "stage_end", f"s{i % 3}", None, "j", "a") for i in range(40)]
     df = spark.createDataFrame(rows, "batch_id string, sequence long, elapsed_seconds double, kind string, stage string, outcome string, job_id string, attempt_id string")

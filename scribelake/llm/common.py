@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from scribelake.session import shared_folder
+from scribelake.session import stored  # noqa: F401
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows per batch in which whole texts cross to Python.
@@ -21,13 +20,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(TEXT_ROWS))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: lineage is cut, and Spark knows its size when it plans joins."""
-    at = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.parquet(at)
-
-
 def held_out(id_col: str | Column) -> Column:
     """The third of the documents whose labels are never learnt from: crc32 of the id as text, modulo 3, is 1."""
     as_text = (F.col(id_col) if isinstance(id_col, str) else id_col).cast("string")

@@ -171,13 +171,17 @@ def report_lines(entries: DataFrame, segments: DataFrame) -> DataFrame:
         "batch_id", *row(1, F.col("position"), F.col("seq"), F.col("line"))
     )
     kept = entries.where(shown).select("batch_id", "position")
-    spoken = segments.join(kept, ["batch_id", "position"], "left_semi")
+    # Both joins read these rows: the same filter on both sides lets Spark shuffle them once.
+    whole = F.col("batch_id").isNotNull() & F.col("position").isNotNull()
+    placed = kept.where(whole)
+    spoken = segments.join(placed, ["batch_id", "position"], "left_semi")
     body = spoken.select(
         "batch_id",
         *row(1, F.col("position"), F.col("idx") + 100,
              text("[", clock_text("start_seconds"), " – ", clock_text("end_seconds"), "] ", md_escape("text"))),
     )
-    silent = kept.join(segments.select("batch_id", "position").distinct(), ["batch_id", "position"], "left_anti").select(
+    unheard = placed.join(segments.select("batch_id", "position").distinct(), ["batch_id", "position"], "left_anti")
+    silent = unheard.unionByName(kept.where(~whole)).select(
         "batch_id", *row(1, F.col("position"), F.lit(100), F.lit(EMPTY_NOTE))
     )
     return head.unionByName(per_entry).unionByName(body).unionByName(silent)

@@ -9,6 +9,7 @@ from scribelake.functions.clocks import instant
 from scribelake.functions.text import casefold, fold_nfc, natural_key, text_lines
 from scribelake.operators.ordered import BLOCK_ROWS, numbered, split_runs
 from scribelake.operators.joins import with_key_facts
+from scribelake.session import stored
 
 # Longest gap inside a group, and the UI state buckets.
 GAP_SECONDS = 15 * 60
@@ -240,10 +241,37 @@ def confirmed_partition(groups: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def first_of_key(rows: DataFrame, key: str, pos: str, name: str = "duplicate_of") -> DataFrame:
-    """Position of the first row with the same key, null on that row itself."""
+#: So many short hashes of keys that come again are looked up in every task; with more, all rows move to their keys.
+AGAIN = 500_000
+
+
+def coming_again(rows: DataFrame, key: str) -> DataFrame | None:
+    """Rows whose key may come again, null keys left out; none if there are too many such keys, or nothing may be broadcast.
+
+    Where keys seldom come again, only eight bytes a row are shuffled. Two keys of one hash are kept both, so whoever groups them is exact.
+    """
+    if rows.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-"):
+        return None
+    short = rows.where(F.col(key).isNotNull()).withColumn("__short", F.xxhash64(key))
+    again = stored(short.groupBy("__short").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__short"), "again")
+    return short.join(again, "__short", "left_semi").drop("__short") if again.count() <= AGAIN else None
+
+
+def first_of_key(rows: DataFrame, key: str, pos: str, name: str = "duplicate_of", *, seldom: bool = False) -> DataFrame:
+    """Position of the first row with the same key, null on that row itself.
+
+    ``seldom``: most keys are expected once. One more pass over the rows, run at once, then finds those that come again, and only their rows
+    move. Where more do than expected, all rows move as without it.
+    """
+    n = F.count(F.lit(1)).alias("__n")
+    firsts, few = F.min(pos).alias("__first"), coming_again(rows.select(key, pos), key) if seldom else None
+    if few is None:
+        groups = rows.groupBy(key).agg(firsts, n)
+    else:
+        # Grouped once more, so that the optimizer sees one row a key and drops the join where nobody asks for duplicates.
+        groups = stored(few.groupBy(key).agg(firsts, n), "firsts").groupBy(key).agg(F.min("__first").alias("__first"), F.sum("__n").alias("__n"))
     # A key of one row has no other: only keys that come again move to the join.
-    firsts = rows.groupBy(key).agg(F.min(pos).alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    firsts = groups.where("__n > 1").drop("__n")
     return with_key_facts(rows, firsts, key).withColumn(
         name, F.when(F.col("__first") < F.col(pos), F.col("__first"))
     ).drop("__first")
